@@ -1,9 +1,961 @@
-"""Registered signal queries and their SQL."""
+"""Registered signal queries and the DuckDB SQL that gives the same rows.
 
+Signals: E (events by user), V (embeddings by vector), H (events by hour and
+type), L (prices by supplier); see sonagrid.sources.tables. Results are rounded
+in the same way on both sides.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
+from math import log10, pi, sqrt
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sonagrid import functions as fn
+from sonagrid.functions import stable
+from sonagrid.operators import beamforming as bf
+from sonagrid.operators import editing as ed
+from sonagrid.operators import effects as fx
+from sonagrid.operators import features as ft
+from sonagrid.operators import filters as fi
+from sonagrid.operators import frames as fr
+from sonagrid.operators import kernels as ke
+from sonagrid.operators import levels as lv
+from sonagrid.operators import rooms as rm
+from sonagrid.operators import similarity as si
+from sonagrid.operators import spectra as sp
+from sonagrid.sources import generators as ge
+from sonagrid.sources import tables as tb
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+E = "e as (select user_id as ch, row_number() over (partition by user_id order by ts, event_id) - 1 as n, value as re from events)"
+V = "v as (select vec_id as ch, u.i - 1 as n, cast(embedding[u.i] as double) as re from embeddings, (select unnest(range(1, 65)) as i) u)"
+L = (
+    "l as (select l_suppkey as ch, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, "
+    "l_extendedprice, l_discount, l_tax) - 1 as n, l_extendedprice as re from lineitem)"
+)
+H = (
+    "h as (select t.ch, g.n, cast(coalesce(c.c, 0) as double) as re from (select distinct event_type as ch from events) t cross join "
+    "(select unnest(range(0, 720)) as n) g left join (select event_type as ch, cast(floor((epoch_us(ts) - 1704067200000000) / 3600000000) as bigint) as n, "
+    "count(*) as c from events group by all) c on c.ch = t.ch and c.n = g.n)"
+)
+P = "p as (select vec_id as pid, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z from embeddings)"
+
+
+def _r(expr: str, digits: int = 6) -> str:
+    return f"round({expr} + 3.14159e-8, {digits}) + 0.0"
+
+
+def _out(df: DataFrame, *values: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({v: stable(v, digits) for v in values})
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- levels ---------------------------------------------------------------------
+
+
+@query(f"with {E} select ch, {_r('20 * log10(stddev_pop(re))')} as rms_dbfs from e group by ch")
+def rms_dbfs(spark, d):
+    return _out(lv.rms_dbfs(tb.events(spark, d)), "rms_dbfs")
+
+
+@query(f"with {E} select ch, {_r('20 * log10(max(abs(re)))')} as peak_dbfs from e group by ch")
+def peak_dbfs(spark, d):
+    return _out(lv.peak_dbfs(tb.events(spark, d)), "peak_dbfs")
+
+
+@query(f"with {E} select ch, {_r('20 * log10(max(abs(re)) / stddev_pop(re))')} as crest_db from e group by ch")
+def crest_factor_db(spark, d):
+    return _out(lv.crest_factor_db(tb.events(spark, d)), "crest_db")
+
+
+@query(f"with {L} select ch, {_r('sum(re * re) / 1e6', 3)} as energy, {_r('avg(re * re) / 1e6', 4)} as power from l group by ch")
+def energy_power(spark, d):
+    out = lv.energy(tb.lineitem(spark, d))
+    return out.select("ch", stable(F.col("energy") / 1e6, 3).alias("energy"), stable(F.col("power") / 1e6, 4).alias("power"))
+
+
+@query(f"with {E} select ch, n, {_r('re / max(abs(re)) over (partition by ch)')} as re from e")
+def normalize_peak(spark, d):
+    return _out(lv.normalize(tb.events(spark, d), each_channel=True), "re")
+
+
+@query(f"with {E}, m as (select max(s) as s from (select stddev_pop(re) as s from e group by ch)) select ch, n, {_r('re * (0.1 / s)')} as re from e, m")
+def normalize_rms(spark, d):
+    return _out(lv.normalize(tb.events(spark, d), -20.0, peak=False), "re")
+
+
+@query(f"with {V} select ch, n, {_r('re * pow(10, 6.0 / 20)')} as re from v")
+def apply_gain(spark, d):
+    return _out(lv.gain(tb.vectors(spark, d), 6.0), "re")
+
+
+@query(f"with {V} select ch, n, {_r('20 * log10(greatest(abs(re), 2.2250738585072014e-308))')} as re from v")
+def to_db(spark, d):
+    return _out(lv.in_db(tb.vectors(spark, d)), "re")
+
+
+@query(f"with {V} select ch, n, {_r('pow(10, re / 20)')} as re from v")
+def from_db(spark, d):
+    return _out(tb.vectors(spark, d).withColumn("re", fn.from_db("re")), "re")
+
+
+def _fade_sql(curve: str) -> str:
+    back = curve.replace("@", "(m - n)")
+    front = curve.replace("@", "n")
+    return f"with {E}, f as (select *, max(n) over (partition by ch) as m from e) select ch, n, {_r(f're * (case when m - n < 10 then {back} else 1.0 end) * (case when n < 10 then {front} else 1.0 end)')} as re from f"
+
+
+@query(_fade_sql("@ / 9.0"))
+def fade_linear(spark, d):
+    return _out(lv.fade(tb.events(spark, d), 10), "re")
+
+
+@query(_fade_sql("pow(10, (@ / 9.0 - 1) * 5)"))
+def fade_exponential(spark, d):
+    return _out(lv.fade(tb.events(spark, d), 10, "exponential"), "re")
+
+
+@query(_fade_sql(f"log10(1 + @ / 9.0 * {50 * sqrt(10) - 1!r}) / {log10(50 * sqrt(10))!r}"))
+def fade_logarithmic(spark, d):
+    return _out(lv.fade(tb.events(spark, d), 10, "logarithmic"), "re")
+
+
+@query(f"with {E} select ch, n, {_r('re - avg(re) over (partition by ch)')} as re from e")
+def detrend_constant(spark, d):
+    return _out(lv.detrend(tb.events(spark, d), 0), "re")
+
+
+@query(f"with {V} select ch, n, {_r('re - avg(re) over w - covar_pop(re, n) over w / var_pop(n) over w * (n - avg(n) over w)')} as re from v window w as (partition by ch)")
+def detrend_linear(spark, d):
+    return _out(lv.detrend(tb.vectors(spark, d), 1), "re")
+
+
+@query(f"with {E} select ch, n, {_r('sqrt(sum(re * re) over (partition by ch order by n rows between 15 preceding and current row) / 16)')} as re from e")
+def envelope_rms16(spark, d):
+    return _out(lv.envelope_rms(tb.events(spark, d), 16), "re")
+
+
+@query(
+    f"with {E}, v as (select ch, n, sqrt(sum(re * re) over (partition by ch order by n rows between 7 preceding and current row) / 8) as r from e) "
+    "select ch, n, 20 * log10(r / max(r) over (partition by ch)) >= -3.0 as active from v"
+)
+def activity(spark, d):
+    return lv.activity(tb.events(spark, d), -3.0, 8)
+
+
+@query(f"with {V} select ch, n, greatest(-128.0, least(127.0, floor(re * 128 + 0.5))) / 128 as re from v")
+def quantize_8bit(spark, d):
+    return lv.quantize(tb.vectors(spark, d), 8)
+
+
+@query(f"with {E}, f as (select ch, {2e-5 * 10 ** (94 / 20)!r} / stddev_pop(re) as f from e group by ch) select e.ch, n, {_r('re * f')} as re from e join f on e.ch = f.ch")
+def calibrate(spark, d):
+    e = tb.events(spark, d)
+    return _out(lv.calibrate(e, e), "re")
+
+
+# --- editing --------------------------------------------------------------------
+
+
+@query(f"with {E} select ch, n - 10 as n, re from e where n >= 10 and n < 40")
+def time_slice(spark, d):
+    return ed.time_slice(tb.events(spark, d), 10, 40)
+
+
+@query(f"with {E} select c.ch, g.n, coalesce(e.re, 0.0) as re from (select distinct ch from e) c cross join (select unnest(range(0, 80)) as n) g left join e on e.ch = c.ch and e.n = g.n")
+def pad_trim(spark, d):
+    return ed.pad_trim(tb.events(spark, d), 80)
+
+
+@query(f"with {E} select ch, n + 5 as n, re from e union all select ch, g.n, 0.0 from (select distinct ch from e) c, (select unnest(range(0, 5)) as n) g")
+def delay(spark, d):
+    return ed.delay(tb.events(spark, d), 5)
+
+
+@query(
+    f"with {V}, t as (select *, max(abs(re)) over (partition by ch) as m from v), h as (select ch, min(n) as a, max(n) as b from t where abs(re) >= m * {10 ** (-6 / 20)!r} group by ch) "
+    "select v.ch, n - a as n, re from v join h on v.ch = h.ch where n between a and b"
+)
+def trim_level(spark, d):
+    return ed.trim_level(tb.vectors(spark, d), -6.0)
+
+
+@query(f"with {E} select ch, max(n) over (partition by ch) - n as n, re from e")
+def reverse(spark, d):
+    return ed.reverse(tb.events(spark, d))
+
+
+@query(f"with {V} select cast(case ch when 3 then 0 when 1 then 1 else 2 end as bigint) as ch, n, re from v where ch in (3, 1, 7)")
+def get_channels(spark, d):
+    return ed.get_channels(tb.vectors(spark, d), [3, 1, 7])
+
+
+@query(f"with {V} select n, {_r('sum(re)')} as re from v group by n")
+def sum_channels(spark, d):
+    return _out(ed.sum_channels(tb.vectors(spark, d)), "re")
+
+
+@query(f"with {V} select a.n, {_r('(a.re + b.re) * 0.5')} as a, {_r('(a.re - b.re) * 0.5')} as b from v a join v b on a.n = b.n where a.ch = 0 and b.ch = 1")
+def mid_side(spark, d):
+    return _out(ed.mid_side(tb.vectors(spark, d), 0, 1), "a", "b")
+
+
+@query(f"with {E}, m as (select ch, max(n) + 1 as k from e group by ch) select ch, n, re from e union all select e.ch, n + k, re from e join m on e.ch = m.ch where n < 10")
+def append(spark, d):
+    e = tb.events(spark, d)
+    return ed.append(e, e.where("n < 10"))
+
+
+@query(f"with {E} select ch, n, {_r('sum(re)')} as re from (select * from e union all select ch, n + 3, re from e) group by ch, n")
+def mix_signals(spark, d):
+    e = tb.events(spark, d)
+    return _out(ed.mix([e, e.withColumn("n", F.col("n") + 3)]), "re")
+
+
+@query(f"with {E} select ch, n, re, cast(n % 3 as bigint) as phase, n // 3 as m from e")
+def polyphase(spark, d):
+    out = ed.interleave(tb.events(spark, d), 3)
+    return out.withColumn("phase", F.col("phase").cast("long"))
+
+
+@query(f"with {V} select ch, n * 2 + g.k as n, re from v, (select unnest(range(0, 2)) as k) g")
+def sample_hold(spark, d):
+    return ed.hold(tb.vectors(spark, d), 2)
+
+
+# --- frames ---------------------------------------------------------------------
+
+_FRAMES = (
+    f"{E}, k as (select ch, greatest(0, ceil((max(n) + 1 - 16) / 8.0)) as c from e group by ch), "
+    "f as (select e.ch, cast(g.frame as bigint) as frame, e.n - g.frame * 8 as m, e.re as x from e join k on e.ch = k.ch, (select unnest(range(0, 200)) as frame) g "
+    "where e.n >= g.frame * 8 and e.n < g.frame * 8 + 16 and g.frame < k.c)"
+)
+_HANN = "(0.5 - 0.5 * cos(m * 2 * pi() / 16))"
+
+
+@query(f"with {_FRAMES} select ch, frame, {_r('avg(x)')} as mean, {_r('sqrt(avg(x * x))')} as rms, {_r('max(abs(x))')} as peak from f group by ch, frame")
+def frame_statistics(spark, d):
+    return _out(fr.frame_statistics(fr.frames(tb.events(spark, d), 16, 8)), "mean", "rms", "peak")
+
+
+@query(
+    f"with {V}, f as (select ch, n // 16 as frame, n % 16 as m, re as x from v where n < 48), z as (select *, lag(x >= 0) over (partition by ch, frame order by m) as b from f) "
+    "select ch, frame, cast(coalesce(sum(case when (x >= 0) <> b then 1 else 0 end), 0) as bigint) as crossings from z group by ch, frame"
+)
+def zero_crossings(spark, d):
+    return fr.zero_crossings(fr.frames(tb.vectors(spark, d), 16, 16))
+
+
+@query(
+    f"with {_FRAMES}, o as (select ch, frame * 8 + m as n, x * {_HANN} * {_HANN} as y, {_HANN} * {_HANN} as w from f) "
+    f"select ch, n, {_r('sum(y) / greatest(sum(w), 1e-4)')} as re from o group by ch, n"
+)
+def overlap_add(spark, d):
+    framed = fr.windowed(fr.frames(tb.events(spark, d), 16, 8), "hann", 16)
+    return _out(fr.overlap_add(framed, 8, "hann", 16), "re")
+
+
+# --- spectra --------------------------------------------------------------------
+
+_DFT = (
+    f"{V}, b as (select unnest(range(0, 33)) as k), s as (select ch, cast(k as integer) as k, k / 64.0 as f_hz, "
+    "sum(re * cos(-2 * pi() * ((n * k) % 64) / 64)) as re, sum(re * sin(-2 * pi() * ((n * k) % 64) / 64)) as im from v, b group by ch, k)"
+)
+_STFT = (
+    f"{_FRAMES}, w as (select ch, frame, m, x * {_HANN} as x from f), t as (select ch, frame, m, x - sum(x) over (partition by ch, frame) / 16 as x from w), "
+    "s as (select ch, frame, cast(k as integer) as k, sum(x * cos(-2 * pi() * ((m * k) % 16) / 16)) as re, sum(x * sin(-2 * pi() * ((m * k) % 16) / 16)) as im "
+    "from t, (select unnest(range(0, 9)) as k) b group by ch, frame, k)"
+)
+
+
+def _stft(spark, d):
+    return sp.stft(tb.events(spark, d), 16, 8, "hann", detrend=True)
+
+
+@query(f"with {_DFT} select ch, k, f_hz, {_r('re', 4)} as re, {_r('im', 4)} as im from s")
+def spectrum_dft(spark, d):
+    return _out(sp.dft(tb.vectors(spark, d), 64), "re", "im", digits=4)
+
+
+@query(
+    f"with {V}, q as (select unnest([1.5, 3.25, 7.0]) as f_hz) select ch, cast(f_hz as double) as f_hz, {_r('sum(re * cos(-2 * pi() * n * f_hz / 64))', 4)} as re, "
+    f"{_r('sum(re * sin(-2 * pi() * n * f_hz / 64))', 4)} as im from v, q group by ch, f_hz"
+)
+def dft_arbitrary(spark, d):
+    at = spark.createDataFrame([(1.5,), (3.25,), (7.0,)], "f_hz double")
+    return _out(sp.dft_at(tb.vectors(spark, d), at, 64), "re", "im", digits=4)
+
+
+@query(f"with {V} select ch, n, {_r('re', 4)} as re from v")
+def dft_round_trip(spark, d):
+    return _out(sp.idft(sp.dft(tb.vectors(spark, d), 64), 64), "re", digits=4)
+
+
+@query(f"with {_STFT} select ch, frame, k, {_r('re', 4)} as re, {_r('im', 4)} as im from s")
+def stft(spark, d):
+    return _out(_stft(spark, d), "re", "im", digits=4)
+
+
+@query(
+    f"with {_FRAMES}, o as (select ch, frame * 8 + m as n, x * {_HANN} * {_HANN} as y, {_HANN} * {_HANN} as w from f) "
+    f"select ch, n, {_r('sum(y) / greatest(sum(w), 1e-4)', 4)} as re from o group by ch, n"
+)
+def istft(spark, d):
+    spectra = sp.stft(tb.events(spark, d), 16, 8, "hann")
+    return _out(sp.istft(spectra, 16, 8, "hann"), "re", digits=4)
+
+
+@query(f"with {_STFT} select ch, k, {_r('sqrt(avg(re * re + im * im))', 4)} as value from s group by ch, k")
+def welch_mean(spark, d):
+    power = sp.welch(tb.events(spark, d), 16, 8, "hann")
+    return _out(sp.scaled(power, 16, "hann", 1, "fft_backward"), "value", digits=4)
+
+
+@query(f"with {_STFT} select ch, k, {_r('median(re * re + im * im)', 3)} as power from s group by ch, k")
+def welch_median(spark, d):
+    return _out(sp.welch(tb.events(spark, d), 16, 8, "hann", "median"), "power", digits=3)
+
+
+@query(
+    f"with {_STFT} select ch, k, {_r('avg(re * re + im * im) * (case when k in (0, 8) then 1 else 2 end) / (100 * (select sum(' + _HANN + ' * ' + _HANN + ') from (select unnest(range(0, 16)) as m)))', 4)} as value from s group by ch, k"
+)
+def power_density(spark, d):
+    power = sp.welch(tb.events(spark, d), 16, 8, "hann")
+    return _out(sp.scaled(power, 16, "hann", 100, "density"), "value", digits=4)
+
+
+@query(
+    f"with {_STFT}, c as (select * from s where ch < 12) select a.k, a.ch as ch_i, b.ch as ch_j, {_r('avg(a.re * b.re + a.im * b.im)', 3)} as re, {_r('avg(a.re * b.im - a.im * b.re)', 3)} as im "
+    "from c a join c b on a.frame = b.frame and a.k = b.k and a.ch <= b.ch group by a.k, a.ch, b.ch"
+)
+def cross_spectral_matrix(spark, d):
+    array = tb.events(spark, d).where("ch < 12")  # the microphones of one array
+    return _out(sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True)), "re", "im", digits=3)
+
+
+@query(
+    f"with {_STFT}, p as (select a.k, a.re as a, a.im as b, b.re as c, b.im as d from s a join s b on a.frame = b.frame and a.k = b.k where a.ch = 1 and b.ch = 2), "
+    "g as (select k, avg(a * a + b * b) as xx, avg(c * c + d * d) as yy, avg(a * c + b * d) as r, avg(a * d - b * c) as i from p group by k) "
+    f"select k, {_r('r / xx')} as h1_re, {_r('i / xx')} as h1_im, {_r('yy * r / (r * r + i * i)')} as h2_re, {_r('yy * i / (r * r + i * i)')} as h2_im, "
+    f"{_r('r / sqrt(r * r + i * i) * sqrt(yy / xx)')} as h3_re, {_r('i / sqrt(r * r + i * i) * sqrt(yy / xx)')} as h3_im, {_r('(r * r + i * i) / (xx * yy)')} as coherence from g"
+)
+def transfer_coherence(spark, d):
+    return _out(sp.transfer(_stft(spark, d), 1, 2), "h1_re", "h1_im", "h2_re", "h2_im", "h3_re", "h3_im", "coherence")
+
+
+@query(
+    f"with {_DFT} select a.k, {_r('(b.re * a.re + b.im * a.im) / (a.re * a.re + a.im * a.im + 0.01)')} as re, {_r('(b.im * a.re - b.re * a.im) / (a.re * a.re + a.im * a.im + 0.01)')} as im "
+    "from s a join s b on a.k = b.k where a.ch = 0 and b.ch = 1"
+)
+def deconvolution(spark, d):
+    return _out(sp.deconvolve(sp.dft(tb.vectors(spark, d), 64), 0, 1), "re", "im")
+
+
+@query(
+    f"with {_DFT}, i as (select ch, f_hz, re * re + im * im as p from s where f_hz between 0.1 and 0.3), t as (select ch, (f_hz - lag(f_hz) over w) * (p + lag(p) over w) / 2 as a from i window w as (partition by ch order by f_hz)) "
+    f"select ch, {_r('coalesce(sum(a), 0.0)')} as energy from t group by ch"
+)
+def spectrum_energy(spark, d):
+    return _out(sp.band_energy(sp.dft(tb.vectors(spark, d), 64), 0.1, 0.3), "energy")
+
+
+@query(
+    f"with {_DFT}, q as (select unnest([0.05, 0.123, 0.377]) as f), m as (select ch, k, f_hz, sqrt(re * re + im * im) as v from s) "
+    f"select a.ch, cast(q.f as double) as f_hz, {_r('a.v + (q.f - a.f_hz) * 64 * (b.v - a.v)')} as value from q, m a join m b on a.ch = b.ch and b.k = a.k + 1 where q.f >= a.f_hz and q.f < b.f_hz"
+)
+def interpolate_linear(spark, d):
+    s = sp.dft(tb.vectors(spark, d), 64).withColumn("value", fn.magnitude())
+    at = spark.createDataFrame([(0.05,), (0.123,), (0.377,)], "f_hz double")
+    return _out(sp.interpolate(s, at), "value")
+
+
+@query(
+    f"with {_DFT}, m as (select ch, k, f_hz, sqrt(re * re + im * im) as v, cast(round(log2(f_hz) * 1e6) as bigint) as l from s where k > 0) "
+    f"select ch, k, {_r('avg(v) over (partition by ch order by l range between 166667 preceding and 166667 following)')} as value from m"
+)
+def smooth_third_octave(spark, d):
+    s = sp.dft(tb.vectors(spark, d), 64).withColumn("value", fn.magnitude())
+    return _out(sp.smooth_octaves(s, 3.0).select("ch", "k", "value"), "value")
+
+
+@query(
+    f"with {_DFT}, w as (select ch, k, f_hz, re, im, lead(re) over o as r, lead(im) over o as i, lead(f_hz) over o as f from s window o as (partition by ch order by k)) "
+    f"select ch, k, {_r('-atan2(re * i - im * r, re * r + im * i) / (2 * pi() * (f - f_hz))', 3)} as delay_s from w where f is not null and k between 1 and 30"
+)
+def group_delay(spark, d):
+    return _out(sp.group_delay(sp.dft(tb.vectors(spark, d), 64)).where("k between 1 and 30"), "delay_s", digits=3)
+
+
+@query(
+    f"with {_DFT}, p as (select ch, f_hz, re * re + im * im as p from s), g as (select ch, sum(p) as s0, sum(p * f_hz) as s1, sum(p * f_hz * f_hz) as s2, avg(ln(p)) as l, avg(p) as a from p where p > 0 group by ch) "
+    f"select ch, {_r('s1 / s0')} as centroid_hz, {_r('sqrt(greatest(0, s2 / s0 - (s1 / s0) * (s1 / s0)))')} as spread_hz, {_r('exp(l) / a')} as flatness from g"
+)
+def spectral_shape(spark, d):
+    return _out(sp.shape(sp.dft(tb.vectors(spark, d), 64)), "centroid_hz", "spread_hz", "flatness")
+
+
+# --- filters --------------------------------------------------------------------
+
+
+@query(f"with {E} select ch, n, {_r('0.5 * re + 0.3 * coalesce(lag(re, 1) over w, 0) + 0.2 * coalesce(lag(re, 2) over w, 0)')} as re from e window w as (partition by ch order by n)")
+def fir3(spark, d):
+    return _out(fi.fir(tb.events(spark, d), [0.5, 0.3, 0.2]), "re")
+
+
+def _taps_sql(taps: list[float]) -> str:
+    return "t as (select * from (values " + ", ".join(f"({m}, {b!r}::double)" for m, b in enumerate(taps)) + ") t(m, b))"
+
+
+@query(f"with {E}, {_taps_sql(fi.windowed_sinc(14, 0.25))} select ch, n + m as n, {_r('sum(re * b)')} as re from e, t group by ch, n + m")
+def fir_hamming15(spark, d):
+    return _out(fi.convolve(tb.events(spark, d), fi.windowed_sinc(14, 0.25)), "re")
+
+
+@query(
+    f"with {L}, {_taps_sql(fi.windowed_sinc(40, 0.125))}, x as (select ch, max(n) as k from l group by ch) "
+    f"select l.ch, n + m as n, {_r('sum(re * b)', 4)} as re from l join x on l.ch = x.ch, t where n + m <= k group by l.ch, n + m"
+)
+def fir_long(spark, d):
+    return _out(fi.fir(tb.lineitem(spark, d), fi.windowed_sinc(40, 0.125)), "re", digits=4)
+
+
+@query(
+    f"with {E}, {_taps_sql(fi.windowed_sinc(20, 0.5))}, x as (select ch, max(n) as k from e group by ch) "
+    f"select e.ch, (n + m) // 2 as n, {_r('sum(re * b)')} as re from e join x on e.ch = x.ch, t where n + m <= k and (n + m) % 2 = 0 group by e.ch, n + m"
+)
+def decimate2(spark, d):
+    return _out(fi.decimate(tb.events(spark, d), 2), "re")
+
+
+@query(
+    f"with {E}, {_taps_sql([2 * b for b in fi.windowed_sinc(20, 0.5)])}, x as (select ch, max(n) as k from e group by ch) "
+    f"select e.ch, n * 2 + m as n, {_r('sum(re * b)')} as re from e join x on e.ch = x.ch, t where n * 2 + m < (k + 1) * 2 group by e.ch, n * 2 + m"
+)
+def upsample2(spark, d):
+    return _out(fi.upsample(tb.events(spark, d), 2), "re")
+
+
+@query(f"with {V}, {_taps_sql(fi.fractional_delay_taps(20.5)[0])} select ch, n + m + {fi.fractional_delay_taps(20.5)[1]} as n, {_r('sum(re * b)')} as re from v, t group by ch, n + m")
+def fractional_delay(spark, d):
+    return _out(fi.fractional_delay(tb.vectors(spark, d), 20.5), "re")
+
+
+@query(f"with {E} select ch, n, {_r('avg(re) over (partition by ch order by n rows between 2 preceding and 2 following)')} as re from e")
+def moving_average5(spark, d):
+    return _out(fi.moving_average(tb.events(spark, d), 5), "re")
+
+
+_FOLD = "list_reduce(list_prepend(0.0::double, list(re order by n)), lambda acc, x: 0.1 * x + 0.9 * acc)"
+
+
+@query(f"with {E} select ch, {_r(_FOLD)} as value from e group by ch")
+def one_pole_last(spark, d):
+    return _out(fi.one_pole(tb.events(spark, d), 0.1), "value")
+
+
+@query(
+    f"with {E} select a.ch, a.n, {_r('sum(0.3 * pow(0.7, a.n - b.n) * b.re)')} as re from e a join e b on a.ch = b.ch and b.n <= a.n and b.n >= a.n - 97 group by a.ch, a.n"
+)
+def one_pole_series(spark, d):
+    return _out(fi.one_pole_series(tb.events(spark, d), 0.3), "re")
+
+
+# --- similarity -----------------------------------------------------------------
+
+_ONE = f"{V}, r as (select n, re from v where ch = 0), o as (select * from v where ch <> 0)"
+
+
+@query(f"with {_ONE} select ch, {_r('20 * log10(stddev_pop(re) / (select stddev_pop(re) from r))')} as snr_db from o group by ch")
+def snr(spark, d):
+    v = tb.vectors(spark, d)
+    return _out(si.snr_one(v.where("ch <> 0"), v.where("ch = 0")), "snr_db")
+
+
+@query(
+    f"with {_ONE}, g as (select o.ch, sum(r.re * r.re) as xx, sum(r.re * o.re) as xy, sum(o.re * o.re) as yy from o join r on o.n = r.n group by o.ch) "
+    f"select ch, {_r('10 * log10(xy * xy / xx / (yy - xy * xy / xx))', 4)} as si_sdr_db from g"
+)
+def si_sdr(spark, d):
+    others, one = si.against(tb.vectors(spark, d), 0)
+    return _out(si.si_sdr(one, others), "si_sdr_db", digits=4)
+
+
+@query(
+    f"with {_ONE}, c as (select o.ch, o.n - r.n as lag, sum(o.re * r.re) as v from o join r on o.n - r.n between -16 and 16 group by o.ch, o.n - r.n), "
+    "x as (select *, row_number() over (partition by ch order by round(abs(v), 9) desc, lag) as i from c) "
+    f"select ch, lag, {_r('v')} as value from x where i = 1"
+)
+def correlation_latency(spark, d):
+    v = tb.vectors(spark, d)
+    return _out(si.correlation_lag(v.where("ch <> 0"), v.where("ch = 0"), 16), "value")
+
+
+@query(f"with {V} select a.ch, cast(b.n - a.n as integer) as lag, {_r('sum(a.re * b.re)')} as value from v a join v b on a.ch = b.ch and b.n - a.n between 0 and 8 group by a.ch, b.n - a.n")
+def autocorrelation(spark, d):
+    return _out(si.autocorrelation(tb.vectors(spark, d), 8), "value")
+
+
+@query(f"with {_ONE} select ch, {_r('corr(o.re, r.re)')} as r from o join r on o.n = r.n group by ch")
+def pearson(spark, d):
+    v = tb.vectors(spark, d)
+    return _out(si.pearson(v.where("ch <> 0"), v.where("ch = 0")), "r")
+
+
+@query(
+    f"with {_DFT}, p as (select ch, k, re * re + im * im as p from s), q as (select a.ch, 10 * log10(a.p / b.p) as l, a.p / b.p as r from p a join p b on a.k = b.k and b.ch = 0 where a.ch <> 0 and a.p > 0 and b.p > 0) "
+    f"select ch, {_r('sqrt(avg(l * l))', 4)} as log_spectral, {_r('avg(r - ln(r) - 1) / 100', 3)} as itakura_saito from q group by ch"
+)
+def spectral_distances(spark, d):
+    p = sp.dft(tb.vectors(spark, d), 64).select("ch", "k", F.expr("re * re + im * im").alias("power"))
+    reference = p.where("ch <> 0").select("ch", "k").join(p.where("ch = 0").select("k", "power"), "k")
+    out = si.spectral_distances(p.where("ch <> 0"), reference).withColumn("itakura_saito", F.col("itakura_saito") / 100)
+    return out.select("ch", stable("log_spectral", 4).alias("log_spectral"), stable("itakura_saito", 3).alias("itakura_saito"))
+
+
+@query(
+    f"with {_ONE}, g as (select o.ch, o.n // 16 as f, sum(r.re * r.re) as s, sum((r.re - o.re) * (r.re - o.re)) as d from o join r on o.n = r.n group by all) "
+    f"select ch, {_r('avg(least(35.0, greatest(-10.0, 10 * log10(s / greatest(d, 1e-300)))))')} as seg_snr_db from g where s > 0 group by ch"
+)
+def segmental_snr(spark, d):
+    others, one = si.against(tb.vectors(spark, d), 0)
+    return _out(si.segmental_snr(one, others, 16), "seg_snr_db")
+
+
+# --- rooms ----------------------------------------------------------------------
+
+
+@query(f"with {V} select ch, n, {_r('10 * log10(greatest(sum(re * re) over (partition by ch order by n desc rows between unbounded preceding and current row) / sum(re * re) over (partition by ch), 1e-300))')} as edc_db from v")
+def energy_decay(spark, d):
+    return _out(rm.energy_decay(tb.vectors(spark, d)), "edc_db")
+
+
+@query(
+    f"with {V}, c as (select ch, n, 10 * log10(greatest(sum(re * re) over (partition by ch order by n desc rows between unbounded preceding and current row) / sum(re * re) over (partition by ch), 1e-300)) as l from v) "
+    f"select ch, {_r('-60 / regr_slope(l, n / 1000.0)')} as rt_s from c where l between -10 and -1 group by ch"
+)
+def reverberation_time(spark, d):
+    return _out(rm.reverberation_time(rm.energy_decay(tb.vectors(spark, d)), 1000, -1.0, -10.0), "rt_s")
+
+
+@query(f"with {V} select ch, {_r('sum(case when n < 20 then re * re else 0 end) / sum(re * re)')} as definition from v group by ch")
+def definition_d50(spark, d):
+    return _out(rm.definition(tb.vectors(spark, d), 400), "definition")
+
+
+@query(f"with {V} select ch, {_r('10 * log10(sum(case when n < 32 then re * re else 0 end) / (sum(re * re) - sum(case when n < 32 then re * re else 0 end)))')} as clarity_db from v group by ch")
+def clarity_c80(spark, d):
+    return _out(rm.clarity(tb.vectors(spark, d), 400), "clarity_db")
+
+
+@query(f"with {V} select ch, {_r('sum(re * re * n) / sum(re * re) / 400')} as centre_time_s from v group by ch")
+def centre_time(spark, d):
+    return _out(rm.centre_time(tb.vectors(spark, d), 400), "centre_time_s")
+
+
+@query(
+    f"with {V}, t as (select *, first_value(n) over (partition by ch order by abs(re) desc, n) as p, max(abs(re)) over (partition by ch) as m from v) "
+    "select ch, coalesce(max(case when n < p and abs(re) < m * 0.1 then n end), -1) + 1 as start from t group by ch"
+)
+def response_start(spark, d):
+    return rm.start(tb.vectors(spark, d))
+
+
+@query(
+    f"with {V}, s as (select b.n - a.n as g, sum(a.re * b.re) as v from v a join v b on b.n - a.n between -8 and 8 where a.ch = 0 and b.ch = 1 group by b.n - a.n) "
+    f"select {_r('max(abs(v)) / sqrt((select sum(re * re) from v where ch = 0) * (select sum(re * re) from v where ch = 1))')} as iacc from s"
+)
+def interaural_correlation(spark, d):
+    return _out(rm.interaural_correlation(tb.vectors(spark, d), 0, 1, 8), "iacc")
+
+
+@query(
+    "with m as (select cast(a.i as integer) as nx, cast(b.i as integer) as ny, cast(c.i as integer) as nz, 343 / 2.0 * sqrt((a.i / 6.0) ** 2 + (b.i / 4.0) ** 2 + (c.i / 3.0) ** 2) as f "
+    "from range(0, 40) a(i), range(0, 40) b(i), range(0, 40) c(i)) "
+    f"select nx, ny, nz, {_r('f')} as f_hz, ['axial', 'tangential', 'oblique'][(nx > 0)::int + (ny > 0)::int + (nz > 0)::int] as kind from m where nx + ny + nz > 0 and f <= 200"
+)
+def room_modes(spark, d):
+    return _out(rm.shoebox_modes(spark, (6.0, 4.0, 3.0), 200.0), "f_hz")
+
+
+@query(
+    "with g as (select cast(a.i as integer) as i, cast(b.i as integer) as j, cast(c.i as integer) as k from range(-3, 4) a(i), range(-3, 4) b(i), range(-3, 4) c(i)), "
+    "q as (select *, (case when i % 2 = 0 then i * 6.0 + 1.0 else (i + 1) * 6.0 - 1.0 end) - 4.0 as x, (case when j % 2 = 0 then j * 4.0 + 2.0 else (j + 1) * 4.0 - 2.0 end) - 1.0 as y, "
+    "(case when k % 2 = 0 then k * 3.0 + 1.5 else (k + 1) * 3.0 - 1.5 end) - 1.2 as z from g), r as (select *, sqrt(x * x + y * y + z * z) as dist from q) "
+    f"select i, j, k, {_r('dist')} as distance_m, cast(floor(dist / 343 * 48000 + 0.5) as bigint) as n, {_r('pow(0.8, abs(i) + abs(j) + abs(k)) / dist')} as gain from r"
+)
+def image_source_delays(spark, d):
+    out = rm.image_sources(spark, (6.0, 4.0, 3.0), (1.0, 2.0, 1.5), (4.0, 1.0, 1.2), 3, 0.8, 48000)
+    return _out(out, "distance_m", "gain")
+
+
+@query(
+    f"select o_orderkey as room, {_r('0.161 * o_totalprice / (o_totalprice / 4 * 0.2)')} as sabine_s, {_r('0.161 * o_totalprice / (-(o_totalprice / 4) * ln(0.8))')} as eyring_s, {_r('2000 * sqrt(0.5 / o_totalprice)')} as schroeder_hz from orders"
+)
+def room_estimates(spark, d):
+    v = F.col("o_totalprice")
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(
+        F.col("o_orderkey").alias("room"),
+        stable(rm.sabine(v, v / 4, F.lit(0.2))).alias("sabine_s"),
+        stable(rm.eyring(v, v / 4, F.lit(0.2))).alias("eyring_s"),
+        stable(rm.schroeder_frequency(v, F.lit(0.5))).alias("schroeder_hz"),
+    )
+
+
+# --- features -------------------------------------------------------------------
+
+_POWER = f"{_DFT}, p as (select ch, k, f_hz * 8000 as f_hz, re * re + im * im as power from s)"
+
+
+def _power(spark, d):
+    s = sp.dft(tb.vectors(spark, d), 64, 8000)
+    return s.select("ch", "k", "f_hz", F.expr("re * re + im * im").alias("power"))
+
+
+def _weights_sql(rows: list[tuple]) -> str:
+    return "w as (select * from (values " + ", ".join(f"({b}, {k}, {v!r}::double)" for b, k, v in rows) + ") w(band, k, w))"
+
+
+_MEL = ft.mel_weights(33, 8000, 12)
+
+
+@query(f"with {_POWER}, {_weights_sql(_MEL)} select ch, cast(band as integer) as band, {_r('sum(power * w)')} as energy from p join w on p.k = w.k group by ch, band")
+def mel_energy(spark, d):
+    return _out(ft.weighted_bands(_power(spark, d), _MEL), "energy")
+
+
+@query(
+    f"with {_POWER}, {_weights_sql(_MEL)}, m as (select ch, band, sum(power * w) as energy from p join w on p.k = w.k group by ch, band) "
+    f"select ch, cast(c as integer) as c, {_r('abs(sum(10 * log10(greatest(energy, 1e-30)) * 2 * cos(pi() * c * (2 * band + 1) / 24)))', 4)} as value from m, (select unnest(range(0, 12)) as c) g group by ch, c"
+)
+def mfcc(spark, d):
+    bands = ft.weighted_bands(_power(spark, d), _MEL)
+    return _out(ft.cepstral_coefficients(bands, 12, 12), "value", digits=4)
+
+
+@query(f"with {_POWER}, {_weights_sql(ft.chroma_weights(33, 8000))} select ch, cast(band as integer) as band, {_r('ln(1 + 0.5 * sum(power * w))')} as value from p join w on p.k = w.k group by ch, band")
+def chroma_energy(spark, d):
+    return _out(ft.chroma(_power(spark, d), 33, 8000), "value")
+
+
+@query(
+    f"with {_POWER}, c as (select unnest([250.0, 500.0, 1000.0, 2000.0]) as c) select ch, cast(c as double) as centre_hz, {_r('sum(power)')} as energy from p join c on f_hz >= c / sqrt(2) and f_hz < c * sqrt(2) group by ch, c"
+)
+def octave_energy(spark, d):
+    return _out(ft.octave_bands(_power(spark, d), [250.0, 500.0, 1000.0, 2000.0]), "energy")
+
+
+@query(f"select i, {_r('1000 * pow(2, i / 3.0)')} as f_hz from range(-36, 37) t(i) where 1000 * pow(2, i / 3.0) between 20 and 20000")
+def octave_centres(spark, d):
+    return _out(ft.octave_centres(spark, 20.0, 20000.0, 3), "f_hz")
+
+
+@query(
+    f"with {_STFT}, m as (select ch, frame, k, sqrt(re * re + im * im) as m from s), r as (select ch, frame, greatest(0, m - lag(m) over (partition by ch, k order by frame)) as d, lag(m) over (partition by ch, k order by frame) as b from m) "
+    f"select ch, frame, {_r('coalesce(sum(case when b is not null then d else 0 end), 0.0)', 4)} as flux from r group by ch, frame"
+)
+def spectral_flux(spark, d):
+    return _out(ft.flux(_stft(spark, d)), "flux", digits=4)
+
+
+@query(
+    f"with {_POWER}, l as (select *, lag(power) over w as a, lead(power) over w as b from p window w as (partition by ch order by k)), r as (select ch, row_number() over (partition by ch order by power desc, k) as rank, k, power from l where power > a and power > b) "
+    f"select ch, cast(rank as integer) as rank, k, {_r('power', 4)} as power from r where rank <= 3"
+)
+def spectral_peaks(spark, d):
+    return _out(ft.peaks(_power(spark, d), 3), "power", digits=4)
+
+
+@query(
+    f"with {_DFT}, l as (select ch, k, ln(greatest(sqrt(re * re + im * im), 1e-30)) as v from s) select ch, n, {_r('sum((case when k in (0, 32) then 1 else 2 end) / 64.0 * v * cos(2 * pi() * ((k * n) % 64) / 64))', 4)} as re from l, (select unnest(range(0, 64)) as n) g group by ch, n"
+)
+def real_cepstrum(spark, d):
+    return _out(ft.real_cepstrum(sp.dft(tb.vectors(spark, d), 64), 64), "re", digits=4)
+
+
+@query(
+    f"with {V} select ch, n, {_r('2595 * log10(1 + abs(re) * 8000 / 700)', 4)} as mel, {_r('9.2645 * ln(1 + abs(re) * 8000 * 0.00437)', 4)} as erb, {_r('69 + 12 * log2((abs(re) * 8000 + 1) / 440)', 4)} as midi from v"
+)
+def frequency_scales(spark, d):
+    f = F.abs("re") * 8000
+    return tb.vectors(spark, d).select("ch", "n", stable(fn.hz_to_mel(f), 4).alias("mel"), F.round(9.2645 * F.log(1 + f * 0.00437) + 3.14159e-8, 4).alias("erb"), stable(fn.hz_to_midi(f + 1), 4).alias("midi"))
+
+
+# --- beamforming ----------------------------------------------------------------
+
+_MICS = "m as (select cast(i as bigint) as pid, 0.5 * cos(i * pi() / 4) as x, 0.5 * sin(i * pi() / 4) as y, 0.0::double as z from range(0, 8) t(i))"
+
+
+def _mics(spark):
+    t = F.col("id") * (pi / 4)
+    return spark.range(8).select(F.col("id").alias("pid"), (0.5 * F.cos(t)).alias("x"), (0.5 * F.sin(t)).alias("y"), F.lit(0.0).alias("z"))
+
+
+@query(f"with {P}, {_MICS} select p.pid, m.pid as mid, {_r('sqrt((p.x - m.x) ** 2 + (p.y - m.y) ** 2 + (p.z - m.z) ** 2)')} as d from p, m")
+def pairwise_distance(spark, d):
+    return _out(bf.distances(tb.points(spark, d), _mics(spark)), "d")
+
+
+@query(f"with {P}, q as (select pid, sqrt((x - 0.1) ** 2 + (y - 0.2) ** 2 + (z - 0.05) ** 2) as d from p) select pid, {_r('d')} as d from q order by q.d, pid limit 1")
+def nearest_point(spark, d):
+    return _out(bf.nearest(tb.points(spark, d), 0.1, 0.2, 0.05), "d")
+
+
+@query(f"with {P} select {', '.join(f'{_r(n + chr(40) + a + chr(41))} as {n}_{a}' for a in 'xyz' for n in ('min', 'max'))} from p")
+def extent(spark, d):
+    return _out(bf.extent(tb.points(spark, d)), *[f"{n}_{a}" for a in "xyz" for n in ("min", "max")])
+
+
+@query(f"with {_MICS}, q as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from m a join m b on a.pid < b.pid) select {_r('max(d)')} as aperture, {_r('min(d)')} as spacing from q")
+def array_aperture(spark, d):
+    return _out(bf.aperture(_mics(spark)), "aperture", "spacing")
+
+
+_GRID = "g as (select cast(a.i * 8 + b.i as bigint) as pid, b.i * 0.1 - 0.35 as x, a.i * 0.1 - 0.35 as y, 0.5::double as z from range(0, 8) a(i), range(0, 8) b(i))"
+
+
+def _grid(spark):
+    axis = [i * 0.1 - 0.35 for i in range(8)]
+    return bf.regular_grid(spark, axis, axis, 0.5)
+
+
+def _steer_sql(amplitude: str) -> str:
+    return (
+        f"{_MICS}, {_GRID}, dd as (select g.pid, m.pid as mid, sqrt((g.x - m.x) ** 2 + (g.y - m.y) ** 2 + (g.z - m.z) ** 2) as d from g, m), "
+        "cc as (select pid as c from m order by round(sqrt((x - (select avg(x) from m)) ** 2 + (y - (select avg(y) from m)) ** 2 + (z - (select avg(z) from m)) ** 2), 12), pid limit 1), "
+        "ss as (select dd.pid, dd.mid, dd.d, r.d as r0, 8.0 as n, sum(1 / (dd.d * dd.d)) over (partition by dd.pid) as s from dd join dd r on r.pid = dd.pid and r.mid = (select c from cc)), "
+        f"st as (select pid, mid, {amplitude} * cos(-36.0 * (d - r0)) as re, {amplitude} * sin(-36.0 * (d - r0)) as im from ss)"
+    )
+
+
+def _steering(kind: str, amplitude: str) -> None:
+    def run(spark, d):
+        return _out(bf.steering(_grid(spark), _mics(spark), 36.0, kind), "re", "im")
+
+    run.__name__ = f"steering_{kind}"
+    query(f"with {_steer_sql(amplitude)} select pid, mid, {_r('re')} as re, {_r('im')} as im from st")(run)
+
+
+_steering("classic", "(1 / n)")
+_steering("inverse", "(d / r0 / n)")
+_steering("true_power", "(1 / (d * r0 * s))")
+_steering("true_location", "(1 / (d * sqrt(n * s)))")
+
+
+@query(
+    f"with {_STFT}, {_steer_sql('(1 / (d * sqrt(n * s)))')}, c as (select a.ch as i, b.ch as j, avg(a.re * b.re + a.im * b.im) as re, avg(a.re * b.im - a.im * b.re) as im "
+    "from s a join s b on a.frame = b.frame and a.k = b.k and a.ch <= b.ch where a.k = 3 and b.ch < 8 group by a.ch, b.ch) "
+    f"select h.pid, {_r('sum((c.re * (h.re * q.re + h.im * q.im) - c.im * (h.re * q.im - h.im * q.re)) * (case when i = j then 1 else 2 end))', 4)} as power "
+    "from c join st h on h.mid = i join st q on q.mid = j and q.pid = h.pid group by h.pid"
+)
+def delay_and_sum_map(spark, d):
+    array = tb.events(spark, d).where("ch < 8")  # the eight microphones
+    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k = 3"))
+    return _out(bf.delay_and_sum(csm, bf.steering(_grid(spark), _mics(spark), 36.0)), "power", digits=4)
+
+
+@query(
+    f"with {V}, {_MICS}, a as (select pid as ch, cast(round(sqrt(x ** 2 + (y - 0.4) ** 2 + 0.25) / 343 * 10000) as bigint) as l, 1 / (1 + sqrt(x ** 2 + (y - 0.4) ** 2 + 0.25)) as g from m) "
+    f"select a.ch, v.n + l as n, {_r('re * g')} as re from v, a where v.ch = 0"
+)
+def monopole_on_array(spark, d):
+    source = tb.vectors(spark, d).where("ch = 0").select("n", "re")
+    return _out(bf.monopole(source, (0.0, 0.4, 0.5), _mics(spark), 10000), "re")
+
+
+# --- effects --------------------------------------------------------------------
+
+
+@query(f"with {V} select ch, n, {_r('atan(re * pow(10, 0.6)) * 2 / pi()')} as re from v")
+def distortion_arctan(spark, d):
+    return _out(fx.distortion(tb.vectors(spark, d)), "re")
+
+
+@query(f"with {V} select ch, n, {_r('0.5 * re + 0.5 * greatest(-1, least(1, re * 10))')} as re from v")
+def distortion_hard_clip(spark, d):
+    return _out(fx.distortion(tb.vectors(spark, d), "hard_clip", 20.0, 0.5), "re")
+
+
+@query(f"with {V}, x as (select ch, n, re * 10 as x from v) select ch, n, {_r('case when abs(x) >= 1 then sign(x) * 2 / 3 else x - x * x * x / 3 end')} as re from x")
+def distortion_soft_clip(spark, d):
+    return _out(fx.distortion(tb.vectors(spark, d), "soft_clip", 20.0), "re")
+
+
+@query(f"with {E} select ch, n, {_r('re * (1 - 0.5 * (0.5 + 0.5 * sin(n * 2 * pi() * 2 / 100)))')} as re from e")
+def tremolo(spark, d):
+    return _out(fx.tremolo(tb.events(spark, d), 100, 2.0), "re")
+
+
+@query(f"with {E} select ch, n, {_r('re * cos(n * 2 * pi() * 7 / 100)')} as re from e")
+def ring_modulation(spark, d):
+    return _out(fx.ring_modulation(tb.events(spark, d), 100, 7.0), "re")
+
+
+@query(f"with {E} select ch, n, {_r('0.5 * re + 0.5 * (coalesce(lag(re, 5) over w, 0) + 0.6 * coalesce(lag(re, 10) over w, 0) + 0.36 * coalesce(lag(re, 15) over w, 0))')} as re from e window w as (partition by ch order by n)")
+def echo(spark, d):
+    return _out(fx.echo(tb.events(spark, d), 5, 0.6, 3), "re")
+
+
+@query(
+    f"with {V}, a as (select ch, n, n - 2 * (1 + sin(n * 2 * pi() * 3 / 64)) as p from v) select a.ch, a.n, {_r('(1 - (p - floor(p))) * coalesce(x.re, 0) + (p - floor(p)) * coalesce(y.re, 0)')} as re "
+    "from a left join v x on x.ch = a.ch and x.n = floor(p) left join v y on y.ch = a.ch and y.n = floor(p) + 1"
+)
+def vibrato(spark, d):
+    return _out(fx.vibrato(tb.vectors(spark, d), 64, 3.0, 2.0), "re")
+
+
+@query(
+    f"with {V}, l as (select ch, n, re, 20 * log10(greatest(abs(re), 2.2250738585072014e-308)) as v from v), c as (select ch, n, re, v, "
+    "case when abs(v + 20) * 2 <= 6 then v + (1 / 4.0 - 1) * pow(v + 20 + 3, 2) / 12 when v + 20 <= 0 then v else -20 + (v + 20) / 4 end as y from l) "
+    f"select ch, n, {_r('re * pow(10, (y - v) / 20)')} as re from c"
+)
+def compressor_static(spark, d):
+    return _out(fx.static_compressor(tb.vectors(spark, d), -20.0, 4.0, 6.0), "re")
+
+
+@query(f"with {V} select a.n, {_r('(a.re + b.re) * 0.5 + 1.5 * (a.re - b.re) * 0.5')} as a, {_r('(a.re + b.re) * 0.5 - 1.5 * (a.re - b.re) * 0.5')} as b from v a join v b on a.n = b.n where a.ch = 0 and b.ch = 1")
+def stereo_width(spark, d):
+    return _out(fx.stereo_width(tb.vectors(spark, d), 0, 1, 1.5), "a", "b")
+
+
+# --- generators -----------------------------------------------------------------
+
+_N = "range(0, 4800) t(n)"
+
+
+@query(f"select 0::bigint as ch, n, {_r('sin(2 * pi() * n * 997 / 48000)')} as re from {_N}")
+def oscillator_sine(spark, d):
+    return _out(ge.sine(spark, 997.0, 48000, 4800), "re")
+
+
+@query(f"select 0::bigint as ch, n, 2.0 * (n * (300 / 48000.0) - floor(n * (300 / 48000.0))) - 1.0 as re from {_N}")
+def oscillator_sawtooth(spark, d):
+    return ge.sawtooth(spark, 300.0, 48000, 4800)
+
+
+@query(f"select 0::bigint as ch, n, {_r('1 - 4 * abs(n * (300 / 48000.0) - floor(n * (300 / 48000.0)) - 0.5)')} as re from {_N}")
+def oscillator_triangle(spark, d):
+    return _out(ge.triangle(spark, 300.0, 48000, 4800), "re")
+
+
+@query(f"select 0::bigint as ch, n, {_r(' + '.join(f'{4 / pi / k!r} * sin(2 * pi() * {k} * n * 5000 / 48000)' for k in (1, 3)))} as re from {_N}")
+def oscillator_harmonic(spark, d):
+    return _out(ge.harmonic(spark, 5000.0, 48000, 4800, "square"), "re")
+
+
+@query(f"select 0::bigint as ch, n, case when n = 17 then 1.0::double else 0.0::double end as re from {_N}")
+def dirac(spark, d):
+    return ge.dirac(spark, 4800, 17)
+
+
+@query(f"select 0::bigint as ch, n, {_r('sin(2 * pi() * 20 * (0.1 / ln(200)) * (exp(n / 48000.0 / (0.1 / ln(200))) - 1))')} as re from {_N}")
+def chirp(spark, d):
+    return _out(ge.chirp(spark, 20.0, 4000.0, 48000, 4800), "re")
+
+
+# --- kernels (no SQL form) --------------------------------------------------------
+
+
+@query()
+def white_noise(spark, d):
+    return _out(ge.noise(spark, 4800, 2, 1), "re")
+
+
+@query()
+def biquad_peaking(spark, d):
+    return _out(ke.iir(tb.events(spark, d), ke.biquad("peaking", 200.0, 4800, 0.8, 1.0)), "re")
+
+
+@query()
+def butterworth_lowpass(spark, d):
+    return _out(ke.iir(tb.events(spark, d), ke.butterworth(4, 600.0, 4800)), "re")
+
+
+@query()
+def zero_phase_filter(spark, d):
+    return _out(ke.zero_phase(tb.events(spark, d), ke.butterworth(2, 600.0, 4800)), "re")
+
+
+@query()
+def octave_filter_bank(spark, d):
+    return _out(ke.octave_filter_bank(tb.events(spark, d), [250.0, 500.0, 1000.0], 4800), "re")
+
+
+@query()
+def crossover_linkwitz_riley(spark, d):
+    return _out(ke.crossover(tb.events(spark, d), 600.0, 4800), "re")
+
+
+@query()
+def hilbert_envelope(spark, d):
+    return _out(ke.hilbert_envelope(tb.vectors(spark, d)), "re")
+
+
+@query()
+def instantaneous_frequency(spark, d):
+    return _out(ke.instantaneous_frequency(tb.vectors(spark, d), 64), "re")
+
+
+@query()
+def minimum_phase(spark, d):
+    return _out(ke.minimum_phase(tb.vectors(spark, d)), "re")
+
+
+@query()
+def resample_3_2(spark, d):
+    return _out(ke.resample(tb.events(spark, d), 3, 2), "re")
+
+
+@query()
+def lpc_autocorrelation(spark, d):
+    out = ke.lpc(tb.vectors(spark, d), 8)
+    return out.select("ch", F.transform("out", lambda x: F.round(x, 6)).alias("a"))
+
+
+@query()
+def lpc_burg(spark, d):
+    out = ke.burg(tb.vectors(spark, d), 8)
+    return out.select("ch", F.transform("out", lambda x: F.round(x, 6)).alias("a"))
+
+
+@query()
+def fft_spectrum(spark, d):
+    return _out(ke.fft_spectrum(tb.events(spark, d), 100), "re", "im", digits=4)
+
+
+@query()
+def integrated_loudness(spark, d):
+    return _out(ke.loudness(ge.sine(spark, 997.0, 48000, 96000), 48000), "lufs", digits=4)
+
+
+@query()
+def true_peak(spark, d):
+    return _out(ke.true_peak(tb.events(spark, d)), "true_peak_db")
+
+
+@query()
+def compressor(spark, d):
+    x = tb.vectors(spark, d)
+    return _out(ke.compressor(x, 64, -20.0, 4.0, 0.01, 0.1), "re")
