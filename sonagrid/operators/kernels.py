@@ -148,7 +148,7 @@ def fft_spectrum(signal: DataFrame, rate_hz: int = 1, keys: Keys = ("ch",)) -> D
         s = np.fft.rfft(x)
         return np.column_stack([np.fft.rfftfreq(len(x), 1 / rate_hz), s.real, s.imag]).ravel()
 
-    out = per_channel(signal, kernel, keys=keys).select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("out") / 3 - 1), lambda k: F.slice("out", 3 * k + 1, 3))).alias("k", "v"))
+    out = per_channel(signal, kernel, keys=keys).select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("out") / 3 - 1).cast("int")), lambda k: F.slice("out", 3 * k + 1, 3))).alias("k", "v"))
     return out.select(*keys, "k", F.get("v", 0).alias("f_hz"), F.get("v", 1).alias("re"), F.get("v", 2).alias("im"))
 
 

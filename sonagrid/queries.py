@@ -356,13 +356,13 @@ def cross_spectral_matrix(spark, d):
 
 
 @query(
-    f"with {_STFT}, p as (select a.k, a.re as a, a.im as b, b.re as c, b.im as d from s a join s b on a.frame = b.frame and a.k = b.k where a.ch = 1 and b.ch = 2), "
+    f"with {_STFT}, p as (select a.k, a.re as a, a.im as b, b.re as c, b.im as d from s a join s b on a.frame = b.frame and a.k = b.k where a.ch = 1 and b.ch = 2 and a.k between 1 and 7), "
     "g as (select k, avg(a * a + b * b) as xx, avg(c * c + d * d) as yy, avg(a * c + b * d) as r, avg(a * d - b * c) as i from p group by k) "
     f"select k, {_r('r / xx')} as h1_re, {_r('i / xx')} as h1_im, {_r('yy * r / (r * r + i * i)')} as h2_re, {_r('yy * i / (r * r + i * i)')} as h2_im, "
     f"{_r('r / sqrt(r * r + i * i) * sqrt(yy / xx)')} as h3_re, {_r('i / sqrt(r * r + i * i) * sqrt(yy / xx)')} as h3_im, {_r('(r * r + i * i) / (xx * yy)')} as coherence from g"
 )
 def transfer_coherence(spark, d):
-    return _out(sp.transfer(_stft(spark, d), 1, 2), "h1_re", "h1_im", "h2_re", "h2_im", "h3_re", "h3_im", "coherence")
+    return _out(sp.transfer(_stft(spark, d).where("k between 1 and 7"), 1, 2), "h1_re", "h1_im", "h2_re", "h2_im", "h3_re", "h3_im", "coherence")
 
 
 @query(

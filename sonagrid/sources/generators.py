@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def _signal(spark: SparkSession, length: int, value: Column, channels: int = 1) -> DataFrame:
     base = spark.range(length).select(F.col("id").alias("n"))
-    return base.select(F.explode(F.sequence(F.lit(0), F.lit(channels - 1))).cast("long").alias("ch"), "n").select("ch", "n", value.cast("double").alias("re"))
+    return base.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(channels - 1).cast("long"))).alias("ch"), "n").select("ch", "n", value.cast("double").alias("re"))
 
 
 def _turns(frequency_hz: float, rate_hz: int) -> Column:
