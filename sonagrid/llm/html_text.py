@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 # Elements of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    # without text of the page, but allowed inside a line
+    "script style noscript template button select textarea iframe object svg canvas audio video".split()
 )
 SKIPPED = set("script style noscript template nav footer aside form button select textarea fieldset dialog iframe object svg canvas audio video menu head title".split())
 #: Words in class, id or role that mark a container as something else than the article.

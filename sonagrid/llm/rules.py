@@ -26,7 +26,7 @@ RULES = (
     ("mean_word_chars", 2.0, 15.0),
     ("symbols_per_word", None, 0.25),
     ("stop_word_ratio", 0.05, None),
-    ("dup_line_ratio", None, 0.30),
+    ("dup_line_ratio", None, 0.50),  # a third is one repeat among three lines
     ("ellipsis_line_ratio", None, 0.30),
     ("bullet_line_ratio", None, 0.90),
     ("letter_ratio", 0.60, None),
