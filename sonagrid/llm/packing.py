@@ -15,8 +15,11 @@ padding is that of one sequence a group.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,69 +27,116 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Word-level results that a tokenizing worker keeps; cleared when full.
-CACHE_WORDS = 400_000
+from sonagrid.llm.common import text_slices, utf8
+
+#: Words whose ids a tokenizing worker keeps between batches and tasks; all are dropped when there are more.
+CACHE_WORDS = 800_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group int, bin int, offset long, loss long"
 
 
+# the signs that stand for bytes in byte-level vocabularies: printable Latin-1 as it is, the others from 256 on in turn
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 class WordTokenizer:
     """Ids of whole texts from ids of their words.
 
-    Holds for tokenizers that drop white space and never join across it: the
-    ids of a text are those of its words in turn. Words repeat, so most are
-    encoded once for each worker.
+    Holds for tokenizers that take text in lower case, drop white space, never
+    join across it, and part letters and digits from other signs: the ids of a
+    text are those of its words in turn, with the signs behind a word as a word
+    of their own. Words repeat, so most are encoded once for each worker. A
+    text with "<|" may hold a special token, whose case counts; such texts are
+    not put in lower case beforehand.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.clear()
+
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.begin = np.zeros(1, dtype=np.int64)
+        self.pool = np.zeros(0, dtype=self.type)
+
+    def _ids(self, word: str) -> list[int] | None:
+        """Ids of a word of letters only, which the tokenizer neither changes nor
+        splits before its merges; None for others."""
+        if not word.isalpha() or word != word.lower() or not unicodedata.is_normalized("NFC", word):
+            return None
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+
+    def learn(self, new: list[str]) -> None:
+        """Encode words that are not known yet."""
+        found = [self._ids(w) for w in new]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
+            found[i] = e.ids
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        at = len(self.known)
+        self.known.update(zip(new, range(at, at + len(new))))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), dtype=self.type, count=int(size.sum()))])
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): ids of text i are ids[offsets[i] : offsets[i + 1]]."""
-        parts = pa.compute.ascii_split_whitespace(pa.compute.fill_null(text.cast(pa.large_string()), ""))
+        data, off = utf8(text)
+        if b"<|" not in data.tobytes():
+            data = _LOWER[data]
+        text = pa.Array.from_buffers(pa.large_string(), len(text), [None, pa.py_buffer(off), pa.py_buffer(data)])
+        text = pa.compute.replace_substring_regex(text, r"([A-Za-z0-9])([.,;:!?#*$%&]+)(\s|$)", r"\1 \2\3")
+        parts = pa.compute.ascii_split_whitespace(text)
         count = np.asarray(pa.compute.list_value_length(parts), dtype=np.int64)
         flat = parts.flatten().dictionary_encode()
         vocabulary = flat.dictionary.to_pylist()
         if len(self.known) + len(vocabulary) > CACHE_WORDS:
-            self.known, self.ids = {}, []
-        new = [w for w in vocabulary if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = len(self.ids)
-            self.ids.append(np.array(e.ids, dtype=np.uint32))
-        each = [self.ids[self.known[w]] for w in vocabulary]
-        size = np.array([len(x) for x in each], dtype=np.int64)
-        begin = np.cumsum(size) - size
-        pool = np.concatenate(each) if each else np.zeros(0, np.uint32)
-        code = np.asarray(flat.indices, dtype=np.int64)
-        length = size[code]
+            self.clear()
+        known = self.known
+        if new := [w for w in vocabulary if w not in known]:
+            self.learn(new)
+        word = np.fromiter((known[w] for w in vocabulary), dtype=np.int64, count=len(vocabulary))[np.asarray(flat.indices, dtype=np.int64)]
+        begin = self.begin[word]
+        length = self.begin[word + 1] - begin
         total = np.append(0, np.cumsum(length))
-        take = np.arange(total[-1]) - np.repeat(total[:-1] - begin[code], length)
-        return pool[take], total[np.append(0, np.cumsum(count))]
+        take = np.arange(total[-1]) + np.repeat(begin - total[:-1], length)
+        return self.pool[take], total[np.append(0, np.cumsum(count))]
+
+
+_coders: dict[str, WordTokenizer] = {}
+
+
+def _coder(path: str) -> WordTokenizer:
+    if path not in _coders:
+        _coders[path] = WordTokenizer(path)
+    return _coders[path]
 
 
 def _tokens(path: str, end_id: int):
     def run(it):
-        from sonagrid.llm.common import text_slices
-
-        coder = WordTokenizer(path)
+        coder = _coder(path)
         for batch in it:
             text = batch.column("text")
-            for a, b in text_slices(text, 1 << 21, 2048):
+            for a, b in text_slices(text, 1 << 22, 4096):
                 ids, off = coder.encode(text.slice(a, b - a))
                 n = b - a
-                whole = np.full(len(ids) + n, end_id, dtype=np.uint32)
+                whole = np.full(len(ids) + n, end_id, dtype=coder.type)
                 keep = np.ones(len(whole), dtype=bool)
                 keep[off[1:] + np.arange(n)] = False
                 whole[keep] = ids
-                size = 4 * (np.diff(off) + 1)
+                size = whole.itemsize * (np.diff(off) + 1)
                 stored = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(whole)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, n), batch.column("group").slice(a, n), stored.cast(pa.binary())],
-                    names=["doc_id", "group", "ids"],
+                    [batch.column("doc_id").slice(a, n), batch.column("group").slice(a, n), pa.array(np.full(n, whole.itemsize, dtype=np.int32)), stored.cast(pa.binary())],
+                    names=["doc_id", "group", "width", "ids"],
                 )
 
     return run
@@ -174,11 +224,12 @@ def _pack(most_tokens: int, most_segments: int, most_loss: int):
         order = np.lexsort((np.asarray(pa.compute.binary_length(table["ids"])), np.asarray(pa.compute.fill_null(table["doc_id"], -(1 << 62)))))
         table = table.take(pa.array(order))
         ids = table["ids"].combine_chunks()
-        n = np.asarray(pa.compute.binary_length(ids), dtype=np.int64) // 4
+        width = table["width"][0].as_py()
+        n = np.asarray(pa.compute.binary_length(ids), dtype=np.int64) // width
         plan = np.array(pack(n, n, most_tokens, most_segments, most_loss), dtype=np.int64).reshape(-1, 6)
         item, start, length, bin_, offset, loss = plan.T
-        raw = [memoryview(x.as_buffer()) for x in ids]
-        crc = [zlib.crc32(raw[i][4 * s : 4 * (s + k)]) for i, s, k in zip(item.tolist(), start.tolist(), length.tolist())]
+        raw = [np.frombuffer(x.as_buffer(), dtype=f"<u{width}") for x in ids]
+        crc = [zlib.crc32(raw[i][s : s + k].astype("<u4")) for i, s, k in zip(item.tolist(), start.tolist(), length.tolist())]
         at = pa.array(item)
         return pa.table(
             {
@@ -225,7 +276,7 @@ def pack_documents(
         F.col(text_col).alias("text"),
         F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int").alias("group"),
     )
-    tokens = rows.mapInArrow(_tokens(tokenizer_path, end_id), "doc_id long, group int, ids binary")
+    tokens = rows.mapInArrow(_tokens(tokenizer_path, end_id), "doc_id long, group int, width int, ids binary")
     pieces = tokens.groupBy("group").applyInArrow(_pack(most_tokens, most_segments, most_loss), PIECES)
     return pieces.select(
         F.col("doc_id").alias(id_col),

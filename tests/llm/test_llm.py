@@ -276,6 +276,12 @@ def test_word_tokenizer_equals_whole_texts():
 
     odd = ["It's I'll they’re x\x85y\x1cz   á é", "<|endoftext|> a<|startoftext|>b 12345 １２", "ΑΣ ΌΔΟΣ, İstanbul ﬁ ẞ", "\t\n", "", "日本語 テキスト😀👍🏽 d'ëtre"]
     coder, whole = packing.WordTokenizer(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    odd += ["So, it is.", "well,### don'. x!' a<b. C++: 3.5%!", "<|ENDOFTEXT|> Ab."]
+    for skip in (0, 1, 3):  # slices, with and without a special token among them
+        ids, off = coder.encode(pa.array(odd).slice(skip))
+        assert off[-1] == len(ids)
+        for i, t in enumerate(odd[skip:]):
+            assert ids[off[i] : off[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
     ids, off = coder.encode(pa.array(odd))
     for i, t in enumerate(odd):
         assert ids[off[i] : off[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
