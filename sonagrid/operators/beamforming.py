@@ -54,7 +54,7 @@ def steering(grid: DataFrame, mics: DataFrame, wave_number: float, kind: str = "
     """(pid, mid, re, im): weights of each microphone for each point.
 
     r is the distance to the microphone, r0 that to the array's centre
-    microphone; the phase takes r0 - r back. Amplitudes by kind: 1/N (classic),
+    microphone; the phase takes the delay of r - r0 back. Amplitudes by kind: 1/N (classic),
     r/(r0 N) (inverse), 1/(r r0 sum r**-2) (true_power), 1/(r sqrt(N sum r**-2)) (true_location).
     """
     d = distances(grid, mics)
@@ -67,7 +67,7 @@ def steering(grid: DataFrame, mics: DataFrame, wave_number: float, kind: str = "
         "true_power": 1.0 / (F.col("d") * F.col("r0") * F.col("s")),
         "true_location": 1.0 / (F.col("d") * F.sqrt(F.col("n") * F.col("s"))),
     }[kind]
-    phase = -wave_number * (F.col("d") - F.col("r0"))
+    phase = wave_number * (F.col("d") - F.col("r0"))
     return s.select("pid", "mid", (size * F.cos(phase)).alias("re"), (size * F.sin(phase)).alias("im"))
 
 
@@ -102,3 +102,95 @@ def helmholtz_to_hz(he: Column, aperture_m: Column, c: float = 343.0) -> Column:
 
 def wave_number(f_hz: float, c: float = 343.0) -> float:
     return 2 * pi * f_hz / c
+
+
+def _band_matrices(csm: DataFrame, weights: DataFrame, kernel) -> DataFrame:
+    """(pid, power) by kernel(C, H) for each bin k: C from (k, ch_i, ch_j, re, im) with
+    i <= j, H from (pid, mid, re, im); a bin's matrix has the size of the array squared."""
+    import numpy as np
+    import pandas as pd
+
+    steering_rows = weights.select("pid", "mid", "re", "im").toPandas()  # points times microphones, both tables of the set-up
+    points_, mics_ = np.unique(steering_rows.pid), np.unique(steering_rows.mid)
+    h = np.zeros((len(points_), len(mics_)), dtype=complex)
+    h[np.searchsorted(points_, steering_rows.pid), np.searchsorted(mics_, steering_rows.mid)] = steering_rows.re + 1j * steering_rows.im
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        c = np.zeros((len(mics_), len(mics_)), dtype=complex)
+        i, j = np.searchsorted(mics_, rows.ch_i), np.searchsorted(mics_, rows.ch_j)
+        c[i, j] = rows.re + 1j * rows.im
+        c[j, i] = rows.re - 1j * rows.im
+        return pd.DataFrame({"pid": points_, "power": kernel(c, h)})
+
+    return csm.groupBy("k").applyInPandas(run, "pid long, power double").groupBy("pid").agg(F.sum("power").alias("power"))
+
+
+def mvdr(csm: DataFrame, weights: DataFrame, loading: float = 1e-6) -> DataFrame:
+    """(pid, power): 1 / (h^H C^-1 h), the diagonal loaded by a share of its mean."""
+    import numpy as np
+
+    def kernel(c, h):
+        c = c + np.eye(len(c)) * loading * np.trace(c).real / len(c)
+        return 1 / np.einsum("pi,ij,pj->p", h.conj(), np.linalg.inv(c), h).real
+
+    return _band_matrices(csm, weights, kernel)
+
+
+def functional(csm: DataFrame, weights: DataFrame, gamma: float = 10.0) -> DataFrame:
+    """(pid, power): (h^H C^(1/gamma) h)^gamma."""
+    import numpy as np
+
+    def kernel(c, h):
+        w, v = np.linalg.eigh(c)
+        root = (v * np.maximum(w, 0) ** (1 / gamma)) @ v.conj().T
+        unit = h / np.linalg.norm(h, axis=1, keepdims=True)
+        return np.maximum(np.einsum("pi,ij,pj->p", unit.conj(), root, unit).real, 0) ** gamma
+
+    return _band_matrices(csm, weights, kernel)
+
+
+def orthogonal(csm: DataFrame, weights: DataFrame, leading: int) -> DataFrame:
+    """(pid, power): each leading eigenvector puts its eigenvalue at the point of its own map's maximum."""
+    import numpy as np
+
+    def kernel(c, h):
+        w, v = np.linalg.eigh(c)
+        out = np.zeros(len(h))
+        for k in np.argsort(w)[::-1][:leading]:
+            out[np.argmax(np.abs(h.conj() @ v[:, k]))] += w[k] / len(c)
+        return out
+
+    return _band_matrices(csm, weights, kernel)
+
+
+def clean_sc(csm: DataFrame, weights: DataFrame, iterations: int = 20, share: float = 0.5) -> DataFrame:
+    """(pid, power): sources taken one by one with all that is coherent with them."""
+    import numpy as np
+
+    def kernel(c, h):
+        c, out = c.copy(), np.zeros(len(h))
+        norm = np.abs(c).sum()
+        for _ in range(iterations):
+            dirty = np.einsum("pi,ij,pj->p", h.conj(), c, h).real
+            best = int(np.argmax(dirty))
+            if dirty[best] <= 0:
+                break
+            part = c @ h[best] / dirty[best]
+            rest = c - share * dirty[best] * np.outer(part, part.conj())
+            if np.abs(rest).sum() >= norm:
+                break
+            out[best] += share * dirty[best]
+            c, norm = rest, np.abs(rest).sum()
+        return out
+
+    return _band_matrices(csm, weights, kernel)
+
+
+def delay_and_sum_time(signal: DataFrame, grid: DataFrame, mics: DataFrame, rate_hz: int, c: float = 343.0) -> DataFrame:
+    """(pid, n, re): for each point the microphones, shifted by whole samples to the
+    farthest distance and scaled by their distance, averaged."""
+    d = distances(grid, mics)
+    far = F.max("d").over(Window.partitionBy("pid"))
+    shift = d.withColumn("late", F.round((far - F.col("d")) / c * rate_hz).cast("long")).withColumn("w", F.col("d") / F.count(F.lit(1)).over(Window.partitionBy("pid")))
+    both = signal.join(F.broadcast(shift.withColumnRenamed("mid", "ch")), "ch")
+    return both.groupBy("pid", (F.col("n") + F.col("late")).alias("n")).agg(F.sum(F.col("re") * F.col("w")).alias("re"))

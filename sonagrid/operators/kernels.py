@@ -283,3 +283,90 @@ def compressor(signal: DataFrame, rate_hz: int, threshold_db: float, ratio: floa
         return x * 10 ** (smoothed_gain(level, target, a, r) / 20)
 
     return mapped(signal, kernel, keys)
+
+
+def convolve_long(signal: DataFrame, response: np.ndarray, keep_length: bool = False, keys: Keys = ("ch",)) -> DataFrame:
+    """Fast convolution of whole channels with a long response."""
+    h = np.asarray(response, dtype=float)
+
+    def kernel(x):
+        n = len(x) + len(h) - 1
+        y = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(h, n), n)
+        return y[: len(x)] if keep_length else y
+
+    return mapped(signal, kernel, keys)
+
+
+def gammatone(signal: DataFrame, f_hz: float, rate_hz: int, keys: Keys = ("ch",)) -> DataFrame:
+    """Real part of a complex gammatone band, 0 dB at its centre."""
+    from sonagrid.operators.design import gammatone_sections
+
+    poles = gammatone_sections(f_hz, rate_hz)
+    gain = 2 * np.prod([1 - abs(p) for p in poles])
+
+    def kernel(x):
+        y = np.asarray(x, dtype=complex)
+        for p in poles:
+            held, out = 0j, np.empty(len(y), dtype=complex)
+            for i, v in enumerate(y.tolist()):
+                held = v + p * held
+                out[i] = held
+            y = out
+        return (gain * y).real
+
+    return mapped(signal, kernel, keys)
+
+
+def feedback_delay(signal: DataFrame, samples: int, feedback: float, saturate: bool = False, keys: Keys = ("ch",)) -> DataFrame:
+    """y[n] = x[n] + feedback * y[n - samples], the returned part held by arctan if saturate; block by block of the delay."""
+
+    def kernel(x):
+        y = np.array(x, dtype=float)
+        for a in range(samples, len(y), samples):
+            back = y[a - samples : a][: len(y) - a]
+            y[a : a + samples] += feedback * (np.arctan(back * np.pi / 2) * 2 / np.pi if saturate else back)
+        return y
+
+    return mapped(signal, kernel, keys)
+
+
+def chorus(signal: DataFrame, rate_hz: int, voices: list[tuple[float, float, float]], keys: Keys = ("ch",)) -> DataFrame:
+    """The signal and copies read at a moving place; voices: (base delay, depth, frequency in Hz), delays in samples."""
+
+    def kernel(x):
+        n = np.arange(len(x))
+        out = np.array(x, dtype=float)
+        for base, depth, f in voices:
+            at = n - base - depth * np.sin(2 * np.pi * f * n / rate_hz)
+            out += np.interp(at, n, x, left=0.0)
+        return out / (1 + len(voices))
+
+    return mapped(signal, kernel, keys)
+
+
+def spectral_subtraction(signal: DataFrame, window: int, noise_frames: int, factor: float = 1.0, keys: Keys = ("ch",)) -> DataFrame:
+    """Mean magnitude of the first frames taken from all, Hann frames at half overlap added back; never below zero.
+
+    Relational: frames, transforms, the noise table and the overlap-add are joins and sums.
+    """
+    from sonagrid.operators.spectra import istft, stft
+
+    s = stft(signal, window, window // 2, "hann", keys=keys)
+    size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    noise = s.where(F.col("frame") < noise_frames).groupBy(*keys, "k").agg(F.avg(size).alias("noise"))
+    gain = F.greatest(F.lit(0.0), 1.0 - factor * F.col("noise") / F.greatest(size, F.lit(1e-30)))
+    cut = s.join(noise, [*keys, "k"]).select(*keys, "frame", "k", (F.col("re") * gain).alias("re"), (F.col("im") * gain).alias("im"))
+    return istft(cut, window, window // 2, "hann", keys)
+
+
+def arma(signal: DataFrame, poles: int, zeros: int, keys: Keys = ("ch",)) -> DataFrame:
+    """(out): [b0 ... b_zeros, 1, a1 ... a_poles] of a response's model: the
+    denominator by linear prediction behind the zeros, the numerator by the response's start."""
+
+    def kernel(h):
+        n = len(h)
+        rows = np.array([[h[i - k] if i >= k else 0.0 for k in range(1, poles + 1)] for i in range(zeros + 1, n)])
+        a = np.concatenate([[1.0], np.linalg.lstsq(rows, -h[zeros + 1 :], rcond=None)[0]])
+        return np.concatenate([np.convolve(h, a)[: zeros + 1], a])
+
+    return per_channel(signal, kernel, keys=keys)

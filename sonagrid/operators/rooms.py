@@ -112,3 +112,52 @@ def schroeder_frequency(volume: Column, rt_s: Column) -> Column:
 def critical_distance(volume: Column, rt_s: Column) -> Column:
     """Where direct and diffuse sound are equally loud."""
     return F.sqrt(13.82 * volume / (16 * pi * rt_s * 343.0) * 4.0) / 2.0
+
+
+def modal_density(f_hz: Column, volume: Column, area: Column, edges: Column, c: float = 343.0) -> Column:
+    """Modes for each Hz of a shoebox of a volume, wall area and total edge length."""
+    return 4 * pi * volume * f_hz * f_hz / c**3 + pi / 2 * area * f_hz / c**2 + edges / (8 * c)
+
+
+def mixing_time(volume: Column, physical: bool = True) -> Column:
+    """Milliseconds until the field is diffuse: root of the volume, or the perceptual estimate."""
+    return F.sqrt(volume) if physical else 0.0117 * volume + 50.1
+
+
+def modal_response(modes: DataFrame, source: tuple, receiver: tuple, lengths: tuple, frequencies: DataFrame, damping: float, c: float = 343.0) -> DataFrame:
+    """(f_hz, re, im): modes (nx, ny, nz, f_hz) summed at a table of frequencies."""
+
+    def shape(place):
+        out = F.lit(1.0)
+        for n, x, length in zip(("nx", "ny", "nz"), place, lengths):
+            out = out * F.cos(F.col(n) * pi * x / length)
+        return out
+
+    weight = sum(((F.col(n) > 0).cast("int") for n in ("nx", "ny", "nz")), F.lit(0))
+    m = modes.select((2 * pi * F.col("f_hz")).alias("w0"), (shape(source) * shape(receiver) * F.pow(F.lit(2.0), weight)).alias("g"))
+    w = 2 * pi * F.col("f_hz")
+    both = frequencies.join(m, F.lit(True)).withColumn("a", F.col("w0") * F.col("w0") - w * w).withColumn("b", 2 * damping * w)
+    size = F.col("a") * F.col("a") + F.col("b") * F.col("b")
+    return both.groupBy("f_hz").agg((F.sum(F.col("g") * F.col("a") / size) * c * c).alias("re"), (-F.sum(F.col("g") * F.col("b") / size) * c * c).alias("im"))
+
+
+def find_modes(power: DataFrame, low_hz: float, high_hz: float, least_gap_hz: float) -> DataFrame:
+    """(f_hz, indicator): peaks over frequency of the channels' summed power that no larger one within the gap hides."""
+    total = power.where(F.col("f_hz").between(low_hz, high_hz)).groupBy("f_hz").agg(F.sum("power").alias("indicator"))
+    milli = F.round(F.col("f_hz") * 1000).cast("long")
+    around = Window.orderBy("__m").rangeBetween(-round(least_gap_hz * 1000), round(least_gap_hz * 1000))
+    return total.withColumn("__m", milli).withColumn("__top", F.max("indicator").over(around)).where("indicator = __top").select("f_hz", "indicator")
+
+
+def bass_ratio(rt: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
+    """(bass_ratio): reverberation at 125 and 250 Hz over that at 500 and 1000 Hz, from (centre_hz, rt_s)."""
+    part = lambda *f: F.sum(F.when(F.col("centre_hz").isin(*f), F.col("rt_s")))
+    return rt.groupBy(*keys).agg((part(125.0, 250.0) / part(500.0, 1000.0)).alias("bass_ratio"))
+
+
+def auralise(signal: DataFrame, response: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
+    """signal convolved with a response (n, re) of few samples, such as early
+    reflections; long responses: sonagrid.operators.kernels.convolve_long."""
+    taps = response.agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("m"), F.col("re").alias("b")))).alias("taps"))
+    spread = signal.join(F.broadcast(taps), F.lit(True)).select(*keys, "n", "re", F.inline("taps"))
+    return spread.groupBy(*keys, (F.col("n") + F.col("m")).alias("n")).agg(F.sum(F.col("re") * F.col("b")).alias("re"))

@@ -746,7 +746,7 @@ def _steer_sql(amplitude: str) -> str:
         f"{_MICS}, {_GRID}, dd as (select g.pid, m.pid as mid, sqrt((g.x - m.x) ** 2 + (g.y - m.y) ** 2 + (g.z - m.z) ** 2) as d from g, m), "
         "cc as (select pid as c from m order by round(sqrt((x - (select avg(x) from m)) ** 2 + (y - (select avg(y) from m)) ** 2 + (z - (select avg(z) from m)) ** 2), 12), pid limit 1), "
         "ss as (select dd.pid, dd.mid, dd.d, r.d as r0, 8.0 as n, sum(1 / (dd.d * dd.d)) over (partition by dd.pid) as s from dd join dd r on r.pid = dd.pid and r.mid = (select c from cc)), "
-        f"st as (select pid, mid, {amplitude} * cos(-36.0 * (d - r0)) as re, {amplitude} * sin(-36.0 * (d - r0)) as im from ss)"
+        f"st as (select pid, mid, {amplitude} * cos(36.0 * (d - r0)) as re, {amplitude} * sin(36.0 * (d - r0)) as im from ss)"
     )
 
 

@@ -174,3 +174,113 @@ def parallel(*parts: tuple[Processor, np.ndarray]) -> tuple[Processor, np.ndarra
         return total, np.concatenate(after)
 
     return run, np.concatenate([s for _, s in parts])
+
+
+def partitioned_fir(taps: list[float], block: int) -> tuple[Processor, np.ndarray]:
+    """Long response in uniform partitions: spectra of the last inputs meet the
+    spectra of the taps' blocks. Input blocks must have the length ``block``."""
+    taps = np.asarray(taps, dtype=float)
+    count = -(-len(taps) // block)
+    padded = np.zeros(count * block)
+    padded[: len(taps)] = taps
+    parts = np.fft.rfft(padded.reshape(count, block), 2 * block)
+    bins = block + 1
+
+    def run(x, state):
+        if len(x) != block:
+            raise ValueError("blocks must have the partition's length")
+        before, line = state[:block], state[block:].reshape(count, bins, 2)
+        spectrum = np.fft.rfft(np.concatenate([before, x]))
+        line = np.concatenate([np.stack([spectrum.real, spectrum.imag], axis=1)[None], line[:-1]])
+        y = np.fft.irfft((parts * (line[..., 0] + 1j * line[..., 1])).sum(axis=0), 2 * block)[block:]
+        return y, np.concatenate([x, line.ravel()])
+
+    return run, np.zeros(block + count * bins * 2)
+
+
+def lattice_ladder(b, a) -> tuple[Processor, np.ndarray]:
+    """Recursive filter as lattice of the denominator with a ladder of taps: the
+    step-down recursion gives reflections, the numerator's expansion the taps."""
+    b, a = np.asarray(b, dtype=float) / a[0], np.asarray(a, dtype=float) / a[0]
+    order = max(len(a), len(b)) - 1
+    poly = np.pad(a, (0, order + 1 - len(a)))
+    num = np.pad(b, (0, order + 1 - len(b)))
+    ks, taps = np.zeros(order), np.zeros(order + 1)
+    for m in range(order, 0, -1):
+        taps[m] = num[m]
+        num = num - taps[m] * poly[::-1]
+        num = num[:m]
+        ks[m - 1] = k = poly[m]
+        poly = ((poly - k * poly[::-1]) / (1 - k * k))[:m]
+    taps[0] = num[0]
+
+    def run(x, s):
+        back, out = s.tolist(), np.empty(len(x))
+        for i, v in enumerate(x.tolist()):
+            f, new = v, [0.0] * (order + 1)
+            for m in range(order, 0, -1):
+                f = f - ks[m - 1] * back[m - 1]
+                new[m] = back[m - 1] + ks[m - 1] * f
+            new[0] = f
+            out[i] = float(np.dot(taps, new))
+            back = new[:order]
+        return out, np.array(back)
+
+    return run, np.zeros(order)
+
+
+def kautz(poles, weights) -> tuple[Processor, np.ndarray]:
+    """Orthonormal sections of real poles in a chain of allpasses, their taps weighted and summed."""
+    p, w = [float(v) for v in poles], [float(v) for v in weights]
+    norm = [(1 - v * v) ** 0.5 for v in p]
+
+    def run(x, s):
+        held, out = s.tolist(), np.empty(len(x))
+        for i, v in enumerate(x.tolist()):
+            total, u = 0.0, v
+            for j, a in enumerate(p):
+                # one-pole state r[n] = u[n] + a r[n-1]; allpass output r[n-1] - a r[n]
+                before = held[j]
+                r = u + a * before
+                held[j] = r
+                total += w[j] * norm[j] * r
+                u = before - a * r
+            out[i] = total
+        return out, np.array(held)
+
+    return run, np.zeros(len(p))
+
+
+def warped_iir(b, a, warp: float) -> tuple[Processor, np.ndarray]:
+    """Recursive filter whose unit delays are allpasses: the loop without delay is
+    solved for each sample, as every allpass gives -warp times its input at once."""
+    order = max(len(a), len(b)) - 1
+    b = np.pad(np.asarray(b, dtype=float), (0, order + 1 - len(b)))
+    a = np.pad(np.asarray(a, dtype=float), (0, order + 1 - len(a)))
+    # w = x - sum a_k D_k(w); D_k(w) = g_k w + h_k with h_k from the held values
+    gain = (-warp) ** np.arange(order + 1)
+    loop = float(a @ gain)
+
+    def run(x, s):
+        held, out = s.tolist(), np.empty(len(x))
+        for i, v in enumerate(x.tolist()):
+            rest = [0.0]
+            for j in range(order):
+                rest.append(-warp * rest[j] + held[2 * j] + warp * held[2 * j + 1])
+            w = (v - float(np.dot(a, rest))) / loop
+            chain_in, total = w, b[0] * w
+            for j in range(order):
+                y = gain[j + 1] * w + rest[j + 1]
+                held[2 * j], held[2 * j + 1] = chain_in, y
+                total += b[j + 1] * y
+                chain_in = y
+            out[i] = total
+        return out, np.array(held)
+
+    return run, np.zeros(2 * order)
+
+
+def filter_bank(bank: dict[str, np.ndarray], mode: str = "sequential") -> tuple[Processor, np.ndarray]:
+    """Sections in series or summed, each with its own state."""
+    parts = [sections(s) for s in bank.values()]
+    return chain(*parts) if mode == "sequential" else parallel(*parts)
