@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonagrid.llm.common import written
+
 #: Weights of sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 BUCKETS = 1024
@@ -24,8 +26,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{_SPACE}|{_SPACE}$", "")
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, _SPACE))).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")).cast("long")
 
 
 def quality_weight(text: Column, words: Column) -> Column:
@@ -84,8 +85,9 @@ def mix(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = WEIGHTS, seed
     size = n_words(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.col(text_col).alias("text"))
     rows = rows.select("id", "source", "size", (-F.log(uniform(F.col("id"), seed)) / quality_weight(F.col("text"), F.col("size"))).alias("key"), F.xxhash64("text").alias("tie"))
-    # any function that grows with the key will do; this one fills buckets evenly at weight 1
-    rows = rows.withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("key")))).cast("int"))
+    # any function that grows with the key will do; this one fills buckets evenly at weight 1.
+    # The table spares a second reading of the texts.
+    rows = written(rows.withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("key")))).cast("int")), "sizes")
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     wanted = targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), most, weights)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
