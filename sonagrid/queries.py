@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonagrid import functions as fn
+from sonagrid import plans
 from sonagrid.functions import stable
 from sonagrid.operators import beamforming as bf
 from sonagrid.operators import editing as ed
@@ -21,13 +22,17 @@ from sonagrid.operators import effects as fx
 from sonagrid.operators import features as ft
 from sonagrid.operators import filters as fi
 from sonagrid.operators import frames as fr
+from sonagrid.operators import design as de
 from sonagrid.operators import kernels as ke
 from sonagrid.operators import levels as lv
+from sonagrid.operators import responses as rs
 from sonagrid.operators import rooms as rm
 from sonagrid.operators import similarity as si
 from sonagrid.operators import spectra as sp
+from sonagrid.operators import transforms as tf
 from sonagrid.sources import generators as ge
 from sonagrid.sources import tables as tb
+from sonagrid.sources import wav
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -875,6 +880,180 @@ def chirp(spark, d):
     return _out(ge.chirp(spark, 20.0, 4000.0, 48000, 4800), "re")
 
 
+# --- responses, transforms and plans --------------------------------------------
+
+_PEAK = "k as (select ch, first_value(n) over (partition by ch order by abs(re) desc, n) as p, n, re from v)"
+
+
+@query(f"with {V}, {_PEAK} select distinct ch, p as peak from k")
+def response_peak(spark, d):
+    return rs.peak(tb.vectors(spark, d))
+
+
+@query(
+    f"with {V}, {_PEAK} select ch, n, {_r('re * (case when n < p - 8 or n > p + 16 then 0.0 when n < p - 4 then 0.5 - 0.5 * cos(pi() * (n - p + 8) / 4) when n <= p + 8 then 1.0 else 0.5 + 0.5 * cos(pi() * (n - p - 8) / 8) end)')} as re from k"
+)
+def window_response(spark, d):
+    return _out(rs.window_around_peak(tb.vectors(spark, d), 8, 16), "re")
+
+
+@query(f"with {V}, {_PEAK}, c as (select distinct ch, p, g.m from k, (select unnest(range(0, 32)) as m) g) select c.ch, c.m as n, coalesce(v.re, 0.0) as re from c left join v on v.ch = c.ch and v.n = c.m - 16 + c.p")
+def centre_response(spark, d):
+    return rs.centred(tb.vectors(spark, d), 32)
+
+
+@query(f"with {V}, {_PEAK}, f as (select min(p) as f from k), c as (select count(distinct ch) as c from v) select n - p + f as n, {_r('sum(re) / max(c)')} as re from k, f, c group by n - p + f")
+def average_responses(spark, d):
+    return _out(rs.average(tb.vectors(spark, d)), "re")
+
+
+@query(
+    f"with {V}, {_PEAK}, q as (select unnest([200.0, 500.0, 1000.0]) as f), t as (select ch, cast(f as double) as f_hz, (n - p) / 8000.0 as t, re, exp(-0.5 * pow((n - p) / 8000.0 * f / 2.5, 2)) as w from k, q) "
+    f"select ch, f_hz, {_r('sum(re * w * cos(-2 * pi() * f_hz * t))')} as re, {_r('sum(re * w * sin(-2 * pi() * f_hz * t))')} as im from t group by ch, f_hz"
+)
+def frequency_dependent_window(spark, d):
+    return _out(rs.frequency_dependent_window(tb.vectors(spark, d), [200.0, 500.0, 1000.0], 5.0, 8000), "re", "im")
+
+
+@query(
+    f"with {_POWER} select ch, {_r('sqrt(sum(case when k in (8, 12, 16, 20, 24) then power else 0 end) / sum(case when k = 4 then power else 0 end))', 4)} as thd from p group by ch"
+)
+def harmonic_distortion(spark, d):
+    return _out(rs.total_harmonic_distortion(_power(spark, d), 4), "thd", digits=4)
+
+
+@query(f"with {_POWER} select ch, {_r('sqrt(sum(case when k not in (0, 4) then power else 0 end) / sum(case when k = 4 then power else 0 end))', 4)} as thd_n from p group by ch")
+def distortion_and_noise(spark, d):
+    return _out(rs.noise_and_distortion(_power(spark, d), 4), "thd_n", digits=4)
+
+
+@query(f"select h as harmonic, cast((4096 * 100 - round(2.0 * ln(h) / ln(200.0) * 1000)) % 4096 as bigint) as n0 from range(2, 7) t(h)")
+def harmonic_arrivals(spark, d):
+    return rs.harmonic_windows(spark, 1000, 4096, 20.0, 4000.0, 2.0, 5)
+
+
+def _wavelet_sql() -> str:
+    rows = [(f, m, a, b) for f in (500.0, 1000.0) for m, a, b in tf.morlet_taps(f, 8000, 3.0)]
+    return "w as (select * from (values " + ", ".join(f"({f!r}::double, {m}, {a!r}::double, {b!r}::double)" for f, m, a, b in rows) + ") w(f_hz, m, a, b))"
+
+
+@query(f"with {V}, {_wavelet_sql()} select ch, f_hz, n + m as n, {_r('sum(re * a)')} as re, {_r('sum(re * b)')} as im from v, w where n + m between 0 and 63 group by ch, f_hz, n + m")
+def wavelet_transform(spark, d):
+    return _out(tf.cwt(tb.vectors(spark, d), [500.0, 1000.0], 8000, 3.0), "re", "im")
+
+
+@query(
+    f"with {_MICS}, {_GRID}, dd as (select g.pid, m.pid as mid, sqrt((g.x - m.x) ** 2 + (g.y - m.y) ** 2 + (g.z - m.z) ** 2) as d from g, m where g.pid < 16), "
+    "l as (select *, cast(round((max(d) over (partition by pid) - d) / 343 * 48000) as bigint) as late, d / 8 as w from dd), "
+    f"{V} select pid, n + late as n, {_r('sum(re * w)')} as re from v join l on v.ch = l.mid group by pid, n + late"
+)
+def delay_and_sum_signals(spark, d):
+    return _out(bf.delay_and_sum_time(tb.vectors(spark, d), _grid(spark).where("pid < 16"), _mics(spark), 48000), "re")
+
+
+@query(
+    "with m as (select a.i as nx, b.i as ny, c.i as nz, 343 / 2.0 * sqrt((a.i / 6.0) ** 2 + (b.i / 4.0) ** 2 + (c.i / 3.0) ** 2) as f from range(0, 10) a(i), range(0, 10) b(i), range(0, 10) c(i)), "
+    "k as (select 2 * pi() * f as w0, cos(nx * pi() * 1 / 6.0) * cos(ny * pi() * 2 / 4.0) * cos(nz * pi() * 1.5 / 3.0) * cos(nx * pi() * 4 / 6.0) * cos(ny * pi() * 1 / 4.0) * cos(nz * pi() * 1.2 / 3.0) "
+    "* pow(2, (nx > 0)::int + (ny > 0)::int + (nz > 0)::int) as g from m where nx + ny + nz > 0 and f <= 100), q as (select unnest(range(20, 100)) + 0.5 as f), "
+    "t as (select f, g, w0 * w0 - (2 * pi() * f) ** 2 as a, 2 * 5.0 * 2 * pi() * f as b from q, k) "
+    f"select cast(f as double) as f_hz, {_r('sum(g * a / (a * a + b * b)) * 343 * 343')} as re, {_r('-sum(g * b / (a * a + b * b)) * 343 * 343')} as im from t group by f"
+)
+def modal_response(spark, d):
+    f = spark.range(20, 100).select((F.col("id") + 0.5).alias("f_hz"))
+    modes = rm.shoebox_modes(spark, (6.0, 4.0, 3.0), 100.0)
+    return _out(rm.modal_response(modes, (1.0, 2.0, 1.5), (4.0, 1.0, 1.2), (6.0, 4.0, 3.0), f, 5.0), "re", "im")
+
+
+@query(f"with {E} select ch, count(*) as length, {_r('20 * log10(stddev_pop(re))')} as rms_dbfs, {_r('20 * log10(max(abs(re)))')} as peak_dbfs, {_r('20 * log10(max(abs(re)) / stddev_pop(re))')} as crest_db, {_r('sum(re * re)', 2)} as energy from e group by ch")
+def level_report(spark, d):
+    return _out(plans.level_report(tb.events(spark, d)), "rms_dbfs", "peak_dbfs", "crest_db").withColumn("energy", stable("energy", 2))
+
+
+@query(f"with {H} select ch, {_r('20 * log10(stddev_pop(re))')} as rms_dbfs from h group by ch")
+def rms_hourly_counts(spark, d):
+    return _out(lv.rms_dbfs(tb.hourly(spark, d)), "rms_dbfs")
+
+
+@query(
+    f"with {V} select ch, n, cast(greatest(-32768, least(32767, floor(re * 32768 + 0.5))) as bigint) as i16, cast(greatest(-128, least(127, floor(re * 128 + 0.5))) + 128 as bigint) as u8, "
+    "cast(greatest(-8388608, least(8388607, floor(re * 8388608 + 0.5))) as bigint) as i24 from v"
+)
+def sample_formats(spark, d):
+    x = F.col("re")
+    return tb.vectors(spark, d).select("ch", "n", *[wav.to_format(x, f).alias(f) for f in ("i16", "u8", "i24")])
+
+
+@query()
+def room_report(spark, d):
+    ir = tb.vectors(spark, d).withColumn("re", F.col("re") * F.exp(-0.08 * F.col("n")))
+    return _out(plans.room_report(ir, 400), "definition", "clarity_db", "centre_time_s", "edt_s", "t20_s", "t30_s", digits=4)
+
+
+@query()
+def speech_features(spark, d):
+    return _out(plans.speech_features(tb.events(spark, d), 8000, 32, 16, 8, 6), "value", digits=4)
+
+
+@query()
+def octave_reverberation(spark, d):
+    ir = tb.vectors(spark, d).withColumn("re", F.col("re") * F.exp(-0.05 * F.col("n")))
+    return _out(plans.octave_reverberation(ir, 4000, [250.0, 500.0, 1000.0]), "rt_s", digits=4)
+
+
+@query()
+def classic_filter_designs(spark, d):
+    sections = de.iir("chebyshev1", 4, (300.0, 900.0), "bandpass", 4800)
+    return _out(ke.iir(tb.events(spark, d), sections), "re")
+
+
+@query()
+def weighted_levels(spark, d):
+    return _out(lv.rms_dbfs(ke.iir(tb.events(spark, d), de.weighting("A", 48000))), "rms_dbfs", digits=4)
+
+
+@query()
+def beamformer_mvdr(spark, d):
+    array = tb.events(spark, d).where("ch < 8")  # the eight microphones
+    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k between 2 and 4"))
+    return _out(bf.mvdr(csm, bf.steering(_grid(spark), _mics(spark), 36.0)), "power", digits=3)
+
+
+@query()
+def beamformer_functional(spark, d):
+    array = tb.events(spark, d).where("ch < 8")
+    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k between 2 and 4"))
+    return _out(bf.functional(csm, bf.steering(_grid(spark), _mics(spark), 36.0)), "power", digits=3)
+
+
+@query()
+def beamformer_orthogonal(spark, d):
+    array = tb.events(spark, d).where("ch < 8")
+    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k between 2 and 4"))
+    return _out(bf.orthogonal(csm, bf.steering(_grid(spark), _mics(spark), 36.0), 3), "power", digits=3)
+
+
+@query()
+def beamformer_clean_sc(spark, d):
+    array = tb.events(spark, d).where("ch < 8")
+    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k between 2 and 4"))
+    return _out(bf.clean_sc(csm, bf.steering(_grid(spark), _mics(spark), 36.0)), "power", digits=3)
+
+
+@query()
+def spectral_subtraction(spark, d):
+    return _out(ke.spectral_subtraction(tb.events(spark, d), 16, 2), "re", digits=4)
+
+
+@query()
+def feedback_delay(spark, d):
+    return _out(ke.feedback_delay(tb.events(spark, d), 7, 0.5), "re")
+
+
+@query()
+def warped_signal(spark, d):
+    return _out(tf.warped(tb.vectors(spark, d), 0.3), "re")
+
+
 # --- kernels (no SQL form) --------------------------------------------------------
 
 

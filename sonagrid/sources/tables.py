@@ -28,7 +28,7 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
     """A channel for each event type: events in each hour from 2024-01-01 on, zero where there are none."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts")
-    hour = F.floor((F.unix_micros("ts") - 1704067200 * 1000000) / 3600000000).cast("long")
+    hour = F.expr("cast(floor(timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) / 3600000000) as long)")
     counts = rows.groupBy(F.col("event_type").alias("ch"), hour.alias("n")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     grid = rows.select(F.col("event_type").alias("ch")).distinct().select("ch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24 * days - 1).cast("long"))).alias("n"))
     return grid.join(counts, ["ch", "n"], "left").select("ch", "n", F.coalesce("c", F.lit(0.0)).alias("re"))
