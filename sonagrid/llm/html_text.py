@@ -32,11 +32,14 @@ SKIPPED = set("script style noscript template nav footer aside form button selec
 ASIDE = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs "
     "footer masthead comment comments reply replies discussion disqus cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup "
-    "login share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer".split()
+    "login share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer complementary contentinfo search".split()
 )
+#: A class that begins so tells of something elsewhere on the page.
+ELSEWHERE = set("has with without no not is".split())
 MAIN = ("article", "main")
 
 _WORD = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none")
 
 
 class _Lines(HTMLParser):
@@ -70,9 +73,11 @@ class _Lines(HTMLParser):
         if tag in SKIPPED or (tag == "header" and not any(x[0] in MAIN for x in self.open)):
             return True
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and not ASIDE.isdisjoint(_WORD.findall(value.lower())):
-                return True
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            if name in ("class", "id", "role") and value:
+                for words in map(_WORD.findall, value.lower().split()):
+                    if words and words[0] not in ELSEWHERE and not ASIDE.isdisjoint(words):
+                        return True
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and _HIDDEN.search(value.lower())):
                 return True
         return False
 
@@ -173,9 +178,9 @@ def main_text(html: str | None) -> str:
         most = max(inside[k] for k in marked)
         region = min(k for k in marked if inside[k] == most)
     elif inside:
-        # the innermost container that still holds most of the content
+        # the innermost container that still holds the bulk of the content
         whole = sum(sizes[content])
-        region = max((k for k in inside if inside[k] >= 0.5 * whole), default=None)
+        region = max((k for k in inside if inside[k] >= 0.7 * whole), default=None)
     else:
         region = None
     return "\n".join(t for t, _, around in page.lines if region is None or region in around)

@@ -142,13 +142,14 @@ def _tokens(path: str, end_id: int):
     return run
 
 
-def pack(tokens, loss, most_tokens: int, most_segments: int, most_loss: int) -> list[tuple[int, int, int, int, int, int]]:
+def pack(tokens, loss, most_tokens: int, most_segments: int, most_loss: int, cut: bool = True) -> list[tuple[int, int, int, int, int, int]]:
     """(item, start, length, bin, offset, loss) for items of given token and
     loss-bearing token counts; loss-bearing tokens are an item's last ones.
 
     Items with equal needs are interchangeable, so the open items are a sorted
     list of distinct (tokens, loss) with a stack each: a placement looks at
-    distinct needs, not at items. Empty items take no part.
+    distinct needs, not at items. Empty items take no part. Without cut items
+    stay whole, and one that is above a limit by itself has a bin of its own.
     """
     limit = np.array([most_tokens, most_segments, most_loss], dtype=float)
     out: list[tuple[int, int, int, int, int, int]] = []
@@ -160,8 +161,12 @@ def pack(tokens, loss, most_tokens: int, most_segments: int, most_loss: int) ->
 
     for i, (t, x) in enumerate(zip(tokens, loss)):
         t, x, at = int(t), int(x), 0
+        if not cut and (t > most_tokens or x > most_loss):
+            put(i, 0, t, x, bins, 0)
+            bins += 1
+            continue
         # what fills bins of its own
-        while t >= most_tokens and max(0, x - (t - most_tokens)) <= most_loss and (t > most_tokens or x <= most_loss):
+        while cut and t >= most_tokens and max(0, x - (t - most_tokens)) <= most_loss and (t > most_tokens or x <= most_loss):
             bare = t - x
             part = max(0, most_tokens - bare)
             put(i, at, most_tokens, part, bins, 0)
@@ -190,6 +195,8 @@ def pack(tokens, loss, most_tokens: int, most_segments: int, most_loss: int) ->
                 score = need[:, 0] * pull[0] + pull[1] + need[:, 1] * pull[2]
                 best = tuple(int(v) for v in need[np.argmax(np.where(fits, score, -np.inf))])
                 t, x = best
+            elif not cut:
+                break
             else:
                 # nothing fits whole: cut the longest item to the room that is left
                 best = keys[-1]
@@ -288,3 +295,40 @@ def pack_documents(
         "offset",
         F.col("loss").alias("n_loss"),
     )
+
+
+def pack_examples(
+    examples: DataFrame,
+    most_tokens: int = 4096,
+    most_segments: int = 64,
+    most_loss: int = 2048,
+    groups: int = 16,
+    id_col: str = "id",
+    tokens_col: str = "n_tokens",
+    loss_col: str = "n_loss",
+) -> DataFrame:
+    """Whole examples of instruction data under all three limits: id_col,
+    n_tokens, n_loss, sequence_id, offset for each row of examples.
+
+    Null counts are 0; loss-bearing tokens beyond the tokens count as all of
+    them. Examples without tokens have sequence_id and offset null. An example
+    above a limit by itself has a sequence of its own. Groups of examples are
+    dealt by the hash of the id and packed apart. Other columns are not read.
+    """
+    n = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long"))
+    x = F.least(n, F.greatest(F.lit(0).cast("long"), F.coalesce(F.col(loss_col), F.lit(0)).cast("long")))
+    rows = examples.select(F.col(id_col).alias("id"), n.alias("n"), x.alias("x"), F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int").alias("group"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "descending"), ("x", "descending"), ("id", "ascending")])
+        size, loss = (np.asarray(table[c], dtype=np.int64) for c in ("n", "x"))
+        bin_, offset = np.full(len(size), -1), np.full(len(size), -1)
+        for item, _, _, b, o, _ in pack(size, loss, most_tokens, most_segments, most_loss, cut=False):
+            bin_[item], offset[item] = b, o
+        gone = bin_ < 0
+        sequence = np.asarray(table["group"], dtype=np.int64) * (1 << 32) + bin_
+        return table.select(["id", "n", "x"]).append_column("sequence_id", pa.array(sequence, mask=gone)).append_column("offset", pa.array(offset, mask=gone))
+
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.groupBy("group").applyInArrow(run, f"id {kind}, n long, x long, sequence_id long, offset long")
+    return out.withColumnsRenamed({"id": id_col, "n": "n_tokens", "x": "n_loss"})

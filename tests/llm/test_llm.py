@@ -303,6 +303,27 @@ def test_pack_holds_all_limits():
     assert packing.pack([], [], 10, 2, 10) == []
 
 
+def test_pack_examples_keeps_them_whole(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, int(t), int(t * rng.random())) for i, t in enumerate(rng.integers(1, 1500, 300))]
+    rows += [(900, 5000, 10), (901, 10, None), (902, None, 5), (903, 0, 0), (None, 7, 99), (5, 40, 3)]
+    got = packing.pack_examples(spark.createDataFrame(rows, "id long, n_tokens int, n_loss int"), 2000, 5, 900, 3).collect()
+    assert Counter((r.id, r.n_tokens) for r in got) == Counter((i, t or 0) for i, t, _ in rows)
+    bins = {}
+    for r in got:
+        if r.n_tokens:
+            bins.setdefault(r.sequence_id, []).append(r)
+        else:
+            assert r.sequence_id is None and r.offset is None
+    for mine in bins.values():
+        at = 0
+        for r in sorted(mine, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.n_tokens
+        assert len(mine) == 1 or (at <= 2000 and len(mine) <= 5 and sum(r.n_loss for r in mine) <= 900)
+    assert len(bins) < 180
+
+
 def test_sharding(spark, docs, texts, empty):
     got = sharding.shard_documents(docs).collect()
     assert len(got) == docs.count()
@@ -403,6 +424,11 @@ PAGES = [
         "<p>More words follow in another paragraph of the same box.</p></div><div class='sidebar'><p>Latest posts and so on</p></div></body>",
         "No article element\nWords in a box, many of them, so that it counts as content.\nMore words follow in another paragraph of the same box.",
     ),
+    (
+        "<main class='has-sidebar'><div class='content with-comments'><p>Kept words of the main part of this page.</p><p style='display: none'>Hidden words of this page.</p></div>"
+        "<article class='comment'><p>A reader's remark on the page.</p></article></main><div role='search'>Find</div>",
+        "Kept words of the main part of this page.",
+    ),
     ("just text", "just text"),
     ("", ""),
     (None, ""),
@@ -412,7 +438,7 @@ PAGES = [
 
 
 def test_html_text(spark):
-    rows = [(i, None if i == 2 else "u", h, "x") for i, (h, _) in enumerate(PAGES[:-1])] + [(None, "u", "<p>no id</p>", "x"), (0, "u", PAGES[0][0], "x")]
+    rows = [(i, None if i == 3 else "u", h, "x") for i, (h, _) in enumerate(PAGES[:-1])] + [(None, "u", "<p>no id</p>", "x"), (0, "u", PAGES[0][0], "x")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, id string")).collect()
     assert len(got) == len(rows)
     for r in got:
