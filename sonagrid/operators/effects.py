@@ -13,17 +13,33 @@ from sonagrid.functions import from_db, to_db
 Keys = tuple[str, ...]
 
 
-def distortion(signal: DataFrame, kind: str = "arctan", drive_db: float = 12.0, mix: float = 1.0) -> DataFrame:
-    """A static curve on the driven signal, mixed with the dry one."""
-    x = F.col("re") * 10 ** (drive_db / 20)
+def distortion(signal: DataFrame, kind: str = "arctan", level_db: float = 20.0, offset_db: float | None = None, keep_peak: bool = True, keys: Keys = ("ch",)) -> DataFrame:
+    """A static curve on each channel, brought to peak 1 before, with an offset
+    in front of it; keep_peak brings the result back to the channel's peak."""
+    by = Window.partitionBy(*keys)
+    g, o = 10 ** (level_db / 20), 0.0 if offset_db is None else 10 ** (offset_db / 20)
+    x = F.col("re") / F.col("__peak")
+    cubic = (x * (2 / 3) + o) * g
     wet = {
-        "arctan": F.atan(x) * (2 / pi),
-        "hard_clip": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)),
-        "soft_clip": F.when(F.abs(x) >= 1, F.signum(x) * (2 / 3)).otherwise(x - x * x * x / 3),
-        "tanh": F.tanh(x),
-        "rectify": F.abs(x),
+        "arctan": F.atan(x * g + o) * (2 / pi),
+        "hard_clip": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * g + o)),
+        "soft_clip": F.greatest(F.lit(-2 / 3), F.least(F.lit(2 / 3), cubic - cubic * cubic * cubic / 3)),
+        "tanh": F.tanh(x * g + o),
+        "clean": F.col("re"),
     }[kind]
-    return signal.withColumn("re", (1 - mix) * F.col("re") + mix * wet)
+    out = signal.withColumn("__peak", F.max(F.abs("re")).over(by)).withColumn("re", wet)
+    if keep_peak and kind != "clean":
+        out = out.withColumn("re", F.col("re") * F.col("__peak") / F.max(F.abs("re")).over(by))
+    return out.drop("__peak")
+
+
+def distortions(signal: DataFrame, kinds: list[tuple[str, float, float]], keys: Keys = ("ch",)) -> DataFrame:
+    """Several curves summed: (kind, level_db, share)."""
+    out = None
+    for kind, level_db, share in kinds:
+        one = distortion(signal, kind, level_db, keys=keys).withColumn("re", F.col("re") * share)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(*keys, "n").agg(F.sum("re").alias("re"))
 
 
 def custom(signal: DataFrame, curve) -> DataFrame:

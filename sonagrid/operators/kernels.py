@@ -263,28 +263,54 @@ def true_peak(signal: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
     return resample(signal, 4, 1, keys).groupBy(*keys).agg((20.0 * F.log10(F.max(F.abs("re")))).alias("true_peak_db"))
 
 
-def smoothed_gain(level_db: np.ndarray, target_db: np.ndarray, attack: float, release: float) -> np.ndarray:
-    """Gain changes in dB followed by one-pole smoothing, faster when the gain falls."""
-    want = (target_db - level_db).tolist()
-    out, g = np.empty(len(want)), 0.0
-    for i, v in enumerate(want):
-        c = attack if v < g else release
-        g += c * (v - g)
-        out[i] = g
-    return out
+def smoothing_coefficient(seconds: float, rate_hz: float, accuracy: float = 0.95) -> float:
+    """Of the one-pole smoother that reaches a share of a step in a time."""
+    return 1 - float(np.exp(np.log(1 - accuracy) / max(seconds * rate_hz, 1e-9)))
 
 
-def compressor(signal: DataFrame, rate_hz: int, threshold_db: float, ratio: float, attack_s: float, release_s: float, keys: Keys = ("ch",)) -> DataFrame:
-    a, r = (1 - np.exp(-1 / (max(t, 1e-9) * rate_hz)) for t in (attack_s, release_s))
+def compressor(signal: DataFrame, rate_hz: int, threshold_db: float, ratio: float, attack_s: float, release_s: float, knee_db: float = 0.0, mix: float = 1.0, keys: Keys = ("ch",)) -> DataFrame:
+    """Gain that each sample's own level asks for, followed by a one-pole smoother:
+    the attack coefficient while the wanted gain is above the present one, else that of the release."""
+    up, down = smoothing_coefficient(attack_s, rate_hz), smoothing_coefficient(release_s, rate_hz)
 
     def kernel(x):
-        level = 20 * np.log10(np.maximum(np.abs(x), 1e-10))
-        target = np.where(level > threshold_db, threshold_db + (level - threshold_db) / ratio, level)
-        return x * 10 ** (smoothed_gain(level, target, a, r) / 20)
+        level = 10 * np.log10(np.maximum(x * x, 1e-30))
+        over = level - threshold_db
+        wanted = np.where(over > 0, threshold_db + over / ratio, level)
+        if knee_db > 0:
+            soft = np.abs(over) <= knee_db / 2
+            wanted = np.where(soft, level + (1 / ratio - 1) * (over + knee_db / 2) ** 2 / (2 * knee_db), wanted)
+        asked, now, gain = (10 ** ((wanted - level) / 20)).tolist(), 1.0, np.empty(len(x))
+        for i, v in enumerate(asked):
+            now += (up if v > now else down) * (v - now)
+            gain[i] = now
+        return x * (1 - mix + mix * gain)
 
     return mapped(signal, kernel, keys)
 
 
+def activity(signal: DataFrame, threshold_dbfs: float, coefficient: float, relative: bool = True, keys: Keys = ("ch",)) -> DataFrame:
+    """(n, active): whether the smoothed power is above a threshold, relative to
+    the peak or absolute. The smoother starts at 0 and rests where the power
+    before was exactly 0."""
+
+    def kernel(x):
+        p = (x / max(np.abs(x).max(), 1e-300) if relative else x) ** 2
+        level, out = 0.0, np.zeros(len(p))
+        for i in range(1, len(p)):
+            if p[i - 1] > 0:
+                level = coefficient * p[i] + (1 - coefficient) * level
+            out[i] = level
+        return (10 * np.log10(np.maximum(out, 1e-300)) > threshold_dbfs).astype(float)
+
+    return mapped(signal, kernel, keys).select(*keys, "n", (F.col("re") > 0).alias("active"))
+
+
+def split_by_activity(signal: DataFrame, threshold_dbfs: float, coefficient: float, keys: Keys = ("ch",)) -> DataFrame:
+    """signal with active: the parts of an activity detector."""
+    return signal.join(activity(signal, threshold_dbfs, coefficient, keys=keys), [*keys, "n"])
+
+
 def convolve_long(signal: DataFrame, response: np.ndarray, keep_length: bool = False, keys: Keys = ("ch",)) -> DataFrame:
     """Fast convolution of whole channels with a long response."""
     h = np.asarray(response, dtype=float)

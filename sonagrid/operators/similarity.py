@@ -66,13 +66,37 @@ def pearson(signal: DataFrame, reference: DataFrame, keys: Keys = ("ch",)) -> Da
     return signal.join(reference.select("n", F.col("re").alias("r")), "n").groupBy(*keys).agg(F.corr("re", "r").alias("r"))
 
 
-def spectral_distances(a: DataFrame, b: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
-    """(log_spectral, itakura_saito) of power spectra (k, power): means over bins of
-    the squared log ratio (its root) and of ratio - log ratio - 1; bins of power 0 do not count."""
-    both = a.select(*keys, "k", F.col("power").alias("p")).join(b.select(*keys, "k", F.col("power").alias("q")), [*keys, "k"]).where("p > 0 and q > 0")
-    ratio = F.col("p") / F.col("q")
-    log = 10.0 * F.log10(ratio)
-    return both.groupBy(*keys).agg(F.sqrt(F.avg(log * log)).alias("log_spectral"), F.avg(ratio - F.log(ratio) - 1.0).alias("itakura_saito"))
+def simpson(rows: DataFrame, x: str, y: str, keys: Keys = ("ch",)) -> DataFrame:
+    """(integral): y over evenly spaced x by Simpson's rule; with an even number of
+    points the last interval takes the parabola through the last three."""
+    w = Window.partitionBy(*keys)
+    r = rows.withColumn("__i", F.row_number().over(w.orderBy(x)) - 1).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__h", (F.max(x).over(w) - F.min(x).over(w)) / F.greatest(F.col("__n") - 1, F.lit(1)))
+    i, n = F.col("__i"), F.col("__n")
+    last = F.when(n % 2 == 1, n - 1).otherwise(n - 2)  # of the part with whole parabolas
+    whole = F.when(i > last, 0.0).when((i == 0) | (i == last), 1 / 3).when(i % 2 == 1, 4 / 3).otherwise(2 / 3)
+    tail = F.when(n % 2 == 1, 0.0).when(i == n - 1, 5 / 12).when(i == n - 2, 2 / 3).when(i == n - 3, -1 / 12).otherwise(0.0)
+    few = F.when(n == 2, 0.5).otherwise(whole + tail)
+    return r.groupBy(*keys).agg(F.sum(few * F.col(y) * F.col("__h")).alias("integral"))
+
+
+def spectral_distances(a: DataFrame, b: DataFrame, low_hz: float, high_hz: float, normalise: bool = True, keys: Keys = ("ch",)) -> DataFrame:
+    """(log_spectral, itakura_saito) of power spectra (k, f_hz, power) between the
+    bins nearest to two frequencies, the upper one left out.
+
+    Root of the integral of the squared log ratio in dB, and the integral of
+    ratio - log10(ratio) - 1; normalise brings each band to sum 1 first.
+    """
+    edge = lambda f: F.min(F.struct(F.round(F.abs(F.col("f_hz") - f), 9).alias("d"), "k")).getField("k")
+    band = a.groupBy(*keys).agg(edge(low_hz).alias("__lo"), edge(high_hz).alias("__hi"))
+    both = a.join(b.select(*keys, "k", F.col("power").alias("q")), [*keys, "k"]).join(band, list(keys)).where("k >= __lo and k < __hi")
+    p, q = F.col("power"), F.col("q")
+    if normalise:
+        w = Window.partitionBy(*keys)
+        p, q = p / F.sum("power").over(w), q / F.sum("q").over(w)
+    ratios = both.select(*keys, "f_hz", (p / q).alias("r"))
+    values = ratios.select(*keys, "f_hz", F.pow(10.0 * F.log10("r"), F.lit(2.0)).alias("l"), (F.col("r") - F.log10("r") - 1.0).alias("s"))
+    log = simpson(values, "f_hz", "l", keys).withColumn("log_spectral", F.sqrt("integral")).drop("integral")
+    return log.join(simpson(values, "f_hz", "s", keys).withColumnRenamed("integral", "itakura_saito"), list(keys))
 
 
 def segmental_snr(target: DataFrame, estimate: DataFrame, window: int, low_db: float = -10.0, high_db: float = 35.0, keys: Keys = ("ch",)) -> DataFrame:

@@ -529,14 +529,17 @@ def pearson(spark, d):
 
 
 @query(
-    f"with {_DFT}, p as (select ch, k, re * re + im * im as p from s), q as (select a.ch, 10 * log10(a.p / b.p) as l, a.p / b.p as r from p a join p b on a.k = b.k and b.ch = 0 where a.ch <> 0 and a.p > 0 and b.p > 0) "
-    f"select ch, {_r('sqrt(avg(l * l))', 4)} as log_spectral, {_r('avg(r - ln(r) - 1) / 100', 3)} as itakura_saito from q group by ch"
+    f"with {_DFT}, p as (select ch, k, f_hz, re * re + im * im as p from s where k < 32), z as (select ch, k, f_hz, p / sum(p) over (partition by ch) as p from p), "
+    "r as (select a.ch, a.k, a.p / b.p as r from z a join z b on a.k = b.k and b.ch = 0 where a.ch <> 0), "
+    "w as (select ch, (case when k > 30 then 0 when k in (0, 30) then 1 / 3.0 when k % 2 = 1 then 4 / 3.0 else 2 / 3.0 end + case k when 31 then 5 / 12.0 when 30 then 2 / 3.0 when 29 then -1 / 12.0 else 0 end)::double / 64 as w, r from r) "
+    f"select ch, {_r('sqrt(sum(w * pow(10 * log10(r), 2)))', 4)} as log_spectral, {_r('sum(w * (r - log10(r) - 1)) / 100', 3)} as itakura_saito from w group by ch"
 )
 def spectral_distances(spark, d):
-    p = sp.dft(tb.vectors(spark, d), 64).select("ch", "k", F.expr("re * re + im * im").alias("power"))
-    reference = p.where("ch <> 0").select("ch", "k").join(p.where("ch = 0").select("k", "power"), "k")
-    out = si.spectral_distances(p.where("ch <> 0"), reference).withColumn("itakura_saito", F.col("itakura_saito") / 100)
-    return out.select("ch", stable("log_spectral", 4).alias("log_spectral"), stable("itakura_saito", 3).alias("itakura_saito"))
+    p = sp.dft(tb.vectors(spark, d), 64, 1).select("ch", "k", "f_hz", F.expr("re * re + im * im").alias("power"))
+    others = p.where("ch <> 0")
+    reference = others.select("ch", "k").join(p.where("ch = 0").select("k", "power"), "k")
+    out = si.spectral_distances(others, reference, 0.0, 0.5)
+    return out.select("ch", stable("log_spectral", 4).alias("log_spectral"), stable(F.col("itakura_saito") / 100, 3).alias("itakura_saito"))
 
 
 @query(
@@ -793,19 +796,26 @@ def monopole_on_array(spark, d):
 # --- effects --------------------------------------------------------------------
 
 
-@query(f"with {V} select ch, n, {_r('atan(re * pow(10, 0.6)) * 2 / pi()')} as re from v")
+def _distortion_sql(curve: str) -> str:
+    return (
+        f"with {V}, a as (select *, max(abs(re)) over (partition by ch) as p from v), x as (select ch, n, p, re / p as x from a), w as (select ch, n, p, {curve} as y from x) "
+        f"select ch, n, {_r('y * p / max(abs(y)) over (partition by ch)')} as re from w"
+    )
+
+
+@query(_distortion_sql("atan(x * 10 + 0.1) * 2 / pi()"))
 def distortion_arctan(spark, d):
-    return _out(fx.distortion(tb.vectors(spark, d)), "re")
+    return _out(fx.distortion(tb.vectors(spark, d), "arctan", 20.0, -20.0), "re")
 
 
-@query(f"with {V} select ch, n, {_r('0.5 * re + 0.5 * greatest(-1, least(1, re * 10))')} as re from v")
+@query(_distortion_sql("greatest(-1, least(1, x * 2))"))
 def distortion_hard_clip(spark, d):
-    return _out(fx.distortion(tb.vectors(spark, d), "hard_clip", 20.0, 0.5), "re")
+    return _out(fx.distortion(tb.vectors(spark, d), "hard_clip", 20 * log10(2)), "re")
 
 
-@query(f"with {V}, x as (select ch, n, re * 10 as x from v) select ch, n, {_r('case when abs(x) >= 1 then sign(x) * 2 / 3 else x - x * x * x / 3 end')} as re from x")
+@query(_distortion_sql("greatest(-2 / 3.0, least(2 / 3.0, x * 4 / 3.0 - pow(x * 4 / 3.0, 3) / 3))"))
 def distortion_soft_clip(spark, d):
-    return _out(fx.distortion(tb.vectors(spark, d), "soft_clip", 20.0), "re")
+    return _out(fx.distortion(tb.vectors(spark, d), "soft_clip", 20 * log10(2)), "re")
 
 
 @query(f"with {E} select ch, n, {_r('re * (1 - 0.5 * (0.5 + 0.5 * sin(n * 2 * pi() * 2 / 100)))')} as re from e")
@@ -1134,6 +1144,11 @@ def true_peak(spark, d):
     return _out(ke.true_peak(tb.events(spark, d)), "true_peak_db")
 
 
+@query()
+def activity_detector(spark, d):
+    return ke.activity(tb.events(spark, d), -6.0, 0.2)
+
+
 @query()
 def compressor(spark, d):
     x = tb.vectors(spark, d)
