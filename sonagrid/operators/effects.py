@@ -47,9 +47,21 @@ def custom(signal: DataFrame, curve) -> DataFrame:
     return signal.withColumn("re", curve(F.col("re")))
 
 
-def tremolo(signal: DataFrame, rate_hz: int, frequency_hz: float, depth: float = 0.5) -> DataFrame:
-    lfo = 1.0 - depth * (0.5 + 0.5 * F.sin(F.col("n") * (2 * pi * frequency_hz / rate_hz)))
-    return signal.withColumn("re", F.col("re") * lfo)
+def lfo(rate_hz: int, frequency_hz: float, shape: str = "harmonic", phase: float = 0.0) -> Column:
+    """Slow oscillator at sample n, between -1 and 1."""
+    t = F.col("n") * (frequency_hz / rate_hz) + phase / (2 * pi)
+    part = t - F.floor(t)
+    return {
+        "harmonic": F.sin(2 * pi * t),
+        "square": F.when(part < 0.5, 1.0).otherwise(-1.0),
+        "sawtooth": 2.0 * part - 1.0,
+        "triangle": 1.0 - 4.0 * F.abs(part - 0.5),
+    }[shape]
+
+
+def tremolo(signal: DataFrame, modulator: Column, depth: float = 0.5) -> DataFrame:
+    """The signal times |1 + depth * modulator|."""
+    return signal.withColumn("re", F.col("re") * F.abs(depth * modulator + 1.0))
 
 
 def ring_modulation(signal: DataFrame, rate_hz: int, frequency_hz: float) -> DataFrame:

@@ -343,15 +343,17 @@ def gammatone(signal: DataFrame, f_hz: float, rate_hz: int, keys: Keys = ("ch",)
     return mapped(signal, kernel, keys)
 
 
-def feedback_delay(signal: DataFrame, samples: int, feedback: float, saturate: bool = False, keys: Keys = ("ch",)) -> DataFrame:
-    """y[n] = x[n] + feedback * y[n - samples], the returned part held by arctan if saturate; block by block of the delay."""
+def feedback_delay(signal: DataFrame, samples: int, feedback: float, saturate: bool = False, tail: bool = False, keep_peak: bool = False, keys: Keys = ("ch",)) -> DataFrame:
+    """y[n] = x[n] + feedback * f(y[n - samples]), f the identity or half an arctan of
+    twice the value; block by block of the delay. tail lets 1 + 15 * feedback delays ring out."""
 
     def kernel(x):
-        y = np.array(x, dtype=float)
+        more = int(samples * (1 + 15 * feedback)) if tail else 0
+        y = np.concatenate([x, np.zeros(more)])
         for a in range(samples, len(y), samples):
             back = y[a - samples : a][: len(y) - a]
-            y[a : a + samples] += feedback * (np.arctan(back * np.pi / 2) * 2 / np.pi if saturate else back)
-        return y
+            y[a : a + samples] += feedback * (0.5 * np.arctan(2 * back) if saturate else back)
+        return y * (np.abs(x).max() / max(np.abs(y).max(), 1e-300)) if keep_peak else y
 
     return mapped(signal, kernel, keys)
 

@@ -818,9 +818,9 @@ def distortion_soft_clip(spark, d):
     return _out(fx.distortion(tb.vectors(spark, d), "soft_clip", 20 * log10(2)), "re")
 
 
-@query(f"with {E} select ch, n, {_r('re * (1 - 0.5 * (0.5 + 0.5 * sin(n * 2 * pi() * 2 / 100)))')} as re from e")
+@query(f"with {E} select ch, n, {_r('re * abs(0.5 * sin(n * 2 * pi() * 2 / 100) + 1)')} as re from e")
 def tremolo(spark, d):
-    return _out(fx.tremolo(tb.events(spark, d), 100, 2.0), "re")
+    return _out(fx.tremolo(tb.events(spark, d), fx.lfo(100, 2.0)), "re")
 
 
 @query(f"with {E} select ch, n, {_r('re * cos(n * 2 * pi() * 7 / 100)')} as re from e")
