@@ -66,7 +66,7 @@ def mid_side(signal: DataFrame, left, right, inverse: bool = False) -> DataFrame
     pair = signal.where(F.col("ch").isin(left, right)).groupBy("n").agg(
         F.max(F.when(F.col("ch") == left, F.col("re"))).alias("l"), F.max(F.when(F.col("ch") == right, F.col("re"))).alias("r")
     )
-    return pair.select("n", ((F.col("l") + F.col("r")) * scale).alias("a"), ((F.col("l") - F.col("r")) * scale).alias("b"))
+    return pair.where("l is not null and r is not null").select("n", ((F.col("l") + F.col("r")) * scale).alias("a"), ((F.col("l") - F.col("r")) * scale).alias("b"))
 
 
 def append(first: DataFrame, second: DataFrame, keys: Keys = ("ch",)) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,29 @@ from sonagrid.operators import frames as fr
 Keys = tuple[str, ...]
 
 
-def bins(n_bins: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1)))
+#: Up to so many bins a transform is a row of sums.
+MOST_SUMS = 33
+
+
+def _fast(samples: DataFrame, by: Keys, m: str, x: str, length: int) -> DataFrame:
+    """One-sided fast transforms of the groups' samples; missing ones are zero."""
+    arrays = samples.groupBy(*by).agg(F.collect_list(F.struct(F.col(m).cast("int").alias("m"), F.col(x).alias("x"))).alias("s"))
+
+    def run(it):
+        for batch in it:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                column = part.column("s")
+                rows, flat = np.repeat(np.arange(part.num_rows), np.asarray(column.value_lengths())), column.flatten()
+                frames = np.zeros((part.num_rows, length))
+                frames[rows, np.asarray(flat.field("m"))] = np.asarray(flat.field("x"))
+                out = np.fft.rfft(frames, axis=1)
+                pack = lambda v: pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in by), pack(out.real), pack(out.imag)], names=[*by, "re", "im"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in arrays.schema.fields if f.name in by)
+    wide = arrays.mapInArrow(run, f"{schema}, re array<double>, im array<double>")
+    return wide.select(*by, F.posexplode(F.arrays_zip("re", "im")).alias("k", "v")).select(*by, "k", "v.re", "v.im")
 
 
 def _dft(samples: DataFrame, by: Keys, m: str, x: str, length: int, n_bins: int) -> DataFrame:
@@ -24,7 +47,11 @@ def _dft(samples: DataFrame, by: Keys, m: str, x: str, length: int, n_bins: int)
     The n_bins sums of a group are aggregates of one pass over its samples
     (partial before the shuffle), turned into rows afterwards: the shuffle
     carries one row for each group and task, not one for each sample and bin.
+    With more than MOST_SUMS bins the group's samples meet as an array and a
+    fast transform runs on many of them at once.
     """
+    if n_bins > MOST_SUMS:
+        return _fast(samples, by, m, x, length)
     angle = lambda k: F.pmod(F.col(m) * k, F.lit(length)) * (-2 * pi / length)
     sums = [F.sum(F.col(x) * F.cos(angle(k))).alias(f"__c{k}") for k in range(n_bins)]
     sums += [F.sum(F.col(x) * F.sin(angle(k))).alias(f"__s{k}") for k in range(n_bins)]
@@ -115,12 +142,12 @@ def cross_spectra(spectra: DataFrame, pairs: DataFrame | None = None) -> DataFra
 
 
 def transfer(spectra: DataFrame, source, target) -> DataFrame:
-    """(k, H1, H2, H3 and coherence) between two channels of (ch, frame, k, re, im)."""
+    """(k, H1, H2, H3 and coherence) between two channels of (ch, frame, k, re, im), over the frames that both have."""
     pick = lambda c, x: F.max(F.when(F.col("ch") == c, F.col(x)))
     pair = spectra.where(F.col("ch").isin(source, target)).groupBy("frame", "k").agg(
         pick(source, "re").alias("a"), pick(source, "im").alias("b"), pick(target, "re").alias("c"), pick(target, "im").alias("d")
     )
-    g = pair.groupBy("k").agg(
+    g = pair.where("a is not null and c is not null").groupBy("k").agg(
         F.avg(F.expr("a * a + b * b")).alias("xx"),
         F.avg(F.expr("c * c + d * d")).alias("yy"),
         F.avg(F.expr("a * c + b * d")).alias("r"),
@@ -146,7 +173,7 @@ def deconvolve(spectrum: DataFrame, source, target, regularisation: float = 1e-2
         pick(source, "re").alias("a"), pick(source, "im").alias("b"), pick(target, "re").alias("c"), pick(target, "im").alias("d")
     )
     den = F.expr("a * a + b * b") + regularisation
-    return pair.select("k", (F.expr("c * a + d * b") / den).alias("re"), (F.expr("d * a - c * b") / den).alias("im"))
+    return pair.where("a is not null and c is not null").select("k", (F.expr("c * a + d * b") / den).alias("re"), (F.expr("d * a - c * b") / den).alias("im"))
 
 
 def band_energy(spectrum: DataFrame, low: float, high: float, keys: Keys = ("ch",)) -> DataFrame:

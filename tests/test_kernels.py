@@ -66,6 +66,15 @@ def test_fft_equals_relational_transform(spark):
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
 
 
+def test_sums_and_fast_transforms_agree(spark, monkeypatch):
+    x = ge.noise(spark, 300, 2, 4).where("n % 7 <> 3")
+    key = lambda df: {(r.ch, r.frame, r.k): (r.re, r.im) for r in df.collect()}
+    sums = key(sp.stft(x, 64, 16))
+    monkeypatch.setattr(sp, "MOST_SUMS", 8)
+    fast = key(sp.stft(x, 64, 16))
+    assert sums.keys() == fast.keys() and all(np.allclose(sums[k], fast[k]) for k in sums)
+
+
 def test_analytic_signal_of_a_tone(spark):
     x = ge.sine(spark, 32.0, 1024, 1024)
     assert np.allclose(values(ke.hilbert_envelope(x)), 1)
