@@ -4,7 +4,8 @@ Level 1 looks at windows of half the wanted length: only those that repeat in
 another document go on. Level 2 extends the survivors to the full length and
 keeps those that still repeat. With ``window`` = 50 the levels are 25 and 50
 words. A window of 100 words that repeats consists of windows of 50 that
-repeat, so longer levels cannot remove another word and the doubling ends.
+repeat, so longer levels cannot remove another word; longest_repeats() goes on
+doubling until no candidate survives.
 
 Not every half-length window is written: inside each full window the one with
 the smallest hash (the leftmost of equals) is its *seed*. Equal full windows
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonagrid.llm.common import Rolling, mix, text_slices, utf8, word_hashes, words, written
+from sonagrid.llm.common import Rolling, dropped, mix, text_slices, utf8, word_hashes, words, written
 
 _SEEDS = "doc long, tag int, q0 int, n int, h long, c long"
 _WINDOWS = "doc long, tag int, q int, h long, w long"
@@ -169,18 +170,21 @@ def _cut(window: int, extra: list[str]):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc, tag, q0, n): windows starting at words q0 .. q0 + n - 1 of a document
-    that also start in one with a smaller id. docs: doc long, tag int, text."""
+def _level(docs: DataFrame, window: int) -> DataFrame:
+    """(doc, tag, q0, n, h, c): seeds that two documents or more have. These alone
+    can be part of a repeated window; all others end here."""
     seeds = written(docs.mapInArrow(_seeds(window), _SEEDS), "seeds")
-    classes = seeds.groupBy("h", "c").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    repeated = (
-        classes.groupBy("h")
-        .agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.count(F.lit(1)).alias("k"))
-        .where("lo < hi")
-        .select("h", "k")
-    )
-    alive = seeds.join(classes.join(repeated, "h").select("h", "c", "least", "k"), ["h", "c"]).where("doc > least or k > 1")
+    repeated = seeds.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
+    shared = written(seeds.join(repeated, "h", "left_semi").select("doc", "tag", "q0", "n", "h", "c"), "shared")
+    dropped(seeds)
+    return shared
+
+
+def _spans(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """(doc, tag, q0, n) of the windows over shared seeds that repeat from a smaller id."""
+    classes = shared.groupBy("h", "c").agg(F.min("doc").alias("least"))
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    alive = shared.join(classes.join(several, "h"), ["h", "c"]).where("doc > least or k > 1")
     alive = written(alive.select("doc", "tag", "q0", "n", "h", (F.col("doc") > F.col("least")).alias("whole")), "alive")
     parts = alive.where("not whole").groupBy("doc", "tag").agg(F.collect_list(F.struct("q0", "n", "h")).alias("found"))
     windows = written(
@@ -192,6 +196,42 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     return alive.where("whole").select("doc", "tag", "q0", "n").union(single)
 
 
+def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc, tag, q0, n): windows starting at words q0 .. q0 + n - 1 of a document
+    that also start in one with a smaller id. docs: doc long, tag int, text."""
+    return _spans(docs, _level(docs, window), window)
+
+
+def longest_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, longest): for each row the longest window, of window, 2 * window,
+    4 * window ... words, that also starts in a document with a smaller id; 0 for none.
+
+    A level looks only at documents that share a seed of the level below, and
+    the doubling ends with the first level at which nothing repeats. Odd rows
+    are treated as by dedup_substrings.
+    """
+    rows = _rows(docs, id_col, text_col)
+    found, now, size = None, rows, window
+    while True:
+        shared = _level(now, size)
+        marks = written(_spans(now, shared, size).select("doc", "tag", F.lit(size).alias("size")).distinct(), "level")
+        if marks.isEmpty():
+            break
+        found = marks if found is None else found.union(marks)
+        takes_part = written(shared.select("doc", "tag").distinct(), "documents")
+        dropped(shared)
+        now, size = rows.join(takes_part.hint("shuffle_hash"), ["doc", "tag"], "left_semi"), 2 * size
+    if found is None:
+        return rows.select(F.col("doc").alias(id_col), F.lit(0).alias("longest"))
+    most = found.groupBy("doc", "tag").agg(F.max("size").alias("longest"))
+    return rows.select("doc", "tag").join(most, ["doc", "tag"], "left").select(F.col("doc").alias(id_col), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    tag = (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) % 2147483647).cast("int")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), tag.alias("tag"), F.col(text_col).alias("text"), *more)
+
+
 def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """docs without the words of repeated windows.
 
@@ -208,11 +248,10 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
-    tag = (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) % 2147483647).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), tag.alias("tag"), F.col(text_col).alias("text"))
+    rows = _rows(docs, id_col, text_col)
     spans = repeated_spans(rows, window).groupBy("doc", "tag").agg(F.collect_list(F.struct("q0", "n")).alias("found"))
     if carry:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc"), tag.alias("tag"), F.col(text_col).alias("text"), F.struct(*carry).alias("extra"))
+        rows = _rows(docs, id_col, text_col, F.struct(*carry).alias("extra"))
     more = ["extra"] if carry else []
     schema = T.StructType(
         [T.StructField("doc", T.LongType()), *(rows.schema[x] for x in more), T.StructField("text", T.StringType())]

@@ -133,6 +133,21 @@ def test_substring_dedup_where_windows_overlap_in_part(spark):
     assert {r.doc_id: words(r.text) for r in got.collect()} == kept
 
 
+def test_longest_repeats_double_until_nothing_survives(spark, docs, texts):
+    got = {r.doc_id: r.longest for r in substring.longest_repeats(docs).collect()}
+    want = {7: 0, 11: 12_800}
+    short = {d: t for d, t in texts.items() if d not in want}
+    for d in short:
+        size, best = 50, 0
+        while True:
+            kept = substring_truth({k: t for k, t in short.items() if k <= d}, size)
+            if len(kept[d]) == len(words(texts[d])):
+                break
+            size, best = 2 * size, size
+        want[d] = best
+    assert {d: got[d] for d in texts} == want
+
+
 def test_simhash(spark, docs, texts, empty):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     prints = {}
