@@ -7,6 +7,13 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+Keys = tuple[str, ...]
+
+
+def arrays(signal: DataFrame, size: int) -> DataFrame:
+    """signal with array_id, and ch (0 .. size - 1) in it: each ``size`` channels in turn are an array."""
+    return signal.withColumns({"array_id": F.floor(F.col("ch") / size), "ch": F.pmod("ch", F.lit(size).cast("long"))})
+
 
 def _distance(a: str, b: str) -> Column:
     d = [F.col(f"{a}.{x}") - F.col(f"{b}.{x}") for x in "xyz"]
@@ -71,10 +78,11 @@ def steering(grid: DataFrame, mics: DataFrame, wave_number: float, kind: str = "
     return s.select("pid", "mid", (size * F.cos(phase)).alias("re"), (size * F.sin(phase)).alias("im"))
 
 
-def delay_and_sum(csm: DataFrame, weights: DataFrame, remove_diagonal: bool = False) -> DataFrame:
-    """(pid, power): h^H C h for each point, from (ch_i, ch_j, re, im) with i <= j and steering weights.
+def delay_and_sum(csm: DataFrame, weights: DataFrame, remove_diagonal: bool = False, keys: Keys = ()) -> DataFrame:
+    """(*keys, pid, power): h^H C h for each point, from (*keys, ch_i, ch_j, re, im) with i <= j and steering weights.
 
     Without the diagonal the sum is scaled by N / (N - 1), and negative powers are 0.
+    Keys name arrays of the same shape.
     """
     i = weights.select("pid", F.col("mid").alias("ch_i"), F.col("re").alias("a"), F.col("im").alias("b"))
     j = weights.select("pid", F.col("mid").alias("ch_j"), F.col("re").alias("c"), F.col("im").alias("d"))
@@ -82,11 +90,11 @@ def delay_and_sum(csm: DataFrame, weights: DataFrame, remove_diagonal: bool = Fa
     # real part of conj(h_i) C_ij h_j, twice off the diagonal
     hr, hi = F.expr("a * c + b * d"), F.expr("a * d - b * c")
     term = (F.col("re") * hr - F.col("im") * hi) * F.when(F.col("ch_i") == F.col("ch_j"), F.lit(0.0 if remove_diagonal else 1.0)).otherwise(2.0)
-    out = both.groupBy("pid").agg(F.sum(term).alias("power"))
-    if remove_diagonal:
-        n = weights.agg(F.countDistinct("mid").alias("n"))
-        out = out.join(F.broadcast(n), F.lit(True)).select("pid", (F.greatest(F.lit(0.0), F.col("power")) * F.col("n") / (F.col("n") - 1)).alias("power"))
-    return out
+    if not remove_diagonal:
+        return both.groupBy(*keys, "pid").agg(F.sum(term).alias("power"))
+    n = F.size(F.array_union(F.collect_set("ch_i"), F.collect_set("ch_j")))
+    out = both.groupBy(*keys, "pid").agg(F.sum(term).alias("power"), n.alias("n"))
+    return out.select(*keys, "pid", (F.greatest(F.lit(0.0), F.col("power")) * F.col("n") / (F.col("n") - 1)).alias("power"))
 
 
 def monopole(signal: DataFrame, place: tuple[float, float, float], mics: DataFrame, rate_hz: int, c: float = 343.0) -> DataFrame:
@@ -104,9 +112,10 @@ def wave_number(f_hz: float, c: float = 343.0) -> float:
     return 2 * pi * f_hz / c
 
 
-def _band_matrices(csm: DataFrame, weights: DataFrame, kernel) -> DataFrame:
-    """(pid, power) by kernel(C, H) for each bin k: C from (k, ch_i, ch_j, re, im) with
-    i <= j, H from (pid, mid, re, im); a bin's matrix has the size of the array squared."""
+def _band_matrices(csm: DataFrame, weights: DataFrame, kernel, keys: Keys = ()) -> DataFrame:
+    """(*keys, pid, power) by kernel(C, H) for each of keys and bin k: C from (*keys, k, ch_i, ch_j, re, im)
+    with i <= j, H from (pid, mid, re, im); a bin's matrix has the size of the array squared.
+    Microphones that have no row of a matrix are left out of it."""
     import numpy as np
     import pandas as pd
 
@@ -116,28 +125,30 @@ def _band_matrices(csm: DataFrame, weights: DataFrame, kernel) -> DataFrame:
     h[np.searchsorted(points_, steering_rows.pid), np.searchsorted(mics_, steering_rows.mid)] = steering_rows.re + 1j * steering_rows.im
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros((len(mics_), len(mics_)), dtype=complex)
-        i, j = np.searchsorted(mics_, rows.ch_i), np.searchsorted(mics_, rows.ch_j)
+        there = np.unique(np.concatenate([rows.ch_i, rows.ch_j]))
+        c = np.zeros((len(there), len(there)), dtype=complex)
+        i, j = np.searchsorted(there, rows.ch_i), np.searchsorted(there, rows.ch_j)
         c[i, j] = rows.re + 1j * rows.im
         c[j, i] = rows.re - 1j * rows.im
-        return pd.DataFrame({"pid": points_, "power": kernel(c, h)})
+        return pd.DataFrame({**{key: rows[key].iloc[0] for key in keys}, "pid": points_, "power": kernel(c, h[:, np.searchsorted(mics_, there)])})
 
-    return csm.groupBy("k").applyInPandas(run, "pid long, power double").groupBy("pid").agg(F.sum("power").alias("power"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in csm.schema.fields if f.name in keys)
+    return csm.groupBy(*keys, "k").applyInPandas(run, f"{schema}pid long, power double").groupBy(*keys, "pid").agg(F.sum("power").alias("power"))
 
 
-def mvdr(csm: DataFrame, weights: DataFrame, loading: float = 1e-6) -> DataFrame:
-    """(pid, power): 1 / (h^H C^-1 h), the diagonal loaded by a share of its mean."""
+def mvdr(csm: DataFrame, weights: DataFrame, loading: float = 1e-6, keys: Keys = ()) -> DataFrame:
+    """(*keys, pid, power): 1 / (h^H C^-1 h), the diagonal loaded by a share of its mean."""
     import numpy as np
 
     def kernel(c, h):
         c = c + np.eye(len(c)) * loading * np.trace(c).real / len(c)
         return 1 / np.einsum("pi,ij,pj->p", h.conj(), np.linalg.inv(c), h).real
 
-    return _band_matrices(csm, weights, kernel)
+    return _band_matrices(csm, weights, kernel, keys)
 
 
-def functional(csm: DataFrame, weights: DataFrame, gamma: float = 10.0) -> DataFrame:
-    """(pid, power): (h^H C^(1/gamma) h)^gamma."""
+def functional(csm: DataFrame, weights: DataFrame, gamma: float = 10.0, keys: Keys = ()) -> DataFrame:
+    """(*keys, pid, power): (h^H C^(1/gamma) h)^gamma."""
     import numpy as np
 
     def kernel(c, h):
@@ -146,11 +157,11 @@ def functional(csm: DataFrame, weights: DataFrame, gamma: float = 10.0) -> DataF
         unit = h / np.linalg.norm(h, axis=1, keepdims=True)
         return np.maximum(np.einsum("pi,ij,pj->p", unit.conj(), root, unit).real, 0) ** gamma
 
-    return _band_matrices(csm, weights, kernel)
+    return _band_matrices(csm, weights, kernel, keys)
 
 
-def orthogonal(csm: DataFrame, weights: DataFrame, leading: int) -> DataFrame:
-    """(pid, power): each leading eigenvector puts its eigenvalue at the point of its own map's maximum."""
+def orthogonal(csm: DataFrame, weights: DataFrame, leading: int, keys: Keys = ()) -> DataFrame:
+    """(*keys, pid, power): each leading eigenvector puts its eigenvalue at the point of its own map's maximum."""
     import numpy as np
 
     def kernel(c, h):
@@ -160,11 +171,11 @@ def orthogonal(csm: DataFrame, weights: DataFrame, leading: int) -> DataFrame:
             out[np.argmax(np.abs(h.conj() @ v[:, k]))] += w[k] / len(c)
         return out
 
-    return _band_matrices(csm, weights, kernel)
+    return _band_matrices(csm, weights, kernel, keys)
 
 
-def clean_sc(csm: DataFrame, weights: DataFrame, iterations: int = 20, share: float = 0.5) -> DataFrame:
-    """(pid, power): sources taken one by one with all that is coherent with them."""
+def clean_sc(csm: DataFrame, weights: DataFrame, iterations: int = 20, share: float = 0.5, keys: Keys = ()) -> DataFrame:
+    """(*keys, pid, power): sources taken one by one with all that is coherent with them."""
     import numpy as np
 
     def kernel(c, h):
@@ -183,14 +194,14 @@ def clean_sc(csm: DataFrame, weights: DataFrame, iterations: int = 20, share: fl
             c, norm = rest, np.abs(rest).sum()
         return out
 
-    return _band_matrices(csm, weights, kernel)
+    return _band_matrices(csm, weights, kernel, keys)
 
 
-def delay_and_sum_time(signal: DataFrame, grid: DataFrame, mics: DataFrame, rate_hz: int, c: float = 343.0) -> DataFrame:
-    """(pid, n, re): for each point the microphones, shifted by whole samples to the
+def delay_and_sum_time(signal: DataFrame, grid: DataFrame, mics: DataFrame, rate_hz: int, c: float = 343.0, keys: Keys = ()) -> DataFrame:
+    """(*keys, pid, n, re): for each point the microphones, shifted by whole samples to the
     farthest distance and scaled by their distance, averaged."""
     d = distances(grid, mics)
     far = F.max("d").over(Window.partitionBy("pid"))
     shift = d.withColumn("late", F.round((far - F.col("d")) / c * rate_hz).cast("long")).withColumn("w", F.col("d") / F.count(F.lit(1)).over(Window.partitionBy("pid")))
     both = signal.join(F.broadcast(shift.withColumnRenamed("mid", "ch")), "ch")
-    return both.groupBy("pid", (F.col("n") + F.col("late")).alias("n")).agg(F.sum(F.col("re") * F.col("w")).alias("re"))
+    return both.groupBy(*keys, "pid", (F.col("n") + F.col("late")).alias("n")).agg(F.sum(F.col("re") * F.col("w")).alias("re"))

@@ -124,21 +124,22 @@ def _weight(kind: str, m: int, length: int) -> float:
     return {"boxcar": 1.0, "hann": 0.5 - 0.5 * cos(a), "hamming": 0.54 - 0.46 * cos(a), "blackman": 0.42 - 0.5 * cos(a) + 0.08 * cos(2 * a)}[kind]
 
 
-def cross_spectra(spectra: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(k, ch_i, ch_j, re, im) for i <= j: mean over frames of conj(X_i) X_j.
+def cross_spectra(spectra: DataFrame, pairs: DataFrame | None = None, keys: Keys = ()) -> DataFrame:
+    """(*keys, k, ch_i, ch_j, re, im) for i <= j: mean over frames of conj(X_i) X_j.
 
-    spectra: (ch, frame, k, re, im). The join is on (frame, k), and pairs
-    (ch_i, ch_j) limits it; the lower half is the conjugate of the upper.
+    spectra: (*keys, ch, frame, k, re, im), with a matrix for each of keys (arrays, say).
+    The join is on (*keys, frame, k), and pairs (ch_i, ch_j) limits it; the
+    lower half is the conjugate of the upper.
     """
-    a = spectra.select(F.col("ch").alias("ch_i"), "frame", "k", F.col("re").alias("a"), F.col("im").alias("b"))
-    b = spectra.select(F.col("ch").alias("ch_j"), "frame", "k", F.col("re").alias("c"), F.col("im").alias("d"))
+    a = spectra.select(*keys, F.col("ch").alias("ch_i"), "frame", "k", F.col("re").alias("a"), F.col("im").alias("b"))
+    b = spectra.select(*keys, F.col("ch").alias("ch_j"), "frame", "k", F.col("re").alias("c"), F.col("im").alias("d"))
     if pairs is not None:
         a = a.join(pairs, "ch_i")
-        both = a.join(b, ["ch_j", "frame", "k"])
+        both = a.join(b, [*keys, "ch_j", "frame", "k"])
     else:
-        both = a.join(b, ["frame", "k"]).where("ch_i <= ch_j")
+        both = a.join(b, [*keys, "frame", "k"]).where("ch_i <= ch_j")
     re, im = F.col("a") * F.col("c") + F.col("b") * F.col("d"), F.col("a") * F.col("d") - F.col("b") * F.col("c")
-    return both.groupBy("k", "ch_i", "ch_j").agg(F.avg(re).alias("re"), F.avg(im).alias("im"))
+    return both.groupBy(*keys, "k", "ch_i", "ch_j").agg(F.avg(re).alias("re"), F.avg(im).alias("im"))
 
 
 def transfer(spectra: DataFrame, source, target) -> DataFrame:

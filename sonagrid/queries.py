@@ -1021,32 +1021,67 @@ def weighted_levels(spark, d):
     return _out(lv.rms_dbfs(ke.iir(tb.events(spark, d), de.weighting("A", 48000))), "rms_dbfs", digits=4)
 
 
+_ARRAY = ("array_id",)
+
+
+def _array_spectra(spark, d, size: int):
+    """Spectra of all channels, each ``size`` of them an array."""
+    return sp.stft(bf.arrays(tb.events(spark, d), size), 16, 8, "hann", detrend=True, keys=("array_id", "ch"))
+
+
+def _band(spark, d):
+    """(matrices of arrays of eight microphones, steering)"""
+    csm = sp.cross_spectra(_array_spectra(spark, d, 8).where("k between 2 and 4"), keys=_ARRAY)
+    return csm, bf.steering(_grid(spark), _mics(spark), 36.0)
+
+
 @query()
 def beamformer_mvdr(spark, d):
-    array = tb.events(spark, d).where("ch < 8")  # the eight microphones
-    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k between 2 and 4"))
-    return _out(bf.mvdr(csm, bf.steering(_grid(spark), _mics(spark), 36.0)), "power", digits=3)
+    return _out(bf.mvdr(*_band(spark, d), keys=_ARRAY), "power", digits=3)
 
 
 @query()
 def beamformer_functional(spark, d):
-    array = tb.events(spark, d).where("ch < 8")
-    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k between 2 and 4"))
-    return _out(bf.functional(csm, bf.steering(_grid(spark), _mics(spark), 36.0)), "power", digits=3)
+    return _out(bf.functional(*_band(spark, d), keys=_ARRAY), "power", digits=3)
 
 
 @query()
 def beamformer_orthogonal(spark, d):
-    array = tb.events(spark, d).where("ch < 8")
-    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k between 2 and 4"))
-    return _out(bf.orthogonal(csm, bf.steering(_grid(spark), _mics(spark), 36.0), 3), "power", digits=3)
+    return _out(bf.orthogonal(*_band(spark, d), 3, keys=_ARRAY), "power", digits=3)
 
 
 @query()
 def beamformer_clean_sc(spark, d):
-    array = tb.events(spark, d).where("ch < 8")
-    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k between 2 and 4"))
-    return _out(bf.clean_sc(csm, bf.steering(_grid(spark), _mics(spark), 36.0)), "power", digits=3)
+    return _out(bf.clean_sc(*_band(spark, d), keys=_ARRAY), "power", digits=3)
+
+
+@query(
+    f"with {_STFT}, c as (select *, ch // 12 as array_id, ch % 12 as mic from s) select a.array_id, a.k, a.mic as ch_i, b.mic as ch_j, {_r('avg(a.re * b.re + a.im * b.im)', 3)} as re, "
+    f"{_r('avg(a.re * b.im - a.im * b.re)', 3)} as im from c a join c b on a.array_id = b.array_id and a.frame = b.frame and a.k = b.k and a.mic <= b.mic group by a.array_id, a.k, a.mic, b.mic"
+)
+def cross_spectral_matrices(spark, d):
+    return _out(sp.cross_spectra(_array_spectra(spark, d, 12), keys=_ARRAY), "re", "im", digits=3)
+
+
+@query(
+    f"with {_STFT}, {_steer_sql('(1 / (d * sqrt(n * s)))')}, e8 as (select *, ch // 8 as array_id, ch % 8 as mic from s), c as (select a.array_id, a.mic as i, b.mic as j, "
+    "avg(a.re * b.re + a.im * b.im) as re, avg(a.re * b.im - a.im * b.re) as im from e8 a join e8 b on a.array_id = b.array_id and a.frame = b.frame and a.k = b.k and a.mic <= b.mic "
+    "where a.k = 3 group by a.array_id, a.mic, b.mic) "
+    f"select c.array_id, h.pid, {_r('sum((c.re * (h.re * q.re + h.im * q.im) - c.im * (h.re * q.im - h.im * q.re)) * (case when i = j then 1 else 2 end))', 4)} as power "
+    "from c join st h on h.mid = i join st q on q.mid = j and q.pid = h.pid group by c.array_id, h.pid"
+)
+def delay_and_sum_maps(spark, d):
+    csm = sp.cross_spectra(_array_spectra(spark, d, 8).where("k = 3"), keys=_ARRAY)
+    return _out(bf.delay_and_sum(csm, bf.steering(_grid(spark), _mics(spark), 36.0), keys=_ARRAY), "power", digits=4)
+
+
+@query(
+    f"with {_MICS}, {_GRID}, dd as (select g.pid, m.pid as mid, sqrt((g.x - m.x) ** 2 + (g.y - m.y) ** 2 + (g.z - m.z) ** 2) as d from g, m), "
+    "l as (select *, cast(round((max(d) over (partition by pid) - d) / 343 * 48000) as bigint) as late, d / 8 as w from dd), "
+    f"{V} select ch // 8 as array_id, pid, n + late as n, {_r('sum(re * w)')} as re from v join l on v.ch % 8 = l.mid group by ch // 8, pid, n + late"
+)
+def delay_and_sum_array_signals(spark, d):
+    return _out(bf.delay_and_sum_time(bf.arrays(tb.vectors(spark, d), 8), _grid(spark), _mics(spark), 48000, keys=_ARRAY), "re")
 
 
 @query()
