@@ -8,33 +8,39 @@ finished shards are too.
 
 The rows of an arc (the cells between two virtual nodes) are interchangeable
 for the walk, so the walk runs over counts of arcs, whose number is a parameter
-and no matter of the data: own rows fill their shards by windows over the arcs,
-the overflow is carried once around the ring and a second time by a fold, and
-the result is a table of rank intervals. Rows get their rank inside an arc by
-counts of cells and a window inside each cell, which splits the ring evenly.
+and no matter of the data: they come to the driver, own rows fill their shards,
+the overflow is carried once around the ring and a second time, first in first
+out, and the result is a table of rank intervals. Every virtual node stays on
+the ring, also where it shares a cell with others and so has an empty arc, and
+cells grow with the nodes. Rows get their rank inside an arc by counts of cells
+and a window inside each cell, which splits the ring evenly.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1 << 14
+#: Cells of the ring at least, and for each virtual node.
+CELLS, NODE_CELLS = 1 << 14, 16
+
+
+def _cells(shards: int, nodes: int) -> int:
+    return max(CELLS, 1 << (shards * nodes * NODE_CELLS - 1).bit_length())
 
 
-def _cell(hash_: Column) -> Column:
-    return F.pmod(hash_, F.lit(CELLS)).cast("int")
+def _cell(hash_: Column, cells: int = CELLS) -> Column:
+    return F.pmod(hash_, F.lit(cells)).cast("int" if cells <= 1 << 31 else "long")
 
 
 def ring(spark, shards: int, nodes: int) -> DataFrame:
-    """(arc, shard, from_cell, to_cell): arcs in clockwise order, without those
-    of nodes that share a cell with an earlier one."""
-    points = spark.range(shards * nodes).select(
-        (F.col("id") % shards).cast("int").alias("shard"),
-        _cell(F.xxhash64(F.lit("node"), F.col("id"))).alias("at"),
-    )
-    points = points.groupBy("at").agg(F.min("shard").alias("shard"))
-    clockwise = Window.orderBy("at")
+    """(arc, shard, from_cell, to_cell): arcs of all nodes in clockwise order. Of nodes
+    that share a cell, that of the smallest hash has it and the others' arcs are empty."""
+    hash_ = F.xxhash64(F.lit("node"), F.col("id"))
+    points = spark.range(shards * nodes).select("id", (F.col("id") % shards).cast("int").alias("shard"), hash_.alias("hash"), _cell(hash_, _cells(shards, nodes)).alias("at"))
+    clockwise = Window.orderBy("at", "hash", "shard", "id")
     arcs = points.select(
         (F.row_number().over(clockwise) - 1).alias("arc"),
         "shard",
@@ -44,62 +50,35 @@ def ring(spark, shards: int, nodes: int) -> DataFrame:
     return arcs
 
 
-def _assignment(counts: DataFrame, arcs: DataFrame, shards: int) -> DataFrame:
+def _assignment(loads: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
     """(arc, lo, hi, shard, slot0): rows of an arc with ranks lo .. hi - 1 go to
-    shard, from slot0 on. counts: (arc, n)."""
-    total = counts.agg(F.sum("n").alias("rows"))
-    loads = arcs.join(F.broadcast(counts), "arc", "left").select("arc", "shard", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    room = (F.floor(F.col("rows") / shards) + F.when(F.col("shard") < F.col("rows") % shards, 1).otherwise(0)).cast("long")
-    loads = loads.join(F.broadcast(total), F.lit(True), "left").withColumn("room", F.coalesce(room, F.lit(0)))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("arc").rowsBetween(Window.unboundedPreceding, -1))
-    loads = loads.withColumn("before", F.coalesce(before, F.lit(0)))
-    loads = loads.withColumn("own", F.greatest(F.lit(0), F.least("n", F.col("room") - F.col("before"))))
-    own = loads.where("own > 0").select("arc", F.lit(0).cast("long").alias("lo"), F.col("own").alias("hi"), "shard", F.col("before").alias("slot0"))
-
-    # the overflow, carried around the ring: a fold over arcs, two laps
-    line = loads.groupBy().agg(F.sort_array(F.collect_list(F.struct("arc", "shard", (F.col("n") - F.col("own")).alias("over"), "room", "own"))).alias("arcs"))
-    free = F.expr(
-        f"transform(sequence(0, {shards - 1}), s -> aggregate(arcs, 0L, (x, a) -> x - if(a.shard = s, a.own, 0L), "
-        "x -> x + coalesce(array_max(transform(filter(arcs, a -> a.shard = s), a -> a.room)), 0L)))"
-    )
-    walk = F.expr(
-        "aggregate(concat(transform(arcs, a -> named_struct('arc', a.arc, 'shard', a.shard, 'over', a.over)),"
-        " transform(arcs, a -> named_struct('arc', a.arc, 'shard', a.shard, 'over', 0L))),"
-        " named_struct('carry', 0L, 'free', free, 'steps', cast(array() as array<struct<step:int,shard:int,taken:bigint>>)),"
-        " (s, a) -> named_struct("
-        "  'carry', s.carry - least(s.carry, s.free[a.shard]) + a.over,"
-        "  'free', transform(s.free, (x, i) -> if(i = a.shard, x - least(s.carry, x), x)),"
-        "  'steps', if(least(s.carry, s.free[a.shard]) > 0, concat(s.steps, array(named_struct('step', size(s.steps), 'shard', a.shard, 'taken', least(s.carry, s.free[a.shard])))), s.steps)),"
-        " s -> s.steps)"
-    )
-    steps = line.withColumn("free", free).select(F.inline(walk))
-    by_step = Window.orderBy("step")
-    so_far = Window.partitionBy("shard").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.select(
-        "shard",
-        "taken",
-        F.coalesce(F.sum("taken").over(by_step.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"),
-        F.coalesce(F.sum("taken").over(so_far), F.lit(0)).alias("slots"),
-    )
-    filled = loads.groupBy("shard").agg(F.sum("own").alias("filled"))
-    steps = steps.join(F.broadcast(filled), "shard").withColumn("end", F.col("begin") + F.col("taken"))
-    over = loads.where("n > own").select(
-        "arc",
-        F.col("own").alias("first"),
-        F.coalesce(F.sum(F.col("n") - F.col("own")).over(Window.orderBy("arc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("a"),
-        (F.col("n") - F.col("own")).alias("size"),
-    )
-    # first in, first out: the k-th row that overflowed is the k-th one taken up
-    met = over.join(F.broadcast(steps), (F.col("a") < F.col("end")) & (F.col("begin") < F.col("a") + F.col("size")))
-    lo, hi = F.greatest("a", "begin"), F.least(F.col("a") + F.col("size"), F.col("end"))
-    moved = met.select(
-        "arc",
-        (F.col("first") + lo - F.col("a")).alias("lo"),
-        (F.col("first") + hi - F.col("a")).alias("hi"),
-        "shard",
-        (F.col("filled") + F.col("slots") + lo - F.col("begin")).alias("slot0"),
-    )
-    return own.union(moved)
+    shard, from slot0 on. loads: (shard, rows) of each arc in clockwise order."""
+    rows = sum(n for _, n in loads)
+    room = [rows // shards + (s < rows % shards) for s in range(shards)]
+    taken = [0] * shards
+    plan, over = [], []
+    for arc, (shard, n) in enumerate(loads):
+        own = min(n, room[shard] - taken[shard])
+        if own:
+            plan.append((arc, 0, own, shard, taken[shard]))
+            taken[shard] += own
+        over.append((own, n))
+
+    # the overflow, carried around the ring: two laps, first in, first out
+    carried: deque[tuple[int, int, int]] = deque()
+    for lap in range(2):
+        for arc, (shard, _) in enumerate(loads):
+            while carried and taken[shard] < room[shard]:
+                of, lo, hi = carried.popleft()
+                some = min(hi - lo, room[shard] - taken[shard])
+                plan.append((of, lo, lo + some, shard, taken[shard]))
+                taken[shard] += some
+                if lo + some < hi:
+                    carried.appendleft((of, lo + some, hi))
+            if not lap and over[arc][0] < over[arc][1]:
+                carried.append((arc, *over[arc]))
+    assert not carried, "a shard has no arc"
+    return plan
 
 
 def shard_rows(rows: DataFrame, key: str, shards: int = 16, nodes: int = 64) -> DataFrame:
@@ -112,22 +91,25 @@ def shard_rows(rows: DataFrame, key: str, shards: int = 16, nodes: int = 64) ->
     full. Columns named cell, arc, shard, slot, home or rank must not be there.
     """
     spark = rows.sparkSession
+    size = _cells(shards, nodes)
     hash_ = F.xxhash64(F.lit("row"), F.col(key))
-    placed = rows.withColumn("cell", _cell(hash_))
+    placed = rows.withColumn("cell", _cell(hash_, size))
     arcs = ring(spark, shards, nodes)
-    cells = arcs.select("arc", F.col("shard").alias("home"), F.explode(F.sequence("from_cell", "to_cell")).alias("cell"))
-    tail = spark.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(F.broadcast(arcs.agg(F.max("to_cell").alias("end"))), F.col("cell") > F.col("end"))
-    cells = cells.union(tail.join(F.broadcast(arcs.where("arc = 0")), F.lit(True)).select("arc", "shard", "cell"))
-
-    counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(cells), "cell")
-    plan = _assignment(counts.groupBy("arc").agg(F.sum("n").alias("n")), arcs, shards)
+    kind = placed.schema["cell"].dataType
+    cells = arcs.where("from_cell <= to_cell").select("arc", F.explode(F.sequence("from_cell", "to_cell")).alias("cell"))
+    tail = spark.range(size).select(F.col("id").cast(kind).alias("cell")).join(F.broadcast(arcs.agg(F.max("to_cell").alias("end"))), F.col("cell") > F.col("end"))
+    cells = cells.union(tail.select(F.lit(0).alias("arc"), "cell"))
+
+    counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(cells, "cell")
+    of_arc = {r.arc: r.n for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
+    loads = [(r.shard, of_arc.get(r.arc, 0)) for r in arcs.orderBy("arc").collect()]
+    plan = spark.createDataFrame(_assignment(loads, shards), "of int, lo long, hi long, shard int, slot0 long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("cell", "arc", before.alias("before"))
     inside = Window.partitionBy("cell").orderBy(hash_, *[F.col(c) for c in rows.columns])
-    ranked = placed.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(starts), "cell").withColumn("rank", F.col("rank") + F.col("before"))
-    plan = plan.withColumnRenamed("arc", "of")
+    ranked = placed.withColumn("rank", F.row_number().over(inside) - 1).join(starts, "cell").withColumn("rank", F.col("rank") + F.col("before"))
     out = ranked.join(F.broadcast(plan), (F.col("arc") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return out.select(*rows.columns, F.col("shard").cast("int").alias("shard"), (F.col("slot0") + F.col("rank") - F.col("lo")).cast("long").alias("slot"))
+    return out.select(*rows.columns, "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, nodes: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
