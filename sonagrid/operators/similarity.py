@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +40,16 @@ def against(signal: DataFrame, reference) -> tuple[DataFrame, DataFrame]:
     return others, copies.select("ch", "n", "re")
 
 
-def correlation_lag(signal: DataFrame, reference: DataFrame, most: int, keys: Keys = ("ch",)) -> DataFrame:
-    """(lag, value): the lag between -most and most at which the sum of products
-    with reference (n, r) is largest in absolute value; the smallest lag of equals.
+def correlation_lag(signal: DataFrame, reference: DataFrame, most: int | None = None, keys: Keys = ("ch",)) -> DataFrame:
+    """(lag, value): the lag at which the sum of products with reference (n, re) is
+    largest in absolute value; the smallest lag of equals. All lags at which the two
+    overlap, or those between -most and most.
 
-    Each reference sample meets the 2 most + 1 lags around it: an equi-join on n,
-    summed by lag, so the size is samples times lags and never their square.
+    With ``most`` each reference sample meets the 2 most + 1 lags around it: an
+    equi-join on n, summed by lag. All lags take a fast transform of each channel.
     """
+    if most is None:
+        return _full_correlation_lag(signal, reference, keys)
     lags = F.explode(F.sequence(F.lit(-most).cast("long"), F.lit(most).cast("long")))
     moved = reference.select(F.col("n").alias("m"), F.col("re").alias("r"), lags.alias("lag")).withColumn("n", F.col("m") + F.col("lag"))
     sums = signal.join(moved, "n").groupBy(*keys, "lag").agg(F.sum(F.col("re") * F.col("r")).alias("v"))
@@ -52,6 +57,37 @@ def correlation_lag(signal: DataFrame, reference: DataFrame, most: int, keys: Ke
     return best.select(*keys, (-F.col("b.l")).alias("lag"), F.col("b.v").alias("value"))
 
 
+def _full_correlation_lag(signal: DataFrame, reference: DataFrame, keys: Keys) -> DataFrame:
+    samples = lambda name: F.collect_list(F.struct(F.col("n").cast("long").alias("n"), F.col("re").cast("double").alias("re"))).alias(name)
+    known = F.col("re").isNotNull() & F.col("n").isNotNull()
+    one = reference.where(known).agg(samples("r")).where(F.size("r") > 0)
+    arrays = signal.where(known).groupBy(*keys).agg(samples("s")).join(F.broadcast(one), F.lit(True))
+
+    def dense(column, i: int) -> tuple[int, np.ndarray]:
+        part = column.slice(i, 1).flatten()
+        n, x = np.asarray(part.field("n")), np.asarray(part.field("re"))
+        out = np.zeros(n.max() - n.min() + 1)
+        np.add.at(out, n - n.min(), x)
+        return int(n.min()), out
+
+    def run(it):
+        for batch in it:
+            lag, value = [], []
+            for i in range(batch.num_rows):
+                (a, x), (b, y) = dense(batch.column("s"), i), dense(batch.column("r"), i)
+                length = len(x) + len(y) - 1
+                size = 1 << (length - 1).bit_length()
+                # at index j the lag is a - b + j - (len(y) - 1)
+                sums = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y[::-1], size), size)[:length]
+                best = int(np.argmax(np.round(np.abs(sums), 9)))
+                lag.append(a - b + best - len(y) + 1)
+                value.append(float(sums[best]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(lag, pa.int64()), pa.array(value, pa.float64())], names=[*keys, "lag", "value"])
+
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in arrays.schema.fields if f.name in keys)
+    return arrays.mapInArrow(run, f"{schema}lag long, value double")
+
+
 def autocorrelation(signal: DataFrame, lags: int, keys: Keys = ("ch",)) -> DataFrame:
     """(lag, value) for lags 0 .. lags: sums of x[n] x[n + lag], by windows over the channel."""
     w = Window.partitionBy(*keys).orderBy("n")

@@ -517,6 +517,16 @@ def correlation_latency(spark, d):
     return _out(si.correlation_lag(v.where("ch <> 0"), v.where("ch = 0"), 16), "value")
 
 
+@query(
+    f"with {_ONE}, c as (select o.ch, o.n - r.n as lag, sum(o.re * r.re) as v from o, r group by o.ch, o.n - r.n), "
+    "x as (select *, row_number() over (partition by ch order by round(abs(v), 9) desc, lag) as i from c) "
+    f"select ch, lag, {_r('v')} as value from x where i = 1"
+)
+def correlation_latency_all_lags(spark, d):
+    v = tb.vectors(spark, d)
+    return _out(si.correlation_lag(v.where("ch <> 0"), v.where("ch = 0")), "value")
+
+
 @query(f"with {V} select a.ch, cast(b.n - a.n as integer) as lag, {_r('sum(a.re * b.re)')} as value from v a join v b on a.ch = b.ch and b.n - a.n between 0 and 8 group by a.ch, b.n - a.n")
 def autocorrelation(spark, d):
     return _out(si.autocorrelation(tb.vectors(spark, d), 8), "value")

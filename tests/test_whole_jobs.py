@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonagrid.operators import beamforming as bf
+from sonagrid.operators import similarity as si
 from sonagrid.operators import spectra as sp
 
 
@@ -35,3 +36,13 @@ def test_all_channels_take_part_in_the_maps(spark, name):
     d = "/root/testdata/sf0.001"
     users = {r[0] for r in spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().collect()}
     assert {r[0] for r in queries.queries()[name](spark, d).select("array_id").distinct().collect()} == {u // 8 for u in users}
+
+
+def test_latency_of_more_than_sixteen_samples(spark):
+    x = np.random.default_rng(1).normal(size=64)
+    late, early = np.concatenate([np.zeros(41), -2 * x[:23]]), np.concatenate([x[37:], np.zeros(37)])
+    rows = [(c, n, float(v)) for c, y in ((1, late), (2, early)) for n, v in enumerate(y)]
+    signal = spark.createDataFrame(rows, "ch long, n long, re double")
+    reference = spark.createDataFrame([(n, float(v)) for n, v in enumerate(x)], "n long, re double")
+    got = {r.ch: (r.lag, r.value) for r in si.correlation_lag(signal, reference).collect()}
+    assert got == {1: (41, pytest.approx(-2 * (x[:23] ** 2).sum())), 2: (-37, pytest.approx((x[37:] ** 2).sum()))}
