@@ -3,10 +3,12 @@
 The standard library's parser streams a page's events into lines, one for each
 block. A line's ratio is its characters for each tag; ratios are smoothed along
 the page with a Gaussian, and lines above the threshold (the smaller of two
-clusters' midpoint and the mean) are content. The content lines choose the
-region: the container that holds most of their characters, an article or main
-element before others. All lines of the region that are not in a container of
-another kind (menus, forms, adverts, comments ...) are the text.
+clusters' midpoint and the mean) or of running text by themselves are content.
+The region is all article and main elements if they hold half of the content,
+or else the smallest container that holds every content line and main heading; lists, tables and
+quotations are parts of a text and no region. All lines of the region that are
+not in a container of another kind (menus, forms, adverts, comments ...) are
+the text.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ ASIDE = set(
 #: A class that begins so tells of something elsewhere on the page.
 ELSEWHERE = set("has with without no not is".split())
 MAIN = ("article", "main")
+#: Blocks inside of a text, which do not bound it.
+PARTS = set("ul ol dl li dt dd table caption colgroup thead tbody tfoot tr td th blockquote pre figure figcaption details summary address hgroup".split())
+#: Characters for each tag from which on a line is running text.
+RUNNING = 40
 
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none")
@@ -48,6 +54,7 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.titles: list[bool] = []  # of lines: inside h1
         self.open: list[tuple[str, int, bool]] = []  # tag, container number, skipped
         self.kind: list[str] = []
         self.parts: list[str] = []
@@ -58,6 +65,7 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             self.lines.append((text, self.tags, tuple(x[1] for x in self.open if x[1] >= 0)))
+            self.titles.append(any(x[0] == "h1" for x in self.open))
         self.parts, self.tags = [], 0
 
     def _pop(self) -> None:
@@ -166,24 +174,20 @@ def main_text(html: str | None) -> str:
     if not page.lines:
         return ""
     sizes = np.array([len(t) for t, _, _ in page.lines], dtype=float)
-    ratios = smoothed(sizes / np.array([max(1, n) for _, n, _ in page.lines]))
-    content = content_lines(ratios)
-    inside: dict[int, float] = {}
-    for (_, _, around), size, good in zip(page.lines, sizes, content):
+    own = sizes / np.array([max(1, n) for _, n, _ in page.lines])
+    content = content_lines(smoothed(own)) | (own >= RUNNING) | np.array(page.titles)
+    marked = {k for k, tag in enumerate(page.kind) if tag in MAIN}
+    inside = np.array([not marked.isdisjoint(around) for _, _, around in page.lines])
+    if 2 * sizes[content & inside].sum() >= sizes[content].sum():
+        return "\n".join(t for (t, _, _), good in zip(page.lines, inside) if good)
+    content |= inside
+    common: tuple[int, ...] | None = None
+    for (_, _, around), good in zip(page.lines, content):
         if good:
-            for k in around:
-                inside[k] = inside.get(k, 0.0) + size
-    marked = [k for k in inside if page.kind[k] in MAIN]
-    if marked:
-        most = max(inside[k] for k in marked)
-        region = min(k for k in marked if inside[k] == most)
-    elif inside:
-        # the innermost container that still holds the bulk of the content
-        whole = sum(sizes[content])
-        region = max((k for k in inside if inside[k] >= 0.7 * whole), default=None)
-    else:
-        region = None
-    return "\n".join(t for t, _, around in page.lines if region is None or region in around)
+            around = tuple(k for k in around if page.kind[k] not in PARTS)
+            same = around if common is None else common
+            common = tuple(a for a, b in zip(same, around) if a == b)
+    return "\n".join(t for t, _, around in page.lines if not common or common[-1] in around)
 
 
 def _extract(it):

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from sonagrid.llm import sharding
+from sonagrid.llm import html_text, sharding
 
 
 @pytest.mark.parametrize("shards", [1000, 2000])
@@ -15,3 +15,29 @@ def test_many_shards_return_every_row(spark, shards):
     counts = Counter(r.shard for r in got)
     assert sorted(counts) == list(range(shards)) and set(counts.values()) <= {3, 4}
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(counts[s])) for s in range(0, shards, 97))
+
+
+def _words(n, word="word"):
+    return " ".join([word] * (n // (len(word) + 1)))
+
+
+@pytest.mark.parametrize(
+    "html, parts",
+    [
+        # a split body: the lead is less than a third of the text
+        (f"<div class=post><div class=lead>{_words(300, 'lead')}</div><div class=rest>{_words(1200, 'rest')}</div></div>", ["lead", "rest"]),
+        # a heading outside of the body's container
+        (f"<div class=post><h1>Heading</h1><div class=body><p>{_words(400)}</p><p>{_words(500)}</p></div></div>", ["Heading", "word"]),
+        # a list and a quotation with most of the characters
+        (f"<div><h2>Heading</h2><p>{_words(200, 'intro')}</p><ul>" + f"<li>{_words(300, 'item')}</li>" * 5 + "</ul></div>", ["Heading", "intro", "item"]),
+        (f"<div><h2>Heading</h2><blockquote><p>{_words(900, 'quote')}</p><p>{_words(900, 'more')}</p></blockquote></div>", ["Heading", "quote", "more"]),
+        # several articles, a short one among them
+        (f"<body><article><p>{_words(900, 'first')}</p></article><article><h2>Two</h2><p>short</p></article><article><p>{_words(300, 'third')}</p></article></body>", ["first", "Two", "short", "third"]),
+        # an article that is only a teaser
+        (f"<div><div><p>{_words(900, 'body')}</p></div><article><p>{_words(100, 'teaser')}</p></article></div>", ["body", "teaser"]),
+    ],
+)
+def test_no_part_of_a_page_is_lost(html, parts):
+    menu = "<nav><a href='/'>Home</a></nav><div class=menu><a href='/a'>A</a></div>"
+    text = html_text.main_text(f"<html><body>{menu}{html}</body></html>")
+    assert all(p in text for p in parts) and "Home" not in text
