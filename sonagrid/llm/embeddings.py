@@ -81,14 +81,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _cells(width: int, tables: int):
     def run(it):
         for batch in it:
-            for a in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(a, BLOCK)
-                cells = _slabs(_unit(_matrix(part.column("embedding"))), width, tables)
-                row = np.repeat(np.arange(part.num_rows), tables)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(row)), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(cells.ravel())],
-                    names=["id", "t", "cell"],
-                )
+            dims = np.asarray(batch.column("dim"))
+            for dim in np.unique(dims):
+                mine = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                for a in range(0, mine.num_rows, BLOCK):
+                    part = mine.slice(a, BLOCK)
+                    cells = _slabs(_unit(_matrix(part.column("embedding"))), width, tables)
+                    row = pa.array(np.repeat(np.arange(part.num_rows), tables))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id").take(row), part.column("dim").take(row), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(cells.ravel())],
+                        names=["id", "dim", "t", "cell"],
+                    )
 
     return run
 
@@ -169,22 +172,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     classes = written(same.withColumn("dim", F.size("embedding")), "vectors")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     how = plan(cosine, largest, miss)
-    dims = [r[0] for r in classes.select("dim").distinct().limit(1000).collect()]
-    found = None
-    for dim in dims:
-        mine = classes.where(F.col("dim") == dim)
-        cell = mine.select("id", "embedding").mapInArrow(_cells(how["width"], how["tables"]), "id long, t int, cell long")
-        cell = cell.join(mine.select("id", "label"), "id")
-        sizes = cell.groupBy("label", "t", "cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        spread = cell.join(sizes, ["label", "t", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("id", "label", "t", "cell", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-        full = spread.join(mine.select("id", "embedding", "times"), "id")
-        part = full.groupBy("label", "t", "cell", "lo", "hi").applyInArrow(_links(cosine, how["width"], how["tables"], how["count"]), "id long, links long, root long")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "id long, links long, root long")
+    cell = classes.select("id", "dim", "embedding").mapInArrow(_cells(how["width"], how["tables"]), "id long, dim int, t int, cell long")
+    cell = cell.join(classes.select("id", "dim", "label"), ["id", "dim"])
+    keys = ["label", "dim", "t", "cell"]
+    sizes = cell.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    spread = cell.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("id", *keys, "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    full = spread.join(classes.select("id", "dim", "embedding", "times"), ["id", "dim"])
+    found = full.groupBy(*keys, "lo", "hi").applyInArrow(_links(cosine, how["width"], how["tables"], how["count"]), "id long, links long, root long")
     found = written(found, "links")
     parts = connected_components(found.select("id", "root"), "id", "root").withColumnRenamed("node", "id")
     per = classes.select("label", "embedding", "id", "times").join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(parts, "id", "left")

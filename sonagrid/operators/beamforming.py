@@ -21,9 +21,8 @@ def _distance(a: str, b: str) -> Column:
 
 
 def distances(points: DataFrame, to: DataFrame) -> DataFrame:
-    """(pid, mid, d): of all points (pid, x, y, z) to a small set (pid, x, y, z)."""
-    small = to.limit(4096)
-    return points.alias("p").join(F.broadcast(small.alias("m")), F.lit(True)).select(F.col("p.pid").alias("pid"), F.col("m.pid").alias("mid"), _distance("p", "m").alias("d"))
+    """(pid, mid, d): of all points (pid, x, y, z) to all of a set (pid, x, y, z)."""
+    return points.alias("p").join(to.alias("m"), F.lit(True)).select(F.col("p.pid").alias("pid"), F.col("m.pid").alias("mid"), _distance("p", "m").alias("d"))
 
 
 def nearest(points: DataFrame, x: float, y: float, z: float) -> DataFrame:
@@ -38,8 +37,7 @@ def extent(points: DataFrame) -> DataFrame:
 
 def aperture(mics: DataFrame) -> DataFrame:
     """(aperture, spacing): largest and smallest distance of two microphones of an array."""
-    small = mics.limit(4096)
-    pairs = small.alias("a").join(F.broadcast(small.alias("b")), F.col("a.pid") < F.col("b.pid"))
+    pairs = mics.alias("a").join(mics.alias("b"), F.col("a.pid") < F.col("b.pid"))
     return pairs.select(_distance("a", "b").alias("d")).agg(F.max("d").alias("aperture"), F.min("d").alias("spacing"))
 
 
@@ -101,7 +99,7 @@ def monopole(signal: DataFrame, place: tuple[float, float, float], mics: DataFra
     """(ch, n, re): a source's signal (n, re) at each microphone, later by whole samples and weaker by 1 / (1 + d)."""
     d = F.sqrt(sum(((F.col(a) - v) * (F.col(a) - v) for a, v in zip("xyz", place)), F.lit(0.0)))
     arrive = mics.select(F.col("pid").alias("ch"), F.round(d / c * rate_hz).cast("long").alias("late"), (1.0 / (1.0 + d)).alias("g"))
-    return signal.join(F.broadcast(arrive.limit(4096)), F.lit(True)).select("ch", (F.col("n") + F.col("late")).alias("n"), (F.col("re") * F.col("g")).alias("re"))
+    return signal.join(arrive, F.lit(True)).select("ch", (F.col("n") + F.col("late")).alias("n"), (F.col("re") * F.col("g")).alias("re"))
 
 
 def helmholtz_to_hz(he: Column, aperture_m: Column, c: float = 343.0) -> Column:

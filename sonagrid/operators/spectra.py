@@ -67,9 +67,9 @@ def dft(signal: DataFrame, length: int, rate_hz: int = 1, keys: Keys = ("ch",))
 
 
 def dft_at(signal: DataFrame, frequencies: DataFrame, rate_hz: int, keys: Keys = ("ch",)) -> DataFrame:
-    """Fourier sums at any frequencies: frequencies is a small table (f_hz)."""
+    """Fourier sums at any frequencies: frequencies is a table (f_hz)."""
     angle = F.col("n") * F.col("f_hz") * (-2 * pi / rate_hz)
-    pairs = signal.join(F.broadcast(frequencies.limit(4096)), F.lit(True))
+    pairs = signal.join(frequencies, F.lit(True))
     return pairs.groupBy(*keys, "f_hz").agg(F.sum(F.col("re") * F.cos(angle)).alias("re"), F.sum(F.col("re") * F.sin(angle)).alias("im"))
 
 
@@ -196,7 +196,7 @@ def interpolate(spectrum: DataFrame, at: DataFrame, value: str = "value", keys:
     An as-of join by union: each asked frequency looks back and ahead along
     its channel for the next bins.
     """
-    asked = spectrum.select(*keys).distinct().join(F.broadcast(at.limit(4096)), F.lit(True)).select(*keys, "f_hz", F.lit(None).cast("double").alias("v"), F.lit(1).alias("ask"))
+    asked = spectrum.select(*keys).distinct().join(at, F.lit(True)).select(*keys, "f_hz", F.lit(None).cast("double").alias("v"), F.lit(1).alias("ask"))
     both = spectrum.select(*keys, "f_hz", F.col(value).alias("v"), F.lit(0).alias("ask")).union(asked)
     w = Window.partitionBy(*keys).orderBy("f_hz", "ask")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from sonagrid.llm import html_text, sharding
+from sonagrid.llm import embeddings, html_text, sharding
 
 
 @pytest.mark.parametrize("shards", [1000, 2000])
@@ -41,3 +41,10 @@ def test_no_part_of_a_page_is_lost(html, parts):
     menu = "<nav><a href='/'>Home</a></nav><div class=menu><a href='/a'>A</a></div>"
     text = html_text.main_text(f"<html><body>{menu}{html}</body></html>")
     assert all(p in text for p in parts) and "Home" not in text
+
+
+def test_vectors_of_many_dimensions_link(spark):
+    rows = [(2 * d + k, [1.0] * d + [0.01 * k], "a") for d in range(1, 1102) for k in (0, 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert len(got) == len(rows)
+    assert all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got)

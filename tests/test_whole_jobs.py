@@ -46,3 +46,16 @@ def test_latency_of_more_than_sixteen_samples(spark):
     reference = spark.createDataFrame([(n, float(v)) for n, v in enumerate(x)], "n long, re double")
     got = {r.ch: (r.lag, r.value) for r in si.correlation_lag(signal, reference).collect()}
     assert got == {1: (41, pytest.approx(-2 * (x[:23] ** 2).sum())), 2: (-37, pytest.approx((x[37:] ** 2).sum()))}
+
+
+def test_no_frequency_or_microphone_is_left_out(spark):
+    n = 4500
+    one = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "ch long, n long, re double")
+    frequencies = spark.range(n).select((F.col("id") / 10).alias("f_hz"))
+    assert sp.dft_at(one, frequencies, 1000).count() == n
+    line = spark.createDataFrame([(0, 0.0, 1.0), (0, 400.0, 5.0)], "ch long, f_hz double, value double")
+    assert sp.interpolate(line, frequencies).count() == n
+    mics = spark.range(n).select(F.col("id").alias("pid"), (F.col("id") * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    assert bf.distances(mics.where("pid = 0"), mics).agg(F.count("*"), F.max("d")).first()[:] == (n, n - 1.0)
+    assert bf.monopole(one.select("n", "re"), (0.0, 0.0, 0.0), mics, 1000).count() == 2 * n
+    assert bf.aperture(mics).first()[:] == (n - 1.0, 1.0)
