@@ -25,13 +25,15 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(rows, "l_suppkey", order, "l_extendedprice")
 
 
-def hourly(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
-    """A channel for each event type: events in each hour from 2024-01-01 on, zero where there are none."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts")
-    hour = F.expr("cast(floor(timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) / 3600000000) as long)")
-    counts = rows.groupBy(F.col("event_type").alias("ch"), hour.alias("n")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    grid = rows.select(F.col("event_type").alias("ch")).distinct().select("ch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24 * days - 1).cast("long"))).alias("n"))
-    return grid.join(counts, ["ch", "n"], "left").select("ch", "n", F.coalesce("c", F.lit(0.0)).alias("re"))
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A channel for each event type: events in each hour from the table's first to its last, zero where there are none."""
+    hour = F.expr("cast(floor(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) / 3600000000) as long)")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("ch"), hour.alias("hour"))
+    ends = rows.agg(F.min("hour").alias("first"), F.max("hour").alias("last"))
+    counts = rows.groupBy("ch", "hour").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    types = rows.select("ch").distinct().join(F.broadcast(ends), F.lit(True))
+    grid = types.where("first is not null").select("ch", "first", F.explode(F.sequence("first", "last")).alias("hour"))
+    return grid.join(counts, ["ch", "hour"], "left").select("ch", (F.col("hour") - F.col("first")).alias("n"), F.coalesce("c", F.lit(0.0)).alias("re"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

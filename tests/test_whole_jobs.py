@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sonagrid.operators import beamforming as bf
 from sonagrid.operators import similarity as si
 from sonagrid.operators import spectra as sp
+from sonagrid.sources import tables as tb
 
 
 def test_each_array_has_its_own_matrix_and_map(spark):
@@ -59,3 +60,12 @@ def test_no_frequency_or_microphone_is_left_out(spark):
     assert bf.distances(mics.where("pid = 0"), mics).agg(F.count("*"), F.max("d")).first()[:] == (n, n - 1.0)
     assert bf.monopole(one.select("n", "re"), (0.0, 0.0, 0.0), mics, 1000).count() == 2 * n
     assert bf.aperture(mics).first()[:] == (n - 1.0, 1.0)
+
+
+def test_hours_before_and_after_one_month(spark, tmp_path):
+    rows = [("a", "2023-12-30 22:30:00"), ("a", "2024-01-10 00:00:00"), ("b", "2024-03-01 05:59:59"), ("b", "2024-03-01 05:00:00")]
+    spark.createDataFrame(rows, "event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = tb.hourly(spark, str(tmp_path)).collect()
+    hours = 61 * 24 + 8
+    assert sorted((r.ch, r.n) for r in got) == [(c, n) for c in "ab" for n in range(hours)]
+    assert {(r.ch, r.n): r.re for r in got if r.re} == {("a", 0): 1.0, ("a", 10 * 24 + 2): 1.0, ("b", hours - 1): 2.0}
