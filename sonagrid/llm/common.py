@@ -3,7 +3,7 @@ shared folder, connected components."""
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 
 import numpy as np
@@ -23,11 +23,11 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir. It is never made up here: on a cluster
+    a folder of one machine would lose what other machines write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -48,6 +48,33 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# --- joins with hot keys ------------------------------------------------------
+
+#: Hot keys of a join at most; a key is hot with more than a HOT_KEYS-th of all rows.
+HOT_KEYS = 10_000
+#: Rows that one task takes well whatever their share.
+FEW_ROWS = 100
+
+
+def hot_bound(total: int) -> int:
+    """Rows of a key above which it is hot; at most HOT_KEYS keys can be."""
+    return max(FEW_ROWS, total // HOT_KEYS)
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner, left or left_semi) with ``keyed``, which has one row for
+    each key and in ``n`` the rows of the key, of ``total`` in all.
+
+    Rows of a hot key would meet in one task. At most HOT_KEYS keys are hot, so
+    their part of ``keyed`` is broadcast and their rows stay where they are; the
+    others are shuffled. ``keyed`` and ``rows`` are read twice: pass tables.
+    """
+    bound = hot_bound(total)
+    hot, cold = (keyed.where(c).drop(n) for c in (F.col(n) > bound, F.col(n) <= bound))
+    common = rows.join(F.broadcast(hot), on, "left_semi" if how == "left_semi" else "inner")
+    return common.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
+
+
 # --- connected components ---------------------------------------------------
 
 
@@ -55,8 +82,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component): the smallest id that each node of an edge reaches.
 
     Alternating large-star and small-star rounds; the edges of a round are a
-    table in the shared folder, never on the driver. Loops, repeats and null
-    ends are ignored; no edges give no rows.
+    table in the shared folder, never on the driver. The hubs of the stars are
+    hot keys: see join_by_key. Loops, repeats and null ends are ignored; no
+    edges give no rows.
     """
     now = written(
         edges.where(F.col(a) != F.col(b))
@@ -73,19 +101,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             )
         mark = at
         both = now.union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = written(least.select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = written(join_by_key(both, least, ["u"], "n", 2 * at[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        small = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "small")
         new = (
-            large.join(small, "u")
+            join_by_key(large, small, ["u"], "n", at[0])
             .where("v != m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small)
+            .union(small.select("u", "m"))
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             .distinct()
         )
         old, now = now, written(new, "edges")
-        dropped(old)
+        for table in (old, least, large, small):
+            dropped(table)
 
 
 # --- words ------------------------------------------------------------------
@@ -125,9 +155,6 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-_B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -135,41 +162,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _B)
-_powers: dict[int, np.ndarray] = {}
-
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+SHORT = 32
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, dtype=np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if len(have) <= 1 << 22:
-            _powers[int(base)] = have
-    return have[:n]
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of words, independent for each key.
 
-_INVERSE = {int(b): np.uint64(pow(int(b), -1, 1 << 64)) for b in (_B, _C)}
-
-
-class Rolling:
-    """Hashes of spans of a sequence in constant time each: prefix sums of
-    value[i] * base**i modulo 2**64, mixed at the end."""
+    Eight bytes at a time go into a state that is scrambled after each step, so
+    no relation among letters (as in sums of powers) carries over to hashes.
+    Words of over SHORT bytes have a keyed BLAKE2b digest.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out = mix(size.astype(np.uint64) * _ODD + np.uint64(2 * key + 1))
+    at = np.flatnonzero(size <= SHORT)
+    k = 0
+    while len(at):
+        left = size[at] - k
+        out[at] = mix((out[at] ^ (eight[starts[at] + k] & _LOW_BYTES[np.minimum(left, 8)])) * _ODD + np.uint64(key))
+        k += 8
+        at = at[left > 8]
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw, by = data.tobytes(), key.to_bytes(8, "little")
+        digests = [hashlib.blake2b(raw[x:y], digest_size=8, key=by).digest() for x, y in zip(starts[long].tolist(), ends[long].tolist())]
+        out[long] = np.frombuffer(b"".join(digests), dtype="<u8")
+    return out
 
-    def __init__(self, values: np.ndarray, base: np.uint64 = _C):
-        self.inverse = powers(_INVERSE[int(base)], len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * powers(base, len(values)), out=self.sums[1:])
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes; the order counts."""
+    return mix(mix(a + _ODD) ^ (b * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words."""
-    return mix(Rolling(_BYTE[data], _B).spans(starts, ends) + (ends - starts).astype(np.uint64))
+def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` consecutive values, by doubling: a run is two
+    of half its length, or two that overlap where no power of two fits."""
+    reach = 1
+    while 2 * reach <= size:
+        values = joined(values[: max(0, len(values) - reach)], values[reach:])
+        reach *= 2
+    if reach < size:
+        step = size - reach
+        values = joined(values[: max(0, len(values) - step)], values[step:])
+    return values
 
 
 def batches(rows: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:

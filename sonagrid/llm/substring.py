@@ -20,6 +20,11 @@ seed whose owned stretches agree word by word form a class:
 * the class's own first document can only repeat windows of another class of
   the same seed; for those alone the windows are extended and grouped one by
   one.
+
+Windows are told apart by two hashes of independent keys, one of the seed's
+words and one of the window's, so two that differ count as equal with a chance
+of 2 ** -64 for each pair with the same seed, and 2 ** -128 for others. Seeds
+and classes of common passages are hot keys; see common.join_by_key.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonagrid.llm.common import Rolling, dropped, mix, text_slices, utf8, word_hashes, words, written
+from sonagrid.llm.common import dropped, join_by_key, joined, mix, run_hashes, text_slices, utf8, word_hashes, words, written
 
 _SEEDS = "doc long, tag int, q0 int, n int, h long, c long"
 _WINDOWS = "doc long, tag int, q int, h long, w long"
@@ -63,10 +68,8 @@ def _seeds(window: int):
                 starts, ends, first = words(data, off)
                 if len(starts) < window:
                     continue
-                roll = Rolling(word_hashes(data, starts, ends))
-                n = len(starts)
-                p = np.arange(n - half + 1)
-                short = roll.spans(p, p + half)
+                short = run_hashes(word_hashes(data, starts, ends), half)
+                full = run_hashes(word_hashes(data, starts, ends, key=1), window)
                 seed = _leftmost_min(short, window - half + 1)
                 sizes = np.diff(first)
                 doc = np.repeat(np.arange(len(sizes)), np.maximum(sizes - window + 1, 0))
@@ -78,7 +81,8 @@ def _seeds(window: int):
                 new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])))
                 last = np.append(new[1:], len(q)) - 1
                 q0, q1, place = q[new], q[last], own[new]
-                stretch = mix(roll.spans(q0, q1 + window) ^ ((place - q0) * 64 + (q1 - q0)).astype(np.uint64))
+                # the first and the last window cover the stretch, as it owns one seed
+                stretch = mix(joined(full[q0], full[q1]) + ((place - q0) * window + (q1 - q0)).astype(np.uint64))
                 d = doc[new]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -108,7 +112,7 @@ def _extend(window: int):
             for a, b in text_slices(text):
                 data, off = utf8(text.slice(a, b - a))
                 starts, ends, first = words(data, off)
-                roll = Rolling(word_hashes(data, starts, ends))
+                full = run_hashes(word_hashes(data, starts, ends, key=1), window)
                 at, found = _lists(batch.column("found").slice(a, b - a))
                 doc = np.repeat(np.arange(b - a), np.diff(at))
                 q0, n = (np.asarray(found.field(x), dtype=np.int64) for x in ("q0", "n"))
@@ -122,7 +126,7 @@ def _extend(window: int):
                         batch.column("tag").slice(a, b - a).take(pa.array(doc[each])),
                         pa.array(q.astype(np.int32)),
                         pa.array(h[each]),
-                        pa.array(roll.spans(begin, begin + window).view(np.int64)),
+                        pa.array(full[begin].view(np.int64)),
                     ],
                     names=["doc", "tag", "q", "h", "w"],
                 )
@@ -173,27 +177,37 @@ def _cut(window: int, extra: list[str]):
 def _level(docs: DataFrame, window: int) -> DataFrame:
     """(doc, tag, q0, n, h, c): seeds that two documents or more have. These alone
     can be part of a repeated window; all others end here."""
-    seeds = written(docs.mapInArrow(_seeds(window), _SEEDS), "seeds")
-    repeated = seeds.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
-    shared = written(seeds.join(repeated, "h", "left_semi").select("doc", "tag", "q0", "n", "h", "c"), "shared")
+    seeds = written(docs.where("doc is not null").mapInArrow(_seeds(window), _SEEDS), "seeds")
+    repeated = seeds.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("times"))
+    repeated = written(repeated.where("lo < hi").select("h", "times"), "repeated")
+    shared = written(join_by_key(seeds, repeated, ["h"], "times", _total(repeated, "times"), "left_semi").select("doc", "tag", "q0", "n", "h", "c"), "shared")
     dropped(seeds)
+    dropped(repeated)
     return shared
 
 
+def _total(keyed: DataFrame, n: str) -> int:
+    return keyed.agg(F.sum(n)).first()[0] or 0
+
+
 def _spans(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """(doc, tag, q0, n) of the windows over shared seeds that repeat from a smaller id."""
-    classes = shared.groupBy("h", "c").agg(F.min("doc").alias("least"))
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    alive = shared.join(classes.join(several, "h"), ["h", "c"]).where("doc > least or k > 1")
+    classes = written(shared.groupBy("h", "c").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("times")), "classes")
+    several = written(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
+    # alone: no other class has the seed, so its first document repeats nothing
+    marked = join_by_key(classes, several.withColumn("alone", F.lit(False)), ["h"], "k", _total(several, "k"), "left")
+    marked = written(marked.withColumn("alone", F.coalesce("alone", F.lit(True))), "marked")
+    alive = join_by_key(shared, marked, ["h", "c"], "times", _total(marked, "times")).where("doc > least or not alone")
     alive = written(alive.select("doc", "tag", "q0", "n", "h", (F.col("doc") > F.col("least")).alias("whole")), "alive")
-    parts = alive.where("not whole").groupBy("doc", "tag").agg(F.collect_list(F.struct("q0", "n", "h")).alias("found"))
+    parts = alive.where("not whole").groupBy("doc", "tag").agg(F.collect_set(F.struct("q0", "n", "h")).alias("found"))
     windows = written(
         docs.join(parts.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "found").mapInArrow(_extend(window), _WINDOWS),
         "windows",
     )
-    earliest = windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    single = windows.join(earliest, ["h", "w"]).where("doc > least").select("doc", "tag", F.col("q").alias("q0"), F.lit(1).alias("n"))
-    return alive.where("whole").select("doc", "tag", "q0", "n").union(single)
+    earliest = windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("times"))
+    earliest = written(earliest.where("least < most").select("h", "w", "least", "times"), "earliest")
+    single = join_by_key(windows, earliest, ["h", "w"], "times", _total(earliest, "times")).where("doc > least")
+    return alive.where("whole").select("doc", "tag", "q0", "n").union(single.select("doc", "tag", F.col("q").alias("q0"), F.lit(1).alias("n")))
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -249,7 +263,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     rows = _rows(docs, id_col, text_col)
-    spans = repeated_spans(rows, window).groupBy("doc", "tag").agg(F.collect_list(F.struct("q0", "n")).alias("found"))
+    spans = repeated_spans(rows, window).groupBy("doc", "tag").agg(F.collect_set(F.struct("q0", "n")).alias("found"))
     if carry:
         rows = _rows(docs, id_col, text_col, F.struct(*carry).alias("extra"))
     more = ["extra"] if carry else []
