@@ -56,20 +56,24 @@ HOT_KEYS = 10_000
 FEW_ROWS = 100
 
 
-def hot_bound(total: int) -> int:
+def hot_bound(rows_in_all: int) -> int:
     """Rows of a key above which it is hot; at most HOT_KEYS keys can be."""
-    return max(FEW_ROWS, total // HOT_KEYS)
+    return max(FEW_ROWS, rows_in_all // HOT_KEYS)
 
 
-def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+def total(keyed: DataFrame, n: str) -> int:
+    return keyed.agg(F.sum(n)).first()[0] or 0
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, rows_in_all: int | None = None, how: str = "inner") -> DataFrame:
     """rows joined (inner, left or left_semi) with ``keyed``, which has one row for
-    each key and in ``n`` the rows of the key, of ``total`` in all.
+    each key and in ``n`` the rows of the key.
 
     Rows of a hot key would meet in one task. At most HOT_KEYS keys are hot, so
     their part of ``keyed`` is broadcast and their rows stay where they are; the
     others are shuffled. ``keyed`` and ``rows`` are read twice: pass tables.
     """
-    bound = hot_bound(total)
+    bound = hot_bound(total(keyed, n) if rows_in_all is None else rows_in_all)
     hot, cold = (keyed.where(c).drop(n) for c in (F.col(n) > bound, F.col(n) <= bound))
     common = rows.join(F.broadcast(hot), on, "left_semi" if how == "left_semi" else "inner")
     return common.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))

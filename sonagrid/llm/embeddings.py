@@ -12,13 +12,14 @@ label, so the sorted projections are first cut in slabs: ``tables`` times, rows
 with the same label and the same slab on each of ``width`` directions meet in a
 cell. A threshold pair shares a direction's slab with known chance, so the
 number of tables that finds all but ``miss`` of them is known too. ``width``
-grows with the logarithm of the largest label, which keeps a vector's company
+grows with the logarithm of the label's size, which keeps a vector's company
 bounded while its copies grow slowly (about n ** 0.25).
 
 Inside a cell the windows are counted over sorted projections, block by block.
 A pair counts in the first table where it meets only, so a cell returns for
 each vector a number of links and one edge of a spanning forest, never pairs.
-Equal vectors of a label are one entry with a multiplicity.
+Equal vectors of a label are one entry with a multiplicity and a number of its
+own, so ids may be repeated or null.
 """
 
 from __future__ import annotations
@@ -29,25 +30,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sonagrid.llm.common import connected_components, written
+from sonagrid.llm.common import connected_components, dropped, join_by_key, written
 
 SLAB = 1.2
 WINDOW = 0.6
 COUNTERS = 24
 BLOCK = 2048
+#: Directions of a table at most; a label would need 10 ** 11 vectors to want more.
+WIDEST = 20
 
 
-def plan(cosine: float, largest: int, miss: float = 1e-3) -> dict:
-    """Directions for each table, number of tables, collisions to reach."""
-    near, far = sqrt(2 - 2 * cosine), sqrt(2)
+def _same_slab(distance: float) -> float:
+    """Chance that two vectors at this distance share a direction's slab."""
+    x = SLAB / distance
+    return erf(x / sqrt(2)) - 2 / (sqrt(2 * pi) * x) * (1 - exp(-x * x / 2))
 
-    def slab(d):
-        x = SLAB / d
-        return erf(x / sqrt(2)) - 2 / (sqrt(2 * pi) * x) * (1 - exp(-x * x / 2))
 
-    width = max(1, min(12, round(log(max(largest, 1) / 64) / -log(slab(far)))))
-    tables = max(1, int(np.ceil(log(miss) / log(1 - slab(near) ** width))))
+def widths() -> list[int]:
+    """Sizes of a label above which one more direction is used: entry k is for width k + 2."""
+    return [round(64 * _same_slab(sqrt(2)) ** -(w - 0.5)) for w in range(2, WIDEST + 1)]
+
+
+def plan(cosine: float, width: int, miss: float = 1e-3) -> dict:
+    """Number of tables of ``width`` directions, collisions to reach."""
+    near = sqrt(2 - 2 * cosine)
+    tables = max(1, int(np.ceil(log(miss) / log(1 - _same_slab(near) ** width))))
     hit = erf(WINDOW / near / sqrt(2))
     chance, count = 0.0, 0
     while chance + comb(COUNTERS, count) * hit**count * (1 - hit) ** (COUNTERS - count) <= miss:
@@ -78,29 +87,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(width: int, tables: int):
+def _cells(cosine: float, miss: float):
     def run(it):
         for batch in it:
-            dims = np.asarray(batch.column("dim"))
-            for dim in np.unique(dims):
-                mine = batch.take(pa.array(np.flatnonzero(dims == dim)))
+            dims, wide = np.asarray(batch.column("dim")), np.asarray(batch.column("width"))
+            for dim, width in np.unique(np.stack([dims, wide], axis=1), axis=0):
+                tables = plan(cosine, int(width), miss)["tables"]
+                mine = batch.take(pa.array(np.flatnonzero((dims == dim) & (wide == width))))
                 for a in range(0, mine.num_rows, BLOCK):
                     part = mine.slice(a, BLOCK)
-                    cells = _slabs(_unit(_matrix(part.column("embedding"))), width, tables)
+                    cells = _slabs(_unit(_matrix(part.column("embedding"))), int(width), tables)
                     row = pa.array(np.repeat(np.arange(part.num_rows), tables))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("id").take(row), part.column("dim").take(row), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(cells.ravel())],
-                        names=["id", "dim", "t", "cell"],
+                        [*(part.column(x).take(row) for x in ("c", "label", "dim", "width")), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(cells.ravel())],
+                        names=["c", "label", "dim", "width", "t", "cell"],
                     )
 
     return run
 
 
-def _links(cosine: float, width: int, tables: int, count: int):
+def _links(cosine: float, miss: float):
     """For one (label, dim, table, cell) and two of its blocks: links by vector."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table["id"], dtype=np.int64)
+        how = plan(cosine, table["width"][0].as_py(), miss)
+        width, tables, count = how["width"], how["tables"], how["count"]
+        ids = np.asarray(table["c"], dtype=np.int64)
         order = np.argsort(ids, kind="stable")
         ids, block = ids[order], np.asarray(table["block"])[order]
         times = np.asarray(table["times"], dtype=np.int64)[order]
@@ -145,7 +157,7 @@ def _links(cosine: float, width: int, tables: int, count: int):
                     while (root != root[root]).any():
                         root = root[root]
         some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
-        return pa.table({"id": ids[some], "links": links[some], "root": ids[root[some]]})
+        return pa.table({"c": ids[some], "links": links[some], "root": ids[root[some]]})
 
     return run
 
@@ -157,35 +169,47 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     least ``cosine``; a link missed has a chance of about ``2 * miss`` at the
     threshold and less above it. Vectors that are null, empty, zero or hold a
     null or non-finite component link with nothing, nor do vectors of different
-    dimensions. Rows with a null id have component null and are not kept. Equal
-    vectors link with each other; repeated ids count as rows. Other columns are
-    not read.
+    dimensions. Equal vectors link with each other. Repeated ids count as rows,
+    whatever their vectors and labels. Rows with a null id link like any other;
+    component_id is the smallest id reachable that is not null, null if there is
+    none, and they are never kept. Other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
     good = (
         F.col("label").isNotNull()
-        & F.col("id").isNotNull()
         & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
         & ~F.coalesce(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     )
     same = rows.where(good).groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
-    classes = written(same.withColumn("dim", F.size("embedding")), "vectors")
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    how = plan(cosine, largest, miss)
-    cell = classes.select("id", "dim", "embedding").mapInArrow(_cells(how["width"], how["tables"]), "id long, dim int, t int, cell long")
-    cell = cell.join(classes.select("id", "dim", "label"), ["id", "dim"])
-    keys = ["label", "dim", "t", "cell"]
-    sizes = cell.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    spread = cell.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # the number of a class is fixed once its table is written
+    classes = written(same.select("*", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("c")), "vectors")
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
+    steps = F.array(*[F.lit(x).cast("long") for x in widths()])
+    sizes = written(sizes.withColumn("width", F.size(F.filter(steps, lambda x: F.col("size") > x)) + 1), "labels")
+    wide = join_by_key(classes, sizes, ["label", "dim"], "size")
+    wide = wide.select("c", "label", "dim", "width", "embedding")
+    schema = T.StructType([*wide.schema.fields[:4], T.StructField("t", T.IntegerType()), T.StructField("cell", T.LongType())])
+    cell = written(wide.mapInArrow(_cells(cosine, miss), schema), "cells")
+    keys = ["label", "dim", "width", "t", "cell"]
+    many = cell.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    many = written(many.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "crowded")
+    spread = join_by_key(cell, many, keys, "size")
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("id", *keys, "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-    full = spread.join(classes.select("id", "dim", "embedding", "times"), ["id", "dim"])
-    found = full.groupBy(*keys, "lo", "hi").applyInArrow(_links(cosine, how["width"], how["tables"], how["count"]), "id long, links long, root long")
+    spread = spread.select("c", *keys, "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    full = spread.join(classes.select("c", "embedding", "times"), "c")
+    found = full.groupBy(*keys, "lo", "hi").applyInArrow(_links(cosine, miss), "c long, links long, root long")
     found = written(found, "links")
-    parts = connected_components(found.select("id", "root"), "id", "root").withColumnRenamed("node", "id")
-    per = classes.select("label", "embedding", "id", "times").join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(parts, "id", "left")
-    per = per.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    known = rows.where(good).join(per, ["label", "embedding"]).select("id", "n_links", "component_id")
+    for table in (cell, many):
+        dropped(table)
+    parts = written(connected_components(found.select("c", "root"), "c", "root").withColumnsRenamed({"node": "c", "component": "root"}), "parts")
+    ids = classes.select("c", "id")
+    least = parts.join(ids, "c").groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    least = written(least, "components")
+    named = join_by_key(parts, least, ["root"], "n").select("c", "component_id")
+    per = classes.select("label", "embedding", "id", "times", "c").join(found.groupBy("c").agg(F.sum("links").alias("links")), "c", "left").join(named, "c", "left")
+    per = per.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), "times")
+    per = written(per, "classes")
+    known = join_by_key(rows.where(good), per, ["label", "embedding"], "times").select("id", "n_links", "component_id")
     rest = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return known.union(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

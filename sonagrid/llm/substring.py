@@ -180,24 +180,20 @@ def _level(docs: DataFrame, window: int) -> DataFrame:
     seeds = written(docs.where("doc is not null").mapInArrow(_seeds(window), _SEEDS), "seeds")
     repeated = seeds.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("times"))
     repeated = written(repeated.where("lo < hi").select("h", "times"), "repeated")
-    shared = written(join_by_key(seeds, repeated, ["h"], "times", _total(repeated, "times"), "left_semi").select("doc", "tag", "q0", "n", "h", "c"), "shared")
+    shared = written(join_by_key(seeds, repeated, ["h"], "times", how="left_semi").select("doc", "tag", "q0", "n", "h", "c"), "shared")
     dropped(seeds)
     dropped(repeated)
     return shared
 
 
-def _total(keyed: DataFrame, n: str) -> int:
-    return keyed.agg(F.sum(n)).first()[0] or 0
-
-
 def _spans(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """(doc, tag, q0, n) of the windows over shared seeds that repeat from a smaller id."""
     classes = written(shared.groupBy("h", "c").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("times")), "classes")
     several = written(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
     # alone: no other class has the seed, so its first document repeats nothing
-    marked = join_by_key(classes, several.withColumn("alone", F.lit(False)), ["h"], "k", _total(several, "k"), "left")
+    marked = join_by_key(classes, several.withColumn("alone", F.lit(False)), ["h"], "k", how="left")
     marked = written(marked.withColumn("alone", F.coalesce("alone", F.lit(True))), "marked")
-    alive = join_by_key(shared, marked, ["h", "c"], "times", _total(marked, "times")).where("doc > least or not alone")
+    alive = join_by_key(shared, marked, ["h", "c"], "times").where("doc > least or not alone")
     alive = written(alive.select("doc", "tag", "q0", "n", "h", (F.col("doc") > F.col("least")).alias("whole")), "alive")
     parts = alive.where("not whole").groupBy("doc", "tag").agg(F.collect_set(F.struct("q0", "n", "h")).alias("found"))
     windows = written(
@@ -206,7 +202,7 @@ def _spans(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     )
     earliest = windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("times"))
     earliest = written(earliest.where("least < most").select("h", "w", "least", "times"), "earliest")
-    single = join_by_key(windows, earliest, ["h", "w"], "times", _total(earliest, "times")).where("doc > least")
+    single = join_by_key(windows, earliest, ["h", "w"], "times").where("doc > least")
     return alive.where("whole").select("doc", "tag", "q0", "n").union(single.select("doc", "tag", F.col("q").alias("q0"), F.lit(1).alias("n")))
 
 

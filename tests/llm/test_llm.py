@@ -219,7 +219,7 @@ def test_embeddings(spark):
 
 def test_embedding_plan_is_calibrated():
     for largest in (10, 5_000, 1_000_000):
-        how = embeddings.plan(0.93, largest)
+        how = embeddings.plan(0.93, sum(largest > x for x in embeddings.widths()) + 1)
         rng = np.random.default_rng(0)
         d = rng.standard_normal((4000, embeddings.COUNTERS)) * np.sqrt(2 - 2 * 0.93)
         assert ((np.abs(d) <= embeddings.WINDOW).sum(axis=1) >= how["count"]).mean() > 0.99

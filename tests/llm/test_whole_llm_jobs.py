@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sonagrid.llm import embeddings, html_text, sharding
+from sonagrid.llm import common, embeddings, html_text, sharding, substring
 
 
 @pytest.mark.parametrize("shards", [1000, 2000])
@@ -48,3 +50,51 @@ def test_vectors_of_many_dimensions_link(spark):
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
     assert len(got) == len(rows)
     assert all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got)
+
+
+def test_repeated_and_null_ids_count_as_rows(spark):
+    a, b, c = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6, [1.0, 0.01] + [0.0] * 6
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, c, "x"), (3, b, "x"), (4, a, "x"), (None, a, "x"), (None, None, "x"), (5, b, None)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    have = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got)
+    # x: a (ids 1, 4, null) and c (2) link; b (ids 1, 3) links; y: alone
+    assert have == sorted(
+        [(1, 3, 1, True), (4, 3, 1, False), (0, 3, 1, False), (2, 3, 1, False), (1, 1, 1, True), (3, 1, 1, False), (1, 0, 1, True), (0, 0, 0, False), (5, 0, 5, True)]
+    )
+
+
+def test_words_that_sums_of_powers_confuse_are_told_apart(spark):
+    one = ""
+    for i in range(1024):
+        one += "ab"[i.bit_count() % 2]
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rest[:30] + [w] + rest[30:]) for w in (one, other, one)]
+    got = {r.doc_id: r.n_removed for r in substring.dedup_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 61}
+    # the same with words in place of letters
+    one, other = (" ".join("ab"[(i.bit_count() + k) % 2] for i in range(4096)) for k in (0, 1))
+    data = np.frombuffer((one + " " + other).encode(), dtype=np.uint8)
+    starts, ends, _ = common.words(data, np.array([0, len(data)]))
+    hashes = common.run_hashes(common.word_hashes(data, starts, ends), 4096)
+    assert len(hashes) == 4097 and hashes[0] != hashes[-1]
+
+
+def test_word_hashes_of_each_length_differ_by_word_and_key():
+    text = " ".join("x" * n + c for n in range(70) for c in "ab")
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    starts, ends, _ = common.words(data, np.array([0, len(data)]))
+    both = [common.word_hashes(data, starts, ends, key) for key in (0, 1)]
+    assert len(set(both[0].tolist()) | set(both[1].tolist())) == 280
+    shifted = np.frombuffer(("zz " + text).encode(), dtype=np.uint8)
+    starts, ends, _ = common.words(shifted, np.array([0, len(shifted)]))
+    assert (common.word_hashes(shifted, starts, ends)[1:] == both[0]).all()
+
+
+def test_hot_keys_join_as_others_do(spark):
+    rows = spark.range(3000).selectExpr("if(id < 1000, 7, id) as k", "id as v")
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("most")).where("k < 2000")
+    for how in ("inner", "left", "left_semi"):
+        got = common.join_by_key(rows, keyed, ["k"], "n", how=how)
+        want = rows.join(keyed.drop("n"), "k", how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
