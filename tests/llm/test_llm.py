@@ -356,19 +356,58 @@ def check_shards(rows, shards):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s]))
 
 
-def test_ring_overflows_clockwise(spark):
-    n, shards, nodes = 1000, 5, 8
+@pytest.mark.parametrize("n, shards, nodes, slack", [(1000, 5, 8, 0.0), (1003, 7, 3, 0.0), (2000, 6, 4, 0.1)])
+def test_ring_overflows_clockwise(spark, n, shards, nodes, slack):
+    """Row by row: home first, then clockwise to the next shard with room."""
     rows = spark.range(n).select(F.col("id").alias("k"))
-    got = sharding.shard_rows(rows, "k", shards, nodes).collect()
-    check_shards(got, shards)
-    arcs = sorted(sharding.ring(spark, shards, nodes).collect())
-    cell = {r.k: r.c for r in rows.select("k", sharding._cell(F.xxhash64(F.lit("row"), "k")).alias("c")).collect()}
-    home = {k: next((a.shard for a in arcs if a.to_cell >= c), arcs[0].shard) for k, c in cell.items()}
-    want = Counter(home.values())
-    room = {s: n // shards + (s < n % shards) for s in range(shards)}
-    stayed = Counter(r.shard for r in got if r.shard == home[r.k])
-    for s in range(shards):
-        assert stayed[s] == min(want[s], room[s])
+    got = {r.k: r.shard for r in sharding.shard_rows(rows, "k", shards, nodes, slack).collect()}
+    hashes = {r.k: r.h % (1 << 64) for r in rows.select("k", F.xxhash64(F.lit("row"), "k").alias("h")).collect()}
+    shift = 64 - sharding.cell_bits(shards, nodes)
+    points = sharding.ring(shards, nodes)
+    arc = {k: next((i for i, (c, _) in enumerate(points) if c >= h >> shift), len(points)) for k, h in hashes.items()}
+    room = [int(np.ceil((1 + slack) * n / shards)) if slack else n // shards + (s < n % shards) for s in range(shards)]
+    # ranks inside a cell are those of signed hashes
+    order = sorted(hashes, key=lambda k: (hashes[k] >> shift, (hashes[k] ^ 1 << 63), k))
+    want, rest = {}, []
+    for k in order:
+        home = points[arc[k] % len(points)][1]
+        if room[home]:
+            want[k], room[home] = home, room[home] - 1
+        else:
+            rest.append(k)
+    waiting, at = [], 0
+    for lap in range(2):
+        for i in range(len(points) + 1):
+            if i < len(points) or any(arc[k] == i for k in order):
+                shard = points[i % len(points)][1]
+                while waiting and room[shard]:
+                    want[waiting.pop(0)] = shard
+                    room[shard] -= 1
+            while not lap and at < len(rest) and arc[rest[at]] == i:
+                waiting.append(rest[at])
+                at += 1
+    assert got == want
+
+
+def test_one_more_shard_moves_few_rows(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("k"))
+
+    def moved(slack):
+        before, after = ({r.k: r.shard for r in sharding.shard_rows(rows, "k", shards, slack=slack).collect()} for shards in (16, 17))
+        return sum(before[k] != after[k] for k in before) / len(before)
+
+    assert moved(0.5) < 1.5 / 17  # hardly any shard is full: the new shard's rows move, and few others
+    assert moved(0.25) < 2 / 17
+    assert moved(0.0) < 0.3
+
+
+def test_hot_keys_and_equal_rows_are_cut_and_shared_out(spark):
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, null, id) as lo", "if(id < 3000, 1, id) as hi", "cast(null as int) as cell")
+    rows = rows.unionAll(spark.range(4000).selectExpr("cast(7 as long)", "cast(7 as long)", "7"))
+    for key in ("lo", "cell"):
+        got = sharding.shard_rows(rows.repartition(5), key, 7, 16).collect()
+        check_shards(got, 7)
+        assert Counter((r.lo, r.hi, r.cell) for r in got) == Counter(tuple(r) for r in rows.collect())
 
 
 def test_mixing(spark, docs, texts, empty):
