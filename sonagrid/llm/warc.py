@@ -1,12 +1,15 @@
 """WARC archives from a deterministic sharded writer, and their reader.
 
-Records are range-sorted by page id, so a file holds a run of ids. A task
-writes gzip members one by one, rolls to the next file at a compressed size,
-and names files by the first id in them. A file grows under a temporary name
-of its attempt and takes its final name when it is complete; a task that runs
-again writes the same bytes. The manifest (one row for each file, with size and
-digest) is a table whose own commit makes the archive valid: readers open what
-it lists, so leftovers of lost tasks are never seen.
+Records are range-sorted by page id. The bounds of ranges come from exact
+counts of bytes, found by halving the space of ids where it is crowded, so they
+depend on the pages and on parameters only; a hot id is cut by payload digest.
+A task writes gzip members one by one, and rolls to the next file at a
+compressed size or where a range ends; files are named by range and turn. A
+file grows under a temporary name of its attempt and takes its final name when
+it is complete; a task that runs again writes the same bytes. The manifest (one
+row for each file, with size and digest) is a table whose own commit makes the
+archive valid: readers open what it lists, so leftovers of lost tasks are never
+seen. The same pages give the same files, whatever their order and partitions.
 
 Headers and digests come from the payloads at the time of writing. Of records
 with equal payloads the one with the largest page id is a response, the others
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonagrid.llm.common import shared_dir
+from sonagrid.llm.common import join_by_key, shared_dir, written
 
 _MANIFEST = "path string, first_id long, records long, bytes long, sha256 string"
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, warc_bytes long"
+#: Ranges at most, and bits of the id by which a crowded range is looked at more closely.
+MOST_RANGES, FIRST_BITS, NEXT_BITS = 4096, 12, 6
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs in RFC 4122
 
 #: Records without a date of their own: the archive is the same on every run.
@@ -76,14 +81,16 @@ class _Writer:
 
         self.store, self.root = fs.FileSystem.from_uri(folder)
         self.roll_bytes, self.level = roll_bytes, level
-        self.out = None
+        self.out, self.part, self.turn = None, None, 0
 
-    def add(self, page_id: int | None, data: bytes, part: int) -> dict | None:
+    def add(self, part: int, page_id: int | None, data: bytes) -> dict | None:
         done = None
-        if self.out is not None and self.size >= self.roll_bytes:
+        if self.out is not None and (self.size >= self.roll_bytes or part != self.part):
             done = self.close()
         if self.out is None:
-            self.name = f"{self.root}/part-{part:06d}-{'null' if page_id is None else f'{page_id & (2**64 - 1):016x}'}.warc.gz"
+            self.turn = self.turn + 1 if part == self.part else 0
+            self.part = part
+            self.name = f"{self.root}/part-{part:06d}-{self.turn:06d}.warc.gz"
             self.temporary = f"{self.root}/_tmp-{uuid.uuid4().hex}"
             self.out, self.sha, self.size, self.records, self.first = self.store.open_output_stream(self.temporary), hashlib.sha256(), 0, 0, page_id
         member = gzip.compress(data, self.level, mtime=0)
@@ -94,22 +101,26 @@ class _Writer:
         return done
 
     def close(self) -> dict:
+        from pyarrow import fs
+
         self.out.close()
-        self.store.move(self.temporary, self.name)
         self.out = None
+        there = self.store.get_file_info(self.name)
+        if there.type == fs.FileType.File and there.size == self.size:
+            self.store.delete_file(self.temporary)  # an attempt before this one wrote the same bytes
+        else:
+            if there.type == fs.FileType.File:
+                self.store.delete_file(self.name)
+            self.store.move(self.temporary, self.name)
         return {"path": self.name, "first_id": self.first, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()}
 
 
 def _write(folder: str, roll_bytes: int, level: int):
     def run(it):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         writer, refers, done = _Writer(folder, roll_bytes, level), {}, []
         for batch in it:
-            ids, kinds = batch.column("page_id").to_pylist(), batch.column("kind").to_pylist()
-            for i, (page_id, kind) in enumerate(zip(ids, kinds)):
-                sha = batch.column("sha")[i].as_py()
+            parts, ids, kinds, shas = (batch.column(x).to_pylist() for x in ("part", "page_id", "kind", "sha"))
+            for i, (part, page_id, kind, sha) in enumerate(zip(parts, ids, kinds, shas)):
                 if kind == 0:  # what the following rows of this id refer to
                     if refers.get("id") != page_id:
                         refers = {"id": page_id}
@@ -117,7 +128,7 @@ def _write(folder: str, roll_bytes: int, level: int):
                     continue
                 target = refers.get(sha) if refers.get("id") == page_id else None
                 payload = (batch.column("html")[i].as_py() or "").encode("utf-8", "surrogatepass")
-                if file := writer.add(page_id, record(page_id, batch.column("url")[i].as_py(), payload, target), part):
+                if file := writer.add(part, page_id, record(page_id, batch.column("url")[i].as_py(), payload, target)):
                     done.append(file)
         if writer.out is not None:
             done.append(writer.close())
@@ -126,25 +137,92 @@ def _write(folder: str, roll_bytes: int, level: int):
     return run
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int = 16 << 20, level: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+# --- ranges -------------------------------------------------------------------
+
+_SIGN = 1 << 63
+
+
+def _prefix(bits: int):
+    """The first bits of page_id in the order of ids; null is before all others.
+    The last two hex digits' worth (bits above 64) are of the payload's digest."""
+    # the sign bit flipped, so that negative ids come first
+    id_ = F.coalesce("page_id", F.lit(-_SIGN)).bitwiseXOR(F.lit(-_SIGN))
+    if bits <= 64:
+        return F.struct(F.shiftrightunsigned(id_, 64 - bits).alias("id"), F.lit(0).cast("long").alias("cut"))
+    return F.struct(id_.alias("id"), F.conv(F.substring("sha", 1, 2), 16, 10).cast("long").alias("cut"))
+
+
+def ranges(rows: DataFrame, range_bytes: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """(bits, prefix, cut, part) for each leaf of the space of ids, and the number
+    of parts: neighbouring leaves share a part of about range_bytes, or of the
+    MOST_RANGES-th part of everything. rows: page_id, sha, bytes.
+
+    A leaf with more is looked at more closely until it is one id, which is cut
+    by the payload's digest. At most MOST_RANGES leaves are cut in a round.
+    """
+    at = rows.agg(F.sum("bytes"), F.min("page_id"), F.max("page_id"), F.count(F.lit(1)) - F.count("page_id")).first()
+    if at[0] is None:
+        return [], 0
+    most = max(range_bytes, -(-at[0] // MOST_RANGES))
+    low, high = ((v if v is not None else -_SIGN) + _SIGN for v in (None if at[3] else at[1], at[2]))
+    bits = min(64, 64 - (low ^ high).bit_length() + FIRST_BITS)
+    leaves, crowded = [], None
+    while True:
+        look = rows.withColumn("key", _prefix(bits))
+        if crowded is not None:
+            look = look.join(F.broadcast(rows.sparkSession.createDataFrame(crowded, "id long, cut long").select(F.struct("id", "cut").alias("of"))), _prefix(before) == F.col("of"))
+        found = [((r.key.id % (1 << 64)), r.key.cut, r.n) for r in look.groupBy("key").agg(F.sum("bytes").alias("n")).collect()]
+        crowded = [(i, c) for i, c, n in found if n > most] if bits <= 64 else []
+        again = set(crowded)
+        leaves += [(i << max(0, 64 - bits), c, n, bits, i) for i, c, n in found if (i, c) not in again]
+        if not crowded:
+            break
+        crowded = [(i - (1 << 64) if i >= _SIGN else i, c) for i, c in crowded]
+        before, bits = bits, (65 if bits == 64 else min(64, bits + NEXT_BITS))
+    out, part, full = [], 0, 0
+    for _, cut, n, depth, prefix in sorted(leaves):
+        if full and full + n > most:
+            part, full = part + 1, 0
+        full += n
+        out.append((depth, prefix - (1 << 64) if prefix >= _SIGN else prefix, cut, part))
+    return out, part + 1
+
+
+def _with_part(rows: DataFrame, leaves: list[tuple[int, int, int, int]]) -> DataFrame:
+    """rows with the part of their leaf; leaves are bounded, see ranges()."""
+    spark = rows.sparkSession
+    found = []
+    for depth in sorted({x[0] for x in leaves}):
+        here = spark.createDataFrame([x[1:] for x in leaves if x[0] == depth], f"id long, cut long, part{depth} int")
+        rows = rows.join(F.broadcast(here.select(F.struct("id", "cut").alias(f"leaf{depth}"), f"part{depth}")), _prefix(depth) == F.col(f"leaf{depth}"), "left").drop(f"leaf{depth}")
+        found.append(F.col(f"part{depth}"))
+    part = F.coalesce(*found) if found else F.lit(0)
+    return rows.withColumn("part", part).drop(*[f"part{d}" for d in {x[0] for x in leaves}])
+
+
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int = 16 << 20, level: int = 5, range_bytes: int = 16 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages as WARC files in folder (a URI that pyarrow can open); the manifest, as a table.
 
     A null page is an empty payload; a null address gives a record without
     target. Rows with equal payloads of at least least_bytes: the largest page
     id is the response (if several rows have it, all of them), the others
     revisit it; a null id is smaller than any other. No rows give an empty
-    manifest. Other columns are not read.
+    manifest. Files end at roll_bytes, compressed, and at the end of a range of
+    about range_bytes; records of one id and payload are one range's. Other
+    columns are not read.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    sha = F.sha1(html.cast("binary"))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), sha.alias("sha"))
-    keys = rows.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).select("page_id", "sha").distinct()
-    last = keys.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "refers_to")
-    links = keys.join(last, "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).where("refers_to is not null")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), F.sha1(html.cast("binary")).alias("sha"))
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("long")
+    keys = written(rows.groupBy("page_id", "sha").agg(F.sum(size + 500).alias("bytes"), F.max(size).alias("size")), "pages")
+    long = keys.where(F.col("size") >= least_bytes)
+    last = written(long.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1"), "responses")
+    links = join_by_key(long.select("page_id", "sha"), last, ["sha"], "n").where("refers_to is not null").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     both = links.select("page_id", F.lit(0).alias("kind"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to").union(
         rows.select("page_id", F.lit(1), "sha", "url", "html", F.lit(None).cast("long"))
     )
-    files = both.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "sha", "url").mapInArrow(_write(folder, roll_bytes, level), _MANIFEST)
+    leaves, parts = ranges(keys, range_bytes)
+    files = _with_part(both, leaves).repartition(max(1, parts), "part").sortWithinPartitions("part", "page_id", "kind", "sha", "url").mapInArrow(_write(folder, roll_bytes, level), _MANIFEST)
     files.write.mode("overwrite").parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonagrid.llm import common, embeddings, html_text, sharding, substring
+from sonagrid.llm import common, embeddings, html_text, sharding, substring, warc
 
 
 @pytest.mark.parametrize("shards", [1000, 2000])
@@ -98,3 +98,45 @@ def test_hot_keys_join_as_others_do(spark):
         got = common.join_by_key(rows, keyed, ["k"], "n", how=how)
         want = rows.join(keyed.drop("n"), "k", how)
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_archives_are_equal_byte_for_byte_on_every_partitioning(spark, tmp_path):
+    pages = spark.range(40_000).selectExpr(
+        "case when id < 9000 then null when id < 15000 then 77 when id < 15010 then -id else id * id * id end as page_id",
+        "concat('http://h/', id) as url",
+        "if(id % 10 = 0, 'the same page', repeat(md5(cast(id as string)), 3 + int(id % 7))) as html",
+    )
+    sums = []
+    for name, parts in (("a", 8), ("b", 3), ("c", 8)):
+        manifest = warc.write(pages.repartition(parts), f"file://{tmp_path}/{name}", roll_bytes=100_000, range_bytes=300_000).collect()
+        assert sum(r.records for r in manifest) == 40_000 and len(manifest) > 20
+        assert max(r.bytes for r in manifest) < 110_000
+        sums.append(sorted((r.path.rsplit("/", 1)[1], r.records, r.sha256) for r in manifest))
+        assert not list((tmp_path / name).glob("_tmp*"))
+    assert sums[0] == sums[1] == sums[2]
+    back = warc.read(spark.read.parquet(f"file://{tmp_path}/a/_manifest"), f"file://{tmp_path}/a")
+    got = back.groupBy("page_id").count().where("count > 1").collect()
+    assert {(r.page_id, r["count"]) for r in got} == {(None, 9000), (77, 6000)}
+
+
+def test_ranges_are_in_order_and_of_bounded_size(spark):
+    ids = [None] * 3 + [-(1 << 63), -5, 0, 1, 2, 3, 1 << 40, (1 << 63) - 1] + list(range(1000, 1400))
+    rows = spark.createDataFrame([(i, f"{k % 256:02x}", 10) for k, i in enumerate(ids)] + [(9, f"{k:02x}", 10) for k in range(256)], "page_id long, sha string, bytes long")
+    leaves, parts = warc.ranges(rows, 100)
+    got = warc._with_part(rows, leaves).collect()
+    assert all(r.part is not None for r in got) and parts == 1 + max(r.part for r in got)
+    size = {}
+    for r in got:
+        size[r.part] = size.get(r.part, 0) + r.bytes
+    assert max(size.values()) <= 100 and len(size) >= 67
+    order = sorted(got, key=lambda r: (-(1 << 63) if r.page_id is None else r.page_id, r.sha if r.page_id == 9 else ""))
+    assert all(a.part <= b.part for a, b in zip(order, order[1:]))
+
+
+def test_a_file_that_is_there_already_is_not_in_the_way(tmp_path):
+    for data in (b"one", b"one", b"other"):
+        writer = warc._Writer(f"file://{tmp_path}", 1000, 5)
+        writer.add(3, 1, data)
+        done = writer.close()
+    assert [x.name for x in tmp_path.iterdir()] == ["part-000003-000000.warc.gz"]
+    assert done["bytes"] == (tmp_path / "part-000003-000000.warc.gz").stat().st_size
