@@ -1,24 +1,24 @@
 """Vector bin packing of token sequences with the dot-product heuristic.
 
 Items and bins are vectors of (tokens, segments, loss-bearing tokens). A bin
-takes, again and again, the item that fits and has the largest dot product
-with what the bin has left (each dimension relative to its limit, weighted by
-how much of it all open items demand). When nothing fits whole, the best item
-is cut to fill the bin exactly and its rest returns to the open items, so only
-the last bin of a group is padded, unless the segment or loss limit closes a
-bin before.
-
-Groups are dealt by a hash of the document id; their number follows the corpus
-(about ``group_bytes`` of text each), so a task's memory is bounded and the
-padding is that of one sequence a group.
+takes, again and again, the item with the largest dot product with what the bin
+has left (each dimension relative to its limit, weighted by how much of it all
+open items demand). Candidates are the items that fit whole, and of those too
+long for any bin as much as fits. When there are none, as much of the best
+other item as fits fills the bin, and its rest returns to the open items. A bin
+with room for more loss-bearing tokens is so paired with items that have few.
+
+Tasks pack what they read in runs of about ``group_bytes`` of text: nothing is
+shuffled, a task's memory is bounded, no key can be hot, and bins that are not
+full at a run's end return to the next one.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
-from bisect import bisect_left, insort
 from itertools import chain
 
 import numpy as np
@@ -32,8 +32,20 @@ from sonagrid.llm.common import text_slices, utf8
 #: Words whose ids a tokenizing worker keeps between batches and tasks; all are dropped when there are more.
 CACHE_WORDS = 800_000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group int, bin int, offset long, loss long"
+#: Bins that a run hands on to the next one at most.
+OPEN_BINS = 64
 
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
+
+# The normalizer and pre-tokenizer that WordTokenizer is right for.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PARTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 # the signs that stand for bytes in byte-level vocabularies: printable Latin-1 as it is, the others from 256 on in turn
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -111,146 +123,163 @@ class WordTokenizer:
         return self.pool[take], total[np.append(0, np.cumsum(count))]
 
 
-_coders: dict[str, WordTokenizer] = {}
+class WholeTokenizer:
+    """Ids of whole texts by any tokenizer."""
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-def _coder(path: str) -> WordTokenizer:
-    if path not in _coders:
-        _coders[path] = WordTokenizer(path)
-    return _coders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([x or "" for x in text.to_pylist()], add_special_tokens=False)]
+        off = np.append(0, np.cumsum([len(x) for x in found], dtype=np.int64))
+        return np.fromiter(chain.from_iterable(found), dtype=self.type, count=int(off[-1])), off
 
-def _tokens(path: str, end_id: int):
-    def run(it):
-        coder = _coder(path)
-        for batch in it:
-            text = batch.column("text")
-            for a, b in text_slices(text, 1 << 22, 4096):
-                ids, off = coder.encode(text.slice(a, b - a))
-                n = b - a
-                whole = np.full(len(ids) + n, end_id, dtype=coder.type)
-                keep = np.ones(len(whole), dtype=bool)
-                keep[off[1:] + np.arange(n)] = False
-                whole[keep] = ids
-                size = whole.itemsize * (np.diff(off) + 1)
-                stored = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(whole)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, n), batch.column("group").slice(a, n), pa.array(np.full(n, whole.itemsize, dtype=np.int32)), stored.cast(pa.binary())],
-                    names=["doc_id", "group", "width", "ids"],
-                )
 
-    return run
+_coders: dict[str, WordTokenizer | WholeTokenizer] = {}
+
+
+def coder(path: str) -> WordTokenizer | WholeTokenizer:
+    """The tokenizer of a file: by words if its rules are those of WordTokenizer, or else by whole texts."""
+    if path not in _coders:
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        by_words = rules["normalizer"] == WORD_NORMALIZER and rules["pre_tokenizer"] == WORD_PARTS and rules["post_processor"] is None
+        by_words = by_words and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+        by_words = by_words and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        _coders[path] = WordTokenizer(path) if by_words else WholeTokenizer(path)
+    return _coders[path]
 
 
 def pack(tokens, loss, most_tokens: int, most_segments: int, most_loss: int, cut: bool = True) -> list[tuple[int, int, int, int, int, int]]:
     """(item, start, length, bin, offset, loss) for items of given token and
     loss-bearing token counts; loss-bearing tokens are an item's last ones.
 
-    Items with equal needs are interchangeable, so the open items are a sorted
-    list of distinct (tokens, loss) with a stack each: a placement looks at
-    distinct needs, not at items. Empty items take no part. Without cut items
-    stay whole, and one that is above a limit by itself has a bin of its own.
+    Items with equal needs are interchangeable, so a placement scores all open
+    distinct needs, as arrays, and takes the last item of the best one; of equal
+    scores, the need with most tokens, then most loss. Empty items take no part.
+    Without cut items stay whole, and one that is above a limit by itself has a
+    bin of its own.
     """
     limit = np.array([most_tokens, most_segments, most_loss], dtype=float)
     out: list[tuple[int, int, int, int, int, int]] = []
-    bins = 0
-    stacks: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def put(item: int, start: int, t: int, x: int, bin_: int, offset: int) -> None:
-        out.append((item, start, t, bin_, offset, x))
-
-    for i, (t, x) in enumerate(zip(tokens, loss)):
-        t, x, at = int(t), int(x), 0
-        if not cut and (t > most_tokens or x > most_loss):
-            put(i, 0, t, x, bins, 0)
-            bins += 1
+    bins, demand = 0, np.zeros(3)
+    stacks: list[list[tuple[int, int]]] = []
+    place: dict[tuple[int, int], int] = {}
+    need = np.zeros((2, 64), dtype=np.int64)  # tokens, loss-bearing tokens; 0, 0: none left
+
+    def add(item: int, start: int, t: int, x: int) -> None:
+        nonlocal need
+        k = place.get((t, x))
+        if k is None:
+            k = place[t, x] = len(stacks)
+            stacks.append([])
+            if k == need.shape[1]:
+                need = np.concatenate([need, np.zeros_like(need)], axis=1)
+        if not stacks[k]:
+            need[:, k] = t, x
+        stacks[k].append((item, start))
+        demand[:] += (t, 1, x)
+
+    for t, x, i in sorted(zip(map(int, tokens), map(int, loss), range(len(tokens)))):
+        if not t:
             continue
-        # what fills bins of its own
-        while cut and t >= most_tokens and max(0, x - (t - most_tokens)) <= most_loss and (t > most_tokens or x <= most_loss):
-            bare = t - x
-            part = max(0, most_tokens - bare)
-            put(i, at, most_tokens, part, bins, 0)
-            bins, at, t, x = bins + 1, at + most_tokens, t - most_tokens, x - part
-        if t:
-            stacks.setdefault((t, x), []).append((i, at))
-    keys = sorted(stacks)
-    demand = np.zeros(3)
-    for (t, x), s in stacks.items():
-        demand += np.array([t, 1, x]) * len(s)
-    while keys:
+        if not cut and (t > most_tokens or x > most_loss or most_segments < 1):
+            out.append((i, 0, t, bins, 0, x))
+            bins += 1
+        else:
+            add(i, 0, t, x)
+
+    while demand[1] > 0:
         left = np.array([most_tokens, most_segments, most_loss], dtype=np.int64)
         weight = demand / limit
-        weight = weight / max(weight.sum(), 1e-12)
+        weight = weight / weight.sum()
         offset = 0
-        while keys and left[0] > 0 and left[1] > 0:
-            fit = keys[: bisect_left(keys, (int(left[0]) + 1, -1))]
-            need = np.array(fit, dtype=np.int64).reshape(-1, 2) if len(fit) <= 64 else np.array(fit[-64:], dtype=np.int64)
-            fits = need[:, 1] <= left[2]
-            if len(fit) > 64 and not fits.any():
-                need = np.array(fit, dtype=np.int64)
-                fits = need[:, 1] <= left[2]
-            best = None
-            if fits.any():
-                pull = weight * left / limit / limit
-                score = need[:, 0] * pull[0] + pull[1] + need[:, 1] * pull[2]
-                best = tuple(int(v) for v in need[np.argmax(np.where(fits, score, -np.inf))])
-                t, x = best
-            elif not cut:
+        if 2 * np.count_nonzero(need[0]) < len(stacks) - 64:  # needs that are used up
+            keep = [k for k, s in enumerate(stacks) if s]
+            stacks, place = [stacks[k] for k in keep], {tuple(need[:, k].tolist()): j for j, k in enumerate(keep)}
+            need = np.concatenate([need[:, keep], np.zeros((2, 64), dtype=np.int64)], axis=1)
+        while left[0] > 0 and left[1] > 0:
+            t, x = need[:, : len(stacks)]
+            open_ = t > 0
+            take = np.minimum(np.minimum(t, left[0]), t - x + left[2]) if cut else t
+            bear = np.maximum(0, take - (t - x))
+            good = open_ & (take == t) & (take <= left[0]) & (bear <= left[2])
+            if cut:
+                good |= open_ & ((t > most_tokens) | (x > most_loss)) & (take > 0)
+                if not good.any():
+                    good = open_ & (take > 0)
+            if not good.any():
                 break
-            else:
-                # nothing fits whole: cut the longest item to the room that is left
-                best = keys[-1]
-                bare = best[0] - best[1]
-                t = int(min(left[0], best[0], bare + left[2]))
-                x = max(0, t - bare)
-                if t <= 0:
-                    best = next((k for k in reversed(keys) if k[0] > k[1]), None)
-                    if best is None:
-                        break
-                    t, x = int(min(left[0], best[0] - best[1])), 0
-            item, start = stacks[best].pop()
-            if not stacks[best]:
-                del stacks[best]
-                keys.pop(bisect_left(keys, best))
-            put(item, start, t, x, bins, offset)
-            left -= (t, 1, x)
-            offset += t
-            demand -= (t, 1, x)
-            rest = (best[0] - t, best[1] - x)
-            if rest[0]:
-                demand[1] += 1
-                if rest not in stacks:
-                    insort(keys, rest)
-                stacks.setdefault(rest, []).append((item, start + t))
+            pull = weight * left / limit / limit
+            score = np.where(good, take * pull[0] + pull[1] + bear * pull[2], -1.0)
+            best = np.flatnonzero(score == score.max())
+            k = int(best[np.lexsort((x[best], t[best]))[-1]]) if len(best) > 1 else int(best[0])
+            t, x, some, borne = int(t[k]), int(x[k]), int(take[k]), int(bear[k])
+            item, start = stacks[k].pop()
+            if not stacks[k]:
+                need[:, k] = 0
+                del place[t, x]
+                stacks[k] = []
+            out.append((item, start, some, bins, offset, borne))
+            left -= (some, 1, borne)
+            offset += some
+            demand[:] -= (t, 1, x)
+            if some < t:
+                add(item, start + some, t - some, x - borne)
         bins += 1
     return out
 
 
-def _pack(most_tokens: int, most_segments: int, most_loss: int):
-    def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((np.asarray(pa.compute.binary_length(table["ids"])), np.asarray(pa.compute.fill_null(table["doc_id"], -(1 << 62)))))
-        table = table.take(pa.array(order))
-        ids = table["ids"].combine_chunks()
-        width = table["width"][0].as_py()
-        n = np.asarray(pa.compute.binary_length(ids), dtype=np.int64) // width
-        plan = np.array(pack(n, n, most_tokens, most_segments, most_loss), dtype=np.int64).reshape(-1, 6)
-        item, start, length, bin_, offset, loss = plan.T
-        raw = [np.frombuffer(x.as_buffer(), dtype=f"<u{width}") for x in ids]
-        crc = [zlib.crc32(raw[i][s : s + k].astype("<u4")) for i, s, k in zip(item.tolist(), start.tolist(), length.tolist())]
-        at = pa.array(item)
-        return pa.table(
-            {
-                "doc_id": table["doc_id"].take(at),
-                "start": start,
-                "length": length,
-                "ids_crc32": pa.array(crc, pa.int64()),
-                "doc_tokens": n[item],
-                "group": table["group"].take(at),
-                "bin": bin_.astype(np.int32),
-                "offset": offset,
-                "loss": loss,
-            }
-        )
+def _sequences(path: str, end_id: int, prompt: int, limits: tuple[int, int, int], run_bytes: int):
+    """Pieces of the rows of a task, packed run by run."""
+
+    def packed(open_: list[tuple], bins: int, task: int, last: bool):
+        """Rows of the full sequences, what stays open, and the next sequence."""
+        tokens = [len(ids) for *_, ids in open_]
+        loss = [max(0, n - max(0, prompt - base)) for n, (_, base, _, _) in zip(tokens, open_)]
+        plan = pack(tokens, loss, *limits)
+        filled = np.zeros(max((p[3] for p in plan), default=-1) + 1, dtype=np.int64)
+        for _, _, length, bin_, _, _ in plan:
+            filled[bin_] += length
+        back = set() if last else set(np.flatnonzero(filled < limits[0])[-OPEN_BINS:].tolist())
+        number = bins + np.cumsum([b not in back for b in range(len(filled))]) - 1
+        rows, rest = [], []
+        for item, start, length, bin_, offset, borne in plan:
+            doc, base, whole, ids = open_[item]
+            part = ids[start : start + length]
+            if bin_ in back:
+                rest.append((doc, base + start, whole, part))
+            else:
+                crc = zlib.crc32(part.astype("<u4"))
+                rows.append((doc, base + start, length, crc, whole, (task << 32) + int(number[bin_]), offset, borne))
+        return rows, rest, int(number[-1]) + 1 if len(number) else bins
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
+
+    def run(it):
+        from pyspark import TaskContext
+
+        tokenizer, task = coder(path), TaskContext.get().partitionId()
+        open_, size, bins = [], 0, 0
+        for batch in it:
+            text = batch.column("text")
+            for a, b in text_slices(text, 1 << 22, 4096):
+                ids, off = tokenizer.encode(text.slice(a, b - a))
+                for doc, i, j in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), off[:-1].tolist(), off[1:].tolist()):
+                    open_.append((doc, 0, j - i + 1, np.append(ids[i:j], tokenizer.type(end_id))))
+                size += text.slice(a, b - a).nbytes
+                if size >= run_bytes:
+                    rows, open_, bins = packed(open_, bins, task, False)
+                    yield batch_of(rows)
+                    size = 0
+        rows, open_, bins = packed(open_, bins, task, True)
+        yield batch_of(rows)
 
     return run
 
@@ -261,40 +290,32 @@ def pack_documents(
     end_id: int = 2,
     most_tokens: int = 4096,
     most_segments: int = 512,
-    most_loss: int = 4096,
-    group_bytes: int = 16 << 20,
+    most_loss: int | None = None,
+    prompt_tokens: int = 64,
+    run_bytes: int = 16 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Pieces of all rows, packed in sequences of at most ``most_tokens``.
 
-    A row's ids are those of its text (null: none) and end_id, all of them
-    loss-bearing, cut where the packing needs it; each id is in one piece. Returns id_col,
-    start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss.
+    A row's ids are those of its text (null: none) and end_id. All but its
+    first ``prompt_tokens`` bear loss, of which a sequence takes at most
+    most_loss (None: most_tokens less prompt_tokens, as a row that fills a
+    sequence has). Rows are cut where the packing needs it; each id is in one
+    piece. Returns id_col, start, length, ids_crc32, doc_tokens, sequence_id,
+    offset, n_loss.
 
     Rows that share an id, repeated rows among them, are packed one by one;
-    null ids too. No rows give no pieces. A text much longer than a group is
-    one group's work. Other columns are not read.
+    null ids too. No rows give no pieces. Sequences are those of a task, so they
+    follow the partitions of docs. A text longer than a run is a run of its own.
+    Other columns are not read.
     """
-    total = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
-    groups = max(1, round(((total[0] or 0) + 8 * total[1]) / group_bytes))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).alias("text"),
-        F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int").alias("group"),
-    )
-    tokens = rows.mapInArrow(_tokens(tokenizer_path, end_id), "doc_id long, group int, width int, ids binary")
-    pieces = tokens.groupBy("group").applyInArrow(_pack(most_tokens, most_segments, most_loss), PIECES)
-    return pieces.select(
-        F.col("doc_id").alias(id_col),
-        "start",
-        "length",
-        "ids_crc32",
-        "doc_tokens",
-        (F.col("group").cast("long") * F.lit(1 << 32) + F.col("bin")).alias("sequence_id"),
-        "offset",
-        F.col("loss").alias("n_loss"),
-    )
+    limits = (most_tokens, most_segments, most_tokens - prompt_tokens if most_loss is None else most_loss)
+    if min(limits) < 1:
+        raise ValueError("limits must be at least 1")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    pieces = rows.mapInArrow(_sequences(tokenizer_path, end_id, prompt_tokens, limits, run_bytes), PIECES)
+    return pieces.withColumnRenamed("doc_id", id_col)
 
 
 def pack_examples(
@@ -302,7 +323,7 @@ def pack_examples(
     most_tokens: int = 4096,
     most_segments: int = 64,
     most_loss: int = 2048,
-    groups: int = 16,
+    run_rows: int = 20_000,
     id_col: str = "id",
     tokens_col: str = "n_tokens",
     loss_col: str = "n_loss",
@@ -312,23 +333,37 @@ def pack_examples(
 
     Null counts are 0; loss-bearing tokens beyond the tokens count as all of
     them. Examples without tokens have sequence_id and offset null. An example
-    above a limit by itself has a sequence of its own. Groups of examples are
-    dealt by the hash of the id and packed apart. Other columns are not read.
+    above a limit by itself has a sequence of its own. A task packs runs of
+    run_rows examples apart. Other columns are not read.
     """
     n = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long"))
     x = F.least(n, F.greatest(F.lit(0).cast("long"), F.coalesce(F.col(loss_col), F.lit(0)).cast("long")))
-    rows = examples.select(F.col(id_col).alias("id"), n.alias("n"), x.alias("x"), F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int").alias("group"))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n", "descending"), ("x", "descending"), ("id", "ascending")])
-        size, loss = (np.asarray(table[c], dtype=np.int64) for c in ("n", "x"))
-        bin_, offset = np.full(len(size), -1), np.full(len(size), -1)
-        for item, _, _, b, o, _ in pack(size, loss, most_tokens, most_segments, most_loss, cut=False):
-            bin_[item], offset[item] = b, o
-        gone = bin_ < 0
-        sequence = np.asarray(table["group"], dtype=np.int64) * (1 << 32) + bin_
-        return table.select(["id", "n", "x"]).append_column("sequence_id", pa.array(sequence, mask=gone)).append_column("offset", pa.array(offset, mask=gone))
+    rows = examples.select(F.col(id_col).alias("id"), n.alias("n"), x.alias("x"))
+
+    def run(it):
+        from pyspark import TaskContext
+
+        task, bins, held = TaskContext.get().partitionId(), 0, []
+
+        def packed(table: pa.Table, bins: int):
+            size, loss = (np.asarray(table[c], dtype=np.int64) for c in ("n", "x"))
+            bin_, offset = np.full(len(size), -1), np.full(len(size), -1)
+            for item, _, _, b, o, _ in pack(size, loss, most_tokens, most_segments, most_loss, cut=False):
+                bin_[item], offset[item] = b, o
+            gone = bin_ < 0
+            out = table.append_column("sequence_id", pa.array((task << 32) + bins + bin_, mask=gone)).append_column("offset", pa.array(offset, mask=gone))
+            return out.to_batches(), bins + int(bin_.max(initial=-1)) + 1
+
+        for batch in it:
+            for a in range(0, batch.num_rows, run_rows):
+                held.append(batch.slice(a, run_rows))
+                if sum(h.num_rows for h in held) >= run_rows:
+                    out, bins = packed(pa.Table.from_batches(held), bins)
+                    held = []
+                    yield from out
+        if held:
+            yield from packed(pa.Table.from_batches(held), bins)[0]
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.groupBy("group").applyInArrow(run, f"id {kind}, n long, x long, sequence_id long, offset long")
+    out = rows.mapInArrow(run, f"id {kind}, n long, x long, sequence_id long, offset long")
     return out.withColumnsRenamed({"id": id_col, "n": "n_tokens", "x": "n_loss"})

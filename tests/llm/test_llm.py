@@ -263,7 +263,7 @@ def test_packing_round_trip(spark, docs, texts, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    got = packing.pack_documents(docs, tokenizer_path(), group_bytes=60_000).collect()
+    got = packing.pack_documents(docs, tokenizer_path(), run_bytes=60_000).collect()
     ids = {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4") for d, t in texts.items()}
     seen = Counter()
     for r in got:
@@ -302,6 +302,76 @@ def test_word_tokenizer_equals_whole_texts():
         assert ids[off[i] : off[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_any_other_tokenizer_encodes_whole_texts():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = packing.coder(path)
+    assert isinstance(coder, packing.WholeTokenizer) and isinstance(packing.coder(tokenizer_path()), packing.WordTokenizer)
+    texts = ["Some  Text, it's\n here", None, "", "é <|endoftext|> x"]
+    ids, off = coder.encode(pa.array(texts))
+    whole = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
+def naive_pack(tokens, loss, limits, cut):
+    """The heuristic item by item: a list of bins, each a list of (tokens, loss) taken."""
+    items = [(t, x) for t, x in zip(tokens, loss) if t]
+    bins = []
+    if not cut:
+        bins = [[i] for i in sorted(items) if i[0] > limits[0] or i[1] > limits[2]]
+        items = [i for i in items if i[0] <= limits[0] and i[1] <= limits[2]]
+    while items:
+        left, taken = list(limits), []
+        demand = [sum(t for t, _ in items) / limits[0], len(items) / limits[1], sum(x for _, x in items) / limits[2]]
+        weight = [d / sum(demand) for d in demand]
+        while left[0] and left[1]:
+            pull = [w * v / m / m for w, v, m in zip(weight, left, limits)]
+            found = []
+            for rank in (0, 1):
+                for t, x in items:
+                    some = min(t, left[0], t - x + left[2])
+                    borne = max(0, some - (t - x))
+                    fits = some == t or (cut and some > 0 and (rank == 1 or t > limits[0] or x > limits[2]))
+                    if fits:
+                        found.append((some * pull[0] + pull[1] + borne * pull[2], t, x, some, borne))
+                if found or not cut:
+                    break
+            if not found:
+                break
+            best = max(f[0] for f in found)
+            _, t, x, some, borne = max((f for f in found if np.isclose(f[0], best, rtol=1e-12)), key=lambda f: f[1:3])
+            items.remove((t, x))
+            if some < t:
+                items.append((t - some, x - borne))
+            taken.append((some, borne))
+            left = [left[0] - some, left[1] - 1, left[2] - borne]
+        bins.append(taken)
+    return bins
+
+
+@pytest.mark.parametrize("cut", [True, False])
+@pytest.mark.parametrize("seed", range(4))
+def test_pack_is_the_dot_product_heuristic(seed, cut):
+    rng = np.random.default_rng(seed)
+    tokens = np.where(rng.random(250) < 0.1, rng.integers(1000, 5000, 250), rng.integers(0, 700, 250))
+    loss = np.maximum(0, tokens - 64) if seed % 2 else (tokens * rng.random(250)).astype(int)
+    got = {}
+    for _, _, length, bin_, offset, x in packing.pack(tokens, loss, 1000, 6, 700, cut):
+        got.setdefault(bin_, []).append((offset, length, x))
+    got = [[p[1:] for p in sorted(got[b])] for b in sorted(got)]
+    assert got == naive_pack(tokens.tolist(), loss.tolist(), (1000, 6, 700), cut)
+
+
+def test_the_loss_limit_decides_what_shares_a_sequence():
+    # long examples that bear loss throughout, and short ones that bear none
+    plan = packing.pack([900] * 10 + [100] * 10, [600] * 10 + [0] * 10, 1000, 50, 600, cut=False)
+    assert max(p[3] for p in plan) == 9
+
+
 def test_pack_holds_all_limits():
     rng = np.random.default_rng(6)
     tokens = rng.integers(0, 900, 400)
@@ -322,7 +392,7 @@ def test_pack_examples_keeps_them_whole(spark):
     rng = np.random.default_rng(7)
     rows = [(i, int(t), int(t * rng.random())) for i, t in enumerate(rng.integers(1, 1500, 300))]
     rows += [(900, 5000, 10), (901, 10, None), (902, None, 5), (903, 0, 0), (None, 7, 99), (5, 40, 3)]
-    got = packing.pack_examples(spark.createDataFrame(rows, "id long, n_tokens int, n_loss int"), 2000, 5, 900, 3).collect()
+    got = packing.pack_examples(spark.createDataFrame(rows, "id long, n_tokens int, n_loss int"), 2000, 5, 900).collect()
     assert Counter((r.id, r.n_tokens) for r in got) == Counter((i, t or 0) for i, t, _ in rows)
     bins = {}
     for r in got:
