@@ -48,6 +48,14 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out where the files have fewer splits than the session has
+    cores: a small table's few row groups would keep the other cores idle.
+    Larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # --- joins with hot keys ------------------------------------------------------
 
 #: Hot keys of a join at most; a key is hot with more than a HOT_KEYS-th of all rows.

@@ -1,26 +1,53 @@
 """SimHash near-dedup by multi-index hashing.
 
-A fingerprint has 64 bits, cut in segments of 22, 21 and 21. Two fingerprints
-that differ in at most 4 bits differ in at most 1 bit in one of the segments
-(4 < 3 * 2). So each distinct fingerprint is in three tables by its exact
-segments, looks up the Hamming ball of radius 1 around each of its own
-segments (65 + 3 keys in all), and whole distances are verified inside the
-join. Equal fingerprints are one entry from the start, so exact copies cost a
-group-by and no pair.
+A fingerprint has 64 bits, cut in m segments. Two fingerprints that differ in
+fewer than m * (r + 1) bits differ in at most r bits in one of the segments. So
+each distinct fingerprint is in m tables by its exact segments, looks up the
+Hamming ball of radius r around each of its own segments, and whole distances
+are verified inside the join. For distance 4 there are two ways: three segments
+with balls of radius 1 (67 keys), which meet n / 2^21 others by chance, and two
+segments with balls of radius 2 (1058 keys), which meet n / 2^32. plan() takes
+that with fewer keys and chance meetings for the number of fingerprints. Equal
+fingerprints are one entry from the start, so exact copies cost a group-by and
+no pair; a segment that many fingerprints share is cut in parts, and each
+look-up goes to all of them.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonagrid.llm.common import SPACE, connected_components, text_slices, utf8, words, written
+from sonagrid.llm.common import HOT_KEYS, SPACE, connected_components, join_by_key, spread, text_slices, total, utf8, words, written
+
+#: Fingerprints of a segment's value in one part, at least.
+PART_ROWS = 1000
+
+
+def segments(m: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of m segments of nearly equal length."""
+    edges = [64 * k // m for k in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def flips(bits: int, radius: int) -> list[int]:
+    """All words of that many bits of which at most ``radius`` are set."""
+    return [sum(1 << i for i in at) for r in range(radius + 1) for at in combinations(range(bits), r)]
 
-#: (lowest bit, bits) of the segments.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+
+def plan(n: int, most: int) -> tuple[int, int]:
+    """(segments, radius) with the least keys and chance meetings for n fingerprints."""
+
+    def cost(m: int, r: int) -> float:
+        return sum(len(flips(bits, r)) * (1 + n / 2**bits) for _, bits in segments(m))
+
+    ways = [(m, r) for r in (0, 1, 2) for m in range(1, 65) if m * (r + 1) > most and (m - 1) * (r + 1) <= most]
+    return min(ways, key=lambda way: cost(*way))
 
 
 def _fingerprints(shingle: int):
@@ -63,35 +90,37 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp): XXH64 (seed 42) of word shingles in lower case (A-Z), majority by bit."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc long, fp long")
+    return spread(rows).mapInArrow(_fingerprints(shingle), "doc long, fp long")
 
 
-def hamming_links(fps: DataFrame, most: int = 4) -> DataFrame:
+def hamming_links(fps: DataFrame, most: int = 4, way: tuple[int, int] | None = None) -> DataFrame:
     """(a, b): ids of distinct fingerprints that differ in at most ``most`` bits.
-    fps: id long, fp long, one row for each fingerprint."""
-    if most >= 2 * len(SEGMENTS):
-        raise ValueError("balls of radius 1 do not cover this distance")
-    exact = F.array(*[F.struct(F.lit(k).alias("k"), _segment(k).alias("s")) for k in range(len(SEGMENTS))])
+    fps: a table of id long, fp long, one row for each fingerprint. way: number
+    of segments and radius, by default those of plan()."""
+    m, radius = way or plan(fps.count(), most)
+    if most >= m * (radius + 1):
+        raise ValueError("balls of this radius do not cover this distance")
+    cut = segments(m)
+    exact = F.array(*[F.struct(F.lit(k).alias("k"), _segment(s).alias("s")) for k, s in enumerate(cut)])
+    ball = F.concat(*[F.transform(F.array(*[F.lit(x).cast("long") for x in flips(s[1], radius)]), lambda x: F.struct(F.lit(k).alias("k"), _segment(s).bitwiseXOR(x).alias("s"))) for k, s in enumerate(cut)])
     table = fps.select("id", "fp", F.inline(exact))
-    ball = F.concat(*[_ball(k) for k in range(len(SEGMENTS))])
     probe = fps.select(F.col("id").alias("other"), F.col("fp").alias("fp2"), F.inline(ball))
+    # values that many share: their number is bounded, as a part has PART_ROWS rows or more
+    sizes = written(table.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS), "segments")
+    bound = max(PART_ROWS, total(sizes, "n") // HOT_KEYS)
+    hot = F.broadcast(sizes.where(F.col("n") > bound).select("k", "s", F.ceil(F.col("n") / bound).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    table = table.join(hot, ["k", "s"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    probe = probe.join(hot, ["k", "s"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= most
-    return probe.join(table, (probe.k == table.k) & (probe.s == table.s) & (F.col("other") < F.col("id")) & near).select(
-        F.col("other").alias("a"), F.col("id").alias("b")
-    )
+    return probe.join(table, ["k", "s", "part"]).where((F.col("other") < F.col("id")) & near).select(F.col("other").alias("a"), F.col("id").alias("b"))
 
 
-def _segment(k: int):
-    low, bits = SEGMENTS[k]
+def _segment(segment: tuple[int, int]):
+    low, bits = segment
     return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def _ball(k: int):
-    """Keys at distance 0 and 1 from the fingerprint's segment k."""
-    flips = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << i for i in range(SEGMENTS[k][1]))]])
-    return F.transform(flips, lambda m: F.struct(F.lit(k).alias("k"), _segment(k).bitwiseXOR(m).alias("s")))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id, kept for each row of docs.
 
@@ -103,12 +132,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: st
     rows each get a row. Other columns are not read.
     """
     rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc").alias("id"))
-    known = written(fps, "distinct")
-    links = hamming_links(known.where("id is not null"), most)
+    known = written(rows.groupBy("fp").agg(F.min("doc").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
+    links = hamming_links(known.where("id is not null").select("id", "fp"), most)
     parts = connected_components(links)
-    roots = known.join(parts, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(roots, "fp").select(
+    roots = known.join(parts, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n")
+    return join_by_key(rows, written(roots, "roots"), ["fp"], "n").select(
         F.col("doc").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

@@ -181,8 +181,13 @@ def test_hamming_links_are_those_of_brute_force(spark):
         fps.append(x ^ sum(1 << int(b) for b in bits))
     fps = sorted(set(fps))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = {tuple(r) for r in simhash.hamming_links(spark.createDataFrame(list(enumerate(signed)), "id long, fp long")).collect()}
-    assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4}
+    table = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4}
+    parts, simhash.PART_ROWS = simhash.PART_ROWS, 1
+    for way in (None, (3, 1), (2, 2), (5, 0)):
+        assert {tuple(r) for r in simhash.hamming_links(table, 4, way).distinct().collect()} == want
+    simhash.PART_ROWS = parts
+    assert simhash.plan(10**6, 4) == (3, 1) and simhash.plan(10**10, 4) == (2, 2)
 
 
 def test_embeddings(spark):
@@ -251,12 +256,59 @@ def test_quality_model_learns_and_scores_every_row(spark, docs, empty, texts):
 
 
 def test_interactions_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(9)
     model = quality_model.FactorisationMachine(np.zeros((quality_model.N_STATS, quality_model.BINS - 1)))
-    x = np.zeros((1, len(model.w)))
-    at = [3, 70, 2060]
-    x[0, at] = [0.5, 2.0, 1.5]
-    pairs = sum(model.v[i] @ model.v[j] * x[0, i] * x[0, j] for a, i in enumerate(at) for j in at[a + 1 :])
-    assert np.isclose(model.raw(x)[0], pairs)
+    model.b[0], model.w = 0.3, rng.normal(size=len(model.w))
+    rows = [{3: 0.5, 70: 2.0, 2060: 1.5}, {}, {0: 1.0}, {k: float(k) for k in range(5, 50, 7)}]
+    x = quality_model.Sparse(np.cumsum([0] + [len(r) for r in rows]), np.array([k for r in rows for k in r]), np.array([v for r in rows for v in r.values()]))
+    for r, got in zip(rows, model.raw(x)):
+        pairs = sum(model.v[i] @ model.v[j] * r[i] * r[j] for i in r for j in r if i < j)
+        assert np.isclose(got, 0.3 + sum(model.w[i] * v for i, v in r.items()) + pairs)
+
+
+def test_quality_scores_equal_a_plain_scorer(spark, docs, texts):
+    """Features and score of each text again, word by word."""
+    rng = np.random.default_rng(2)
+    edges = np.sort(rng.random((quality_model.N_STATS, quality_model.BINS - 1)), axis=1)
+    model = quality_model.FactorisationMachine(edges)
+    model.w = rng.normal(size=len(model.w))
+
+    def plain(text, n_chars):
+        raw, ws = (text or "").encode(), [w.encode() for w in words(text)]
+        data = np.frombuffer(b" ".join(ws), dtype=np.uint8)
+        starts, ends, _ = common.words(data, np.array([0, len(data)]))
+        buckets = Counter(int(h % quality_model.HASHED) for h in common.word_hashes(data, starts, ends).tolist())
+        x = {k: np.log1p(n) for k, n in buckets.items()}
+        norm = max(sum(v * v for v in x.values()) ** 0.5, 1e-6)
+        x = {k: v / norm for k, v in x.items()}
+        n, chars = len(ws), max(1, sum(c not in b" \t\n\x0b\x0c\r" for c in raw))
+        some, lines = max(n, 1), raw.count(b"\n") + 1
+        share = lambda chosen: sum(c in chosen for c in raw)
+        upper, lower = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+        stats = [np.log1p(n), chars / some]
+        stats += [share(c) / chars for c in (upper, b"0123456789", b"#*$%&|<>~^_=+@\\{}[]/", b".,;:", b"!?", bytes(range(128, 256)))]
+        stats += [n / lines, (lines - 1) / some, len(set(ws)) / some, sum(a == b for a, b in zip(ws, ws[1:])) / some]
+        stats += [sum(w[0] in upper for w in ws) / some, sum(w[0] in lower for w in ws) / some, sum(w[-1] in b".,;:" for w in ws) / some]
+        stats += [sum(len(w) == 1 for w in ws) / some, sum(len(w) > 14 for w in ws) / some]
+        stats += [-1, -1] if n_chars is None else [np.log1p(n_chars), n_chars / max(len(raw), 1)]
+        for j, v in enumerate(stats):
+            x[quality_model.HASHED + j * quality_model.BINS + int(np.sum(edges[j] <= v))] = 1 / len(stats) ** 0.5
+        at = sorted(x)
+        total = sum(model.w[i] * x[i] for i in at) + sum(model.v[i] @ model.v[j] * x[i] * x[j] for k, i in enumerate(at) for j in at[k + 1 :])
+        return 1 / (1 + np.exp(-total))
+
+    few = {d: t for d, t in texts.items() if d not in (7, 11)}
+    rows = spark.createDataFrame([(d, t, None if d % 3 else len(t or "")) for d, t in few.items()], "doc_id long, text string, n_chars long")
+    for r in quality_model.score(rows, model).collect():
+        t = few[r.doc_id]
+        assert np.isclose(r.score, plain(t, None if r.doc_id % 3 else len(t or ""))), r.doc_id
+
+
+def test_training_takes_one_text_for_each_label(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}", i) for i in range(50)] + [(2, None, None), (None, "x", 1)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    one, two = (quality_model.train(docs.repartition(n), labels) for n in (1, 5))
+    assert (one.w == two.w).all() and (one.v == two.v).all()
 
 
 def test_packing_round_trip(spark, docs, texts, empty):
