@@ -1,14 +1,21 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events into lines, one for each
-block. A line's ratio is its characters for each tag; ratios are smoothed along
-the page with a Gaussian, and lines above the threshold (the smaller of two
-clusters' midpoint and the mean) or of running text by themselves are content.
-The region is all article and main elements if they hold half of the content,
-or else the smallest container that holds every content line and main heading; lists, tables and
-quotations are parts of a text and no region. All lines of the region that are
-not in a container of another kind (menus, forms, adverts, comments ...) are
-the text.
+block. A line's ratio is its characters outside of links for each tag; ratios
+are smoothed along the page with a Gaussian, and lines above the threshold (the
+smaller of two clusters' midpoint and the mean) or of running text by
+themselves are content. The region is all article and main elements if they
+hold half of the content, or else the smallest container that holds every
+content line and main heading; lists, tables and quotations are parts of a text
+and no region.
+
+Inside the region ratios decide again: a container without any content line
+whose characters are for the most part those of links goes. Containers known
+by tag or class as something else (menus, forms, adverts, comments ...) go too.
+Short lines beside content stay.
+
+Containers are runs of lines, so all of this takes time in proportion to the
+page, however deep its elements are.
 """
 
 from __future__ import annotations
@@ -22,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonagrid.llm.common import spread
+
 # Elements of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
@@ -36,11 +45,18 @@ ASIDE = set(
     "footer masthead comment comments reply replies discussion disqus cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup "
     "login share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer complementary contentinfo search".split()
 )
+#: Of these, words that a section of a text may be about, with what then follows.
+TOPICS = set("related search discussion notice notices alert social recommended".split())
+SUBJECTS = set("work works research literature methods results studies science theory problems history questions".split())
 #: A class that begins so tells of something elsewhere on the page.
 ELSEWHERE = set("has with without no not is".split())
 MAIN = ("article", "main")
 #: Blocks inside of a text, which do not bound it.
 PARTS = set("ul ol dl li dt dd table caption colgroup thead tbody tfoot tr td th blockquote pre figure figcaption details summary address hgroup".split())
+#: Blocks that hold a line and bound nothing.
+PLAIN = set("p li h1 h2 h3 h4 h5 h6".split())
+#: Elements that end an open one of their kind.
+REPEATED = set("li dt dd tr td th option".split())
 #: Characters for each tag from which on a line is running text.
 RUNNING = 40
 
@@ -49,41 +65,78 @@ _HIDDEN = re.compile(r"display\s*:\s*none")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags in it, and the containers around it."""
+    """Lines of a page: text, tags and link characters in it; containers as runs of lines."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[str] = []
+        self.tags_in: list[int] = []
+        self.linked: list[int] = []
         self.titles: list[bool] = []  # of lines: inside h1
-        self.open: list[tuple[str, int, bool]] = []  # tag, container number, skipped
-        self.kind: list[str] = []
+        self.kind: list[str] = []  # of containers: tag, first line, line after the last
+        self.begin: list[int] = []
+        self.end: list[int] = []
+        self.open: list[tuple[str, int, bool]] = []  # tag, container number or -1, skipped
+        self.at: dict[str, list[int]] = {}  # places of open elements by tag
+        self.blocks: list[int] = []  # places of those that are not inline
+        self.boxes: list[int] = []  # places of containers
         self.parts: list[str] = []
-        self.tags = 0
-        self.skip = 0
+        self.tags = self.skip = self.link_chars = 0
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, tuple(x[1] for x in self.open if x[1] >= 0)))
-            self.titles.append(any(x[0] == "h1" for x in self.open))
-        self.parts, self.tags = [], 0
+            self.lines.append(text)
+            self.tags_in.append(self.tags)
+            self.linked.append(self.link_chars)
+            self.titles.append(bool(self.at.get("h1")))
+        self.parts, self.tags, self.link_chars = [], 0, 0
+
+    def _push(self, tag: str, skipped: bool) -> None:
+        box = tag not in INLINE and tag not in PLAIN
+        place = len(self.open)
+        self.open.append((tag, len(self.kind) if box else -1, skipped))
+        self.at.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+        if box:
+            self.boxes.append(place)
+            self.kind.append(tag)
+            self.begin.append(len(self.lines))
+            self.end.append(-1)
+        self.skip += skipped
 
     def _pop(self) -> None:
-        tag, _, skipped = self.open[-1]
+        tag, box, skipped = self.open[-1]
         if tag not in INLINE:
             self._end_line()
+            self.blocks.pop()
         self.open.pop()
+        self.at[tag].pop()
+        if box >= 0:
+            self.boxes.pop()
+            self.end[box] = len(self.lines)
         self.skip -= skipped
 
+    def _pop_to(self, place: int) -> None:
+        while len(self.open) > place:
+            self._pop()
+
     def _aside(self, tag: str, attrs) -> bool:
+        """Whether an element is something else than text. Words in class, id or
+        role count for containers only: a marked span or heading is part of its text."""
         if tag in ("html", "body", "main"):
             return False
-        if tag in SKIPPED or (tag == "header" and not any(x[0] in MAIN for x in self.open)):
+        if tag in SKIPPED or (tag == "header" and not any(self.at.get(x) for x in MAIN)):
             return True
+        marks = tag not in INLINE and tag not in PLAIN and not (tag in PARTS and any(self.at.get(x) for x in MAIN))
         for name, value in attrs:
-            if name in ("class", "id", "role") and value:
+            if marks and name in ("class", "id", "role") and value:
                 for words in map(_WORD.findall, value.lower().split()):
                     if words and words[0] not in ELSEWHERE and not ASIDE.isdisjoint(words):
+                        # "related work" and the like: a section of the text with a name of its own
+                        if tag == "section" and any(self.at.get(x) for x in MAIN) and ASIDE.intersection(words) <= TOPICS and words[-1] in SUBJECTS:
+                            continue
                         return True
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and _HIDDEN.search(value.lower())):
                 return True
@@ -101,20 +154,12 @@ class _Lines(HTMLParser):
             return
         if tag not in INLINE:
             # a block ends an open paragraph or item, with what is open inside
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == "p" or (self.open[k][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    while len(self.open) > k:
-                        self._pop()
-                    break
-                if self.open[k][0] not in INLINE:
-                    break
+            if self.blocks:
+                top = self.open[self.blocks[-1]][0]
+                if top == "p" or (top == tag and tag in REPEATED):
+                    self._pop_to(self.blocks[-1])
             self._end_line()
-        skipped = self._aside(tag, attrs)
-        block = tag not in INLINE and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")
-        self.open.append((tag, len(self.kind) if block else -1, skipped))
-        if block:
-            self.kind.append(tag)
-        self.skip += skipped
+        self._push(tag, self._aside(tag, attrs))
         self.tags += 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -123,27 +168,24 @@ class _Lines(HTMLParser):
             self._pop()
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self._pop()
-                self.tags += 1
-                return
-            if tag in INLINE and self.open[k][0] not in INLINE:
-                return
-            if tag == "p" and self.open[k][1] >= 0:
-                break
-        if tag in ("p", "br"):
+        place = self.at[tag][-1] if self.at.get(tag) else -1
+        # an inline element ends inside its block, a paragraph inside its container
+        within = (self.blocks[-1:] if tag in INLINE else self.boxes[-1:] if tag == "p" else []) or [-1]
+        if place > within[0]:
+            self._pop_to(place)
+            self.tags += 1
+        elif tag in ("p", "br"):
             self._end_line()
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.parts.append(data)
+            if self.at.get("a"):
+                self.link_chars += len(data.strip())
 
     def close(self) -> None:
         super().close()
-        while self.open:
-            self._pop()
+        self._pop_to(0)
         self._end_line()
 
 
@@ -171,23 +213,44 @@ def main_text(html: str | None) -> str:
     page = _Lines()
     page.feed(html or "")
     page.close()
-    if not page.lines:
+    n = len(page.lines)
+    if not n:
         return ""
-    sizes = np.array([len(t) for t, _, _ in page.lines], dtype=float)
-    own = sizes / np.array([max(1, n) for _, n, _ in page.lines])
-    content = content_lines(smoothed(own)) | (own >= RUNNING) | np.array(page.titles)
-    marked = {k for k, tag in enumerate(page.kind) if tag in MAIN}
-    inside = np.array([not marked.isdisjoint(around) for _, _, around in page.lines])
-    if 2 * sizes[content & inside].sum() >= sizes[content].sum():
-        return "\n".join(t for (t, _, _), good in zip(page.lines, inside) if good)
-    content |= inside
-    common: tuple[int, ...] | None = None
-    for (_, _, around), good in zip(page.lines, content):
-        if good:
-            around = tuple(k for k in around if page.kind[k] not in PARTS)
-            same = around if common is None else common
-            common = tuple(a for a, b in zip(same, around) if a == b)
-    return "\n".join(t for t, _, around in page.lines if not common or common[-1] in around)
+    sizes = np.array([len(t) for t in page.lines], dtype=float)
+    linked = np.minimum(np.array(page.linked, dtype=float), sizes)
+    own = (sizes - linked) / np.maximum(1, np.array(page.tags_in))
+    content = content_lines(smoothed(own)) & (2 * linked < sizes) | (own >= RUNNING) | np.array(page.titles)
+    begin, end = np.array(page.begin, dtype=np.int64), np.array(page.end, dtype=np.int64)
+
+    def covered(boxes: np.ndarray) -> np.ndarray:
+        """Lines of any of the containers."""
+        edge = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(edge, begin[boxes], 1)
+        np.add.at(edge, end[boxes], -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    before = lambda values: np.append(0, np.cumsum(values))
+    marked = np.array([k in MAIN for k in page.kind], dtype=bool)
+    inside = covered(marked) if len(marked) else np.zeros(n, dtype=bool)
+    if 2 * sizes[content & inside].sum() >= sizes[content].sum() and (content & inside).any():
+        region = inside
+    else:
+        region = np.ones(n, dtype=bool)
+        content |= inside
+        bounds = np.array([k not in PARTS for k in page.kind], dtype=bool)
+        if content.any() and bounds.any():
+            first, last = np.flatnonzero(content)[[0, -1]]
+            holds = np.flatnonzero(bounds & (begin <= first) & (end > last))
+            if len(holds):  # the last one to open is the smallest
+                region = covered(holds[-1:])
+    # containers of links: nothing in them is content, and links are most of their text
+    if len(begin):
+        some, chars, links = before(content), before(sizes), before(linked)
+        of_links = (end - begin > 1) & (some[end] == some[begin]) & (2 * (links[end] - links[begin]) > chars[end] - chars[begin])
+        rest = region & ~covered(of_links)
+        if (rest & content).any():
+            region = rest
+    return "\n".join(t for t, good in zip(page.lines, region) if good)
 
 
 def _extract(it):
@@ -210,4 +273,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_extract, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    return spread(rows).mapInArrow(_extract, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

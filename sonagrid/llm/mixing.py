@@ -72,19 +72,33 @@ def targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = WEIGHTS)
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id_col, size, source_size, target, taken for each row of docs.
+def mix(
+    docs: DataFrame,
+    most: int = 3,
+    weights: tuple[int, ...] = WEIGHTS,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    quality: Column | None = None,
+    with_ties: bool = False,
+) -> DataFrame:
+    """id_col, size, source_size, target, taken for each row of docs (and, on demand,
+    tie, a hash of the text, and from, the source).
 
     taken counts a row's words in the mix: size for each whole epoch of its
     source and once more if the sample has it; the row on the budget's line
-    gives its first words only. A null text has size 0, and rows without words
-    are never taken. Null is a source. Rows that share an id have the same key
-    and are taken in the order of their sizes and texts; equal rows in any
-    order. No rows give no rows. Other columns are not read.
+    gives its first words only. ``quality`` is a positive column of docs that
+    weighs documents, such as a classifier's score; by default quality_weight.
+    A null text has size 0, and rows without words are never taken. Null is a
+    source. Rows that share an id have the same number and are taken in the
+    order of their keys, sizes and texts; equal rows in any order. No rows give
+    no rows. Other columns are not read.
     """
-    size = n_words(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.col(text_col).alias("text"))
-    rows = rows.select("id", "source", "size", (-F.log(uniform(F.col("id"), seed)) / quality_weight(F.col("text"), F.col("size"))).alias("key"), F.xxhash64("text").alias("tie"))
+    text, size = F.col(text_col), n_words(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), text.alias("text"), (F.lit(None).cast("double") if quality is None else quality).alias("quality"))
+    weight = quality_weight(F.col("text"), F.col("size")) if quality is None else F.col("quality")
+    rows = rows.select("id", "source", "size", (-F.log(uniform(F.col("id"), seed)) / weight).alias("key"), F.xxhash64("text").alias("tie"))
     # any function that grows with the key will do; this one fills buckets evenly at weight 1.
     # The table spares a second reading of the texts.
     rows = written(rows.withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("key")))).cast("int")), "sizes")
@@ -97,19 +111,41 @@ def mix(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = WEIGHTS, seed
     inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    full = full.select("id", "size", "source_size", "target", start.alias("start"), epochs.alias("epochs"))
+    full = full.select("id", "size", "source_size", "target", start.alias("start"), epochs.alias("epochs"), "tie", F.col("s").alias("from"))
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - F.col("start")))
-    return full.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def mixture(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    return full.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *(["tie", "from"] if with_ties else []))
+
+
+def mixture(
+    docs: DataFrame,
+    most: int = 3,
+    weights: tuple[int, ...] = WEIGHTS,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    quality: Column | None = None,
+) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, all columns as
-    they are; a row taken in part has its first words. Ids must be unique;
-    a null id counts as one."""
-    found = mix(docs, most, weights, seed, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__id")).agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    rows = docs.join(found, docs[id_col].eqNullSafe(F.col("__id"))).where("__taken > 0")
-    rows = rows.withColumn("__left", F.explode(F.expr("transform(sequence(0, cast((__taken - 1) div __size as int)), k -> __taken - k * __size)")))
+    they are; a row taken in part has its first words. Rows that share an id are
+    told apart by source and text; those that share these too (null ids are
+    equal) are together taken as often as mix() says."""
+    found = mix(docs, most, weights, seed, id_col, text_col, source_col, quality, with_ties=True)
+    found = found.groupBy(F.col(id_col).alias("__id"), F.col("tie").alias("__tie"), F.col("from").alias("__from")).agg(
+        F.max("size").alias("__size"), F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__n")
+    )
+    found = written(found.where("__taken > 0"), "taken")
+    same = F.xxhash64(F.col(text_col))
+    on = docs[id_col].eqNullSafe(F.col("__id")) & (same == F.col("__tie")) & docs[source_col].eqNullSafe(F.col("__from"))
+    rows = docs.join(found, on)
+    lone = rows.where("__n = 1").withColumn("__own", F.col("__taken"))
+    # equal rows: the first of them have whole copies more, one may have a part
+    place = F.row_number().over(Window.partitionBy("__id", "__tie", "__from").orderBy("__taken")) - 1
+    least = F.greatest(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__n") / F.greatest("__size", F.lit(1))) * F.col("__size"))
+    several = rows.where("__n > 1").withColumn("__own", least + F.greatest(F.lit(0), F.least("__size", F.col("__taken") - F.col("__n") * least - place * F.col("__size"))))
+    rows = lone.unionByName(several).where("__own > 0")
+    rows = rows.withColumn("__left", F.explode(F.expr("transform(sequence(0, cast((__own - 1) div __size as int)), k -> __own - k * __size)")))
     bare = F.regexp_replace(F.col(text_col), rf"^{_SPACE}|{_SPACE}$", "")
     cut = F.array_join(F.slice(F.split(bare, _SPACE), F.lit(1), F.col("__left").cast("int")), " ")
     return rows.withColumn(text_col, F.when(F.col("__left") < F.col("__size"), cut).otherwise(F.col(text_col))).select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonagrid.llm.common import text_slices, utf8
+from sonagrid.llm.common import spread, text_slices, utf8
 
 #: Words whose ids a tokenizing worker keeps between batches and tasks; all are dropped when there are more.
 CACHE_WORDS = 800_000
@@ -314,7 +314,7 @@ def pack_documents(
     if min(limits) < 1:
         raise ValueError("limits must be at least 1")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInArrow(_sequences(tokenizer_path, end_id, prompt_tokens, limits, run_bytes), PIECES)
+    pieces = spread(rows).mapInArrow(_sequences(tokenizer_path, end_id, prompt_tokens, limits, run_bytes), PIECES)
     return pieces.withColumnRenamed("doc_id", id_col)
 
 

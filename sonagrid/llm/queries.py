@@ -142,7 +142,7 @@ a as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as
 r as (select doc_id, count(distinct i + k) as n from a, (select unnest(range(0, 3)) as k) group by doc_id),
 b as (select d.doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
       cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words,
-      len(list_filter(ws, lambda w: rtrim(w, '.,;:') in ({stop}))) as n_stop, len(regexp_extract_all(text, '\p{{L}}')) as letters, greatest(len(ls), 1) as n_lines,
+      len(list_filter(ws, lambda w: lower(rtrim(w, '.,;:')) in ({stop}))) as n_stop, length(array_to_string(ws, '')) - len(regexp_extract_all(text, '[!-@\[-`{{-~]')) as letters, greatest(len(ls), 1) as n_lines,
       len(list_filter(ls, lambda l: rtrim(l) like '%...' or rtrim(l) like '%…')) as dots, len(list_filter(ls, lambda l: regexp_matches(ltrim(l), '^[-•*·]'))) as bullets
       from d left join r on r.doc_id = d.doc_id),
 m as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(word_chars / nullif(n_words, 0), 0) as mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) as symbols_per_word,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = r"[\x20\x09-\x0D]+"
+_SPACES = " \t\n\x0b\x0c\r"
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -29,7 +30,7 @@ RULES = (
     ("dup_line_ratio", None, 0.50),  # a third is one repeat among three lines
     ("ellipsis_line_ratio", None, 0.30),
     ("bullet_line_ratio", None, 0.90),
-    ("letter_ratio", 0.60, None),
+    ("letter_ratio", 0.60, None),  # characters of words that are no digits or signs of ASCII
 )
 
 
@@ -41,20 +42,15 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with columns __words, __lines and one for each measure of RULES and
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.withColumn("__words", F.filter(F.split(text, _SPACE), lambda w: w != ""))
+    split = docs.withColumn("__words", F.array_remove(F.split(F.btrim(text, F.lit(_SPACES)), _SPACE), ""))
     split = split.withColumn("__lines", F.expr(f"filter(split(coalesce(`{text_col}`, ''), '\\n'), l -> l rlike '[^ \\\\t-\\\\r]')"))
-    # Words of 3-word windows that are found again. A window's hash with its place in the low
-    # bits is sorted as a plain long; neighbours with equal high bits are candidates, and only
-    # those are compared as words.
+    # Words of 3-word windows that are found again. Most texts have distinct hashes only and are
+    # done. In others a window's hash with its place in the low bits is sorted as a plain long;
+    # neighbours with equal high bits are candidates, and only those are compared as words.
     n = "size(__words)"
     low = f"if({n} < 1048576, 20, 31)"
-    split = split.withColumn(
-        "__tri",
-        F.expr(
-            f"sort_array(if({n} < 3, array(), transform(sequence(0, {n} - 3), i -> "
-            f"shiftleft(xxhash64(get(__words, i), get(__words, i + 1), get(__words, i + 2)), {low}) | i)))"
-        ),
-    )
+    split = split.withColumn("__hash", F.expr(f"if({n} < 3, array(), transform(slice(__words, 1, greatest({n} - 2, 0)), (w, i) -> xxhash64(w, get(__words, i + 1), get(__words, i + 2))))"))
+    split = split.withColumn("__tri", F.expr(f"if(size(array_distinct(__hash)) = size(__hash), array(), sort_array(transform(__hash, (x, i) -> shiftleft(x, {low}) | i)))"))
     split = split.withColumn(
         "__again",
         F.expr(
@@ -74,11 +70,12 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "__lines",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         F.expr("size(__lines) - size(array_distinct(__lines))").cast("long").alias("n_dup_lines"),
         F.expr(covered).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("__words", lambda w: F.rtrim(w, F.lit(".,;:")).isin(*sorted(set(STOP_WORDS))))).alias("__n_stop"),
-        F.regexp_count(text, F.lit(r"\p{L}")).alias("__letters"),
+        # signs behind a word are no part of a stop word, and its case does not count
+        F.size(F.filter("__words", lambda w: F.lower(F.rtrim(w, F.lit(".,;:"))).isin(*sorted(set(STOP_WORDS))))).alias("__n_stop"),
+        (F.length(F.array_join("__words", "")) - F.length(text) + F.length(F.regexp_replace(text, r"[!-@\[-`{-~]+", ""))).alias("__letters"),
     )
     return base.select(
         "*",

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonagrid.llm.common import dropped, join_by_key, joined, mix, run_hashes, text_slices, utf8, word_hashes, words, written
+from sonagrid.llm.common import dropped, join_by_key, joined, mix, run_hashes, spread, text_slices, utf8, word_hashes, words, written
 
 _SEEDS = "doc long, tag int, q0 int, n int, h long, c long"
 _WINDOWS = "doc long, tag int, q int, h long, w long"
@@ -177,7 +177,7 @@ def _cut(window: int, extra: list[str]):
 def _level(docs: DataFrame, window: int) -> DataFrame:
     """(doc, tag, q0, n, h, c): seeds that two documents or more have. These alone
     can be part of a repeated window; all others end here."""
-    seeds = written(docs.where("doc is not null").mapInArrow(_seeds(window), _SEEDS), "seeds")
+    seeds = written(spread(docs.where("doc is not null")).mapInArrow(_seeds(window), _SEEDS), "seeds")
     repeated = seeds.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("times"))
     repeated = written(repeated.where("lo < hi").select("h", "times"), "repeated")
     shared = written(join_by_key(seeds, repeated, ["h"], "times", how="left_semi").select("doc", "tag", "q0", "n", "h", "c"), "shared")

@@ -568,6 +568,16 @@ def test_mixture_repeats_rows_and_cuts_at_the_line(spark, texts):
     assert got == Counter({d: n for d, n in taken.items() if n})
 
 
+def test_mixture_of_rows_that_share_an_id_takes_what_mix_says(spark, texts):
+    rows = [(None, texts[0], "a"), (None, texts[0], "a"), (None, texts[5], "a"), (3, texts[5], "b"), (3, texts[6], "b"), (3, texts[6], "b"), (4, texts[16], "b"), (5, texts[9], "c"), (6, None, "c"), (None, texts[0], "b"), (None, texts[0], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for quality in (None, F.lit(0.5)):
+        want = sum(r.taken for r in mixing.mix(docs, quality=quality).collect())
+        out = mixing.mixture(docs, quality=quality).collect()
+        assert sum(len(words(r.text)) for r in out) == want
+        assert max(Counter((r.doc_id, r.text) for r in out).values()) <= 6
+
+
 def test_quality_rules(spark, docs, texts, empty):
     got = rules.apply_rules(docs).collect()
     assert len(got) == docs.count()
@@ -582,7 +592,20 @@ def test_quality_rules(spark, docs, texts, empty):
         assert r.n_dup_lines == len(lines) - len(set(lines))
         assert r.n_repeat_words == len(again)
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w))
-        assert not (r.kept and r.base_failed)
+        n, chars, lower = len(w), sum(map(len, w)), [x.rstrip(".,;:").lower() for x in w]
+        full = lambda test: sum(bool(test(x)) for x in lines) / max(len(lines), 1)
+        measured = {
+            "n_words": n,
+            "mean_word_chars": chars / n if n else 0,
+            "symbols_per_word": r.n_symbols / n if n else 0,
+            "stop_word_ratio": sum(x in rules.STOP_WORDS for x in lower) / n if n else 0,
+            "dup_line_ratio": r.n_dup_lines / max(len(lines), 1),
+            "ellipsis_line_ratio": full(lambda x: x.rstrip(" ").endswith(("...", "…"))),
+            "bullet_line_ratio": full(lambda x: x.lstrip(" ")[:1] in ("-", "•", "*", "·")),
+            "letter_ratio": (chars - len(re.findall(r"[!-@\[-`{-~]", t))) / chars if chars else 0,
+        }
+        assert all(abs(r[k] - v) < 1e-12 for k, v in measured.items())
+        assert r.kept == (not r.base_failed and all((a is None or measured[k] >= a) and (b is None or measured[k] <= b) for k, a, b in rules.RULES))
     assert rules.apply_rules(empty).count() == 0
 
 

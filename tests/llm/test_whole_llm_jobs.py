@@ -1,5 +1,9 @@
 """Training-data operators do the whole job."""
 
+import html
+import os
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -24,7 +28,7 @@ def _words(n, word="word"):
 
 
 @pytest.mark.parametrize(
-    "html, parts",
+    "page, parts",
     [
         # a split body: the lead is less than a third of the text
         (f"<div class=post><div class=lead>{_words(300, 'lead')}</div><div class=rest>{_words(1200, 'rest')}</div></div>", ["lead", "rest"]),
@@ -39,9 +43,9 @@ def _words(n, word="word"):
         (f"<div><div><p>{_words(900, 'body')}</p></div><article><p>{_words(100, 'teaser')}</p></article></div>", ["body", "teaser"]),
     ],
 )
-def test_no_part_of_a_page_is_lost(html, parts):
+def test_no_part_of_a_page_is_lost(page, parts):
     menu = "<nav><a href='/'>Home</a></nav><div class=menu><a href='/a'>A</a></div>"
-    text = html_text.main_text(f"<html><body>{menu}{html}</body></html>")
+    text = html_text.main_text(f"<html><body>{menu}{page}</body></html>")
     assert all(p in text for p in parts) and "Home" not in text
 
 
@@ -140,3 +144,38 @@ def test_a_file_that_is_there_already_is_not_in_the_way(tmp_path):
         done = writer.close()
     assert [x.name for x in tmp_path.iterdir()] == ["part-000003-000000.warc.gz"]
     assert done["bytes"] == (tmp_path / "part-000003-000000.warc.gz").stat().st_size
+
+
+def test_marks_of_spans_headings_and_named_sections_take_no_text():
+    text = html_text.main_text(
+        "<body><article><h1 class='banner-title'>Head</h1><p>A paragraph of <span class='comment'>these very</span> words, long enough to count.</p>"
+        "<section class='related-work'><h2>Related work</h2><p>Others have written of this before, at some length.</p></section>"
+        "<div class='related'><p>Read also this</p></div></article></body>"
+    )
+    assert text == "Head\nA paragraph of these very words, long enough to count.\nRelated work\nOthers have written of this before, at some length."
+
+
+def test_ratios_leave_out_unmarked_boxes_of_links():
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(8))
+    text = html_text.main_text(f"<body><div><div><ul>{links}</ul></div><p>{_words(300)}</p><p>Short.</p><ul><li>An item</li><li>Another, <a href='/x'>see x</a></li></ul><p>{_words(300)}</p></div></body>")
+    assert text == "\n".join([_words(300), "Short.", "An item", "Another, see x", _words(300)])
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<b>x<div>", "</b></i>x<i>", "<p>x", "<ul><li>x", "x</div>", "<a href=x>y</p>", "<span><div class=ad>x</span>"])
+def test_time_is_in_proportion_to_the_page(piece):
+    html_text.main_text(piece * 1000)
+    began = time.process_time()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 8
+
+
+def test_text_of_generated_pages_is_that_of_their_articles():
+    """A plain reading of the articles of real pages: the paragraphs between their tags."""
+    rows = pytest.importorskip("pyarrow.parquet").read_table("/root/testdata/sf0.001/pages.parquet").to_pylist() if os.path.exists("/root/testdata/sf0.001/pages.parquet") else []
+    block = re.compile(r"</?(?:p|h[1-6]|div|ul|ol|li|table|tr|td|section|blockquote)\b[^>]*>", re.I)
+    for r in rows:
+        if (r["html"] or "").count("<article") != 1 or re.search("<(aside|nav|form|script|div|section|figure|pre|header|footer|button)", r["html"].split("<article")[1].split("</article")[0]):
+            continue
+        body = r["html"].split("<article")[1].partition(">")[2].split("</article")[0]
+        lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in block.split(body)]
+        assert html_text.main_text(r["html"]) == "\n".join(x for x in lines if x), r["page_id"]
