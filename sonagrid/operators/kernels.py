@@ -1,8 +1,8 @@
-"""Operators that need a whole channel in order: recursions, long transforms,
-iterative fits. One row for each channel with its samples as an array; numpy
-runs on each group's array inside a Spark task, so channels are the unit of
-distribution. Long single channels are cut in blocks with state by
-sonagrid.streaming."""
+"""Filters and operators that need a whole channel in order. Linear recursions
+run over blocks of samples (sonagrid.operators.recursive). For long transforms,
+iterative fits and recursions that are not linear, one row for each channel has
+its samples as an array; numpy runs on it inside a Spark task, so channels are
+the unit of distribution."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonagrid.operators import recursive
 from sonagrid.sources.tables import to_arrays, to_rows
 
 Keys = tuple[str, ...]
@@ -100,19 +101,10 @@ def section_filter(x: np.ndarray, sections: np.ndarray, state: np.ndarray | None
 
 
 def iir(signal: DataFrame, sections: np.ndarray, keys: Keys = ("ch",)) -> DataFrame:
-    return mapped(signal, lambda x: section_filter(x, sections)[0], keys)
+    return recursive.sections(signal, sections, keys)
 
 
-def zero_phase(signal: DataFrame, sections: np.ndarray, keys: Keys = ("ch",)) -> DataFrame:
-    """Forward and backward, with ends extended by odd reflection."""
-
-    def kernel(x):
-        n = min(3 * (2 * len(np.atleast_2d(sections)) + 1), len(x) - 1)
-        ext = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]]) if n > 0 else x
-        y = section_filter(section_filter(ext, sections)[0][::-1], sections)[0][::-1]
-        return y[n : len(y) - n] if n > 0 else y
-
-    return mapped(signal, kernel, keys)
+zero_phase = recursive.zero_phase
 
 
 def filter_bank(signal: DataFrame, bank: dict[str, np.ndarray], mode: str = "parallel", keys: Keys = ("ch",)) -> DataFrame:
@@ -184,22 +176,7 @@ def minimum_phase(signal: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
     return mapped(signal, kernel, keys)
 
 
-def resample(signal: DataFrame, up: int, down: int, keys: Keys = ("ch",)) -> DataFrame:
-    """Rational resampling: a Kaiser-windowed sinc on the raised rate, outputs computed only where kept."""
-    g = np.gcd(up, down)
-    up, down = up // g, down // g
-    half = 10 * max(up, down)
-    t = np.arange(-half, half + 1)
-    taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
-    taps *= up / taps.sum()
-
-    def kernel(x):
-        n = -(-len(x) * up // down)
-        raised = np.zeros(len(x) * up)
-        raised[::up] = x
-        return np.convolve(raised, taps)[half : half + len(raised)][::down][:n]
-
-    return mapped(signal, kernel, keys)
+resample = recursive.resample
 
 
 def lpc(signal: DataFrame, order: int, keys: Keys = ("ch",)) -> DataFrame:
@@ -289,21 +266,7 @@ def compressor(signal: DataFrame, rate_hz: int, threshold_db: float, ratio: floa
     return mapped(signal, kernel, keys)
 
 
-def activity(signal: DataFrame, threshold_dbfs: float, coefficient: float, relative: bool = True, keys: Keys = ("ch",)) -> DataFrame:
-    """(n, active): whether the smoothed power is above a threshold, relative to
-    the peak or absolute. The smoother starts at 0 and rests where the power
-    before was exactly 0."""
-
-    def kernel(x):
-        p = (x / max(np.abs(x).max(), 1e-300) if relative else x) ** 2
-        level, out = 0.0, np.zeros(len(p))
-        for i in range(1, len(p)):
-            if p[i - 1] > 0:
-                level = coefficient * p[i] + (1 - coefficient) * level
-            out[i] = level
-        return (10 * np.log10(np.maximum(out, 1e-300)) > threshold_dbfs).astype(float)
-
-    return mapped(signal, kernel, keys).select(*keys, "n", (F.col("re") > 0).alias("active"))
+activity = recursive.activity
 
 
 def split_by_activity(signal: DataFrame, threshold_dbfs: float, coefficient: float, keys: Keys = ("ch",)) -> DataFrame:
@@ -328,24 +291,14 @@ def gammatone(signal: DataFrame, f_hz: float, rate_hz: int, keys: Keys = ("ch",)
     from sonagrid.operators.design import gammatone_sections
 
     poles = gammatone_sections(f_hz, rate_hz)
-    gain = 2 * np.prod([1 - abs(p) for p in poles])
-
-    def kernel(x):
-        y = np.asarray(x, dtype=complex)
-        for p in poles:
-            held, out = 0j, np.empty(len(y), dtype=complex)
-            for i, v in enumerate(y.tolist()):
-                held = v + p * held
-                out[i] = held
-            y = out
-        return (gain * y).real
-
-    return mapped(signal, kernel, keys)
+    return recursive.filtered(signal, recursive.poles_step(list(poles), float(2 * np.prod([1 - abs(p) for p in poles]))), keys)
 
 
 def feedback_delay(signal: DataFrame, samples: int, feedback: float, saturate: bool = False, tail: bool = False, keep_peak: bool = False, keys: Keys = ("ch",)) -> DataFrame:
     """y[n] = x[n] + feedback * f(y[n - samples]), f the identity or half an arctan of
     twice the value; block by block of the delay. tail lets 1 + 15 * feedback delays ring out."""
+    if not (saturate or tail or keep_peak):
+        return recursive.feedback_delay(signal, samples, feedback, keys)
 
     def kernel(x):
         more = int(samples * (1 + 15 * feedback)) if tail else 0
