@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import log10, pi, sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from sonagrid.sources import wav
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
-E = "e as (select user_id as ch, row_number() over (partition by user_id order by ts, event_id) - 1 as n, value as re from events)"
+E = "e as materialized (select user_id as ch, row_number() over (partition by user_id order by ts, event_id) - 1 as n, value as re from events)"
 V = "v as (select vec_id as ch, u.i - 1 as n, cast(embedding[u.i] as double) as re from embeddings, (select unnest(range(1, 65)) as i) u)"
 L = (
     "l as (select l_suppkey as ch, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, "
@@ -200,8 +201,8 @@ def delay(spark, d):
 
 
 @query(
-    f"with {V}, t as (select *, max(abs(re)) over (partition by ch) as m from v), h as (select ch, min(n) as a, max(n) as b from t where abs(re) >= m * {10 ** (-6 / 20)!r} group by ch) "
-    "select v.ch, n - a as n, re from v join h on v.ch = h.ch where n between a and b"
+    f"with {V}, t as (select *, max(abs(re)) over (partition by ch) as m from v), h as (select *, min(case when abs(re) >= m * {10 ** (-6 / 20)!r} then n end) over (partition by ch) as a, "
+    f"max(case when abs(re) >= m * {10 ** (-6 / 20)!r} then n end) over (partition by ch) as b from t) select ch, n - a as n, re from h where n between a and b"
 )
 def trim_level(spark, d):
     return ed.trim_level(tb.vectors(spark, d), -6.0)
@@ -430,7 +431,7 @@ def fir3(spark, d):
 
 
 def _taps_sql(taps: list[float]) -> str:
-    return "t as (select * from (values " + ", ".join(f"({m}, {b!r}::double)" for m, b in enumerate(taps)) + ") t(m, b))"
+    return f"t as (select unnest(range(0, {len(taps)})) as m, unnest([{', '.join(repr(float(b)) for b in taps)}]::double[]) as b)"
 
 
 @query(f"with {E}, {_taps_sql(fi.windowed_sinc(14, 0.25))} select ch, n + m as n, {_r('sum(re * b)')} as re from e, t group by ch, n + m")
@@ -439,24 +440,24 @@ def fir_hamming15(spark, d):
 
 
 @query(
-    f"with {L}, {_taps_sql(fi.windowed_sinc(40, 0.125))}, x as (select ch, max(n) as k from l group by ch) "
-    f"select l.ch, n + m as n, {_r('sum(re * b)', 4)} as re from l join x on l.ch = x.ch, t where n + m <= k group by l.ch, n + m"
+    f"with {L}, {_taps_sql(fi.windowed_sinc(40, 0.125))}, x as (select *, max(n) over (partition by ch) as k from l) "
+    f"select ch, n + m as n, {_r('sum(re * b)', 4)} as re from x, t where n + m <= k group by ch, n + m"
 )
 def fir_long(spark, d):
     return _out(fi.fir(tb.lineitem(spark, d), fi.windowed_sinc(40, 0.125)), "re", digits=4)
 
 
 @query(
-    f"with {E}, {_taps_sql(fi.windowed_sinc(20, 0.5))}, x as (select ch, max(n) as k from e group by ch) "
-    f"select e.ch, (n + m) // 2 as n, {_r('sum(re * b)')} as re from e join x on e.ch = x.ch, t where n + m <= k and (n + m) % 2 = 0 group by e.ch, n + m"
+    f"with {E}, {_taps_sql(fi.windowed_sinc(20, 0.5))}, x as (select *, max(n) over (partition by ch) as k from e) "
+    f"select ch, (n + m) // 2 as n, {_r('sum(re * b)')} as re from x, t where n + m <= k and (n + m) % 2 = 0 group by ch, n + m"
 )
 def decimate2(spark, d):
     return _out(fi.decimate(tb.events(spark, d), 2), "re")
 
 
 @query(
-    f"with {E}, {_taps_sql([2 * b for b in fi.windowed_sinc(20, 0.5)])}, x as (select ch, max(n) as k from e group by ch) "
-    f"select e.ch, n * 2 + m as n, {_r('sum(re * b)')} as re from e join x on e.ch = x.ch, t where n * 2 + m < (k + 1) * 2 group by e.ch, n * 2 + m"
+    f"with {E}, {_taps_sql([2 * b for b in fi.windowed_sinc(20, 0.5)])}, x as (select *, max(n) over (partition by ch) as k from e) "
+    f"select ch, n * 2 + m as n, {_r('sum(re * b)')} as re from x, t where n * 2 + m < (k + 1) * 2 group by ch, n * 2 + m"
 )
 def upsample2(spark, d):
     return _out(fi.upsample(tb.events(spark, d), 2), "re")
@@ -844,8 +845,9 @@ def echo(spark, d):
 
 
 @query(
-    f"with {V}, a as (select ch, n, n - 2 * (1 + sin(n * 2 * pi() * 3 / 64)) as p from v) select a.ch, a.n, {_r('(1 - (p - floor(p))) * coalesce(x.re, 0) + (p - floor(p)) * coalesce(y.re, 0)')} as re "
-    "from a left join v x on x.ch = a.ch and x.n = floor(p) left join v y on y.ch = a.ch and y.n = floor(p) + 1"
+    f"with {V}, x as (select ch, list(re order by n) as x from v group by ch), a as (select ch, x, n, n - 2 * (1 + sin(n * 2 * pi() * 3 / 64)) as p from x, (select unnest(range(0, 64)) as n) q), "
+    "b as (select ch, n, p - floor(p) as f, case when floor(p) >= 0 then x[floor(p)::bigint + 1] end as a, case when floor(p) >= -1 then x[floor(p)::bigint + 2] end as b from a) "
+    f"select ch, n, {_r('(1 - f) * coalesce(a, 0) + f * coalesce(b, 0)')} as re from b"
 )
 def vibrato(spark, d):
     return _out(fx.vibrato(tb.vectors(spark, d), 64, 3.0, 2.0), "re")
@@ -917,7 +919,10 @@ def window_response(spark, d):
     return _out(rs.window_around_peak(tb.vectors(spark, d), 8, 16), "re")
 
 
-@query(f"with {V}, {_PEAK}, c as (select distinct ch, p, g.m from k, (select unnest(range(0, 32)) as m) g) select c.ch, c.m as n, coalesce(v.re, 0.0) as re from c left join v on v.ch = c.ch and v.n = c.m - 16 + c.p")
+@query(
+    f"with {V}, x as (select ch, list(re order by n) as x, arg_min(n, struct_pack(a := -abs(re), n := n)) as p from v group by ch) "
+    "select ch, n, case when n - 16 + p between 0 and 63 then x[n - 16 + p + 1] else 0.0 end as re from x, (select unnest(range(0, 32)) as n) q"
+)
 def centre_response(spark, d):
     return rs.centred(tb.vectors(spark, d), 32)
 
@@ -1003,6 +1008,68 @@ def sample_formats(spark, d):
     return tb.vectors(spark, d).select("ch", "n", *[wav.to_format(x, f).alias(f) for f in ("i16", "u8", "i24")])
 
 
+def _impulse(sections, length: int = 200) -> list[float]:
+    """Response of a cascade to a unit impulse, by its difference equations."""
+    x = [1.0] + [0.0] * (length - 1)
+    for b0, b1, b2, _, a1, a2 in np.atleast_2d(sections).tolist():
+        y: list[float] = []
+        for n in range(length):
+            back = lambda v, k: v[n - k] if n >= k else 0.0  # noqa: E731, B023
+            y.append(b0 * x[n] + b1 * back(x, 1) + b2 * back(x, 2) - a1 * back(y, 1) - a2 * back(y, 2))
+        x = y
+    return x
+
+
+def _iir_sql(sections, value: str = "sum(re * b)") -> str:
+    """The filter as a sum over its impulse response; channels are shorter than that."""
+    return f"with {E}, {_taps_sql(_impulse(sections))}, x as (select *, max(n) over (partition by ch) as k from e) select ch, n + m as n, {value} as re from x, t where n + m <= k group by ch, n + m"
+
+
+def _bank_sql(bank: dict) -> str:
+    rows = " union all ".join(f"select '{name}' as band, * from ({_taps_sql(_impulse(s))[6:-1]})" for name, s in bank.items())
+    return (
+        f"with {E}, t as ({rows}), x as (select *, max(n) over (partition by ch) as k from e) "
+        f"select ch, n + m as n, {_r('sum(re * b)')} as re, band from x, t where n + m <= k group by ch, n + m, band"
+    )
+
+
+def _zero_phase_sql(sections) -> str:
+    h = _taps_sql(_impulse(sections, 300))
+    run = lambda of: f"(select a.ch, a.n, sum(b.re * t.b) as re from {of} a join {of} b on a.ch = b.ch and b.n <= a.n join t on t.m = a.n - b.n group by a.ch, a.n)"
+    return (
+        f"with {E}, {h}, k as (select ch, max(n) as last, least(9, max(n)) as m, min_by(re, n) as x0, max_by(re, n) as x1 from e group by ch), "
+        "w as (select e.ch, n + m as n, re from e join k on e.ch = k.ch union all select e.ch, m - n, 2 * x0 - re from e join k on e.ch = k.ch where n between 1 and m "
+        "union all select e.ch, 2 * last - n + m, 2 * x1 - re from e join k on e.ch = k.ch where n < last and n >= last - m), "
+        f"f as materialized {run('w')}, g as materialized (select f.ch, last + 2 * m - n as n, re from f join k on f.ch = k.ch), h as materialized {run('g')} "
+        f"select h.ch, last + 2 * m - n - m as n, {_r('re')} as re from h join k on h.ch = k.ch where last + m - n between 0 and last"
+    )
+
+
+def _resample_taps(up: int, down: int) -> list[float]:
+    half = 10 * max(up, down)
+    t = np.arange(-half, half + 1)
+    taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    return (taps * up / taps.sum()).tolist()
+
+
+def _resample_sql(up: int, down: int) -> str:
+    half = 10 * max(up, down)
+    return (
+        f"{E}, {_taps_sql(_resample_taps(up, down))}, x as (select *, max(n) over (partition by ch) + 1 as k from e), "
+        f"y as (select ch, (n * {up} + m - {half}) // {down} as n, sum(re * b) as re from x, t where (n * {up} + m - {half}) % {down} = 0 and n * {up} + m >= {half} "
+        f"and (n * {up} + m - {half}) // {down} < ceil(k * {up} / {down}::double) group by ch, (n * {up} + m - {half}) // {down})"
+    )
+
+
+_ANALYTIC = (
+    f"{_DFT}, a as (select v.ch, v.n, v.re, sum(case when k between 1 and 31 then s.re * sin(2 * pi() * ((k * v.n) % 64) / 64) + s.im * cos(2 * pi() * ((k * v.n) % 64) / 64) else 0 end) / 32 as im "
+    "from v join s on s.ch = v.ch group by v.ch, v.n, v.re)"
+)
+_LAGS = f"{V}, c as (select a.ch, b.n - a.n as lag, sum(a.re * b.re) as v from v a join v b on a.ch = b.ch and b.n - a.n between 0 and 8 group by a.ch, b.n - a.n), r as (select ch, list(v order by lag) as r from c group by ch)"
+_EXTEND = "list_transform(range(1, len(a) + 2), lambda j: coalesce(a[j], 0) + g * (case when j = 1 then 0 else a[len(a) + 2 - j] end))"
+_COEFFICIENTS = "select ch, cast(i as integer) as i, round(a[i + 1] + 3.14159e-8, 6) + 0.0 as a from l, (select unnest(range(0, 9)) as i) q where len(a) = 9"
+
+
 @query()
 def room_report(spark, d):
     ir = tb.vectors(spark, d).withColumn("re", F.col("re") * F.exp(-0.08 * F.col("n")))
@@ -1020,13 +1087,13 @@ def octave_reverberation(spark, d):
     return _out(plans.octave_reverberation(ir, 4000, [250.0, 500.0, 1000.0]), "rt_s", digits=4)
 
 
-@query()
+@query(_iir_sql(de.iir("chebyshev1", 4, (300.0, 900.0), "bandpass", 4800), _r("sum(re * b)")))
 def classic_filter_designs(spark, d):
     sections = de.iir("chebyshev1", 4, (300.0, 900.0), "bandpass", 4800)
     return _out(ke.iir(tb.events(spark, d), sections), "re")
 
 
-@query()
+@query(f"select ch, {_r('20 * log10(stddev_pop(re))', 4)} as rms_dbfs from ({_iir_sql(de.weighting('A', 48000))}) group by ch")
 def weighted_levels(spark, d):
     return _out(lv.rms_dbfs(ke.iir(tb.events(spark, d), de.weighting("A", 48000))), "rms_dbfs", digits=4)
 
@@ -1094,12 +1161,18 @@ def delay_and_sum_array_signals(spark, d):
     return _out(bf.delay_and_sum_time(bf.arrays(tb.vectors(spark, d), 8), _grid(spark), _mics(spark), 48000, keys=_ARRAY), "re")
 
 
-@query()
+@query(
+    f"with {_FRAMES}, w as (select ch, frame, m, x * {_HANN} as x from f), s as materialized (select ch, frame, k, sum(x * cos(-2 * pi() * ((m * k) % 16) / 16)) as re, sum(x * sin(-2 * pi() * ((m * k) % 16) / 16)) as im "
+    "from w, (select unnest(range(0, 9)) as k) b group by ch, frame, k), z as (select ch, k, avg(sqrt(re * re + im * im)) as z from s where frame < 2 group by ch, k), "
+    "c as (select s.ch, frame, s.k, greatest(0, 1 - z / greatest(sqrt(re * re + im * im), 1e-30)) as g, re, im from s join z on s.ch = z.ch and s.k = z.k), "
+    "i as (select ch, frame, m, sum((case when k in (0, 8) then 1 else 2 end) / 16.0 * g * (re * cos(2 * pi() * ((k * m) % 16) / 16) - im * sin(2 * pi() * ((k * m) % 16) / 16))) as x from c, (select unnest(range(0, 16)) as m) q group by ch, frame, m) "
+    f"select ch, frame * 8 + m as n, {_r('sum(x * ' + _HANN + ') / greatest(sum(' + _HANN + ' * ' + _HANN + '), 1e-4)', 4)} as re from i group by ch, frame * 8 + m"
+)
 def spectral_subtraction(spark, d):
     return _out(ke.spectral_subtraction(tb.events(spark, d), 16, 2), "re", digits=4)
 
 
-@query()
+@query(f"with {E} select a.ch, a.n, {_r('sum(pow(0.5, (a.n - b.n) // 7) * b.re)')} as re from e a join e b on a.ch = b.ch and b.n <= a.n and (a.n - b.n) % 7 = 0 group by a.ch, a.n")
 def feedback_delay(spark, d):
     return _out(ke.feedback_delay(tb.events(spark, d), 7, 0.5), "re")
 
@@ -1109,7 +1182,7 @@ def warped_signal(spark, d):
     return _out(tf.warped(tb.vectors(spark, d), 0.3), "re")
 
 
-# --- kernels (no SQL form) --------------------------------------------------------
+# --- recursions, transforms of whole channels and fits -----------------------------
 
 
 @query()
@@ -1117,37 +1190,37 @@ def white_noise(spark, d):
     return _out(ge.noise(spark, 4800, 2, 1), "re")
 
 
-@query()
+@query(_iir_sql(ke.biquad("peaking", 200.0, 4800, 0.8, 1.0), _r("sum(re * b)")))
 def biquad_peaking(spark, d):
     return _out(ke.iir(tb.events(spark, d), ke.biquad("peaking", 200.0, 4800, 0.8, 1.0)), "re")
 
 
-@query()
+@query(_iir_sql(ke.butterworth(4, 600.0, 4800), _r("sum(re * b)")))
 def butterworth_lowpass(spark, d):
     return _out(ke.iir(tb.events(spark, d), ke.butterworth(4, 600.0, 4800)), "re")
 
 
-@query()
+@query(_zero_phase_sql(ke.butterworth(2, 600.0, 4800)))
 def zero_phase_filter(spark, d):
     return _out(ke.zero_phase(tb.events(spark, d), ke.butterworth(2, 600.0, 4800)), "re")
 
 
-@query()
+@query(_bank_sql({f"{f:g}": np.vstack([ke.butterworth(2, f / 2**0.5, 4800, True), ke.butterworth(2, f * 2**0.5, 4800)]) for f in (250.0, 500.0, 1000.0)}))
 def octave_filter_bank(spark, d):
     return _out(ke.octave_filter_bank(tb.events(spark, d), [250.0, 500.0, 1000.0], 4800), "re")
 
 
-@query()
+@query(_bank_sql({"low": np.vstack([ke.butterworth(2, 600.0, 4800)] * 2), "high": np.vstack([ke.butterworth(2, 600.0, 4800, True)] * 2)}))
 def crossover_linkwitz_riley(spark, d):
     return _out(ke.crossover(tb.events(spark, d), 600.0, 4800), "re")
 
 
-@query()
+@query(f"with {_ANALYTIC} select ch, n, {_r('sqrt(re * re + im * im)')} as re from a")
 def hilbert_envelope(spark, d):
     return _out(ke.hilbert_envelope(tb.vectors(spark, d)), "re")
 
 
-@query()
+@query(f"with {_ANALYTIC}, p as (select ch, n, re, im, lead(re) over w as r, lead(im) over w as i from a window w as (partition by ch order by n)) select ch, n, {_r('atan2(re * i - im * r, re * r + im * i) * 32 / pi()')} as re from p where r is not null")
 def instantaneous_frequency(spark, d):
     return _out(ke.instantaneous_frequency(tb.vectors(spark, d), 64), "re")
 
@@ -1157,24 +1230,37 @@ def minimum_phase(spark, d):
     return _out(ke.minimum_phase(tb.vectors(spark, d)), "re")
 
 
-@query()
+@query(f"with {_resample_sql(3, 2)} select ch, n, {_r('re')} as re from y")
 def resample_3_2(spark, d):
     return _out(ke.resample(tb.events(spark, d), 3, 2), "re")
 
 
-@query()
+@query(
+    f"with recursive {_LAGS}, l as (select ch, r, [1.0::double] as a, r[1] as e from r union all "
+    f"select ch, r, {_EXTEND} as a, e * (1 - g * g) as e from (select ch, r, a, e, -list_sum(list_transform(range(0, len(a)), lambda i: a[i + 1] * r[len(a) + 1 - i])) / e as g from l where len(a) < 9)) {_COEFFICIENTS}"
+)
 def lpc_autocorrelation(spark, d):
-    out = ke.lpc(tb.vectors(spark, d), 8)
-    return out.select("ch", F.transform("out", lambda x: F.round(x, 6)).alias("a"))
+    return _coefficients(ke.lpc(tb.vectors(spark, d), 8))
 
 
-@query()
+@query(
+    f"with recursive {V}, x as (select ch, list(re order by n) as x from v group by ch), l as (select ch, x[2:] as f, x[:-2] as b, [1.0::double] as a from x union all "
+    "select ch, list_transform(range(2, len(f) + 1), lambda i: f[i] + g * b[i]) as f, list_transform(range(1, len(f)), lambda i: b[i] + g * f[i]) as b, "
+    f"{_EXTEND} as a from (select ch, f, b, a, -2 * list_dot_product(f, b) / (list_dot_product(f, f) + list_dot_product(b, b)) as g from l where len(a) < 9)) {_COEFFICIENTS}"
+)
 def lpc_burg(spark, d):
-    out = ke.burg(tb.vectors(spark, d), 8)
-    return out.select("ch", F.transform("out", lambda x: F.round(x, 6)).alias("a"))
+    return _coefficients(ke.burg(tb.vectors(spark, d), 8))
 
 
-@query()
+def _coefficients(fits):
+    return _out(fits.select("ch", F.posexplode("out").alias("i", "a")), "a")
+
+
+@query(
+    f"with {E}, x as (select ch, count(*) as c from e group by ch), k as (select ch, c, unnest(range(0, c // 2 + 1)) as k from x) "
+    f"select e.ch, cast(k as integer) as k, k * (1 / (c * 0.01::double)) as f_hz, {_r('sum(re * cos(-2 * pi() * ((n * k) % c) / c))', 4)} as re, {_r('sum(re * sin(-2 * pi() * ((n * k) % c) / c))', 4)} as im "
+    "from e join k on e.ch = k.ch group by e.ch, k, c"
+)
 def fft_spectrum(spark, d):
     return _out(ke.fft_spectrum(tb.events(spark, d), 100), "re", "im", digits=4)
 
@@ -1184,17 +1270,27 @@ def integrated_loudness(spark, d):
     return _out(ke.loudness(ge.sine(spark, 997.0, 48000, 96000), 48000), "lufs", digits=4)
 
 
-@query()
+@query(f"with {_resample_sql(4, 1)} select ch, {_r('20 * log10(max(abs(re)))')} as true_peak_db from y group by ch")
 def true_peak(spark, d):
     return _out(ke.true_peak(tb.events(spark, d)), "true_peak_db")
 
 
-@query()
+@query(
+    f"with recursive {E}, p as materialized (select ch, n, pow(re / max(abs(re)) over (partition by ch), 2) as p from e), "
+    "l as (select ch, n, p, 0.0::double as level from p where n = 0 union all select p.ch, p.n, p.p, case when l.p > 0 then 0.2 * p.p + 0.8 * l.level else l.level end from l join p on p.ch = l.ch and p.n = l.n + 1) "
+    "select ch, n, 10 * log10(greatest(level, 1e-300)) > -6.0 as active from l"
+)
 def activity_detector(spark, d):
     return ke.activity(tb.events(spark, d), -6.0, 0.2)
 
 
-@query()
+@query(
+    f"with recursive {V}, g as materialized (select ch, n, re, 10 * log10(greatest(re * re, 1e-30)) as l from v), "
+    "w as materialized (select ch, n, re, pow(10, ((case when l > -20 then -20 + (l + 20) / 4 else l end) - l) / 20) as w from g), "
+    "s as (select ch, -1::bigint as n, 0.0::double as re, 1.0::double as g from (select distinct ch from w) union all "
+    f"select w.ch, w.n, w.re, s.g + (case when w.w > s.g then {ke.smoothing_coefficient(0.01, 64)!r} else {ke.smoothing_coefficient(0.1, 64)!r} end) * (w.w - s.g) from s join w on w.ch = s.ch and w.n = s.n + 1) "
+    f"select ch, n, {_r('re * g')} as re from s where n >= 0"
+)
 def compressor(spark, d):
     x = tb.vectors(spark, d)
     return _out(ke.compressor(x, 64, -20.0, 4.0, 0.01, 0.1), "re")
