@@ -95,17 +95,47 @@ def delay_and_sum(csm: DataFrame, weights: DataFrame, remove_diagonal: bool = Fa
     return out.select(*keys, "pid", (F.greatest(F.lit(0.0), F.col("power")) * F.col("n") / (F.col("n") - 1)).alias("power"))
 
 
-def monopole(signal: DataFrame, place: tuple[float, float, float], mics: DataFrame, rate_hz: int, c: float = 343.0) -> DataFrame:
-    """(ch, n, re): a source's signal (n, re) at each microphone, later by whole samples and weaker by 1 / (1 + d)."""
+def monopole(signal: DataFrame, place: tuple[float, float, float], mics: DataFrame, rate_hz: int, c: float = 343.0, keys: Keys = ()) -> DataFrame:
+    """(*keys, ch, n, re): a source's signal (*keys, n, re) at each microphone, later by whole samples and weaker by 1 / (1 + d)."""
     d = F.sqrt(sum(((F.col(a) - v) * (F.col(a) - v) for a, v in zip("xyz", place)), F.lit(0.0)))
     arrive = mics.select(F.col("pid").alias("ch"), F.round(d / c * rate_hz).cast("long").alias("late"), (1.0 / (1.0 + d)).alias("g"))
-    return signal.join(arrive, F.lit(True)).select("ch", (F.col("n") + F.col("late")).alias("n"), (F.col("re") * F.col("g")).alias("re"))
+    return signal.join(arrive, F.lit(True)).select(*keys, "ch", (F.col("n") + F.col("late")).alias("n"), (F.col("re") * F.col("g")).alias("re"))
 
 
 def helmholtz_to_hz(he: Column, aperture_m: Column, c: float = 343.0) -> Column:
     return he * c / aperture_m
 
 
+def hz_to_helmholtz(f_hz: Column, aperture_m: Column, c: float = 343.0) -> Column:
+    """Aperture over wave length."""
+    return f_hz * aperture_m / c
+
+
+def frequency_range(mics: DataFrame, least_he: float = 4.0, c: float = 343.0) -> DataFrame:
+    """(low_hz, high_hz): where an array's aperture is least_he wave lengths, and where its spacing is half of one."""
+    return aperture(mics).select((least_he * c / F.col("aperture")).alias("low_hz"), (c / (2 * F.col("spacing"))).alias("high_hz"))
+
+
+def as_map(power: DataFrame, columns: int, keys: Keys = ()) -> DataFrame:
+    """(*keys, row, values): a regular grid's map row by row, from (*keys, pid, power)."""
+    row = F.floor(F.col("pid") / columns).alias("row")
+    cells = power.groupBy(*keys, row).agg(F.sort_array(F.collect_list(F.struct("pid", "power"))).alias("v"))
+    return cells.select(*keys, "row", F.transform("v", lambda x: x.power).alias("values"))
+
+
+def line_grid(spark, start: tuple[float, float, float], end: tuple[float, float, float], points: int) -> DataFrame:
+    """(pid, x, y, z): points at equal steps on a line."""
+    share = F.col("id") / max(1, points - 1)
+    return spark.range(points).select(F.col("id").alias("pid"), *[(F.lit(float(a)) + share * (b - a)).alias(n) for n, a, b in zip("xyz", start, end)])
+
+
+def regular_box(spark, xs: list[float], ys: list[float], zs: list[float]) -> DataFrame:
+    """(pid, x, y, z) of a box, plane by plane."""
+    planes = spark.range(len(zs)).select(F.col("id").alias("iz"), F.get(F.array(*[F.lit(float(v)) for v in zs]), F.col("id").cast("int")).alias("z"))
+    flat = regular_grid(spark, xs, ys, 0.0).drop("z")
+    return planes.join(flat, F.lit(True)).select((F.col("iz") * (len(xs) * len(ys)) + F.col("pid")).alias("pid"), "x", "y", "z")
+
+
 def wave_number(f_hz: float, c: float = 343.0) -> float:
     return 2 * pi * f_hz / c
 

@@ -60,13 +60,18 @@ def mean_channels(signal: DataFrame) -> DataFrame:
     return signal.groupBy("n").agg(F.avg("re").alias("re"))
 
 
-def mid_side(signal: DataFrame, left, right, inverse: bool = False) -> DataFrame:
-    """(n, a, b): half sum and half difference of two channels; inverse: sum and difference."""
+def mid_side(signal: DataFrame, left, right, inverse: bool = False, keys: Keys = ()) -> DataFrame:
+    """(*keys, n, a, b): half sum and half difference of two channels; inverse: sum and difference."""
     scale = 1.0 if inverse else 0.5
-    pair = signal.where(F.col("ch").isin(left, right)).groupBy("n").agg(
+    pair = signal.where(F.col("ch").isin(left, right)).groupBy(*keys, "n").agg(
         F.max(F.when(F.col("ch") == left, F.col("re"))).alias("l"), F.max(F.when(F.col("ch") == right, F.col("re"))).alias("r")
     )
-    return pair.where("l is not null and r is not null").select("n", ((F.col("l") + F.col("r")) * scale).alias("a"), ((F.col("l") - F.col("r")) * scale).alias("b"))
+    return pair.where("l is not null and r is not null").select(*keys, "n", ((F.col("l") + F.col("r")) * scale).alias("a"), ((F.col("l") - F.col("r")) * scale).alias("b"))
+
+
+def in_pairs(signal: DataFrame) -> DataFrame:
+    """signal with pair, and ch 0 or 1 in it: channels 2 j and 2 j + 1 are pair j."""
+    return signal.withColumns({"pair": F.floor(F.col("ch") / 2), "ch": F.pmod("ch", F.lit(2).cast("long"))})
 
 
 def append(first: DataFrame, second: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
@@ -92,3 +97,43 @@ def interleave(signal: DataFrame, factor: int) -> DataFrame:
 def hold(signal: DataFrame, factor: int) -> DataFrame:
     """Each sample repeated factor times."""
     return signal.select("ch", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(factor - 1).cast("long")), lambda k: F.col("n") * factor + k)).alias("n"), "re")
+
+
+# --- bands ----------------------------------------------------------------------
+
+
+def add_band(bands: DataFrame, band: DataFrame, number: int | None = None) -> DataFrame:
+    """(band, ch, n, re) with a signal as band ``number``, those from there on one higher; by default behind the last."""
+    if number is None:
+        last = bands.agg((F.coalesce(F.max("band"), F.lit(-1)) + 1).alias("band"))
+        return bands.unionByName(band.join(F.broadcast(last), F.lit(True)).select(*bands.columns))
+    moved = bands.withColumn("band", F.when(F.col("band") >= number, F.col("band") + 1).otherwise(F.col("band")))
+    return moved.unionByName(band.withColumn("band", F.lit(number)).select(*bands.columns))
+
+
+def remove_band(bands: DataFrame, number: int) -> DataFrame:
+    """Without a band; those behind it one lower."""
+    left = bands.where(F.col("band") != number)
+    return left.withColumn("band", F.when(F.col("band") > number, F.col("band") - 1).otherwise(F.col("band")))
+
+
+def swap_bands(bands: DataFrame, order: list[int]) -> DataFrame:
+    """Bands in another order: place i has what band order[i] was."""
+    return bands.withColumn("band", F.array_position(F.array(*[F.lit(b) for b in order]), F.col("band").cast("int")).cast("int") - 1)
+
+
+def collapse(bands: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
+    """Bands summed to one signal."""
+    return bands.groupBy(*keys, "n").agg(F.sum("re").alias("re"))
+
+
+def constrain_amplitude(signal: DataFrame, keys: Keys = ()) -> DataFrame:
+    """A signal that goes beyond -1 to 1 scaled down to it, all channels (of keys) alike; scale tells by what."""
+    peak = F.max(F.abs("re")).over(Window.partitionBy(*keys)) if keys else None
+    if peak is None:
+        top = signal.agg(F.max(F.abs("re")).alias("peak"))
+        wide = signal.join(F.broadcast(top), F.lit(True))
+    else:
+        wide = signal.withColumn("peak", peak)
+    scale = F.greatest(F.col("peak"), F.lit(1.0))
+    return wide.select(*signal.columns, scale.alias("scale")).withColumn("re", F.col("re") / F.col("scale"))

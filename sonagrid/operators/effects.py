@@ -3,7 +3,7 @@ and feedback run as kernels (sonagrid.operators.kernels)."""
 
 from __future__ import annotations
 
-from math import pi
+from math import log10, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,14 +104,78 @@ def static_compressor(signal: DataFrame, threshold_db: float, ratio: float, knee
     return signal.withColumn("re", F.col("re") * from_db(compression_curve(level, threshold_db, ratio, knee_db) - level))
 
 
-def stereo_width(signal: DataFrame, left, right, width: float) -> DataFrame:
-    """(n, a, b): left and right with the side scaled by width."""
+def stereo_width(signal: DataFrame, left, right, width: float, keys: Keys = ()) -> DataFrame:
+    """(*keys, n, a, b): left and right with the side scaled by width."""
     from sonagrid.operators.editing import mid_side
 
-    ms = mid_side(signal, left, right)
-    return ms.select("n", (F.col("a") + width * F.col("b")).alias("a"), (F.col("a") - width * F.col("b")).alias("b"))
+    ms = mid_side(signal, left, right, keys=keys)
+    return ms.select(*keys, "n", (F.col("a") + width * F.col("b")).alias("a"), (F.col("a") - width * F.col("b")).alias("b"))
 
 
 def rhythm_seconds(beats_per_minute: float, note: float, dotted: bool = False, triplet: bool = False) -> float:
     """Length of a note (0.25: quarter) at a tempo of quarters."""
     return 240.0 / beats_per_minute * note * (1.5 if dotted else 1.0) * (2 / 3 if triplet else 1.0)
+
+
+def chorus(signal: DataFrame, rate_hz: int, voices: list[tuple[float, float, float]], keys: Keys = ("ch",)) -> DataFrame:
+    """The mean of the signal and copies read at a moving place, linear between samples,
+    zero before the start; voices: (base delay, depth, frequency in Hz), delays in samples.
+    A place's two neighbours are found by a join on (channel, sample)."""
+    asked = F.array(
+        *[
+            F.struct((F.col("n") - base - depth * F.sin(F.col("n") * (2 * pi * f / rate_hz))).alias("at"))
+            for base, depth, f in voices
+        ]
+    )
+    places = signal.select(*keys, "n", F.inline(asked)).withColumn("f", F.col("at") - F.floor("at"))
+    ends = F.inline(F.array(F.struct(F.floor("at").cast("long").alias("i"), (1 - F.col("f")).alias("w")), F.struct((F.floor("at") + 1).cast("long").alias("i"), F.col("f").alias("w"))))
+    read = places.where("at >= 0").select(*keys, "n", ends).join(signal.withColumnsRenamed({"n": "i"}), [*keys, "i"])
+    parts = read.select(*keys, "n", (F.col("w") * F.col("re")).alias("re")).unionByName(signal.select(*keys, "n", "re"))
+    return parts.groupBy(*keys, "n").agg((F.sum("re") / (1 + len(voices))).alias("re"))
+
+
+def spectral_subtraction(
+    signal: DataFrame,
+    window: int,
+    threshold_db: float | None = None,
+    noise_frames: int | None = None,
+    exponent: float = 2.0,
+    factor: float = 1.0,
+    floor_db: float = -60.0,
+    forgetting: float = 0.0,
+    keys: Keys = ("ch",),
+) -> DataFrame:
+    """Noise taken from spectra: |Y|^p = max(|X|^p - factor * |N|^p, floor * |X|^p) with the phase of X.
+
+    The noise is the mean of |X|^p over frames without activity: those whose
+    level is threshold_db below the channel's loudest frame, or the first
+    noise_frames. With forgetting it follows the signal: each frame's noise is
+    the exponentially weighted mean of silent frames up to it (weights
+    forgetting ** age), or |X|^p of the first frame where there are none yet.
+    Frames are Hann windows at half overlap.
+    """
+    from sonagrid.operators.spectra import istft, stft
+
+    if (threshold_db is None) == (noise_frames is None):
+        raise ValueError("give threshold_db or noise_frames")
+    s = stft(signal, window, window // 2, "hann", keys=keys).withColumn("p", F.pow(F.expr("re * re + im * im"), exponent / 2))
+    if noise_frames is not None:
+        silent = s.select(*keys, "frame", "k", "p", (F.col("frame") < noise_frames).alias("silent"))
+    else:
+        level = s.groupBy(*keys, "frame").agg(F.sum(F.expr("re * re + im * im")).alias("e"))
+        level = level.withColumn("silent", F.col("e") < F.max("e").over(Window.partitionBy(*keys)) * 10 ** (threshold_db / 10)).drop("e")
+        silent = s.join(level, [*keys, "frame"]).select(*keys, "frame", "k", "p", "silent")
+    if forgetting:
+        # weighted sums of frames up to this one, without large powers: pairs of frames within the weights' reach
+        reach = int(-36 / log10(forgetting) / 2) + 1
+        near = silent.where("silent").select(*keys, "k", "p", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("age"), F.col("frame").alias("of"))
+        near = near.select(*keys, "k", (F.col("of") + F.col("age")).alias("frame"), F.pow(F.lit(forgetting), F.col("age")).alias("w"), "p")
+        mean = near.groupBy(*keys, "frame", "k").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("noise"))
+        first = s.where("frame = 0").select(*keys, "k", F.col("p").alias("first"))
+        both = s.join(mean, [*keys, "frame", "k"], "left").join(first, [*keys, "k"]).withColumn("noise", F.coalesce("noise", "first"))
+    else:
+        mean = silent.where("silent").groupBy(*keys, "k").agg(F.avg("p").alias("noise"))
+        both = s.join(mean, [*keys, "k"], "left").withColumn("noise", F.coalesce("noise", F.lit(0.0)))
+    left = F.greatest(F.col("p") - factor * F.col("noise"), 10 ** (floor_db / 20 * exponent) * F.col("p"))
+    gain = F.when(F.col("p") > 0, F.pow(left / F.col("p"), 1 / exponent)).otherwise(0.0)
+    return istft(both.select(*keys, "frame", "k", (F.col("re") * gain).alias("re"), (F.col("im") * gain).alias("im")), window, window // 2, "hann", keys)

@@ -123,3 +123,29 @@ def one_pole_series(signal: DataFrame, coefficient: float, keys: Keys = ("ch",))
     past = F.reverse(F.collect_list("re").over(w))
     y = F.aggregate(F.zip_with(past, F.slice(F.array(*[F.lit(v) for v in weights]), F.lit(1), F.size(past)), lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
     return signal.withColumn("re", y)
+
+
+def mirror_split(signal: DataFrame, taps: list[float], keys: Keys = ("ch",)) -> DataFrame:
+    """(band 0 low or 1 high, n, re): both halves of a quadrature mirror bank, every second sample kept."""
+    sign = lambda b: [(-1.0) ** (m * b) * t for m, t in enumerate(taps)]
+    bands = None
+    for b in (0, 1):
+        one = convolve(signal, sign(b), keys).where("n % 2 = 0").select(*keys, F.lit(b).alias("band"), (F.col("n") / 2).cast("long").alias("n"), "re")
+        bands = one if bands is None else bands.unionByName(one)
+    return bands
+
+
+def mirror_join(bands: DataFrame, taps: list[float], keys: Keys = ("ch",)) -> DataFrame:
+    """The signal back from mirror_split, later by the taps' length less one."""
+    wide = bands.withColumn("n", F.col("n") * 2)
+    low = convolve(wide.where("band = 0").drop("band"), [2 * t for t in taps], keys)
+    high = convolve(wide.where("band = 1").drop("band"), [-2 * (-1.0) ** m * t for m, t in enumerate(taps)], keys)
+    return low.unionByName(high).groupBy(*keys, "n").agg(F.sum("re").alias("re"))
+
+
+def gaussian_taps(sigma: float, reach: int) -> list[tuple[int, float]]:
+    """(place, weight) of a Gaussian of sum 1 around 0."""
+    from math import exp
+
+    w = [exp(-0.5 * (m / sigma) ** 2) for m in range(-reach, reach + 1)]
+    return [(m, v / sum(w)) for m, v in zip(range(-reach, reach + 1), w)]

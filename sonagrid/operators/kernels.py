@@ -41,14 +41,18 @@ def mapped(signal: DataFrame, kernel, keys: Keys = ("ch",)) -> DataFrame:
 
 
 def biquad(kind: str, f_hz: float, rate_hz: int, q: float = 2**-0.5, gain_db: float = 0.0) -> np.ndarray:
-    """[b0 b1 b2 1 a1 a2] of a second-order section (bilinear forms of the audio equaliser cookbook)."""
+    """[b0 b1 b2 1 a1 a2] of a second-order section (bilinear forms of the audio equaliser cookbook).
+
+    The gain is that of the bell or shelf, and of the whole output for the other kinds.
+    """
     w = 2 * np.pi * f_hz / rate_hz
     c, s, a = np.cos(w), np.sin(w), 10 ** (gain_db / 40)
-    alpha, root = s / (2 * q), np.sqrt(10 ** (gain_db / 40))
+    alpha, root, t = s / (2 * q), np.sqrt(10 ** (gain_db / 40)), np.tan(w / 2)
     b, d = {
         "lowpass": ([(1 - c) / 2, 1 - c, (1 - c) / 2], [1 + alpha, -2 * c, 1 - alpha]),
         "highpass": ([(1 + c) / 2, -1 - c, (1 + c) / 2], [1 + alpha, -2 * c, 1 - alpha]),
         "bandpass": ([alpha, 0, -alpha], [1 + alpha, -2 * c, 1 - alpha]),
+        "bandpass_skirt": ([s / 2, 0, -s / 2], [1 + alpha, -2 * c, 1 - alpha]),
         "notch": ([1, -2 * c, 1], [1 + alpha, -2 * c, 1 - alpha]),
         "allpass": ([1 - alpha, -2 * c, 1 + alpha], [1 + alpha, -2 * c, 1 - alpha]),
         "peaking": ([1 + alpha * a, -2 * c, 1 - alpha * a], [1 + alpha / a, -2 * c, 1 - alpha / a]),
@@ -60,8 +64,13 @@ def biquad(kind: str, f_hz: float, rate_hz: int, q: float = 2**-0.5, gain_db: fl
             [a * (a + 1 + (a - 1) * c + 2 * root * alpha), -2 * a * (a - 1 + (a + 1) * c), a * (a + 1 + (a - 1) * c - 2 * root * alpha)],
             [a + 1 - (a - 1) * c + 2 * root * alpha, 2 * (a - 1 - (a + 1) * c), a + 1 - (a - 1) * c - 2 * root * alpha],
         ),
+        # first order, by the bilinear transform of 1 / (1 + s), s / (1 + s) and (1 - s) / (1 + s)
+        "lowpass1": ([t, t, 0], [1 + t, t - 1, 0]),
+        "highpass1": ([1, -1, 0], [1 + t, t - 1, 0]),
+        "allpass1": ([t - 1, t + 1, 0], [1 + t, t - 1, 0]),
     }[kind]
-    return np.array([*b, *d], dtype=float) / d[0]
+    level = 1.0 if kind in ("peaking", "lowshelf", "highshelf") else 10 ** (gain_db / 20)
+    return np.array([*(level * v for v in b), *d], dtype=float) / d[0]
 
 
 def butterworth(order: int, f_hz: float, rate_hz: int, highpass: bool = False) -> np.ndarray:
@@ -124,6 +133,24 @@ def crossover(signal: DataFrame, f_hz: float, rate_hz: int, keys: Keys = ("ch",)
     return filter_bank(signal, {"low": np.vstack([low, low]), "high": np.vstack([high, high])}, "parallel", keys)
 
 
+def allpass_of_crossover(f_hz: float, rate_hz: int) -> np.ndarray:
+    """What the halves of a Linkwitz-Riley crossover of order 4 add up to: the allpass with the poles of one Butterworth filter."""
+    return biquad("allpass", f_hz, rate_hz)
+
+
+def linkwitz_riley_bank(frequencies: list[float], rate_hz: int) -> dict[str, np.ndarray]:
+    """Bands (0 to len(frequencies)) that add up to an allpass: split from the lowest frequency
+    on, and each band below a later crossover goes through that one's allpass."""
+    f = sorted(frequencies)
+    bank = {}
+    for band in range(len(f) + 1):
+        rows = [butterworth(2, x, rate_hz, True) for x in f[:band] for _ in (0, 1)]
+        if band < len(f):
+            rows += [butterworth(2, f[band], rate_hz)] * 2 + [np.atleast_2d(allpass_of_crossover(x, rate_hz)) for x in f[band + 1 :]]
+        bank[str(band)] = np.vstack(rows)
+    return bank
+
+
 def octave_filter_bank(signal: DataFrame, centres: list[float], rate_hz: int, order: int = 2, keys: Keys = ("ch",)) -> DataFrame:
     """Bands of an octave as high-pass and low-pass in series."""
     bank = {f"{f:g}": np.vstack([butterworth(order, f / 2**0.5, rate_hz, True), butterworth(order, f * 2**0.5, rate_hz)]) for f in centres}

@@ -29,7 +29,7 @@ def energy_decay(ir: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
 def reverberation_time(edc: DataFrame, rate_hz: int, high_db: float = -5.0, low_db: float = -35.0, keys: Keys = ("ch",)) -> DataFrame:
     """(rt_s): 60 dB over the slope of the regression line between two levels of the decay;
     T20: -5 to -25, T30: -5 to -35, EDT: 0 to -10."""
-    part = edc.where(F.col("edc_db").between(low_db, high_db))
+    part = edc.where(F.col("edc_db").between(low_db - 1e-9, high_db + 1e-9))
     slope = F.regr_slope("edc_db", F.col("n") / float(rate_hz))
     return part.groupBy(*keys).agg((-60.0 / slope).alias("rt_s"))
 
@@ -54,13 +54,70 @@ def centre_time(ir: DataFrame, rate_hz: int, keys: Keys = ("ch",)) -> DataFrame:
     return ir.groupBy(*keys).agg((F.sum(e * F.col("n")) / F.sum(e) / float(rate_hz)).alias("centre_time_s"))
 
 
-def interaural_correlation(ir: DataFrame, left, right, most: int) -> DataFrame:
-    """(iacc): largest absolute normalised correlation of two channels over lags up to most."""
-    l = ir.where(F.col("ch") == left).select(F.col("n").alias("m"), F.col("re").alias("l"))
-    moved = l.select("l", F.col("m"), F.explode(F.sequence(F.lit(-most).cast("long"), F.lit(most).cast("long"))).alias("lag")).withColumn("n", F.col("m") + F.col("lag"))
-    sums = ir.where(F.col("ch") == right).join(moved, "n").groupBy("lag").agg(F.sum(F.col("l") * F.col("re")).alias("v"))
-    norm = ir.where(F.col("ch").isin(left, right)).groupBy("ch").agg(F.sum(F.col("re") * F.col("re")).alias("e")).agg(F.product("e").alias("e"))
-    return sums.agg(F.max(F.abs("v")).alias("v")).join(norm, F.lit(True)).select((F.col("v") / F.sqrt("e")).alias("iacc"))
+def interaural_correlation(ir: DataFrame, left, right, most: int, keys: Keys = ()) -> DataFrame:
+    """(*keys, iacc): largest absolute normalised correlation of two channels over lags up to most."""
+    lags = F.explode(F.sequence(F.lit(-most).cast("long"), F.lit(most).cast("long"))).alias("lag")
+    moved = ir.where(F.col("ch") == left).select(*keys, "n", F.col("re").alias("l"), lags).withColumn("n", F.col("n") + F.col("lag"))
+    sums = ir.where(F.col("ch") == right).join(moved, [*keys, "n"]).groupBy(*keys, "lag").agg(F.sum(F.col("l") * F.col("re")).alias("v"))
+    e = lambda c: F.sum(F.when(F.col("ch") == c, F.col("re") * F.col("re")))
+    norm = ir.where(F.col("ch").isin(left, right)).groupBy(*keys).agg((e(left) * e(right)).alias("e"))
+    most_ = sums.groupBy(*keys).agg(F.max(F.abs("v")).alias("v"))
+    both = most_.join(norm, list(keys)) if keys else most_.join(norm, F.lit(True))
+    return both.select(*keys, (F.col("v") / F.sqrt("e")).alias("iacc"))
+
+
+def inside(points: DataFrame, lengths: tuple[float, float, float]) -> DataFrame:
+    """points (pid, x, y, z) with inside: whether they are in a box with a corner at 0."""
+    test = F.lit(True)
+    for a, length in zip("xyz", lengths):
+        test = test & (F.col(a) >= 0) & (F.col(a) <= length)
+    return points.withColumn("inside", test)
+
+
+def image_sources_by_wall(
+    images: DataFrame, walls: DataFrame, lengths: tuple[float, float, float], source: tuple[float, float, float], receiver: tuple[float, float, float], c: float = 343.0
+) -> DataFrame:
+    """(i, j, k, f_hz, distance_m, gain) of images (i, j, k) when each wall absorbs its own share of each band.
+
+    walls: (axis 0 to 2, side 0 or 1, f_hz, absorption). An image of number i
+    along an axis has bounced |i| times, in turn off both sides; the far side
+    first for i > 0. gain is the product of the walls' reflections over the distance.
+    """
+    wide = walls.groupBy("f_hz").agg(*[F.max(F.when((F.col("axis") == a) & (F.col("side") == b), 0.5 * F.log(1.0 - F.col("absorption")))).alias(f"w{a}{b}") for a in range(3) for b in range(2)])
+    log_gain, square = F.lit(0.0), F.lit(0.0)
+    for a, (name, length, s, r) in enumerate(zip("ijk", lengths, source, receiver)):
+        n = F.col(name)
+        far = F.when(n > 0, F.ceil(n / 2)).otherwise(F.floor(-n / 2))
+        log_gain = log_gain + far * F.col(f"w{a}1") + (F.abs(n) - far) * F.col(f"w{a}0")
+        gap = F.when(F.pmod(n, F.lit(2)) == 0, n * length + s).otherwise((n + 1) * length - s) - r
+        square = square + gap * gap
+    return images.join(wide, F.lit(True)).select("i", "j", "k", "f_hz", F.sqrt(square).alias("distance_m"), (F.exp(log_gain) / F.sqrt(square)).alias("gain"))
+
+
+def reverberant_tail(spark: SparkSession, rt_s: float, start: int, length: int, rate_hz: int, level: float, seed: int = 0) -> DataFrame:
+    """(n, re): noise from sample start on that decays by 60 dB in rt_s; level is its deviation at start."""
+    from sonagrid.sources.generators import noise
+
+    decay = F.pow(F.lit(10.0), -3.0 * F.col("n") / (rt_s * rate_hz))
+    return noise(spark, length, 1, seed).select((F.col("n") + start).alias("n"), (F.col("re") * decay * level).alias("re"))
+
+
+def best_decay_range(edc: DataFrame, rate_hz: int, high_db: float = -5.0, lows_db: tuple[float, ...] = (-15.0, -25.0, -35.0, -45.0, -65.0), keys: Keys = ("ch",)) -> DataFrame:
+    """(low_db, rt_s, r2): of regression lines from high_db to each low, the one that fits best; the longer range of equals."""
+    ranges = F.explode(F.array(*[F.lit(v) for v in lows_db])).alias("low_db")
+    reach = F.min("edc_db").over(Window.partitionBy(*keys))
+    part = edc.withColumn("least", reach).select(*keys, "n", "edc_db", "least", ranges)
+    part = part.where((F.col("edc_db") <= high_db) & (F.col("edc_db") >= F.col("low_db")) & (F.col("least") <= F.col("low_db")))
+    t = F.col("n") / float(rate_hz)
+    fits = part.groupBy(*keys, "low_db").agg((-60.0 / F.regr_slope("edc_db", t)).alias("rt_s"), F.regr_r2("edc_db", t).alias("r2"), F.count(F.lit(1)).alias("c")).where("c > 2")
+    best = fits.groupBy(*keys).agg(F.max(F.struct(F.round("r2", 9).alias("fit"), (-F.col("low_db")).alias("range"), "low_db", "rt_s", "r2")).alias("b"))
+    return best.select(*keys, "b.low_db", "b.rt_s", "b.r2")
+
+
+def complex_mode_indicator(spectra: DataFrame) -> DataFrame:
+    """(f_hz, indicator): energy of the spectra (ch, f_hz, re, im) at each frequency, the
+    square of the singular value of the one-column matrix of all channels."""
+    return spectra.groupBy("f_hz").agg(F.sum(F.expr("re * re + im * im")).alias("indicator"))
 
 
 def shoebox_modes(spark: SparkSession, lengths: tuple[float, float, float], most_hz: float, c: float = 343.0) -> DataFrame:

@@ -142,3 +142,33 @@ def segmental_snr(target: DataFrame, estimate: DataFrame, window: int, low_db: f
     g = both.groupBy(*keys, frame.alias("frame")).agg(F.sum(F.expr("x * x")).alias("s"), F.sum(F.expr("(x - y) * (x - y)")).alias("d"))
     value = F.least(F.lit(high_db), F.greatest(F.lit(low_db), 10.0 * F.log10(F.col("s") / F.greatest(F.col("d"), F.lit(1e-300)))))
     return g.where("s > 0").groupBy(*keys).agg(F.avg(value).alias("seg_snr_db"))
+
+
+def fractional_peak(signal: DataFrame, rate_hz: int = 1, keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, delay_s): place of the largest absolute sample (the first of equals), between
+    samples by the parabola through it and its neighbours."""
+    w = Window.partitionBy(*keys).orderBy("n")
+    a = signal.select(*keys, "n", F.abs("re").alias("y"))
+    a = a.withColumns({"l": F.coalesce(F.lag("y").over(w), F.lit(0.0)), "r": F.coalesce(F.lead("y").over(w), F.lit(0.0))})
+    best = a.groupBy(*keys).agg(F.max(F.struct("y", (-F.col("n")).alias("m"), "l", "r")).alias("b"))
+    bend = F.expr("b.l - 2 * b.y + b.r")
+    shift = F.when(bend != 0, F.expr("0.5 * (b.l - b.r)") / bend).otherwise(0.0)
+    return best.select(*keys, ((-F.col("b.m") + shift) / rate_hz).alias("delay_s"))
+
+
+def weighted_segmental_snr(clean: DataFrame, noisy: DataFrame, weights: list[tuple[int, int, float]], window: int, gamma: float = 0.2, low_db: float = -10.0, high_db: float = 35.0, keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, fw_snr_db): signal-to-noise ratio of bands of each frame, weighted by the clean band's
+    magnitude to the power gamma, limited, averaged over frames. weights: (band, k, w)."""
+    from sonagrid.operators.spectra import stft
+
+    def bands(signal: DataFrame, name: str) -> DataFrame:
+        s = stft(signal, window, window // 2, "hann", keys=keys).select(*keys, "frame", "k", F.sqrt(F.expr("re * re + im * im")).alias("m"))
+        table = signal.sparkSession.createDataFrame(weights, "band int, k int, w double")
+        return s.join(F.broadcast(table), "k").groupBy(*keys, "frame", "band").agg(F.sum(F.col("m") * F.col("w")).alias(name))
+
+    both = bands(clean, "x").join(bands(noisy, "y"), [*keys, "frame", "band"])
+    error = F.greatest(F.pow(F.col("x") - F.col("y"), 2), F.lit(1e-30))
+    snr = F.least(F.lit(high_db), F.greatest(F.lit(low_db), 10.0 * F.log10(F.greatest(F.col("x") * F.col("x"), F.lit(1e-30)) / error)))
+    weight = F.pow(F.col("x"), gamma)
+    frames_ = both.groupBy(*keys, "frame").agg(F.sum(weight * snr).alias("s"), F.sum(weight).alias("w")).where("w > 0")
+    return frames_.groupBy(*keys).agg(F.avg(F.col("s") / F.col("w")).alias("fw_snr_db"))

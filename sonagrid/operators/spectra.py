@@ -142,13 +142,16 @@ def cross_spectra(spectra: DataFrame, pairs: DataFrame | None = None, keys: Keys
     return both.groupBy(*keys, "k", "ch_i", "ch_j").agg(F.avg(re).alias("re"), F.avg(im).alias("im"))
 
 
-def transfer(spectra: DataFrame, source, target) -> DataFrame:
-    """(k, H1, H2, H3 and coherence) between two channels of (ch, frame, k, re, im), over the frames that both have."""
+def _pairs(spectra: DataFrame, source, target, by: Keys) -> DataFrame:
+    """(*by, a, b, c, d): source a + i b and target c + i d where both are there."""
     pick = lambda c, x: F.max(F.when(F.col("ch") == c, F.col(x)))
-    pair = spectra.where(F.col("ch").isin(source, target)).groupBy("frame", "k").agg(
-        pick(source, "re").alias("a"), pick(source, "im").alias("b"), pick(target, "re").alias("c"), pick(target, "im").alias("d")
-    )
-    g = pair.where("a is not null and c is not null").groupBy("k").agg(
+    pair = spectra.where(F.col("ch").isin(source, target)).groupBy(*by).agg(pick(source, "re").alias("a"), pick(source, "im").alias("b"), pick(target, "re").alias("c"), pick(target, "im").alias("d"))
+    return pair.where("a is not null and c is not null")
+
+
+def transfer(spectra: DataFrame, source, target, keys: Keys = ()) -> DataFrame:
+    """(*keys, k, H1, H2, H3 and coherence) between two channels of (*keys, ch, frame, k, re, im), over the frames that both have."""
+    g = _pairs(spectra, source, target, (*keys, "frame", "k")).groupBy(*keys, "k").agg(
         F.avg(F.expr("a * a + b * b")).alias("xx"),
         F.avg(F.expr("c * c + d * d")).alias("yy"),
         F.avg(F.expr("a * c + b * d")).alias("r"),
@@ -156,6 +159,7 @@ def transfer(spectra: DataFrame, source, target) -> DataFrame:
     )
     cross = F.sqrt(F.expr("r * r + i * i"))
     return g.select(
+        *keys,
         "k",
         F.expr("r / xx").alias("h1_re"),
         F.expr("i / xx").alias("h1_im"),
@@ -167,14 +171,10 @@ def transfer(spectra: DataFrame, source, target) -> DataFrame:
     )
 
 
-def deconvolve(spectrum: DataFrame, source, target, regularisation: float = 1e-2) -> DataFrame:
-    """(k, re, im): target times conj(source) over |source|**2 plus a constant."""
-    pick = lambda c, x: F.max(F.when(F.col("ch") == c, F.col(x)))
-    pair = spectrum.where(F.col("ch").isin(source, target)).groupBy("k").agg(
-        pick(source, "re").alias("a"), pick(source, "im").alias("b"), pick(target, "re").alias("c"), pick(target, "im").alias("d")
-    )
+def deconvolve(spectrum: DataFrame, source, target, regularisation: float = 1e-2, keys: Keys = ()) -> DataFrame:
+    """(*keys, k, re, im): target times conj(source) over |source|**2 plus a constant."""
     den = F.expr("a * a + b * b") + regularisation
-    return pair.where("a is not null and c is not null").select("k", (F.expr("c * a + d * b") / den).alias("re"), (F.expr("d * a - c * b") / den).alias("im"))
+    return _pairs(spectrum, source, target, (*keys, "k")).select(*keys, "k", (F.expr("c * a + d * b") / den).alias("re"), (F.expr("d * a - c * b") / den).alias("im"))
 
 
 def band_energy(spectrum: DataFrame, low: float, high: float, keys: Keys = ("ch",)) -> DataFrame:
@@ -231,3 +231,157 @@ def shape(spectrum: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
     g = s.groupBy(*keys).agg(F.sum("p").alias("s0"), F.sum(F.col("p") * F.col("f_hz")).alias("s1"), F.sum(F.col("p") * F.col("f_hz") * F.col("f_hz")).alias("s2"), F.avg(F.log("p")).alias("l"), F.avg("p").alias("a"))
     c = F.col("s1") / F.col("s0")
     return g.select(*keys, c.alias("centroid_hz"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("s0") - c * c)).alias("spread_hz"), (F.exp("l") / F.col("a")).alias("flatness"))
+
+
+# --- more on the frequency axis ---------------------------------------------------
+
+
+def interpolate_as(spectrum: DataFrame, at: DataFrame, domain: str = "magnitude", scheme: str = "linear", edges: str = "extend", keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, f_hz, value or re, im) at other frequencies.
+
+    domain: what is interpolated: "complex" (re and im), "magnitude", "power" or
+    "magnitude_phase" (magnitude and unwrapped phase; gives re and im). scheme:
+    "linear" or "nearest" over frequency. edges, beyond the first and last bin:
+    "extend" their values, "zero", or "error".
+    """
+    s = spectrum.withColumn("__m", F.sqrt(F.expr("re * re + im * im")))
+    if domain == "magnitude_phase":
+        by = Window.partitionBy(*keys).orderBy("f_hz")
+        turn = F.atan2(F.expr("im * __r - re * __i"), F.expr("re * __r + im * __i"))
+        s = s.withColumns({"__r": F.lag("re").over(by), "__i": F.lag("im").over(by)})
+        s = s.withColumn("__p", F.sum(F.coalesce(turn, F.atan2("im", "re"))).over(by))
+    parts = {"complex": ["re", "im"], "magnitude": ["__m"], "power": ["__q"], "magnitude_phase": ["__m", "__p"]}[domain]
+    s = s.withColumn("__q", F.col("__m") * F.col("__m")).withColumn("v", F.array(*parts)).select(*keys, "f_hz", "v")
+    asked = s.groupBy(*keys).agg(F.min("f_hz").alias("low"), F.max("f_hz").alias("high")).join(at, F.lit(True))
+    outside = ~F.col("f_hz").between(F.col("low"), F.col("high"))
+    if edges == "error":
+        asked = asked.withColumn("f_hz", F.when(outside, F.raise_error(F.lit("a frequency beyond the spectrum"))).otherwise(F.col("f_hz")))
+    none = F.lit(None).cast("array<double>")
+    both = s.select(*keys, "f_hz", "v", F.lit(False).alias("ask"), F.lit(False).alias("outside")).unionByName(asked.select(*keys, "f_hz", none.alias("v"), F.lit(True).alias("ask"), outside.alias("outside")))
+    w = Window.partitionBy(*keys).orderBy("f_hz", "ask")
+    known = F.when(~F.col("ask"), F.struct("f_hz", "v"))
+    both = both.withColumn("a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    a, b = F.coalesce("a", "b"), F.coalesce("b", "a")
+    share = F.when(b.f_hz > a.f_hz, (F.col("f_hz") - a.f_hz) / (b.f_hz - a.f_hz)).otherwise(0.0)
+    if scheme == "nearest":
+        share = F.when(share > 0.5, 1.0).otherwise(0.0)
+    value = [F.get(a.v, i) + share * (F.get(b.v, i) - F.get(a.v, i)) for i in range(len(parts))]
+    if edges == "zero":
+        value = [F.when(F.col("outside"), 0.0).otherwise(v) for v in value]
+    out = {"magnitude": value[:1], "power": value[:1], "complex": value}.get(domain) or [value[0] * F.cos(value[1]), value[0] * F.sin(value[1])]
+    names = ["value"] if len(out) == 1 else ["re", "im"]
+    return both.where("ask").select(*keys, "f_hz", *[v.alias(n) for v, n in zip(out, names)])
+
+
+def resampled(spectrum: DataFrame, length: int, rate_hz: int, domain: str = "complex", keys: Keys = ("ch",)) -> DataFrame:
+    """The spectrum on the bins of a transform of another length."""
+    f = spectrum.sparkSession.range(length // 2 + 1).select((F.col("id") * rate_hz / length).alias("f_hz"))
+    return interpolate_as(spectrum, f, domain, keys=keys)
+
+
+def normalised(spectrum: DataFrame, how: str = "peak", level_db: float = 0.0, at_hz: tuple[float, float] | None = None, keys: Keys = ("ch",)) -> DataFrame:
+    """re and im scaled so that the magnitude's peak, root mean square ("rms"), or mean over a range of
+    frequencies ("range") is level_db."""
+    size = F.sqrt(F.expr("re * re + im * im"))
+    by = Window.partitionBy(*keys)
+    have = {
+        "peak": F.max(size).over(by),
+        "rms": F.sqrt(F.avg(size * size).over(by)),
+        "range": F.avg(F.when(F.col("f_hz").between(*(at_hz or (0.0, 0.0))), size)).over(by),
+    }[how]
+    scale = 10 ** (level_db / 20) / have
+    return spectrum.withColumn("__s", scale).withColumns({"re": F.col("re") * F.col("__s"), "im": F.col("im") * F.col("__s")}).drop("__s")
+
+
+def warped_axis(f_hz, warp: float, rate_hz: int) -> Column:
+    """Frequencies behind a first-order allpass of coefficient warp; 0 and half the rate stay."""
+    w = 2 * pi / rate_hz * F.col(f_hz)
+    return (w + 2 * F.atan2(warp * F.sin(w), 1 - warp * F.cos(w))) * (rate_hz / (2 * pi))
+
+
+def warp(spectrum: DataFrame, coefficient: float, rate_hz: int, keys: Keys = ("ch",)) -> DataFrame:
+    """The spectrum on a bent frequency axis, read at its own frequencies again (linear, re and im)."""
+    bent = spectrum.withColumn("f_hz", warped_axis("f_hz", coefficient, rate_hz))
+    return interpolate_as(bent, spectrum.select("f_hz").distinct(), "complex", keys=keys)
+
+
+def smooth_complex(spectrum: DataFrame, fraction: float, domain: str = "complex", keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, k, re, im) smoothed over 1 / fraction octave: "complex" (re and im), "magnitude" or
+    "power" with the bin's own phase, or "equivalent" (power's mean with the phase of the complex mean)."""
+    half = round(0.5e6 / fraction)
+    w = Window.partitionBy(*keys).orderBy("__l").rangeBetween(-half, half)
+    s = spectrum.where("f_hz > 0").withColumn("__l", F.round(F.log2("f_hz") * 1e6).cast("long")).withColumn("__m", F.sqrt(F.expr("re * re + im * im")))
+    re, im = F.avg("re").over(w), F.avg("im").over(w)
+    size = {"complex": None, "magnitude": F.avg("__m").over(w), "power": F.sqrt(F.avg(F.col("__m") * F.col("__m")).over(w)), "equivalent": F.sqrt(F.avg(F.col("__m") * F.col("__m")).over(w))}[domain]
+    if domain == "complex":
+        out = (re, im)
+    elif domain == "equivalent":
+        r = F.greatest(F.sqrt(re * re + im * im), F.lit(1e-300))
+        out = (size * re / r, size * im / r)
+    else:
+        out = tuple(size * F.col(x) / F.greatest(F.col("__m"), F.lit(1e-300)) for x in ("re", "im"))
+    return s.withColumns({"__a": out[0], "__b": out[1]}).select(*keys, "k", F.col("__a").alias("re"), F.col("__b").alias("im"))
+
+
+def difference(spectrum: DataFrame, other: DataFrame, complex_: bool = False, keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, k, level_db, or re and im): the spectrum over another, bin by bin."""
+    both = spectrum.join(other.select(*keys, "k", F.col("re").alias("c"), F.col("im").alias("d")), [*keys, "k"])
+    if complex_:
+        size = F.greatest(F.expr("c * c + d * d"), F.lit(1e-300))
+        return both.select(*keys, "k", (F.expr("re * c + im * d") / size).alias("re"), (F.expr("im * c - re * d") / size).alias("im"))
+    ratio = F.greatest(F.expr("re * re + im * im"), F.lit(1e-300)) / F.greatest(F.expr("c * c + d * d"), F.lit(1e-300))
+    return both.select(*keys, "k", (10.0 * F.log10(ratio)).alias("level_db"))
+
+
+def append(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Channels of a second spectrum behind those of the first, read at the first one's frequencies."""
+    moved = interpolate_as(second, first.select("f_hz").distinct(), "complex").join(first.select("k", "f_hz").distinct(), "f_hz")
+    count = first.agg((F.coalesce(F.max("ch"), F.lit(-1)) + 1).alias("at"))
+    behind = moved.join(F.broadcast(count), F.lit(True)).select((F.col("ch") + F.col("at")).alias("ch"), "k", "f_hz", "re", "im")
+    return first.select("ch", "k", "f_hz", "re", "im").unionByName(behind)
+
+
+def log_frequencies(spark, low_hz: float, high_hz: float, per_octave: int) -> DataFrame:
+    """(i, f_hz): logarithmically spaced from low to at most high."""
+    from math import floor, log2
+
+    return spark.range(floor(log2(high_hz / low_hz) * per_octave + 1e-9) + 1).select(F.col("id").alias("i"), (low_hz * F.pow(F.lit(2.0), F.col("id") / per_octave)).alias("f_hz"))
+
+
+def log_mean(spectrum: DataFrame, value: str = "value", keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, value): mean over the logarithm of frequency: bins weighted by the octaves between the middles to their neighbours."""
+    w = Window.partitionBy(*keys).orderBy("f_hz")
+    s = spectrum.where("f_hz > 0").withColumn("l", F.log2("f_hz"))
+    width = (F.coalesce(F.lead("l").over(w), F.col("l")) - F.coalesce(F.lag("l").over(w), F.col("l"))) / 2
+    s = s.withColumn("w", width)
+    return s.groupBy(*keys).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
+
+
+def crossover_weight(f_hz, low_hz: float, high_hz: float, up: bool = True) -> Column:
+    """From 0 at low to 1 at high (or the reverse) as half a cosine over the logarithm of frequency."""
+    x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log(F.greatest(F.col(f_hz), F.lit(1e-300)) / low_hz) / F.log(F.lit(high_hz / low_hz))))
+    rise = 0.5 - 0.5 * F.cos(pi * x)
+    return rise if up else 1.0 - rise
+
+
+def merged(low: DataFrame, high: DataFrame, low_hz: float, high_hz: float, keys: Keys = ("ch",)) -> DataFrame:
+    """Two spectra joined by a crossover between two frequencies: the first below, the second above."""
+    both = low.join(high.select(*keys, "k", F.col("re").alias("c"), F.col("im").alias("d")), [*keys, "k"])
+    w = crossover_weight("f_hz", low_hz, high_hz)
+    return both.select(*keys, "k", "f_hz", (F.col("re") * (1 - w) + F.col("c") * w).alias("re"), (F.col("im") * (1 - w) + F.col("d") * w).alias("im"))
+
+
+def above_threshold(spectrum: DataFrame, threshold_db: float, relative: bool = True, keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, low_hz, high_hz): first and last frequency whose level is at or above a threshold, relative to the highest or absolute."""
+    level = 10.0 * F.log10(F.greatest(F.expr("re * re + im * im"), F.lit(1e-300)))
+    s = spectrum.withColumn("l", level)
+    least = F.max("l").over(Window.partitionBy(*keys)) + threshold_db if relative else F.lit(threshold_db)
+    return s.withColumn("least", least).where("l >= least").groupBy(*keys).agg(F.min("f_hz").alias("low_hz"), F.max("f_hz").alias("high_hz"))
+
+
+def without_delay(spectrum: DataFrame, delays: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
+    """The spectrum with a delay of each channel (*keys, delay_s) taken from its phase."""
+    angle = 2 * pi * F.col("f_hz") * F.col("delay_s")
+    re, im = F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle), F.col("im") * F.cos(angle) + F.col("re") * F.sin(angle)
+    both = spectrum.join(delays, list(keys)).withColumns({"__a": re, "__b": im})
+    return both.select(*keys, "k", "f_hz", F.col("__a").alias("re"), F.col("__b").alias("im"))

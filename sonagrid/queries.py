@@ -78,6 +78,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+_PAIR = ("pair",)
+
+
 # --- levels ---------------------------------------------------------------------
 
 
@@ -223,9 +226,9 @@ def sum_channels(spark, d):
     return _out(ed.sum_channels(tb.vectors(spark, d)), "re")
 
 
-@query(f"with {V} select a.n, {_r('(a.re + b.re) * 0.5')} as a, {_r('(a.re - b.re) * 0.5')} as b from v a join v b on a.n = b.n where a.ch = 0 and b.ch = 1")
+@query(f"with {V} select a.ch // 2 as pair, a.n, {_r('(a.re + b.re) * 0.5')} as a, {_r('(a.re - b.re) * 0.5')} as b from v a join v b on a.n = b.n and a.ch % 2 = 0 and b.ch = a.ch + 1")
 def mid_side(spark, d):
-    return _out(ed.mid_side(tb.vectors(spark, d), 0, 1), "a", "b")
+    return _out(ed.mid_side(ed.in_pairs(tb.vectors(spark, d)), 0, 1, keys=_PAIR), "a", "b")
 
 
 @query(f"with {E}, m as (select ch, max(n) + 1 as k from e group by ch) select ch, n, re from e union all select e.ch, n + k, re from e join m on e.ch = m.ch where n < 10")
@@ -352,31 +355,33 @@ def power_density(spark, d):
     return _out(sp.scaled(power, 16, "hann", 100, "density"), "value", digits=4)
 
 
-@query(
-    f"with {_STFT}, c as (select * from s where ch < 12) select a.k, a.ch as ch_i, b.ch as ch_j, {_r('avg(a.re * b.re + a.im * b.im)', 3)} as re, {_r('avg(a.re * b.im - a.im * b.re)', 3)} as im "
-    "from c a join c b on a.frame = b.frame and a.k = b.k and a.ch <= b.ch group by a.k, a.ch, b.ch"
+_MATRICES = (
+    f"with {_STFT}, c as (select *, ch // 12 as array_id, ch % 12 as mic from s) select a.array_id, a.k, a.mic as ch_i, b.mic as ch_j, {_r('avg(a.re * b.re + a.im * b.im)', 3)} as re, "
+    f"{_r('avg(a.re * b.im - a.im * b.re)', 3)} as im from c a join c b on a.array_id = b.array_id and a.frame = b.frame and a.k = b.k and a.mic <= b.mic group by a.array_id, a.k, a.mic, b.mic"
 )
+
+
+@query(_MATRICES)
 def cross_spectral_matrix(spark, d):
-    array = tb.events(spark, d).where("ch < 12")  # the microphones of one array
-    return _out(sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True)), "re", "im", digits=3)
+    return _out(sp.cross_spectra(_array_spectra(spark, d, 12), keys=_ARRAY), "re", "im", digits=3)
 
 
 @query(
-    f"with {_STFT}, p as (select a.k, a.re as a, a.im as b, b.re as c, b.im as d from s a join s b on a.frame = b.frame and a.k = b.k where a.ch = 1 and b.ch = 2 and a.k between 1 and 7), "
-    "g as (select k, avg(a * a + b * b) as xx, avg(c * c + d * d) as yy, avg(a * c + b * d) as r, avg(a * d - b * c) as i from p group by k) "
-    f"select k, {_r('r / xx')} as h1_re, {_r('i / xx')} as h1_im, {_r('yy * r / (r * r + i * i)')} as h2_re, {_r('yy * i / (r * r + i * i)')} as h2_im, "
+    f"with {_STFT}, p as (select a.ch // 2 as pair, a.k, a.re as a, a.im as b, b.re as c, b.im as d from s a join s b on a.frame = b.frame and a.k = b.k and a.ch % 2 = 0 and b.ch = a.ch + 1 where a.k between 1 and 7), "
+    "g as (select pair, k, avg(a * a + b * b) as xx, avg(c * c + d * d) as yy, avg(a * c + b * d) as r, avg(a * d - b * c) as i from p group by pair, k) "
+    f"select pair, k, {_r('r / xx')} as h1_re, {_r('i / xx')} as h1_im, {_r('yy * r / (r * r + i * i)')} as h2_re, {_r('yy * i / (r * r + i * i)')} as h2_im, "
     f"{_r('r / sqrt(r * r + i * i) * sqrt(yy / xx)')} as h3_re, {_r('i / sqrt(r * r + i * i) * sqrt(yy / xx)')} as h3_im, {_r('(r * r + i * i) / (xx * yy)')} as coherence from g"
 )
 def transfer_coherence(spark, d):
-    return _out(sp.transfer(_stft(spark, d).where("k between 1 and 7"), 1, 2), "h1_re", "h1_im", "h2_re", "h2_im", "h3_re", "h3_im", "coherence")
+    return _out(sp.transfer(ed.in_pairs(_stft(spark, d)).where("k between 1 and 7"), 0, 1, _PAIR), "h1_re", "h1_im", "h2_re", "h2_im", "h3_re", "h3_im", "coherence")
 
 
 @query(
-    f"with {_DFT} select a.k, {_r('(b.re * a.re + b.im * a.im) / (a.re * a.re + a.im * a.im + 0.01)')} as re, {_r('(b.im * a.re - b.re * a.im) / (a.re * a.re + a.im * a.im + 0.01)')} as im "
-    "from s a join s b on a.k = b.k where a.ch = 0 and b.ch = 1"
+    f"with {_DFT} select a.ch // 2 as pair, a.k, {_r('(b.re * a.re + b.im * a.im) / (a.re * a.re + a.im * a.im + 0.01)')} as re, {_r('(b.im * a.re - b.re * a.im) / (a.re * a.re + a.im * a.im + 0.01)')} as im "
+    "from s a join s b on a.k = b.k and a.ch % 2 = 0 and b.ch = a.ch + 1"
 )
 def deconvolution(spark, d):
-    return _out(sp.deconvolve(sp.dft(tb.vectors(spark, d), 64), 0, 1), "re", "im")
+    return _out(sp.deconvolve(ed.in_pairs(sp.dft(tb.vectors(spark, d), 64)), 0, 1, keys=_PAIR), "re", "im")
 
 
 @query(
@@ -408,10 +413,10 @@ def smooth_third_octave(spark, d):
 
 @query(
     f"with {_DFT}, w as (select ch, k, f_hz, re, im, lead(re) over o as r, lead(im) over o as i, lead(f_hz) over o as f from s window o as (partition by ch order by k)) "
-    f"select ch, k, {_r('-atan2(re * i - im * r, re * r + im * i) / (2 * pi() * (f - f_hz))', 3)} as delay_s from w where f is not null and k between 1 and 30"
+    f"select ch, k, {_r('-atan2(re * i - im * r, re * r + im * i) / (2 * pi() * (f - f_hz))', 3)} as delay_s from w where f is not null"
 )
 def group_delay(spark, d):
-    return _out(sp.group_delay(sp.dft(tb.vectors(spark, d), 64)).where("k between 1 and 30"), "delay_s", digits=3)
+    return _out(sp.group_delay(sp.dft(tb.vectors(spark, d), 64)), "delay_s", digits=3)
 
 
 @query(
@@ -508,22 +513,12 @@ def si_sdr(spark, d):
     return _out(si.si_sdr(one, others), "si_sdr_db", digits=4)
 
 
-@query(
-    f"with {_ONE}, c as (select o.ch, o.n - r.n as lag, sum(o.re * r.re) as v from o join r on o.n - r.n between -16 and 16 group by o.ch, o.n - r.n), "
-    "x as (select *, row_number() over (partition by ch order by round(abs(v), 9) desc, lag) as i from c) "
-    f"select ch, lag, {_r('v')} as value from x where i = 1"
-)
-def correlation_latency(spark, d):
-    v = tb.vectors(spark, d)
-    return _out(si.correlation_lag(v.where("ch <> 0"), v.where("ch = 0"), 16), "value")
-
-
 @query(
     f"with {_ONE}, c as (select o.ch, o.n - r.n as lag, sum(o.re * r.re) as v from o, r group by o.ch, o.n - r.n), "
     "x as (select *, row_number() over (partition by ch order by round(abs(v), 9) desc, lag) as i from c) "
     f"select ch, lag, {_r('v')} as value from x where i = 1"
 )
-def correlation_latency_all_lags(spark, d):
+def correlation_latency(spark, d):
     v = tb.vectors(spark, d)
     return _out(si.correlation_lag(v.where("ch <> 0"), v.where("ch = 0")), "value")
 
@@ -602,11 +597,12 @@ def response_start(spark, d):
 
 
 @query(
-    f"with {V}, s as (select b.n - a.n as g, sum(a.re * b.re) as v from v a join v b on b.n - a.n between -8 and 8 where a.ch = 0 and b.ch = 1 group by b.n - a.n) "
-    f"select {_r('max(abs(v)) / sqrt((select sum(re * re) from v where ch = 0) * (select sum(re * re) from v where ch = 1))')} as iacc from s"
+    f"with {V}, s as (select a.ch // 2 as pair, b.n - a.n as g, sum(a.re * b.re) as v from v a join v b on a.ch % 2 = 0 and b.ch = a.ch + 1 and b.n - a.n between -8 and 8 group by a.ch // 2, b.n - a.n), "
+    "e as (select ch // 2 as pair, sum(case when ch % 2 = 0 then re * re end) * sum(case when ch % 2 = 1 then re * re end) as e from v group by ch // 2), m as (select pair, max(abs(v)) as v from s group by pair) "
+    f"select m.pair, {_r('v / sqrt(e)')} as iacc from m join e on m.pair = e.pair"
 )
 def interaural_correlation(spark, d):
-    return _out(rm.interaural_correlation(tb.vectors(spark, d), 0, 1, 8), "iacc")
+    return _out(rm.interaural_correlation(ed.in_pairs(tb.vectors(spark, d)), 0, 1, 8, _PAIR), "iacc")
 
 
 @query(
@@ -783,25 +779,13 @@ _steering("true_power", "(1 / (d * r0 * s))")
 _steering("true_location", "(1 / (d * sqrt(n * s)))")
 
 
-@query(
-    f"with {_STFT}, {_steer_sql('(1 / (d * sqrt(n * s)))')}, c as (select a.ch as i, b.ch as j, avg(a.re * b.re + a.im * b.im) as re, avg(a.re * b.im - a.im * b.re) as im "
-    "from s a join s b on a.frame = b.frame and a.k = b.k and a.ch <= b.ch where a.k = 3 and b.ch < 8 group by a.ch, b.ch) "
-    f"select h.pid, {_r('sum((c.re * (h.re * q.re + h.im * q.im) - c.im * (h.re * q.im - h.im * q.re)) * (case when i = j then 1 else 2 end))', 4)} as power "
-    "from c join st h on h.mid = i join st q on q.mid = j and q.pid = h.pid group by h.pid"
-)
-def delay_and_sum_map(spark, d):
-    array = tb.events(spark, d).where("ch < 8")  # the eight microphones
-    csm = sp.cross_spectra(sp.stft(array, 16, 8, "hann", detrend=True).where("k = 3"))
-    return _out(bf.delay_and_sum(csm, bf.steering(_grid(spark), _mics(spark), 36.0)), "power", digits=4)
-
-
 @query(
     f"with {V}, {_MICS}, a as (select pid as ch, cast(round(sqrt(x ** 2 + (y - 0.4) ** 2 + 0.25) / 343 * 10000) as bigint) as l, 1 / (1 + sqrt(x ** 2 + (y - 0.4) ** 2 + 0.25)) as g from m) "
-    f"select a.ch, v.n + l as n, {_r('re * g')} as re from v, a where v.ch = 0"
+    f"select v.ch as source, a.ch, v.n + l as n, {_r('re * g')} as re from v, a"
 )
 def monopole_on_array(spark, d):
-    source = tb.vectors(spark, d).where("ch = 0").select("n", "re")
-    return _out(bf.monopole(source, (0.0, 0.4, 0.5), _mics(spark), 10000), "re")
+    source = tb.vectors(spark, d).withColumnRenamed("ch", "source")
+    return _out(bf.monopole(source, (0.0, 0.4, 0.5), _mics(spark), 10000, keys=("source",)), "re")
 
 
 # --- effects --------------------------------------------------------------------
@@ -862,9 +846,9 @@ def compressor_static(spark, d):
     return _out(fx.static_compressor(tb.vectors(spark, d), -20.0, 4.0, 6.0), "re")
 
 
-@query(f"with {V} select a.n, {_r('(a.re + b.re) * 0.5 + 1.5 * (a.re - b.re) * 0.5')} as a, {_r('(a.re + b.re) * 0.5 - 1.5 * (a.re - b.re) * 0.5')} as b from v a join v b on a.n = b.n where a.ch = 0 and b.ch = 1")
+@query(f"with {V} select a.ch // 2 as pair, a.n, {_r('(a.re + b.re) * 0.5 + 1.5 * (a.re - b.re) * 0.5')} as a, {_r('(a.re + b.re) * 0.5 - 1.5 * (a.re - b.re) * 0.5')} as b from v a join v b on a.n = b.n and a.ch % 2 = 0 and b.ch = a.ch + 1")
 def stereo_width(spark, d):
-    return _out(fx.stereo_width(tb.vectors(spark, d), 0, 1, 1.5), "a", "b")
+    return _out(fx.stereo_width(ed.in_pairs(tb.vectors(spark, d)), 0, 1, 1.5, _PAIR), "a", "b")
 
 
 # --- generators -----------------------------------------------------------------
@@ -967,15 +951,6 @@ def wavelet_transform(spark, d):
     return _out(tf.cwt(tb.vectors(spark, d), [500.0, 1000.0], 8000, 3.0), "re", "im")
 
 
-@query(
-    f"with {_MICS}, {_GRID}, dd as (select g.pid, m.pid as mid, sqrt((g.x - m.x) ** 2 + (g.y - m.y) ** 2 + (g.z - m.z) ** 2) as d from g, m where g.pid < 16), "
-    "l as (select *, cast(round((max(d) over (partition by pid) - d) / 343 * 48000) as bigint) as late, d / 8 as w from dd), "
-    f"{V} select pid, n + late as n, {_r('sum(re * w)')} as re from v join l on v.ch = l.mid group by pid, n + late"
-)
-def delay_and_sum_signals(spark, d):
-    return _out(bf.delay_and_sum_time(tb.vectors(spark, d), _grid(spark).where("pid < 16"), _mics(spark), 48000), "re")
-
-
 @query(
     "with m as (select a.i as nx, b.i as ny, c.i as nz, 343 / 2.0 * sqrt((a.i / 6.0) ** 2 + (b.i / 4.0) ** 2 + (c.i / 3.0) ** 2) as f from range(0, 10) a(i), range(0, 10) b(i), range(0, 10) c(i)), "
     "k as (select 2 * pi() * f as w0, cos(nx * pi() * 1 / 6.0) * cos(ny * pi() * 2 / 4.0) * cos(nz * pi() * 1.5 / 3.0) * cos(nx * pi() * 4 / 6.0) * cos(ny * pi() * 1 / 4.0) * cos(nz * pi() * 1.2 / 3.0) "
@@ -1070,12 +1045,6 @@ _EXTEND = "list_transform(range(1, len(a) + 2), lambda j: coalesce(a[j], 0) + g
 _COEFFICIENTS = "select ch, cast(i as integer) as i, round(a[i + 1] + 3.14159e-8, 6) + 0.0 as a from l, (select unnest(range(0, 9)) as i) q where len(a) = 9"
 
 
-@query()
-def room_report(spark, d):
-    ir = tb.vectors(spark, d).withColumn("re", F.col("re") * F.exp(-0.08 * F.col("n")))
-    return _out(plans.room_report(ir, 400), "definition", "clarity_db", "centre_time_s", "edt_s", "t20_s", "t30_s", digits=4)
-
-
 @query()
 def speech_features(spark, d):
     return _out(plans.speech_features(tb.events(spark, d), 8000, 32, 16, 8, 6), "value", digits=4)
@@ -1132,14 +1101,6 @@ def beamformer_clean_sc(spark, d):
     return _out(bf.clean_sc(*_band(spark, d), keys=_ARRAY), "power", digits=3)
 
 
-@query(
-    f"with {_STFT}, c as (select *, ch // 12 as array_id, ch % 12 as mic from s) select a.array_id, a.k, a.mic as ch_i, b.mic as ch_j, {_r('avg(a.re * b.re + a.im * b.im)', 3)} as re, "
-    f"{_r('avg(a.re * b.im - a.im * b.re)', 3)} as im from c a join c b on a.array_id = b.array_id and a.frame = b.frame and a.k = b.k and a.mic <= b.mic group by a.array_id, a.k, a.mic, b.mic"
-)
-def cross_spectral_matrices(spark, d):
-    return _out(sp.cross_spectra(_array_spectra(spark, d, 12), keys=_ARRAY), "re", "im", digits=3)
-
-
 @query(
     f"with {_STFT}, {_steer_sql('(1 / (d * sqrt(n * s)))')}, e8 as (select *, ch // 8 as array_id, ch % 8 as mic from s), c as (select a.array_id, a.mic as i, b.mic as j, "
     "avg(a.re * b.re + a.im * b.im) as re, avg(a.re * b.im - a.im * b.re) as im from e8 a join e8 b on a.array_id = b.array_id and a.frame = b.frame and a.k = b.k and a.mic <= b.mic "
@@ -1147,7 +1108,7 @@ def cross_spectral_matrices(spark, d):
     f"select c.array_id, h.pid, {_r('sum((c.re * (h.re * q.re + h.im * q.im) - c.im * (h.re * q.im - h.im * q.re)) * (case when i = j then 1 else 2 end))', 4)} as power "
     "from c join st h on h.mid = i join st q on q.mid = j and q.pid = h.pid group by c.array_id, h.pid"
 )
-def delay_and_sum_maps(spark, d):
+def delay_and_sum_map(spark, d):
     csm = sp.cross_spectra(_array_spectra(spark, d, 8).where("k = 3"), keys=_ARRAY)
     return _out(bf.delay_and_sum(csm, bf.steering(_grid(spark), _mics(spark), 36.0), keys=_ARRAY), "power", digits=4)
 
@@ -1157,7 +1118,7 @@ def delay_and_sum_maps(spark, d):
     "l as (select *, cast(round((max(d) over (partition by pid) - d) / 343 * 48000) as bigint) as late, d / 8 as w from dd), "
     f"{V} select ch // 8 as array_id, pid, n + late as n, {_r('sum(re * w)')} as re from v join l on v.ch % 8 = l.mid group by ch // 8, pid, n + late"
 )
-def delay_and_sum_array_signals(spark, d):
+def delay_and_sum_signals(spark, d):
     return _out(bf.delay_and_sum_time(bf.arrays(tb.vectors(spark, d), 8), _grid(spark), _mics(spark), 48000, keys=_ARRAY), "re")
 
 
@@ -1294,3 +1255,16 @@ def activity_detector(spark, d):
 def compressor(spark, d):
     x = tb.vectors(spark, d)
     return _out(ke.compressor(x, 64, -20.0, 4.0, 0.01, 0.1), "re")
+
+
+# --- names of before, for the same rows -------------------------------------------
+
+for _old, _new in (
+    ("cross_spectral_matrices", "cross_spectral_matrix"),
+    ("delay_and_sum_maps", "delay_and_sum_map"),
+    ("delay_and_sum_array_signals", "delay_and_sum_signals"),
+    ("correlation_latency_all_lags", "correlation_latency"),
+):
+    _QUERIES[_old], _SQL[_old] = _QUERIES[_new], _SQL[_new]
+
+from sonagrid import more_queries  # noqa: E402, F401  (registers its queries here)
