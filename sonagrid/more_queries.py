@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sonagrid import functions as fn
 from sonagrid import plans
+from sonagrid import streaming as stream
 from sonagrid.functions import stable
 from sonagrid.operators import beamforming as bf
 from sonagrid.operators import design as de
@@ -646,6 +647,69 @@ def integrated_by_blocks(spark, d):
     return _out(rc.sections(tb.events(spark, d), np.array([[1.0, 0, 0, 1, -1, 0]])), "re")
 
 
+def _structure(name: str, part, taps: list[float]) -> None:
+    """A filter structure of sonagrid.streaming over whole channels, against its response in closed form."""
+
+    def run(spark, d):
+        return _out(rc.processed(tb.events(spark, d), part()), "re")
+
+    run.__name__ = name
+    sql = f"with {E}, {_taps_sql(taps)}, x as (select *, max(n) over (partition by ch) as k from e) select ch, n + m as n, {_r('sum(re * b)')} as re from x, t where n + m <= k group by ch, n + m"
+    query(sql)(run)
+
+
+def _plus(*parts: list[float]) -> list[float]:
+    return [sum(v) for v in zip(*parts)]
+
+
+def _scaled(taps: list[float], by: float) -> list[float]:
+    return [by * t for t in taps]
+
+
+def _allpass(c: float) -> list[float]:
+    return [-c, 1.0, 0, 1, -c, 0]
+
+
+def _step_up(reflection: list[float]) -> list[float]:
+    """Taps of a finite lattice."""
+    a = [1.0]
+    for k in reflection:
+        a = _plus([*a, 0.0], _scaled([0.0, *a[::-1]], k))
+    return a
+
+
+def _unwarped(c: list[float], warp: float) -> list[float]:
+    """Second-order polynomial in first-order allpasses, times (1 - warp / z) squared."""
+    top, bottom = np.array([-warp, 1.0]), np.array([1.0, -warp])
+    return sum(v * np.convolve(*[top if i < k else bottom for i in (0, 1)]) for k, v in enumerate(c)).tolist()
+
+
+_SECTION = ke.biquad("bandpass", 400.0, 4800, 1.2)
+_B, _A = _SECTION[:3].tolist(), _SECTION[3:].tolist()
+_NONE = [1.0, 0, 0, 1, 0, 0]
+
+for _kind, _name in (("low", "lowpass"), ("band", None), ("high", "highpass")):
+    _taps = _impulse(ke.biquad(_name, 400.0, 4800, 1.2)) if _name else _scaled(_impulse(ke.biquad("bandpass", 400.0, 4800, 1.2)), 1.2)
+    _structure(f"state_variable_{_kind}", lambda kind=_kind: stream.state_variable(400.0, 1.2, 4800, kind), _taps)
+
+_structure("lattice_fir", lambda: stream.lattice([0.5, -0.3, 0.2]), _step_up([0.5, -0.3, 0.2]))
+_structure("lattice_ladder", lambda: stream.lattice_ladder(_B, _A), _impulse(_SECTION))
+_structure("warped_fir", lambda: stream.warped_fir([0.5, 0.3, 0.2], 0.4), _plus(_scaled(_impulse(_NONE), 0.5), _scaled(_impulse(_allpass(0.4)), 0.3), _scaled(_impulse([_allpass(0.4)] * 2), 0.2)))
+_structure("warped_iir", lambda: stream.warped_iir([0.2, 0.1, 0.05], [1.0, -0.4, 0.2], 0.3), _impulse(np.concatenate([np.array(_unwarped([0.2, 0.1, 0.05], 0.3)), np.array(_unwarped([1.0, -0.4, 0.2], 0.3))]) / _unwarped([1.0, -0.4, 0.2], 0.3)[0]))
+_structure(
+    "kautz_filter",
+    lambda: stream.kautz([0.3, -0.5], [0.7, 0.4]),
+    _plus(_scaled(_impulse([1.0, 0, 0, 1, -0.3, 0]), 0.7 * sqrt(1 - 0.09)), _scaled(_impulse([_allpass(0.3), [1.0, 0, 0, 1, 0.5, 0]]), 0.4 * sqrt(1 - 0.25))),
+)
+_structure("parallel_sections", lambda: stream.parallel(stream.sections(_SECTION), stream.sections(ke.biquad("lowpass", 200.0, 4800))), _plus(_impulse(_SECTION), _impulse(ke.biquad("lowpass", 200.0, 4800))))
+_structure("sections_in_chain", lambda: stream.chain(stream.sections(_SECTION), stream.fir([0.5, 0.5])), _impulse([_SECTION, [0.5, 0.5, 0, 1, 0, 0]]))
+_structure(
+    "state_space_filter",
+    lambda: stream.state_space([[-_A[1], -_A[2]], [1, 0]], [1, 0], [_B[1] - _A[1] * _B[0], _B[2] - _A[2] * _B[0]], _B[0]),
+    _impulse(_SECTION),
+)
+
+
 @query(f"select n, {_r('exp(-0.5 * pow(n / 2.0, 2)) / (select sum(exp(-0.5 * pow(i / 2.0, 2))) from range(-6, 7) g(i))')} as w from range(-6, 7) t(n)")
 def gaussian_taps(spark, d):
     return _out(spark.createDataFrame([(m, w) for m, w in fi.gaussian_taps(2.0, 6)], "n long, w double"), "w")

@@ -84,7 +84,7 @@ def delay_and_sum(csm: DataFrame, weights: DataFrame, remove_diagonal: bool = Fa
     """
     i = weights.select("pid", F.col("mid").alias("ch_i"), F.col("re").alias("a"), F.col("im").alias("b"))
     j = weights.select("pid", F.col("mid").alias("ch_j"), F.col("re").alias("c"), F.col("im").alias("d"))
-    both = csm.join(F.broadcast(i), "ch_i").join(F.broadcast(j), ["pid", "ch_j"])
+    both = csm.join(i, "ch_i").join(j, ["pid", "ch_j"])
     # real part of conj(h_i) C_ij h_j, twice off the diagonal
     hr, hi = F.expr("a * c + b * d"), F.expr("a * d - b * c")
     term = (F.col("re") * hr - F.col("im") * hi) * F.when(F.col("ch_i") == F.col("ch_j"), F.lit(0.0 if remove_diagonal else 1.0)).otherwise(2.0)
@@ -164,42 +164,74 @@ def _band_matrices(csm: DataFrame, weights: DataFrame, kernel, keys: Keys = ())
     return csm.groupBy(*keys, "k").applyInPandas(run, f"{schema}pid long, power double").groupBy(*keys, "pid").agg(F.sum("power").alias("power"))
 
 
+def _matrices(csm: DataFrame, change, schema: str, keys: Keys) -> DataFrame:
+    """change(C, microphones) -> columns, for each of keys and bin; a matrix has the size of the array squared."""
+    import numpy as np
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        there = np.unique(np.concatenate([rows.ch_i, rows.ch_j]))
+        c = np.zeros((len(there), len(there)), dtype=complex)
+        i, j = np.searchsorted(there, rows.ch_i), np.searchsorted(there, rows.ch_j)
+        c[i, j] = rows.re + 1j * rows.im
+        c[j, i] = rows.re - 1j * rows.im
+        return pd.DataFrame({**{key: rows[key].iloc[0] for key in (*keys, "k")}, **change(c, there)})
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in csm.select(*keys, "k").schema.fields)
+    return csm.groupBy(*keys, "k").applyInPandas(run, f"{kept}, {schema}")
+
+
+def _upper(c, there) -> dict:
+    import numpy as np
+
+    i, j = np.triu_indices(len(there))
+    return {"ch_i": there[i], "ch_j": there[j], "re": c[i, j].real, "im": c[i, j].imag}
+
+
 def mvdr(csm: DataFrame, weights: DataFrame, loading: float = 1e-6, keys: Keys = ()) -> DataFrame:
-    """(*keys, pid, power): 1 / (h^H C^-1 h), the diagonal loaded by a share of its mean."""
+    """(*keys, pid, power): 1 / (h^H C^-1 h), the diagonal loaded by a share of its mean, summed over bins.
+    Each bin's small matrix is inverted; its form with every point's weights is a join and a sum."""
     import numpy as np
 
-    def kernel(c, h):
-        c = c + np.eye(len(c)) * loading * np.trace(c).real / len(c)
-        return 1 / np.einsum("pi,ij,pj->p", h.conj(), np.linalg.inv(c), h).real
+    def inverse(c, there):
+        return _upper(np.linalg.inv(c + np.eye(len(c)) * loading * np.trace(c).real / len(c)), there)
 
-    return _band_matrices(csm, weights, kernel, keys)
+    forms = delay_and_sum(_matrices(csm, inverse, "ch_i long, ch_j long, re double, im double", keys), weights, keys=(*keys, "k"))
+    return forms.groupBy(*keys, "pid").agg(F.sum(1 / F.col("power")).alias("power"))
 
 
 def functional(csm: DataFrame, weights: DataFrame, gamma: float = 10.0, keys: Keys = ()) -> DataFrame:
-    """(*keys, pid, power): (h^H C^(1/gamma) h)^gamma."""
+    """(*keys, pid, power): (h^H C^(1/gamma) h)^gamma with weights of length 1, summed over bins."""
     import numpy as np
 
-    def kernel(c, h):
+    def root(c, there):
         w, v = np.linalg.eigh(c)
-        root = (v * np.maximum(w, 0) ** (1 / gamma)) @ v.conj().T
-        unit = h / np.linalg.norm(h, axis=1, keepdims=True)
-        return np.maximum(np.einsum("pi,ij,pj->p", unit.conj(), root, unit).real, 0) ** gamma
+        return _upper((v * np.maximum(w, 0) ** (1 / gamma)) @ v.conj().T, there)
 
-    return _band_matrices(csm, weights, kernel, keys)
+    length = F.sqrt(F.sum(F.expr("re * re + im * im")).over(Window.partitionBy("pid")))
+    unit = weights.withColumn("__l", length).select("pid", "mid", (F.col("re") / F.col("__l")).alias("re"), (F.col("im") / F.col("__l")).alias("im"))
+    forms = delay_and_sum(_matrices(csm, root, "ch_i long, ch_j long, re double, im double", keys), unit, keys=(*keys, "k"))
+    return forms.groupBy(*keys, "pid").agg(F.sum(F.pow(F.greatest("power", F.lit(0.0)), gamma)).alias("power"))
 
 
 def orthogonal(csm: DataFrame, weights: DataFrame, leading: int, keys: Keys = ()) -> DataFrame:
-    """(*keys, pid, power): each leading eigenvector puts its eigenvalue at the point of its own map's maximum."""
+    """(*keys, pid, power): each bin's leading eigenvectors put their eigenvalues (over the number of
+    microphones) at the points of their own maps' maxima, the smallest pid of equals; other points have 0."""
     import numpy as np
 
-    def kernel(c, h):
+    def vectors(c, there):
         w, v = np.linalg.eigh(c)
-        out = np.zeros(len(h))
-        for k in np.argsort(w)[::-1][:leading]:
-            out[np.argmax(np.abs(h.conj() @ v[:, k]))] += w[k] / len(c)
-        return out
+        best = np.argsort(w)[::-1][:leading]
+        columns = [{"e": k, "value": w[at] / len(c), "mid": m, "c": v[i, at].real, "d": v[i, at].imag} for k, at in enumerate(best) for i, m in enumerate(there)]
+        return {name: [x[name] for x in columns] for name in ("e", "value", "mid", "c", "d")}
 
-    return _band_matrices(csm, weights, kernel, keys)
+    parts = _matrices(csm, vectors, "e int, value double, mid long, c double, d double", keys)
+    by = (*keys, "k", "e", "value")
+    maps = parts.join(weights, "mid").groupBy(*by, "pid").agg(F.sum(F.expr("re * c + im * d")).alias("a"), F.sum(F.expr("re * d - im * c")).alias("b"))
+    top = maps.groupBy(*by).agg(F.max(F.struct(F.round(F.expr("a * a + b * b"), 12).alias("m"), (-F.col("pid")).alias("p"))).alias("t"))
+    found = top.select(*keys, (-F.col("t.p")).alias("pid"), F.col("value").alias("power"))
+    everywhere = csm.select(*keys).distinct().join(weights.select("pid").distinct(), F.lit(True)).select(*keys, "pid", F.lit(0.0).alias("power"))
+    return found.unionByName(everywhere).groupBy(*keys, "pid").agg(F.sum("power").alias("power"))
 
 
 def clean_sc(csm: DataFrame, weights: DataFrame, iterations: int = 20, share: float = 0.5, keys: Keys = ()) -> DataFrame:
@@ -231,5 +263,5 @@ def delay_and_sum_time(signal: DataFrame, grid: DataFrame, mics: DataFrame, rate
     d = distances(grid, mics)
     far = F.max("d").over(Window.partitionBy("pid"))
     shift = d.withColumn("late", F.round((far - F.col("d")) / c * rate_hz).cast("long")).withColumn("w", F.col("d") / F.count(F.lit(1)).over(Window.partitionBy("pid")))
-    both = signal.join(F.broadcast(shift.withColumnRenamed("mid", "ch")), "ch")
+    both = signal.join(shift.withColumnRenamed("mid", "ch"), "ch")
     return both.groupBy(*keys, "pid", (F.col("n") + F.col("late")).alias("n")).agg(F.sum(F.col("re") * F.col("w")).alias("re"))

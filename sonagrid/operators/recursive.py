@@ -47,6 +47,38 @@ class LinearStep:
         return np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0), seen, moved, np.linalg.matrix_power(self.a, size)
 
 
+    @classmethod
+    def of(cls, processor: Callable, initial: np.ndarray) -> LinearStep:
+        """From a processor of sample blocks with a state vector (sonagrid.streaming)."""
+
+        def step(state, x):
+            y, after = processor(np.array([x]), np.array(state, dtype=float))
+            return float(y[0]), after
+
+        return cls(step, len(initial))
+
+    def blockwise(self, size: int = BLOCK) -> Callable:
+        """The processor again, whole blocks at once: (samples, state) to (samples, state)."""
+        direct, seen, moved, _ = self.of_block(size)
+        powers = {0: np.eye(len(self.c))}
+
+        def move(n: int) -> np.ndarray:
+            if n not in powers:
+                powers[n] = np.linalg.matrix_power(self.a, n)
+            return powers[n]
+
+        def run(x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            out = np.empty(len(x))
+            for i in range(0, len(x), size):
+                part = x[i : i + size]
+                n = len(part)
+                out[i : i + n] = direct[:n, :n] @ part + seen[:n] @ state
+                state = move(n) @ state + part @ moved[size - n :]
+            return out, state
+
+        return run
+
+
 def sections_step(sections: np.ndarray) -> LinearStep:
     """A cascade of second-order sections [b0 b1 b2 1 a1 a2]; two states for each."""
     rows = np.atleast_2d(sections).tolist()
@@ -249,3 +281,8 @@ def resample(signal: DataFrame, up: int, down: int, keys: Keys = ("ch",)) -> Dat
     sent = sent.select(*keys, "n", "re", F.explode(F.sequence("first", "last")).alias("m"))
     tap = F.get(table, (F.col("m") * down - F.col("n") * up + half).cast("int"))
     return sent.groupBy(*keys, F.col("m").alias("n")).agg(F.sum(F.col("re") * tap).alias("re"))
+
+
+def processed(signal: DataFrame, part: tuple[Callable, np.ndarray], keys: Keys = ("ch",)) -> DataFrame:
+    """A linear processor of sonagrid.streaming, with its state at rest, over whole channels."""
+    return filtered(signal, LinearStep.of(*part), keys)

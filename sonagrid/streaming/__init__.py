@@ -10,6 +10,7 @@ numbers, and joined they equal the batch operator's signal.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,21 @@ def stateful(blocks: DataFrame, processor: Processor, initial: np.ndarray) -> Da
     return blocks.groupBy("ch").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def linear(make: Callable) -> Callable:
+    """Of a recursion written sample by sample, the processor that runs blocks as
+    products of matrices; its matrices are read off the recursion's answers to unit states and samples."""
+
+    @wraps(make)
+    def made(*args, **kwargs) -> tuple[Processor, np.ndarray]:
+        from sonagrid.operators.recursive import LinearStep
+
+        step, initial = make(*args, **kwargs)
+        return LinearStep.of(step, initial).blockwise(), initial
+
+    return made
+
+
+@linear
 def sections(coefficients: np.ndarray) -> tuple[Processor, np.ndarray]:
     """Second-order sections with carried state."""
     from sonagrid.operators.kernels import section_filter
@@ -77,6 +93,7 @@ def exponential_average(rise: float, fall: float) -> tuple[Processor, np.ndarray
     return run, np.zeros(1)
 
 
+@linear
 def state_space(a, b, c, d) -> tuple[Processor, np.ndarray]:
     """x' = A x + B u, y = C x + D u."""
     a, b, c = np.atleast_2d(a).astype(float), np.ravel(b).astype(float), np.ravel(c).astype(float)
@@ -91,6 +108,7 @@ def state_space(a, b, c, d) -> tuple[Processor, np.ndarray]:
     return run, np.zeros(len(b))
 
 
+@linear
 def state_variable(f_hz: float, q: float, rate_hz: int, output: str = "low") -> tuple[Processor, np.ndarray]:
     """Trapezoidal state-variable filter; output: low, band or high."""
     g = np.tan(np.pi * f_hz / rate_hz)
@@ -110,6 +128,7 @@ def state_variable(f_hz: float, q: float, rate_hz: int, output: str = "low") ->
     return run, np.zeros(2)
 
 
+@linear
 def lattice(reflection: list[float]) -> tuple[Processor, np.ndarray]:
     """Finite lattice: each stage mixes the forward and the delayed backward error."""
     ks = [float(k) for k in reflection]
@@ -127,6 +146,7 @@ def lattice(reflection: list[float]) -> tuple[Processor, np.ndarray]:
     return run, np.zeros(len(ks))
 
 
+@linear
 def warped_fir(taps: list[float], warp: float) -> tuple[Processor, np.ndarray]:
     """Finite response whose unit delays are first-order allpasses of coefficient warp."""
     b = [float(t) for t in taps]
@@ -198,6 +218,7 @@ def partitioned_fir(taps: list[float], block: int) -> tuple[Processor, np.ndarra
     return run, np.zeros(block + count * bins * 2)
 
 
+@linear
 def lattice_ladder(b, a) -> tuple[Processor, np.ndarray]:
     """Recursive filter as lattice of the denominator with a ladder of taps: the
     step-down recursion gives reflections, the numerator's expansion the taps."""
@@ -229,6 +250,7 @@ def lattice_ladder(b, a) -> tuple[Processor, np.ndarray]:
     return run, np.zeros(order)
 
 
+@linear
 def kautz(poles, weights) -> tuple[Processor, np.ndarray]:
     """Orthonormal sections of real poles in a chain of allpasses, their taps weighted and summed."""
     p, w = [float(v) for v in poles], [float(v) for v in weights]
@@ -251,6 +273,7 @@ def kautz(poles, weights) -> tuple[Processor, np.ndarray]:
     return run, np.zeros(len(p))
 
 
+@linear
 def warped_iir(b, a, warp: float) -> tuple[Processor, np.ndarray]:
     """Recursive filter whose unit delays are allpasses: the loop without delay is
     solved for each sample, as every allpass gives -warp times its input at once."""
