@@ -701,3 +701,24 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     for d in (kept, unique, cut):
         assert d.columns == docs.columns
+
+
+def test_pipeline_stages_bear_odd_rows(spark, tmp_path, docs, empty):
+    """Nulls in each column, empty and long texts, repeated rows, no rows, further columns of clashing names."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(12)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for rows, least in ((docs, 1), (empty, 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.written(stage(spark, common.written(rows, "odd"), str(tmp_path)), "stage")
+            if name != "packing":
+                assert out.columns == columns, name
+            assert out.count() >= least, name
+        now = rows
+        for _, stage in corpus_pipeline.STAGES:
+            now = common.written(stage(spark, now, str(tmp_path)), "stage")
+        assert "sequence_id" in now.columns
+    # no row without an id is lost to another one, and exact copies are one
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id == 4 for r in kept) == 0
