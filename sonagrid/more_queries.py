@@ -26,7 +26,7 @@ from sonagrid.operators import rooms as rm
 from sonagrid.operators import similarity as si
 from sonagrid.operators import spectra as sp
 from sonagrid.operators import transforms as tf
-from sonagrid.queries import _DFT, _HANN, _MICS, _PEAK, _POWER, _STFT, E, P, V, _bank_sql, _impulse, _mics, _out, _power, _r, _stft, _taps_sql, _wavelet_sql, _weights_sql, octave_reverberation, query, speech_features
+from sonagrid.queries import _DFT, _HANN, _MICS, _PEAK, _POWER, _STFT, E, P, V, _bank_sql, _basis_sql, _impulse, _mics, _out, _power, _r, _stft, _taps_sql, _wavelet_sql, _weights_sql, octave_reverberation, query, speech_features
 from sonagrid.sources import generators as ge
 from sonagrid.sources import tables as tb
 
@@ -633,6 +633,68 @@ def trim_to_noise_floor(spark, d):
     return rs.trim_to_noise_floor(tb.vectors(spark, d), 4, 1.0)
 
 
+_BANDS = fi.band_weights([1000.0, 2000.0, 3000.0], 33, 8000)
+
+
+@query(
+    f"with {_DFT}, {_weights_sql(_BANDS)} select ch, cast(band as integer) as band, n, {_r('sum(w * (case when s.k in (0, 32) then 1 else 2 end) / 64.0 * (re * cos(2 * pi() * ((s.k * n) % 64) / 64) - im * sin(2 * pi() * ((s.k * n) % 64) / 64)))', 4)} as re "
+    "from s join w on w.k = s.k, (select unnest(range(0, 64)) as n) g group by ch, band, n"
+)
+def reconstructing_bands(spark, d):
+    return _out(fi.reconstructing_bands(tb.vectors(spark, d), [1000.0, 2000.0, 3000.0], 64, 8000), "re", digits=4)
+
+
+@query(f"with {V} select ch, n, {_r('re', 4)} as re from v")
+def reconstructing_bands_sum(spark, d):
+    """All bands together, against the signal itself."""
+    return _out(ed.collapse(fi.reconstructing_bands(tb.vectors(spark, d), [1000.0, 2000.0, 3000.0], 64, 8000)), "re", digits=4)
+
+
+def _bank_levels_sql() -> str:
+    parts = []
+    for name, s in _three_way().items():
+        level = []
+        for b0, b1, b2, a0, a1, a2 in np.atleast_2d(s).tolist():
+            square = lambda x, y, z: f"(pow({x!r} + {y!r} * cos(w) + {z!r} * cos(2 * w), 2) + pow({y!r} * sin(w) + {z!r} * sin(2 * w), 2))"
+            level.append(f"10 * log10({square(b0, b1, b2)} / {square(a0, a1, a2)})")
+        parts.append(f"select '{name}' as band, f as f_hz, {_r(' + '.join(level))} as level_db from g")
+    return "with g as (select f, 2 * pi() * f / 4800 as w from (select cast(unnest(range(50, 2400, 50)) as double) as f)) " + " union all ".join(parts)
+
+
+@query(_bank_levels_sql())
+def bank_responses(spark, d):
+    f = np.arange(50.0, 2400.0, 50.0)
+    rows = [(name, float(a), float(20 * np.log10(abs(b)))) for name, s in _three_way().items() for a, b in zip(f, ke.response(s, f, 4800))]
+    return _out(spark.createDataFrame(rows, "band string, f_hz double, level_db double"), "level_db")
+
+
+@query(f"select 0::bigint as ch, n, {_r('sin(2 * pi() * 2 * (exp(n / 48000.0 * 20 / 2) - 1))')} as re from range(0, 24000) t(n)")
+def synchronised_chirp(spark, d):
+    return _out(ge.synchronised_chirp(spark, 20.0, 4000.0, 48000, 24000), "re")
+
+
+@query(_basis_sql(tf.allpass_chain(0.2, 64, 64, sqrt(1 - 0.04) * 0.2 ** np.arange(64.0)).T))
+def laguerre_coefficients(spark, d):
+    return _out(tf.laguerre(tb.vectors(spark, d), 0.2), "re")
+
+
+@query(
+    f"with x as (select n, sin(2 * pi() * n * 997 / 8000) as re from range(0, 8000) t(n)), {_taps_sql(_impulse(ke.k_weighting(8000), 1000))}, y as materialized (select n + m as n, sum(re * b) as re from x, t where n + m < 8000 group by n + m), "
+    "f as (select g.f, sum(re * re) / 3200 as p from y, (select unnest(range(0, 6)) as f) g where n >= g.f * 800 and n < g.f * 800 + 3200 group by g.f), b as (select p, -0.691 + 10 * log10(p) as l from f where -0.691 + 10 * log10(p) > -70) "
+    f"select {_r('-0.691 + 10 * log10(avg(p))', 4)} as lufs from b where l > (select -0.691 + 10 * log10(avg(p)) - 10 from b)"
+)
+def loudness_of_a_tone(spark, d):
+    return _out(ke.loudness(ge.sine(spark, 997.0, 8000, 8000), 8000), "lufs", digits=4)
+
+
+_DRAW = "((('0x' || substr(md5('0:{}:' || ch || ':' || n), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)"
+
+
+@query(f"with {V} select ch, n, greatest(-128.0, least(127.0, floor((re + ({_DRAW.format(1)} - {_DRAW.format(2)}) / 128) * 128 + 0.5))) / 128 as re from v")
+def dither_8bit(spark, d):
+    return lv.dither(tb.vectors(spark, d), 8)
+
+
 # --- recursions by blocks ---------------------------------------------------------------------
 
 

@@ -149,3 +149,33 @@ def gaussian_taps(sigma: float, reach: int) -> list[tuple[int, float]]:
 
     w = [exp(-0.5 * (m / sigma) ** 2) for m in range(-reach, reach + 1)]
     return [(m, v / sum(w)) for m, v in zip(range(-reach, reach + 1), w)]
+
+
+def band_weights(centres: list[float], n_bins: int, rate_hz: int) -> list[tuple[int, int, float]]:
+    """(band, k, w): bands that rise and fall as half cosines over the logarithm of frequency between
+    neighbouring centres, the first and last open, so that the weights of a bin add up to 1."""
+    from math import cos, log
+
+    out = []
+    for k in range(n_bins):
+        f = k * rate_hz / (2 * (n_bins - 1))
+        for band in range(len(centres)):
+            w = 1.0
+            if band > 0 and f < centres[band]:
+                x = (log(f / centres[band - 1]) / log(centres[band] / centres[band - 1])) if f > centres[band - 1] else 0.0
+                w = 0.5 - 0.5 * cos(pi * x)
+            if band < len(centres) - 1 and f > centres[band]:
+                x = min(1.0, log(f / centres[band]) / log(centres[band + 1] / centres[band]))
+                w = 0.5 + 0.5 * cos(pi * x)
+            if w > 0:
+                out.append((band, k, w))
+    return out
+
+
+def reconstructing_bands(signal: DataFrame, centres: list[float], length: int, rate_hz: int, keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, band, n, re): linear-phase bands that add up to the signal, from one transform of ``length`` samples."""
+    from sonagrid.operators.spectra import dft, idft
+
+    table = signal.sparkSession.createDataFrame(band_weights(centres, length // 2 + 1, rate_hz), "band int, k int, w double")
+    bands = dft(signal, length, rate_hz, keys).join(F.broadcast(table), "k")
+    return idft(bands.select(*keys, "band", "k", (F.col("re") * F.col("w")).alias("re"), (F.col("im") * F.col("w")).alias("im")), length, (*keys, "band"))

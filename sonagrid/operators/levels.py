@@ -112,5 +112,6 @@ def quantize(signal: DataFrame, bits: int = 16) -> DataFrame:
 
 def dither(signal: DataFrame, bits: int = 16, seed: int = 0, keys: Keys = ("ch",)) -> DataFrame:
     """quantize() with triangular noise of one step on each side."""
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *keys, "n"), F.lit(1 << 30)) / float(1 << 30)
-    return quantize(signal.withColumn("re", F.col("re") + (u(1) - u(2)) / float(1 << (bits - 1))), bits)
+    from sonagrid.sources.generators import uniform
+
+    return quantize(signal.withColumn("re", F.col("re") + (uniform(seed, 1, keys) - uniform(seed, 2, keys)) / float(1 << (bits - 1))), bits)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 Keys = tuple[str, ...]
 
+#: Samples of a response that auralise() sends to every task.
+MOST_TAPS = 100_000
+
 
 def start(ir: DataFrame, threshold_db: float = 20.0, keys: Keys = ("ch",)) -> DataFrame:
     """(start): the sample after the last one before the peak that is more than threshold_db below it."""
@@ -213,8 +216,10 @@ def bass_ratio(rt: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
 
 
 def auralise(signal: DataFrame, response: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
-    """signal convolved with a response (n, re) of few samples, such as early
-    reflections; long responses: sonagrid.operators.kernels.convolve_long."""
+    """signal convolved with a response (n, re) of at most MOST_TAPS samples, such as
+    early reflections; long responses: sonagrid.operators.kernels.convolve_long."""
+    if response.limit(MOST_TAPS + 1).count() > MOST_TAPS:
+        raise ValueError("a long response: use convolve_long")
     taps = response.agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("m"), F.col("re").alias("b")))).alias("taps"))
     spread = signal.join(F.broadcast(taps), F.lit(True)).select(*keys, "n", "re", F.inline("taps"))
     return spread.groupBy(*keys, (F.col("n") + F.col("m")).alias("n")).agg(F.sum(F.col("re") * F.col("b")).alias("re"))

@@ -68,25 +68,45 @@ def from_cepstrum(signal: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
     return ke.mapped(signal, lambda c: np.fft.irfft(np.exp(np.fft.rfft(c)), len(c)), keys)
 
 
-def warped(signal: DataFrame, warp: float, length: int | None = None, keys: Keys = ("ch",)) -> DataFrame:
-    """Samples along a chain of first-order allpasses in place of delays: the
-    frequency axis is bent, warp > 0 widens low frequencies."""
+#: Entries of a basis table at most; more would no longer be a small side of a join.
+MOST_ENTRIES = 1 << 22
 
-    def kernel(x):
-        n = length or len(x)
-        line, out = np.zeros(n), np.zeros(n)
-        line[0] = 1.0  # response of 0 allpasses
-        for v in x:
-            out += v * line
-            before, line = line, np.zeros(n)
-            state_x = state_y = 0.0
-            for i, b in enumerate(before.tolist()):
-                y = -warp * b + state_x + warp * state_y
-                state_x, state_y = b, y
-                line[i] = y
-        return out
 
-    return ke.mapped(signal, kernel, keys)
+def allpass_chain(warp: float, inputs: int, length: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Row m: response (``length`` samples) of m first-order allpasses in a chain, behind a filter of response ``first``."""
+    if inputs * length > MOST_ENTRIES:
+        raise ValueError("too long for one table: warp blocks of the signal")
+    line = np.zeros(length) if first is None else np.array(first[:length], dtype=float)
+    if first is None:
+        line[0] = 1.0
+    out = np.empty((inputs, length))
+    for m in range(inputs):
+        out[m] = line
+        after, x0, y0 = np.empty(length), 0.0, 0.0
+        for i, x in enumerate(line.tolist()):
+            y0 = -warp * x + x0 + warp * y0
+            x0, after[i] = x, y0
+        line = after
+    return out
+
+
+def _on_basis(signal: DataFrame, basis: np.ndarray, keys: Keys) -> DataFrame:
+    """Samples times the rows of a basis, summed by column: a join on the sample index."""
+    table = signal.sparkSession.createDataFrame([(m, row.tolist()) for m, row in enumerate(basis)], "n long, basis array<double>")
+    spread = signal.join(F.broadcast(table), "n").select(*keys, F.col("re").alias("x"), F.posexplode("basis").alias("n", "b"))
+    return spread.groupBy(*keys, F.col("n").cast("long").alias("n")).agg(F.sum(F.col("x") * F.col("b")).alias("re"))
+
+
+def _length(signal: DataFrame) -> int:
+    return (signal.agg(F.max("n")).first()[0] or 0) + 1
+
+
+def warped(signal: DataFrame, warp: float, length: int | None = None, keys: Keys = ("ch",)) -> DataFrame:
+    """Samples along a chain of first-order allpasses in place of delays: the
+    frequency axis is bent, warp > 0 widens low frequencies. length: of the
+    result, by default that of the longest channel."""
+    inputs = _length(signal)
+    return _on_basis(signal, allpass_chain(warp, inputs, length or inputs), keys)
 
 
 def bark_warp(rate_hz: int) -> float:
@@ -95,28 +115,9 @@ def bark_warp(rate_hz: int) -> float:
 
 
 def laguerre(signal: DataFrame, warp: float, keys: Keys = ("ch",)) -> DataFrame:
-    """Coefficients of the Laguerre basis: a low-pass, then the chain of allpasses,
-    read at the end of the reversed signal."""
-
-    def kernel(x):
-        n = len(x)
-        level, out = x[::-1] * sqrt(1 - warp**2), np.empty(n)
-        y = 0.0
-        line = np.empty(n)
-        for i, v in enumerate(level.tolist()):
-            y = v + warp * y
-            line[i] = y
-        for k in range(n):
-            out[k] = line[-1]
-            after, sx, sy = np.empty(n), 0.0, 0.0
-            for i, v in enumerate(line.tolist()):
-                sy = -warp * v + sx + warp * sy
-                sx = v
-                after[i] = sy
-            line = after
-        return out
-
-    return ke.mapped(signal, kernel, keys)
+    """Coefficients of the Laguerre basis: sums of the samples with the responses of a low-pass and the chain of allpasses behind it."""
+    n = _length(signal)
+    return _on_basis(signal, allpass_chain(warp, n, n, sqrt(1 - warp**2) * warp ** np.arange(n, dtype=float)).T, keys)
 
 
 def log_mel(power_frames: DataFrame, weights: list[tuple[int, int, float]], keys: Keys = ("ch", "frame")) -> DataFrame:

@@ -1036,6 +1036,11 @@ def _resample_sql(up: int, down: int) -> str:
     )
 
 
+def _basis_sql(basis) -> str:
+    rows = ", ".join("[" + ", ".join(repr(round(float(v), 15)) for v in row) + "]" for row in basis)
+    return f"with {V}, t as (select unnest(range(0, {len(basis)})) as m, unnest([{rows}]::double[][]) as b) select ch, g.n, {_r('sum(re * b[g.n + 1])')} as re from v join t on t.m = v.n, (select unnest(range(0, {len(basis[0])})) as n) g group by ch, g.n"
+
+
 _ANALYTIC = (
     f"{_DFT}, a as (select v.ch, v.n, v.re, sum(case when k between 1 and 31 then s.re * sin(2 * pi() * ((k * v.n) % 64) / 64) + s.im * cos(2 * pi() * ((k * v.n) % 64) / 64) else 0 end) / 32 as im "
     "from v join s on s.ch = v.ch group by v.ch, v.n, v.re)"
@@ -1138,7 +1143,7 @@ def feedback_delay(spark, d):
     return _out(ke.feedback_delay(tb.events(spark, d), 7, 0.5), "re")
 
 
-@query()
+@query(_basis_sql(tf.allpass_chain(0.3, 64, 64)))
 def warped_signal(spark, d):
     return _out(tf.warped(tb.vectors(spark, d), 0.3), "re")
 
@@ -1146,7 +1151,11 @@ def warped_signal(spark, d):
 # --- recursions, transforms of whole channels and fits -----------------------------
 
 
-@query()
+def _uniform_sql(draw: int) -> str:
+    return f"((('0x' || substr(md5('1:{draw}:' || ch || ':' || n), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)"
+
+
+@query(f"select cast(c as bigint) as ch, cast(n as bigint) as n, {_r(f'sqrt(-2 * ln({_uniform_sql(1)})) * cos(2 * pi() * {_uniform_sql(2)})')} as re from (select c, n, c as ch from range(0, 2) a(c), range(0, 4800) b(n))")
 def white_noise(spark, d):
     return _out(ge.noise(spark, 4800, 2, 1), "re")
 

@@ -67,7 +67,19 @@ def chirp(spark, low_hz: float, high_hz: float, rate_hz: int, length: int, logar
     return _signal(spark, length, F.sin(phase))
 
 
+def uniform(seed: int, draw: int, keys: tuple[str, ...] = ("ch",)) -> Column:
+    """A number in (0, 1) for each (seed, draw, *keys, n): the same on every partitioning, and in any engine that has MD5."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.lit(str(draw)), *[F.col(k).cast("string") for k in (*keys, "n")])
+    return (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def noise(spark, length: int, channels: int = 1, seed: int = 0) -> DataFrame:
-    """White Gaussian noise by Box-Muller from hashes of (seed, ch, n): the same on every partitioning."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "ch", "n"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return _signal(spark, length, F.sqrt(-2.0 * F.log(u(1))) * F.cos(2 * pi * u(2)), channels)
+    """White Gaussian noise by Box-Muller from hashes of (seed, ch, n)."""
+    return _signal(spark, length, F.sqrt(-2.0 * F.log(uniform(seed, 1))) * F.cos(2 * pi * uniform(seed, 2)), channels)
+
+
+def synchronised_chirp(spark, low_hz: float, high_hz: float, rate_hz: int, length: int) -> DataFrame:
+    """An exponential sweep whose rate is such that each harmonic of it is the sweep itself, earlier by a whole number of the lowest frequency's periods."""
+    turns = max(1, round(low_hz * (length / rate_hz) / log(high_hz / low_hz)))
+    t = F.col("n") / float(rate_hz)
+    return _signal(spark, length, F.sin(2 * pi * turns * (F.exp(t * low_hz / turns) - 1.0)))
