@@ -46,7 +46,7 @@ def plan(n: int, most: int) -> tuple[int, int]:
     def cost(m: int, r: int) -> float:
         return sum(len(flips(bits, r)) * (1 + n / 2**bits) for _, bits in segments(m))
 
-    ways = [(m, r) for r in (0, 1, 2) for m in range(1, 65) if m * (r + 1) > most and (m - 1) * (r + 1) <= most]
+    ways = [(m, r) for r in (1, 2) for m in range(1, 65) if m * (r + 1) > most and (m - 1) * (r + 1) <= most]
     return min(ways, key=lambda way: cost(*way))
 
 
