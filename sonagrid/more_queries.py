@@ -695,6 +695,30 @@ def dither_8bit(spark, d):
     return lv.dither(tb.vectors(spark, d), 8)
 
 
+def _turned(of: str, n: str, k: str) -> str:
+    return f"{of}(2 * pi() * (({k} * {n}) % 64) / 64)"
+
+
+@query(
+    f"with {_DFT}, l as (select ch, k, ln(greatest(sqrt(re * re + im * im), 1e-12)) as l from s), n as (select unnest(range(0, 64)) as n), "
+    f"c as (select ch, n, sum((case when k in (0, 32) then 1 else 2 end) / 64.0 * l * {_turned('cos', 'n', 'k')}) * (case when n in (0, 32) then 1 when n < 32 then 2 else 0 end) as c from l, n group by ch, n), "
+    f"d as (select ch, q.k, sum(c * {_turned('cos', 'n', 'q.k')}) as a, -sum(c * {_turned('sin', 'n', 'q.k')}) as b from c, (select unnest(range(0, 33)) as k) q group by ch, q.k) "
+    f"select ch, n, {_r('sum((case when k in (0, 32) then 1 else 2 end) / 64.0 * exp(a) * (cos(b) * ' + _turned('cos', 'n', 'k') + ' - sin(b) * ' + _turned('sin', 'n', 'k') + '))', 4)} as re from d, n group by ch, n"
+)
+def minimum_phase_from_magnitude(spark, d):
+    m = _spectrum(spark, d).withColumn("value", fn.magnitude())
+    return _out(rs.minimum_phase_from_magnitude(m, 64), "re", digits=4)
+
+
+def _matched_bank() -> dict:
+    return {k: de.matched(k, 900.0, 4800, 1.1, 6.0) for k in ("lowpass", "highpass", "bandpass", "peaking")}
+
+
+@query(_bank_sql(_matched_bank()))
+def matched_sections(spark, d):
+    return _out(ke.filter_bank(tb.events(spark, d), _matched_bank()), "re")
+
+
 # --- recursions by blocks ---------------------------------------------------------------------
 
 

@@ -222,3 +222,44 @@ def reflection_from_taps(taps) -> list[float]:
             raise ValueError("not minimum phase")
         a = ((a - k * a[::-1]) / (1 - k * k))[:-1]
     return ks[::-1]
+
+
+def matched(kind: str, f_hz: float, rate_hz: int, q: float = 2**-0.5, gain_db: float = 0.0) -> np.ndarray:
+    """[b0 b1 b2 1 a1 a2] of a section whose magnitude follows the analogue one up to half the rate.
+
+    Poles are those of the sampled analogue response; the numerator is solved
+    for the squared magnitude at chosen frequencies (Vicanek, "Matched second
+    order digital filters", 2016). kind: lowpass, highpass, bandpass or peaking.
+    """
+    w, gain = 2 * pi * f_hz / rate_hz, 10 ** (gain_db / 20)
+    damping = 1 / (2 * q * (np.sqrt(gain) if kind == "peaking" else 1.0))
+    turn = np.cos(np.sqrt(1 - damping**2) * w) if damping <= 1 else np.cosh(np.sqrt(damping**2 - 1) * w)
+    a1, a2 = -2 * np.exp(-damping * w) * turn, np.exp(-2 * damping * w)
+    p1 = np.sin(w / 2) ** 2
+    p0 = 1 - p1
+    # squared magnitude of the denominator: at 0, at half the rate, and the rest, as sums over p0, p1 and 4 p0 p1
+    d0, d1, d2 = (1 + a1 + a2) ** 2, (1 - a1 + a2) ** 2, -4 * a2
+    here, slope = d0 * p0 + d1 * p1 + d2 * 4 * p0 * p1, -d0 + d1 + 4 * (p0 - p1) * d2
+    if kind == "lowpass":
+        top = max(0.0, (here * q * q - d0 * p0) / p1)
+        b0 = (np.sqrt(d0) + np.sqrt(top)) / 2
+        b = [b0, np.sqrt(d0) - b0, 0.0]
+    elif kind == "highpass":
+        b0 = q * np.sqrt(here) / (4 * p1)
+        b = [b0, -2 * b0, b0]
+    elif kind == "bandpass":
+        n2 = (here - slope * p1) / (4 * p1 * p1)
+        n1 = max(0.0, slope + 4 * (p1 - p0) * n2)
+        b1 = -np.sqrt(n1) / 2
+        b0 = (np.sqrt(n2 + b1 * b1) - b1) / 2
+        b = [b0, b1, -b0 - b1]
+    elif kind == "peaking":
+        here, slope = here * gain**2, slope * gain**2
+        n2 = (here - slope * p1 - d0) / (4 * p1 * p1)
+        n1 = max(0.0, slope + d0 + 4 * (p1 - p0) * n2)
+        half = (np.sqrt(d0) + np.sqrt(n1)) / 2
+        b0 = (half + np.sqrt(max(0.0, half * half + n2))) / 2
+        b = [b0, (np.sqrt(d0) - np.sqrt(n1)) / 2, -n2 / (4 * b0)]
+    else:
+        raise ValueError(kind)
+    return np.array([*b, 1.0, a1, a2], dtype=float)

@@ -135,3 +135,16 @@ def frequency_dependent_window(ir: DataFrame, frequencies: list[float], cycles:
     w = F.exp(-0.5 * F.pow(t * F.col("f_hz") / (cycles / 2), F.lit(2.0)))
     angle = -2 * pi * F.col("f_hz") * t
     return both.groupBy(*keys, "f_hz").agg(F.sum(F.col("re") * w * F.cos(angle)).alias("re"), F.sum(F.col("re") * w * F.sin(angle)).alias("im"))
+
+
+def minimum_phase_from_magnitude(magnitude: DataFrame, length: int, keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, n, re): the response of ``length`` samples with least delay whose spectrum has the
+    magnitudes (k, value): logarithm, cepstrum, its second half folded onto the first, and back."""
+    from sonagrid.operators.spectra import dft, idft
+
+    level = magnitude.select(*keys, "k", F.log(F.greatest("value", F.lit(1e-12))).alias("re"), F.lit(0.0).alias("im"))
+    cepstrum = idft(level, length, keys)
+    fold = F.when((F.col("n") == 0) | (2 * F.col("n") == length), 1.0).when(2 * F.col("n") < length, 2.0).otherwise(0.0)
+    folded = dft(cepstrum.withColumn("re", F.col("re") * fold), length, 1, keys)
+    size = F.exp("re")
+    return idft(folded.select(*keys, "k", (size * F.cos("im")).alias("re"), (size * F.sin("im")).alias("im")), length, keys)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sonagrid import streaming as st
+from sonagrid.operators import design as de
 from sonagrid.operators import effects as fx
 from sonagrid.operators import kernels as ke
 from sonagrid.operators import recursive as rc
@@ -109,3 +110,16 @@ def test_a_frequency_beyond_the_spectrum_may_be_an_error(spark):
     assert sp.interpolate_as(s, at, "complex").first().re == 1.0
     with pytest.raises(Exception, match="beyond the spectrum"):
         sp.interpolate_as(s, at, "complex", edges="error").collect()
+
+
+def test_matched_sections_follow_the_analogue_magnitude():
+    f, q, rate = 900.0, 1.1, 48000
+    at = lambda s, x: abs(ke.response(s, np.array([x]), rate)[0])
+    low, high, band, bell = (de.matched(k, f, rate, q, 6.0) for k in ("lowpass", "highpass", "bandpass", "peaking"))
+    assert np.isclose(at(low, 0.0), 1) and np.isclose(at(low, f), q)
+    assert np.isclose(at(high, 0.0), 0, atol=1e-9) and np.isclose(at(high, f), q)
+    assert np.isclose(at(band, f), 1) and np.isclose(at(bell, f), 10 ** (6 / 20)) and np.isclose(at(bell, 0.0), 1)
+    for x in (300.0, 2000.0, 10_000.0):
+        s = 1j * x / f
+        assert np.isclose(at(low, x), abs(1 / (s * s + s / q + 1)), rtol=0.02)
+        assert np.isclose(at(bell, x), abs((s * s + s * 10 ** (3 / 20) / q + 1) / (s * s + s / q / 10 ** (3 / 20) + 1)), rtol=0.02)
