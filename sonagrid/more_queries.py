@@ -719,6 +719,68 @@ def matched_sections(spark, d):
     return _out(ke.filter_bank(tb.events(spark, d), _matched_bank()), "re")
 
 
+@query(_basis_sql(tf.kautz_basis([0.3, -0.5, 0.6], 64).T))
+def kautz_fit(spark, d):
+    return _out(tf.kautz_weights(tb.vectors(spark, d), [0.3, -0.5, 0.6]), "re")
+
+
+def _dual(poles: list[float]) -> np.ndarray:
+    rows = np.array([p ** np.arange(64) for p in poles])
+    return np.linalg.solve(rows @ rows.T, rows)
+
+
+@query(_basis_sql(_dual([0.3, -0.5, 0.8]).T))
+def parallel_fit(spark, d):
+    return _out(tf.parallel_weights(tb.vectors(spark, d), [0.3, -0.5, 0.8]), "re")
+
+
+@query(_basis_sql(tf.kautz_basis([0.3, -0.5, 0.6], 64).T @ tf.kautz_basis([0.3, -0.5, 0.6], 64)))
+def kautz_response(spark, d):
+    weights = tf.kautz_weights(tb.vectors(spark, d), [0.3, -0.5, 0.6])
+    return _out(tf.from_weights(weights, tf.kautz_basis([0.3, -0.5, 0.6], 64)), "re")
+
+
+def _spectrum_of_sections_sql() -> str:
+    rows, re, im = np.vstack([ke.biquad("peaking", 500.0, 4800, 0.9, 3.0), ke.biquad("lowpass", 900.0, 4800)]), "1.0", "0.0"
+    steps = ["g as (select f, -2 * pi() * f / 4800 as w, 1.0::double as re, 0.0::double as im from (select cast(unnest(range(0, 2401, 50)) as double) as f))"]
+    last = "g"
+    for j, (b0, b1, b2, a0, a1, a2) in enumerate(rows.tolist()):
+        part = lambda x, y, z, f: f"({x!r} * {'1' if f == 'cos' else '0'} + {y!r} * {f}(w) + {z!r} * {f}(2 * w))"
+        nr, ni, dr, di = part(b0, b1, b2, "cos"), part(b0, b1, b2, "sin"), part(a0, a1, a2, "cos"), part(a0, a1, a2, "sin")
+        steps.append(f"h{j} as (select f, w, re, im, ({nr} * {dr} + {ni} * {di}) / ({dr} * {dr} + {di} * {di}) as x, ({ni} * {dr} - {nr} * {di}) / ({dr} * {dr} + {di} * {di}) as y from {last}), p{j} as (select f, w, re * x - im * y as re, re * y + im * x as im from h{j})")
+        last = f"p{j}"
+    return f"with {', '.join(steps)} select f as f_hz, {_r('re')} as re, {_r('im')} as im from {last}"
+
+
+@query(_spectrum_of_sections_sql())
+def spectrum_of_sections(spark, d):
+    f = spark.range(0, 2401, 50).select(F.col("id").cast("double").alias("f_hz"))
+    sections = np.vstack([ke.biquad("peaking", 500.0, 4800, 0.9, 3.0), ke.biquad("lowpass", 900.0, 4800)])
+    return _out(fi.response(f, sections, 4800), "re", "im")
+
+
+@query(f"select v.ch // 2 * 2 + o.ch as ch, v.n + o.m as n, {_r('sum(v.re * o.b)')} as re from ({f'with {V} select * from v'}) v join (values (0, 0, 0, 1.0::double), (0, 1, 2, 0.5::double), (1, 0, 1, -0.25::double), (1, 1, 0, 0.75::double)) o(source, ch, m, b) on v.ch % 2 = o.source group by v.ch // 2 * 2 + o.ch, v.n + o.m")
+def multichannel_filter(spark, d):
+    taps = spark.createDataFrame([(0, 0, 0, 1.0), (0, 1, 2, 0.5), (1, 0, 1, -0.25), (1, 1, 0, 0.75)], "source long, ch long, m long, b double")
+    out = fi.convolve_matrix(ed.in_pairs(tb.vectors(spark, d)), taps, ("pair",))
+    return _out(out.select((F.col("pair") * 2 + F.col("ch")).alias("ch"), "n", "re"), "re")
+
+
+@query(f"select ch, band, {_r('avg(re * re)', 2)} as power from ({_bank_sql(_three_way())}) group by ch, band")
+def spectrum_via_filter_bank(spark, d):
+    return _out(fi.band_levels(ke.filter_bank(tb.events(spark, d), _three_way())), "power", digits=2)
+
+
+@query(" union all ".join(f"select 0::bigint as ch, n, {_r('re')} as re, '{b}' as band from (select unnest(range(0, 150)) as n, unnest([{', '.join(repr(v) for v in _impulse(s, 150))}]::double[]) as re)" for b, s in _three_way().items()))
+def bank_impulse_responses(spark, d):
+    return _out(ke.filter_bank(ge.dirac(spark, 150), _three_way()), "re")
+
+
+@query(f"with {V} select ch, n, {_r('re')} as b0, {_r('re * 2')} as b1, {_r('re * 3')} as b2 from v")
+def bands_side_by_side(spark, d):
+    return _out(ed.side_by_side(_bands(spark, d), 3), "b0", "b1", "b2")
+
+
 # --- recursions by blocks ---------------------------------------------------------------------
 
 

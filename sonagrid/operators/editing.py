@@ -137,3 +137,8 @@ def constrain_amplitude(signal: DataFrame, keys: Keys = ()) -> DataFrame:
         wide = signal.withColumn("peak", peak)
     scale = F.greatest(F.col("peak"), F.lit(1.0))
     return wide.select(*signal.columns, scale.alias("scale")).withColumn("re", F.col("re") / F.col("scale"))
+
+
+def side_by_side(bands: DataFrame, count: int, keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, n, b0 ... ): the bands of a sample in one row."""
+    return bands.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("band") == b, F.col("re"))).alias(f"b{b}") for b in range(count)])

@@ -179,3 +179,30 @@ def reconstructing_bands(signal: DataFrame, centres: list[float], length: int, r
     table = signal.sparkSession.createDataFrame(band_weights(centres, length // 2 + 1, rate_hz), "band int, k int, w double")
     bands = dft(signal, length, rate_hz, keys).join(F.broadcast(table), "k")
     return idft(bands.select(*keys, "band", "k", (F.col("re") * F.col("w")).alias("re"), (F.col("im") * F.col("w")).alias("im")), length, (*keys, "band"))
+
+
+def response(frequencies: DataFrame, sections, rate_hz: int) -> DataFrame:
+    """frequencies (f_hz) with re and im of a cascade of sections there."""
+    import numpy as np
+
+    w = F.col("f_hz") * (-2 * pi / rate_hz)
+    c, s, c2, s2 = F.cos(w), F.sin(w), F.cos(2 * w), F.sin(2 * w)
+    out = frequencies.withColumns({"re": F.lit(1.0), "im": F.lit(0.0)})
+    for b0, b1, b2, a0, a1, a2 in np.atleast_2d(sections).tolist():
+        nr, ni, dr, di = b0 + b1 * c + b2 * c2, b1 * s + b2 * s2, a0 + a1 * c + a2 * c2, a1 * s + a2 * s2
+        size = dr * dr + di * di
+        hr, hi = (nr * dr + ni * di) / size, (ni * dr - nr * di) / size
+        out = out.withColumns({"re": F.col("re") * hr - F.col("im") * hi, "im": F.col("re") * hi + F.col("im") * hr})
+    return out
+
+
+def convolve_matrix(signal: DataFrame, taps: DataFrame, keys: Keys = ()) -> DataFrame:
+    """(*keys, ch, n, re) of a multichannel filter: taps (source, ch, m, b) lead from each channel ``source`` to the
+    outputs ``ch``; outputs sum over all sources. A join on the source and a sum by output sample."""
+    both = signal.withColumnRenamed("ch", "source").join(taps, "source")
+    return both.groupBy(*keys, "ch", (F.col("n") + F.col("m")).alias("n")).agg(F.sum(F.col("re") * F.col("b")).alias("re"))
+
+
+def band_levels(bands: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, band, power): mean square of each band of a filter bank."""
+    return bands.groupBy(*keys, "band").agg(F.avg(F.col("re") * F.col("re")).alias("power"))

@@ -120,6 +120,43 @@ def laguerre(signal: DataFrame, warp: float, keys: Keys = ("ch",)) -> DataFrame:
     return _on_basis(signal, allpass_chain(warp, n, n, sqrt(1 - warp**2) * warp ** np.arange(n, dtype=float)).T, keys)
 
 
+def kautz_basis(poles: list[float], length: int) -> np.ndarray:
+    """Rows: responses of the orthonormal sections of real poles, each behind the allpasses of those before it."""
+    n = np.arange(length)
+    line, out = np.zeros(length), np.empty((len(poles), length))
+    line[0] = 1.0
+    for j, p in enumerate(poles):
+        tail = p**n
+        through = np.convolve(line, tail)[:length]  # one pole
+        out[j] = sqrt(1 - p * p) * through
+        line = np.append(0.0, through[:-1]) - p * through  # its allpass
+    return out
+
+
+def kautz_weights(response: DataFrame, poles: list[float], keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, n, re): weight of each section n in the response nearest in least squares: as
+    sections are orthonormal, its sum of products with the response."""
+    return _on_basis(response, kautz_basis(poles, _length(response)).T, keys)
+
+
+def parallel_weights(response: DataFrame, poles: list[float], keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, n, re): weights of parallel one-pole sections p_n whose sum is nearest to the response in least
+    squares: products with the dual basis, which the poles alone decide."""
+    n = np.arange(_length(response))
+    rows = np.array([p**n for p in poles])
+    return _on_basis(response, np.linalg.solve(rows @ rows.T, rows).T, keys)
+
+
+def from_weights(weights: DataFrame, basis: np.ndarray, keys: Keys = ("ch",)) -> DataFrame:
+    """(*keys, n, re): the response that weights (*keys, n, re) make of the rows of a basis."""
+    return _on_basis(weights, basis, keys)
+
+
+def longest_wavelet(frequencies: list[float], rate_hz: int, cycles: float = 6.0) -> int:
+    """Samples of the longest of the wavelets of cwt()."""
+    return len(morlet_taps(min(frequencies), rate_hz, cycles))
+
+
 def log_mel(power_frames: DataFrame, weights: list[tuple[int, int, float]], keys: Keys = ("ch", "frame")) -> DataFrame:
     """(band, level_db) of each frame from (frame, k, power)."""
     from sonagrid.operators.features import weighted_bands
