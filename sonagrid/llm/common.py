@@ -51,7 +51,8 @@ def dropped(df: DataFrame) -> None:
 def spread(rows: DataFrame) -> DataFrame:
     """rows, dealt out where the files have fewer splits than the session has
     cores: a small table's few row groups would keep the other cores idle.
-    Larger tables stay as they are read."""
+    Larger tables stay as they are read. For rows of files: asking for the
+    splits of a plan with shuffles would run them."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 

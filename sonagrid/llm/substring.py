@@ -177,7 +177,7 @@ def _cut(window: int, extra: list[str]):
 def _level(docs: DataFrame, window: int) -> DataFrame:
     """(doc, tag, q0, n, h, c): seeds that two documents or more have. These alone
     can be part of a repeated window; all others end here."""
-    seeds = written(spread(docs.where("doc is not null")).mapInArrow(_seeds(window), _SEEDS), "seeds")
+    seeds = written(docs.where("doc is not null").mapInArrow(_seeds(window), _SEEDS), "seeds")
     repeated = seeds.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("times"))
     repeated = written(repeated.where("lo < hi").select("h", "times"), "repeated")
     shared = written(join_by_key(seeds, repeated, ["h"], "times", how="left_semi").select("doc", "tag", "q0", "n", "h", "c"), "shared")
@@ -209,7 +209,7 @@ def _spans(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc, tag, q0, n): windows starting at words q0 .. q0 + n - 1 of a document
     that also start in one with a smaller id. docs: doc long, tag int, text."""
-    return _spans(docs, _level(docs, window), window)
+    return _spans(docs, _level(spread(docs), window), window)
 
 
 def longest_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
