@@ -4,6 +4,7 @@ shared folder, connected components."""
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import uuid
 
 import numpy as np
@@ -23,11 +24,15 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. It is never made up here: on a cluster
-    a folder of one machine would lose what other machines write."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary folder in
+    local mode, where driver and executors are one process, and an error on a
+    cluster, where a machine's own folder would hide what other machines write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

@@ -91,6 +91,18 @@ def test_connected_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_the_shared_folder_is_that_of_the_session(spark):
+    found = common.shared_dir(spark)
+    assert found == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        own = common.shared_dir(spark)
+        assert own != found or own == spark.conf.get("spark.checkpoint.dir")
+        assert common.shared_dir(spark) == own
+    finally:
+        spark.conf.set("spark.checkpoint.dir", found)
+
+
 def substring_truth(texts, window):
     first = {}
     for d, t in texts.items():
