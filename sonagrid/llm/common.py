@@ -23,16 +23,21 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 # --- tables in the shared folder ------------------------------------------
 
 
+_own_folders: dict[str, str] = {}  # of local sessions without a folder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset, a temporary folder in
     local mode, where driver and executors are one process, and an error on a
     cluster, where a machine's own folder would hide what other machines write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if sc.applicationId not in _own_folders:
+            _own_folders[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        found = _own_folders[sc.applicationId]
     return found.rstrip("/")
 
 

@@ -91,16 +91,21 @@ def test_connected_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+class _Session:
+    """A session's settings, without Spark."""
+
+    def __init__(self, master, folder):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{id(self)}"})
+
+
 def test_the_shared_folder_is_that_of_the_session(spark):
-    found = common.shared_dir(spark)
-    assert found == spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        own = common.shared_dir(spark)
-        assert own != found or own == spark.conf.get("spark.checkpoint.dir")
-        assert common.shared_dir(spark) == own
-    finally:
-        spark.conf.set("spark.checkpoint.dir", found)
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert common.shared_dir(_Session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    local = _Session("local[4]", None)
+    assert common.shared_dir(local) == common.shared_dir(local) != common.shared_dir(_Session("local[4]", None))
+    with pytest.raises(ValueError):
+        common.shared_dir(_Session("spark://host:7077", None))
 
 
 def substring_truth(texts, window):
