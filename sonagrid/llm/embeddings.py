@@ -15,8 +15,9 @@ number of tables that finds all but ``miss`` of them is known too. ``width``
 grows with the logarithm of the label's size, which keeps a vector's company
 bounded while its copies grow slowly (about n ** 0.25).
 
-Inside a cell the windows are counted over sorted projections, block by block.
-A pair counts in the first table where it meets only, so a cell returns for
+Inside cells the windows are counted over sorted projections: small cells are
+bundled, so that one sort serves many of them, and large ones are cut in blocks.
+A pair counts in the first table where it meets only, so a bundle returns for
 each vector a number of links and one edge of a spanning forest, never pairs.
 Equal vectors of a label are one entry with a multiplicity and a number of its
 own, so ids may be repeated or null.
@@ -38,6 +39,8 @@ SLAB = 1.2
 WINDOW = 0.6
 COUNTERS = 24
 BLOCK = 2048
+#: Pairs that are counted at once, and rows of a label for each bundle of its cells.
+PAIRS, BUNDLE = 1 << 20, 256
 #: Directions of a table at most; a label would need 10 ** 11 vectors to want more.
 WIDEST = 20
 
@@ -99,63 +102,78 @@ def _cells(cosine: float, miss: float):
                     cells = _slabs(_unit(_matrix(part.column("embedding"))), int(width), tables)
                     row = pa.array(np.repeat(np.arange(part.num_rows), tables))
                     yield pa.RecordBatch.from_arrays(
-                        [*(part.column(x).take(row) for x in ("c", "label", "dim", "width")), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(cells.ravel())],
-                        names=["c", "label", "dim", "width", "t", "cell"],
+                        [*(part.column(x).take(row) for x in ("c", "label", "dim", "width", "bundles")), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(cells.ravel())],
+                        names=["c", "label", "dim", "width", "bundles", "t", "cell"],
                     )
 
     return run
 
 
+def _windows(p: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, begin, end) of each row on each sorted projection: rows with a rank from
+    begin to end are in its window. Cells lie apart on the line, so one sort serves all."""
+    rank = np.empty(p.shape, dtype=np.int32)
+    begin, end = np.empty_like(rank), np.empty_like(rank)
+    apart = cell * (2 * np.abs(p).max(initial=1.0) + 2 * WINDOW)
+    for j in range(p.shape[1]):
+        at = p[:, j] + apart
+        by = np.argsort(at, kind="stable")
+        rank[by, j] = np.arange(len(at))
+        begin[:, j] = np.searchsorted(at[by], at - WINDOW, "left")
+        end[:, j] = np.searchsorted(at[by], at + WINDOW, "right")
+    return rank, begin, end
+
+
 def _links(cosine: float, miss: float):
-    """For one (label, dim, table, cell) and two of its blocks: links by vector."""
+    """For a bundle of cells of one label and dimension, or two blocks of a cell: links by vector."""
 
     def run(table: pa.Table) -> pa.Table:
         how = plan(cosine, table["width"][0].as_py(), miss)
         width, tables, count = how["width"], how["tables"], how["count"]
-        ids = np.asarray(table["c"], dtype=np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids, block = ids[order], np.asarray(table["block"])[order]
+        lo, hi = (table[x][0].as_py() for x in ("lo", "hi"))
+        ids, t, cell, block = (np.asarray(table[x], dtype=np.int64) for x in ("c", "t", "cell", "block"))
+        order = np.lexsort((ids, block != lo, cell, t))
+        ids, t, cell, block = ids[order], t[order], cell[order], block[order]
         times = np.asarray(table["times"], dtype=np.int64)[order]
         unit = _unit(_matrix(table["embedding"].combine_chunks().take(pa.array(order))))
-        t, lo, hi = (table[x][0].as_py() for x in ("t", "lo", "hi"))
-        cells = _slabs(unit, width, tables)[:, :t]
-        p = unit @ _directions(unit.shape[1], COUNTERS, 17)
-        rank = np.empty(p.shape, dtype=np.int32)
-        begin, end = np.empty_like(rank), np.empty_like(rank)
-        for j in range(COUNTERS):
-            by = np.argsort(p[:, j], kind="stable")
-            line = p[by, j]
-            rank[by, j] = np.arange(len(ids))
-            begin[:, j] = np.searchsorted(line, p[:, j] - WINDOW, "left")
-            end[:, j] = np.searchsorted(line, p[:, j] + WINDOW, "right")
+        cells = _slabs(unit, width, tables)
+        new = np.append(True, (t[1:] != t[:-1]) | (cell[1:] != cell[:-1]))
+        group = np.cumsum(new) - 1
+        stop = np.append(np.flatnonzero(new)[1:], len(ids))[group]
+        rank, begin, end = _windows(unit @ _directions(unit.shape[1], COUNTERS, 17), group)
+        # partners of a row are those behind it in its cell, or all of the other block
+        start = np.arange(len(ids)) + 1
+        if lo != hi:
+            start = np.where(block == lo, np.flatnonzero(new)[group] + np.bincount(group, block == lo).astype(np.int64)[group], stop)
+        partners = stop - start
+        before = np.append(0, np.cumsum(partners))
         links, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-        first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        for x in range(0, len(first), 512):
-            q = first[x : x + 512]
-            for y in range(0, len(second), 512):
-                c = second[y : y + 512]
-                hits = np.zeros((len(q), len(c)), dtype=np.int8)
-                for j in range(COUNTERS):
-                    r = rank[c, j]
-                    hits += (begin[q, j][:, None] <= r) & (r < end[q, j][:, None])
-                i, k = np.nonzero(hits >= count)
-                i, k = q[i], c[k]
-                if lo == hi:
-                    i, k = i[i < k], k[i < k]
-                ok = np.einsum("ij,ij->i", unit[i], unit[k]) >= cosine
-                i, k = i[ok], k[ok]
-                ok = ~(cells[i] == cells[k]).any(axis=1)
-                i, k = i[ok], k[ok]
-                np.add.at(links, i, times[k])
-                np.add.at(links, k, times[i])
-                while True:  # join the trees of linked vectors, smaller roots win
-                    a, b = root[i], root[k]
-                    if (a == b).all():
-                        break
-                    np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        row = 0
+        while row < len(ids):
+            last = max(row + 1, int(np.searchsorted(before, before[row] + PAIRS, "right")) - 1)
+            i = np.repeat(np.arange(row, last), partners[row:last])
+            k = np.arange(len(i)) + np.repeat(start[row:last] - (before[row:last] - before[row]), partners[row:last])
+            hits = np.zeros(len(i), dtype=np.int8)
+            for j in range(COUNTERS):
+                r = rank[k, j]
+                hits += (begin[i, j] <= r) & (r < end[i, j])
+            near = hits >= count
+            i, k = i[near], k[near]
+            ok = np.einsum("ij,ij->i", unit[i], unit[k]) >= cosine
+            i, k = i[ok], k[ok]
+            ok = ~((cells[i] == cells[k]) & (np.arange(tables) < t[i][:, None])).any(axis=1)
+            i, k = i[ok], k[ok]
+            np.add.at(links, i, times[k])
+            np.add.at(links, k, times[i])
+            while True:  # join the trees of linked vectors, smaller roots win
+                a, b = root[i], root[k]
+                if (a == b).all():
+                    break
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                root = root[root]
+                while (root != root[root]).any():
                     root = root[root]
-                    while (root != root[root]).any():
-                        root = root[root]
+            row = last
         some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
         return pa.table({"c": ids[some], "links": links[some], "root": ids[root[some]]})
 
@@ -185,10 +203,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     classes = written(same.select("*", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("c")), "vectors")
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
     steps = F.array(*[F.lit(x).cast("long") for x in widths()])
-    sizes = written(sizes.withColumn("width", F.size(F.filter(steps, lambda x: F.col("size") > x)) + 1), "labels")
+    sizes = written(sizes.select("*", (F.size(F.filter(steps, lambda x: F.col("size") > x)) + 1).alias("width"), F.ceil(F.col("size") / BUNDLE).alias("bundles")), "labels")
     wide = join_by_key(classes, sizes, ["label", "dim"], "size")
-    wide = wide.select("c", "label", "dim", "width", "embedding")
-    schema = T.StructType([*wide.schema.fields[:4], T.StructField("t", T.IntegerType()), T.StructField("cell", T.LongType())])
+    wide = wide.select("c", "label", "dim", "width", "bundles", "embedding")
+    schema = T.StructType([*wide.schema.fields[:5], T.StructField("t", T.IntegerType()), T.StructField("cell", T.LongType())])
     cell = written(wide.mapInArrow(_cells(cosine, miss), schema), "cells")
     keys = ["label", "dim", "width", "t", "cell"]
     many = cell.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -196,9 +214,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     spread = join_by_key(cell, many, keys, "size")
     spread = spread.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("c", *keys, "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    bundle = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("t", "cell"), F.col("bundles"))).otherwise(F.xxhash64("t", "cell"))
+    spread = spread.select("c", *keys, bundle.alias("bundle"), "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
     full = spread.join(classes.select("c", "embedding", "times"), "c")
-    found = full.groupBy(*keys, "lo", "hi").applyInArrow(_links(cosine, miss), "c long, links long, root long")
+    found = full.groupBy("label", "dim", "width", "bundle", "lo", "hi").applyInArrow(_links(cosine, miss), "c long, links long, root long")
     found = written(found, "links")
     for table in (cell, many):
         dropped(table)

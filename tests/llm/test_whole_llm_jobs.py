@@ -179,3 +179,38 @@ def test_text_of_generated_pages_is_that_of_their_articles():
         body = r["html"].split("<article")[1].partition(">")[2].split("</article")[0]
         lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in block.split(body)]
         assert html_text.main_text(r["html"]) == "\n".join(x for x in lines if x), r["page_id"]
+
+
+def test_blocks_and_bundles_of_any_size_find_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((6, 12))
+    rows = [(i, [float(v) for v in base[i % 6] + 0.15 * rng.standard_normal(12)], str(i % 2)) for i in range(240)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    want = sorted(map(str, embeddings.near_duplicates(vectors).collect()))
+    assert sum(r[1] for r in embeddings.near_duplicates(vectors).select("vec_id", "n_links").collect()) > 1000
+    for name, value in (("BLOCK", 5), ("BUNDLE", 1), ("PAIRS", 3)):
+        monkeypatch.setattr(embeddings, name, value)
+    assert sorted(map(str, embeddings.near_duplicates(vectors).collect())) == want
+
+
+@pytest.mark.parametrize("lo_hi", [(0, 0), (0, 1)])
+def test_links_of_blocks_are_those_of_all_pairs(lo_hi):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.standard_normal((5, 8)), 8, axis=0) + 0.1 * rng.standard_normal((40, 8))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    lo, hi = lo_hi
+    block = np.zeros(40, dtype=int) if lo == hi else np.arange(40) % 2
+    table = pa.table(
+        {
+            "c": np.arange(40), "t": np.zeros(40, dtype=np.int32), "cell": np.arange(40) % 2 if lo == hi else np.zeros(40, dtype=int), "block": block,
+            "times": np.ones(40, dtype=int), "embedding": pa.array(x.tolist()), "width": [1] * 40, "lo": [lo] * 40, "hi": [hi] * 40,
+        }
+    )
+    got = embeddings._links(0.93, 1e-3)(table)
+    cell = np.arange(40) % 2 if lo == hi else np.zeros(40)
+    near = (unit @ unit.T >= 0.93) & (cell[:, None] == cell) & ~np.eye(40, dtype=bool)
+    if lo != hi:
+        near &= block[:, None] != block
+    assert dict(zip(got["c"].to_pylist(), got["links"].to_pylist())) == {i: int(n) for i, n in enumerate(near.sum(axis=1)) if n}
