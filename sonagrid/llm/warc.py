@@ -222,7 +222,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int =
         rows.select("page_id", F.lit(1), "sha", "url", "html", F.lit(None).cast("long"))
     )
     leaves, parts = ranges(keys, range_bytes)
-    files = _with_part(both, leaves).repartition(max(1, parts), "part").sortWithinPartitions("part", "page_id", "kind", "sha", "url").mapInArrow(_write(folder, roll_bytes, level), _MANIFEST)
+    # more tasks than ranges, so that few tasks have two
+    files = _with_part(both, leaves).repartition(max(1, 4 * parts), "part").sortWithinPartitions("part", "page_id", "kind", "sha", "url").mapInArrow(_write(folder, roll_bytes, level), _MANIFEST)
     files.write.mode("overwrite").parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
 
