@@ -1,11 +1,11 @@
-"""Queries opN_<name> of the ten operators, and their SQL where SQL can tell them."""
+"""Queries opN_<name> of the thirteen operators, and their SQL where SQL can tell them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.llm import embeddings, html_text, mixing, packing, quality_model, rules, sharding, simhash, substring, warc
+from sonagrid.llm import collocations, embeddings, fill_middle, html_text, mixing, packing, quality_model, rules, sharding, simhash, substring, toxicity, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,6 +63,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"), fill_middle.Form(), unit="char")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, inside=80, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +96,9 @@ def queries() -> dict:
         op8_quality_rules,
         op9_html_text,
         op10_warc,
+        op11_toxicity,
+        op12_fill_in_middle,
+        op13_collocations,
         pipeline,
     )
     return {f.__name__: f for f in named}
@@ -163,6 +181,35 @@ from c join m on c.x = m.x
 """
 
 
+OP12 = """
+with d as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, 'null')) as x from documents),
+h as (select doc_id, text, length(text) as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+      case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substr(text, 1, a) as prefix, substr(text, a + 1, b - a) as middle, substr(text, b + 1, n - b) as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from p
+"""
+
+OP13 = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) as piece from documents),
+s as (select lang, regexp_extract_all(piece, '[^ 	]+') as ws from p),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from s group by lang),
+g as (select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, m, count(*) as f from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from s, (select unnest(range(1, 5)) as m)) group by all having count(*) >= 30),
+c as (select lang, phrase, m, f as a, string_split(phrase, ' ') as ws from g where m > 1),
+k as (select c.lang, c.phrase, c.a, k, l.f as l, r.f as r, cast((2000000 * a::hugeint) // (l.f + r.f) as bigint) as score
+      from (select *, unnest(range(1, m)) as k from c) c join g l on l.lang = c.lang and l.phrase = array_to_string(ws[1:k], ' ') join g r on r.lang = c.lang and r.phrase = array_to_string(ws[k + 1:], ' ')),
+b as (select lang, phrase, a, first(l order by score, k) as l, first(r order by score, k) as r, min(score) as score from k group by all),
+x as (select lang, array_to_string(ws[i:i + z - 1], ' ') as phrase, max(a) as longest from (select *, unnest(range(1, m - z + 2)) as i from c, (select unnest(range(2, 4)) as z) where z < m) group by all),
+t as (select b.* from b left join x on x.lang = b.lang and x.phrase = b.phrase where longest is null or 100 * longest::hugeint < 80 * a::hugeint),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from t)
+select o.lang, rank, phrase, a, l, r, n, score from o join n on n.lang = o.lang where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1,
@@ -170,4 +217,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": OP7,
         "op8_quality_rules": _op8(),
         "op10_warc": OP10,
+        "op12_fill_in_middle": OP12,
+        "op13_collocations": OP13,
     }
