@@ -60,7 +60,12 @@ REPEATED = set("li dt dd tr td th option".split())
 #: Characters for each tag from which on a line is running text.
 RUNNING = 40
 
+#: Tags whose attributes the parser may fail to read before they are skipped unread.
+MOST_BROKEN = 100
+
 _WORD = re.compile(r"[a-z]+")
+_TAG = re.compile(r"[a-zA-Z][^\t\n\r\f />\x00]*")
+_OPENS = re.compile(r"<[!?]")
 _HIDDEN = re.compile(r"display\s*:\s*none")
 
 
@@ -183,6 +188,51 @@ class _Lines(HTMLParser):
             if self.at.get("a"):
                 self.link_chars += len(data.strip())
 
+    # Markup that never ends, or that the parser has no rule for: each of these takes the text up to the
+    # next mark that ends it, so that nothing is looked at twice. feed() has cut off what has no ">" behind it.
+
+    def feed(self, data: str) -> None:
+        """The whole page at once."""
+        cut = data.rfind(">") + 1
+        tail = data[cut:]
+        unfinished = _OPENS.search(tail)
+        self.broken, self.last = 0, {}
+        super().feed(data[:cut] + (tail[: unfinished.start()] if unfinished else tail).replace("<", "&lt;"))
+
+    def _ahead(self, mark: str, i: int) -> bool:
+        """Whether mark comes at i or later."""
+        key = (mark, len(self.rawdata))
+        if key not in self.last:
+            self.last[key] = self.rawdata.rfind(mark)
+        return self.last[key] >= i
+
+    def _next(self, i: int) -> int:
+        at = self.rawdata.find(">", i)
+        return len(self.rawdata) if at < 0 else at + 1
+
+    def parse_comment(self, i: int, report: int = True) -> int:
+        return super().parse_comment(i, report) if self._ahead("-->", i + 4) else self._next(i)
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i):
+            if self.rawdata[i + 3 : i + 9].upper() == "CDATA[" and self._ahead("]]>", i):
+                return self.rawdata.index("]]>", i) + 3
+            return self._next(i)
+        found = super().parse_html_declaration(i)
+        return self._next(i) if found < 0 else found
+
+    def parse_starttag(self, i: int) -> int:
+        found = super().parse_starttag(i) if self.broken < MOST_BROKEN else -1
+        if found < 0:
+            self.broken += 1
+            self.handle_starttag(_TAG.match(self.rawdata, i + 1).group().lower(), [])
+            return self._next(i)
+        return found
+
+    def parse_endtag(self, i: int) -> int:
+        found = super().parse_endtag(i)
+        return self._next(i) if found < 0 else found
+
     def close(self) -> None:
         super().close()
         self._pop_to(0)
@@ -269,7 +319,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages, and those without text outside of menus and the like,
     have the text "". A page without markup is its own text. Unclosed and
-    unopened tags are borne. Ids and addresses may be null or repeated. Other
+    unopened tags are borne; a tag, comment or declaration that never ends ends
+    at the next ">", or is text (a tag) or nothing where there is none. Ids and addresses may be null or repeated. Other
     columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
