@@ -27,15 +27,19 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonagrid.llm.common import spread, text_slices, utf8
+from sonagrid.llm.common import spread, text_slices, utf8, written
 
 #: Words whose ids a tokenizing worker keeps between batches and tasks; all are dropped when there are more.
 CACHE_WORDS = 800_000
 
-#: Bins that a run hands on to the next one at most.
+#: Part-full bins that a run hands on to the next one, or to the second pass, at most; the others stay as they are.
 OPEN_BINS = 64
+#: Tasks whose part-full bins one task of the second pass takes: at most SHARED * OPEN_BINS sequences of ids.
+SHARED = 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
+#: Pieces of the first pass; those without a sequence have their ids, and their task in ids_crc32.
+OPEN_PIECES = PIECES + ", ids binary"
 
 # The normalizer and pre-tokenizer that WordTokenizer is right for.
 WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -245,7 +249,9 @@ def _sequences(path: str, end_id: int, prompt: int, limits: tuple[int, int, int]
         filled = np.zeros(max((p[3] for p in plan), default=-1) + 1, dtype=np.int64)
         for _, _, length, bin_, _, _ in plan:
             filled[bin_] += length
-        back = set() if last else set(np.flatnonzero(filled < limits[0])[-OPEN_BINS:].tolist())
+        # the emptiest go on, to the next run or to the second pass
+        partly = np.flatnonzero(filled < limits[0])
+        back = set() if last else set(partly[np.argsort(filled[partly], kind="stable")][:OPEN_BINS].tolist())
         number = bins + np.cumsum([b not in back for b in range(len(filled))]) - 1
         rows, rest = [], []
         for item, start, length, bin_, offset, borne in plan:
@@ -258,9 +264,11 @@ def _sequences(path: str, end_id: int, prompt: int, limits: tuple[int, int, int]
                 rows.append((doc, base + start, length, crc, whole, (task << 32) + int(number[bin_]), offset, borne))
         return rows, rest, int(number[-1]) + 1 if len(number) else bins
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [()] * 8
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
+    def batch_of(rows: list[tuple], open_: list[tuple] = [], task: int = 0) -> pa.RecordBatch:  # noqa: B006
+        """Pieces, and open ones with their ids in place of a sequence."""
+        rows = [(*r, None) for r in rows] + [(doc, base, len(ids), task, whole, None, None, None, ids.astype("<u4").tobytes()) for doc, base, whole, ids in open_]
+        columns = list(zip(*rows)) if rows else [()] * 9
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:8]), pa.array(columns[8], pa.binary())], names=[x.split()[0] for x in OPEN_PIECES.split(", ")])
 
     def run(it):
         from pyspark import TaskContext
@@ -278,10 +286,25 @@ def _sequences(path: str, end_id: int, prompt: int, limits: tuple[int, int, int]
                     rows, open_, bins = packed(open_, bins, task, False)
                     yield batch_of(rows)
                     size = 0
+        rows, open_, bins = packed(open_, bins, task, False)
+        yield batch_of(rows, open_, task)
+
+    def rest(it):
+        """Open pieces of SHARED tasks, packed to the end; a batch is a part of one group's rows."""
+        from pyspark import TaskContext
+
+        task = (1 << 29) + TaskContext.get().partitionId()
+        open_, bins = [], 0
+        for batch in it:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))
+            open_ += [(doc, base, whole, np.frombuffer(ids, dtype="<u4")) for doc, base, whole, ids in zip(*columns)]
+            if sum(len(x[3]) for x in open_) * 4 >= run_bytes:
+                rows, open_, bins = packed(open_, bins, task, False)
+                yield batch_of(rows)
         rows, open_, bins = packed(open_, bins, task, True)
         yield batch_of(rows)
 
-    return run
+    return run, rest
 
 
 def pack_documents(
@@ -306,16 +329,25 @@ def pack_documents(
     offset, n_loss.
 
     Rows that share an id, repeated rows among them, are packed one by one;
-    null ids too. No rows give no pieces. Sequences are those of a task, so they
-    follow the partitions of docs. A text longer than a run is a run of its own.
-    Other columns are not read.
+    null ids too. No rows give no pieces. A text longer than a run is a run of
+    its own. Tasks pack what they read; the sequences that a task leaves part
+    full (the emptiest OPEN_BINS) are packed with those of SHARED other tasks in
+    a second pass. So which pieces share a sequence follows the partitions of
+    docs, the padding hardly does. Other columns are not read.
     """
     limits = (most_tokens, most_segments, most_tokens - prompt_tokens if most_loss is None else most_loss)
     if min(limits) < 1:
         raise ValueError("limits must be at least 1")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = spread(rows).mapInArrow(_sequences(tokenizer_path, end_id, prompt_tokens, limits, run_bytes), PIECES)
-    return pieces.withColumnRenamed("doc_id", id_col)
+    run, rest = _sequences(tokenizer_path, end_id, prompt_tokens, limits, run_bytes)
+    first = written(spread(rows).mapInArrow(run, OPEN_PIECES), "pieces")
+    done = first.where("ids is null").drop("ids")
+    open_ = first.where("ids is not null").withColumn("group", F.floor(F.col("ids_crc32") / SHARED))
+    groups = open_.agg(F.max("group")).first()[0]
+    if groups is None:
+        return done.withColumnRenamed("doc_id", id_col)
+    more = open_.repartitionById(groups + 1, F.col("group").cast("int")).drop("group").mapInArrow(rest, OPEN_PIECES).drop("ids")
+    return done.unionByName(more).withColumnRenamed("doc_id", id_col)
 
 
 def pack_examples(
