@@ -19,7 +19,10 @@ from sonagrid.llm.common import written
 
 #: Weights of sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
-BUCKETS = 1024
+#: Buckets of keys between a number and its double.
+BUCKETS = 256
+#: Weight of a document whose quality is null, not a number, or below it.
+LEAST_QUALITY = 1e-6
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -88,8 +91,9 @@ def mix(
 
     taken counts a row's words in the mix: size for each whole epoch of its
     source and once more if the sample has it; the row on the budget's line
-    gives its first words only. ``quality`` is a positive column of docs that
-    weighs documents, such as a classifier's score; by default quality_weight.
+    gives its first words only. ``quality`` is a column of docs that weighs
+    documents, such as a classifier's score (null, not a number, zero and less
+    count as LEAST_QUALITY); by default quality_weight.
     A null text has size 0, and rows without words are never taken. Null is a
     source. Rows that share an id have the same number and are taken in the
     order of their keys, sizes and texts; equal rows in any order. No rows give
@@ -97,11 +101,14 @@ def mix(
     """
     text, size = F.col(text_col), n_words(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), text.alias("text"), (F.lit(None).cast("double") if quality is None else quality).alias("quality"))
-    weight = quality_weight(F.col("text"), F.col("size")) if quality is None else F.col("quality")
+    given = F.col("quality").cast("double")
+    least = F.lit(LEAST_QUALITY)
+    weight = quality_weight(F.col("text"), F.col("size")) if quality is None else F.when(given > least, F.least(given, F.lit(1e9))).otherwise(least)
+    weight = F.when(F.isnan(weight), least).otherwise(weight)
     rows = rows.select("id", "source", "size", (-F.log(uniform(F.col("id"), seed)) / weight).alias("key"), F.xxhash64("text").alias("tie"))
-    # any function that grows with the key will do; this one fills buckets evenly at weight 1.
+    # any function that grows with the key will do; this one spreads keys of any size of weight.
     # The table spares a second reading of the texts.
-    rows = written(rows.withColumn("bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("key")))).cast("int")), "sizes")
+    rows = written(rows.withColumn("bucket", F.floor(BUCKETS * F.log2(F.greatest("key", F.lit(1e-300)))).cast("int")), "sizes")
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     wanted = targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), most, weights)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,20 +139,21 @@ def mixture(
     told apart by source and text; those that share these too (null ids are
     equal) are together taken as often as mix() says."""
     found = mix(docs, most, weights, seed, id_col, text_col, source_col, quality, with_ties=True)
-    found = found.groupBy(F.col(id_col).alias("__id"), F.col("tie").alias("__tie"), F.col("from").alias("__from")).agg(
-        F.max("size").alias("__size"), F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__n")
-    )
-    found = written(found.where("__taken > 0"), "taken")
-    same = F.xxhash64(F.col(text_col))
-    on = docs[id_col].eqNullSafe(F.col("__id")) & (same == F.col("__tie")) & docs[source_col].eqNullSafe(F.col("__from"))
-    rows = docs.join(found, on)
-    lone = rows.where("__n = 1").withColumn("__own", F.col("__taken"))
+    found = found.groupBy(F.col(id_col).alias("id"), F.col("tie"), F.col("from")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))
+    found = written(found.where("taken > 0"), "taken")
+    # the input as one struct, so that no name of it can meet one of these
+    rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    of = {c: F.col(f"row.c{i}") for i, c in enumerate(docs.columns)}
+    on = of[id_col].eqNullSafe(F.col("id")) & (F.xxhash64(of[text_col]) == F.col("tie")) & of[source_col].eqNullSafe(F.col("from"))
+    rows = rows.join(found, on)
+    lone = rows.where("n = 1").withColumn("own", F.col("taken"))
     # equal rows: the first of them have whole copies more, one may have a part
-    place = F.row_number().over(Window.partitionBy("__id", "__tie", "__from").orderBy("__taken")) - 1
-    least = F.greatest(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__n") / F.greatest("__size", F.lit(1))) * F.col("__size"))
-    several = rows.where("__n > 1").withColumn("__own", least + F.greatest(F.lit(0), F.least("__size", F.col("__taken") - F.col("__n") * least - place * F.col("__size"))))
-    rows = lone.unionByName(several).where("__own > 0")
-    rows = rows.withColumn("__left", F.explode(F.expr("transform(sequence(0, cast((__own - 1) div __size as int)), k -> __own - k * __size)")))
-    bare = F.regexp_replace(F.col(text_col), rf"^{_SPACE}|{_SPACE}$", "")
-    cut = F.array_join(F.slice(F.split(bare, _SPACE), F.lit(1), F.col("__left").cast("int")), " ")
-    return rows.withColumn(text_col, F.when(F.col("__left") < F.col("__size"), cut).otherwise(F.col(text_col))).select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("id", "tie", "from").orderBy("taken")) - 1
+    least = F.greatest(F.lit(0), F.floor((F.col("taken") - 1) / F.col("n") / F.greatest("size", F.lit(1))) * F.col("size"))
+    several = rows.where("n > 1").withColumn("own", least + F.greatest(F.lit(0), F.least("size", F.col("taken") - F.col("n") * least - place * F.col("size"))))
+    rows = lone.unionByName(several).where("own > 0")
+    rows = rows.withColumn("left", F.explode(F.expr("transform(sequence(0, cast((own - 1) div size as int)), k -> own - k * size)")))
+    bare = F.regexp_replace(of[text_col], rf"^{_SPACE}|{_SPACE}$", "")
+    cut = F.array_join(F.slice(F.split(bare, _SPACE), F.lit(1), F.col("left").cast("int")), " ")
+    text = F.when(F.col("left") < F.col("size"), cut).otherwise(of[text_col])
+    return rows.select(*[(text if c == text_col else of[c]).alias(c) for c in docs.columns])
