@@ -127,15 +127,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: st
     component_id is the smallest id that is reached over links of at most
     ``most`` differing bits; kept marks its row. Null and empty texts have the
     fingerprint zero, which links like any other. Texts with fewer words than a
-    shingle have their whole sequence as the only one. Rows with a null id get
-    their group's id and are never kept unless the group has no other. Repeated
+    shingle have their whole sequence as the only one. Rows with a null id link
+    like others, get their group's id (null where no row of it has one) and are
+    never kept. Repeated
     rows each get a row. Other columns are not read.
     """
     rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     known = written(rows.groupBy("fp").agg(F.min("doc").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
-    links = hamming_links(known.where("id is not null").select("id", "fp"), most)
-    parts = connected_components(links)
-    roots = known.join(parts, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n")
+    # fingerprints are their own numbers in links, as one that only rows without an id have links too
+    links = hamming_links(known.select(F.col("fp").alias("id"), "fp"), most)
+    parts = written(connected_components(links).withColumnRenamed("component", "part"), "parts")
+    groups = known.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "n", "id", F.coalesce("part", "fp").alias("part"))
+    least = groups.groupBy("part").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    roots = join_by_key(written(groups, "groups"), written(least, "least"), ["part"], "classes").select("fp", "component_id", "n")
     return join_by_key(rows, written(roots, "roots"), ["fp"], "n").select(
         F.col("doc").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -147,10 +151,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: st
 def deduplicated(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group, all columns as they are: that with the
     smallest id. Of rows that share this id one stays. Rows without an id stay."""
-    groups = written(near_duplicates(docs, shingle, most, id_col, text_col).select(F.col(id_col).alias("__id"), "kept"), "groups")
-    kept = groups.where("kept or __id is null").groupBy("__id").agg(F.count(F.lit(1)).alias("__n"))
-    out = docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")))
-    if kept.where("__n > 1 and __id is not null").isEmpty():
-        return out.select(*docs.columns)
-    several = (F.col("__n") > 1) & F.col("__id").isNotNull()
-    return out.where(~several).select(*docs.columns).union(out.where(several).dropDuplicates(["__id"]).select(*docs.columns))
+    found = near_duplicates(docs, shingle, most, id_col, text_col).select(F.col(id_col).alias("id"), "kept")
+    # ids of rows that go: those of a row that is kept stay, once each; rows without an id are not in any join
+    kept = written(found.where("kept").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "groups")
+    rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    key = F.col(f"row.c{docs.columns.index(id_col)}").cast("long")
+    back = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    without = rows.where(key.isNull())
+    one = rows.join(kept.where("n = 1"), key == F.col("id"), "left_semi")
+    out = without.select("row").union(one.select("row"))
+    several = kept.where("n > 1").select("id")
+    if not several.isEmpty():
+        # of rows that share a kept id one stays: the first place in the order of rows' hashes, then of partial choices
+        twice = rows.withColumn("id", key).join(several, "id", "left_semi")
+        out = out.union(twice.dropDuplicates(["id"]).select("row"))
+    return out.select(*back)
