@@ -76,18 +76,23 @@ def steering(grid: DataFrame, mics: DataFrame, wave_number: float, kind: str = "
     return s.select("pid", "mid", (size * F.cos(phase)).alias("re"), (size * F.sin(phase)).alias("im"))
 
 
+def _forms(csm: DataFrame, weights: DataFrame) -> DataFrame:
+    """Entries i <= j of a matrix with both weights of every point, a + ib and c + id, and in
+    ``term`` their part of h^H C h (the real part of conj(h_i) C_ij h_j, twice off the diagonal)."""
+    i = weights.select("pid", F.col("mid").alias("ch_i"), F.col("re").alias("a"), F.col("im").alias("b"))
+    j = weights.select("pid", F.col("mid").alias("ch_j"), F.col("re").alias("c"), F.col("im").alias("d"))
+    term = F.expr("(re * (a * c + b * d) - im * (a * d - b * c)) * if(ch_i = ch_j, 1.0D, 2.0D)")
+    return csm.join(i, "ch_i").join(j, ["pid", "ch_j"]).withColumn("term", term)
+
+
 def delay_and_sum(csm: DataFrame, weights: DataFrame, remove_diagonal: bool = False, keys: Keys = ()) -> DataFrame:
     """(*keys, pid, power): h^H C h for each point, from (*keys, ch_i, ch_j, re, im) with i <= j and steering weights.
 
     Without the diagonal the sum is scaled by N / (N - 1), and negative powers are 0.
     Keys name arrays of the same shape.
     """
-    i = weights.select("pid", F.col("mid").alias("ch_i"), F.col("re").alias("a"), F.col("im").alias("b"))
-    j = weights.select("pid", F.col("mid").alias("ch_j"), F.col("re").alias("c"), F.col("im").alias("d"))
-    both = csm.join(i, "ch_i").join(j, ["pid", "ch_j"])
-    # real part of conj(h_i) C_ij h_j, twice off the diagonal
-    hr, hi = F.expr("a * c + b * d"), F.expr("a * d - b * c")
-    term = (F.col("re") * hr - F.col("im") * hi) * F.when(F.col("ch_i") == F.col("ch_j"), F.lit(0.0 if remove_diagonal else 1.0)).otherwise(2.0)
+    both = _forms(csm, weights)
+    term = F.when(F.col("ch_i") == F.col("ch_j"), F.lit(0.0)).otherwise(F.col("term")) if remove_diagonal else F.col("term")
     if not remove_diagonal:
         return both.groupBy(*keys, "pid").agg(F.sum(term).alias("power"))
     n = F.size(F.array_union(F.collect_set("ch_i"), F.collect_set("ch_j")))
@@ -140,30 +145,6 @@ def wave_number(f_hz: float, c: float = 343.0) -> float:
     return 2 * pi * f_hz / c
 
 
-def _band_matrices(csm: DataFrame, weights: DataFrame, kernel, keys: Keys = ()) -> DataFrame:
-    """(*keys, pid, power) by kernel(C, H) for each of keys and bin k: C from (*keys, k, ch_i, ch_j, re, im)
-    with i <= j, H from (pid, mid, re, im); a bin's matrix has the size of the array squared.
-    Microphones that have no row of a matrix are left out of it."""
-    import numpy as np
-    import pandas as pd
-
-    steering_rows = weights.select("pid", "mid", "re", "im").toPandas()  # points times microphones, both tables of the set-up
-    points_, mics_ = np.unique(steering_rows.pid), np.unique(steering_rows.mid)
-    h = np.zeros((len(points_), len(mics_)), dtype=complex)
-    h[np.searchsorted(points_, steering_rows.pid), np.searchsorted(mics_, steering_rows.mid)] = steering_rows.re + 1j * steering_rows.im
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        there = np.unique(np.concatenate([rows.ch_i, rows.ch_j]))
-        c = np.zeros((len(there), len(there)), dtype=complex)
-        i, j = np.searchsorted(there, rows.ch_i), np.searchsorted(there, rows.ch_j)
-        c[i, j] = rows.re + 1j * rows.im
-        c[j, i] = rows.re - 1j * rows.im
-        return pd.DataFrame({**{key: rows[key].iloc[0] for key in keys}, "pid": points_, "power": kernel(c, h[:, np.searchsorted(mics_, there)])})
-
-    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in csm.schema.fields if f.name in keys)
-    return csm.groupBy(*keys, "k").applyInPandas(run, f"{schema}pid long, power double").groupBy(*keys, "pid").agg(F.sum("power").alias("power"))
-
-
 def _matrices(csm: DataFrame, change, schema: str, keys: Keys) -> DataFrame:
     """change(C, microphones) -> columns, for each of keys and bin; a matrix has the size of the array squared."""
     import numpy as np
@@ -200,18 +181,19 @@ def mvdr(csm: DataFrame, weights: DataFrame, loading: float = 1e-6, keys: Keys =
     return forms.groupBy(*keys, "pid").agg(F.sum(1 / F.col("power")).alias("power"))
 
 
-def functional(csm: DataFrame, weights: DataFrame, gamma: float = 10.0, keys: Keys = ()) -> DataFrame:
-    """(*keys, pid, power): (h^H C^(1/gamma) h)^gamma with weights of length 1, summed over bins."""
+def functional(csm: DataFrame, weights: DataFrame, gamma: float = 10.0, keys: Keys = (), scaled: bool = False) -> DataFrame:
+    """(*keys, pid, power): (h^H C^(1/gamma) h / l)^gamma, times l where scaled, summed over bins. l is
+    h^H h over the microphones that the matrix of these keys and this bin has."""
     import numpy as np
 
     def root(c, there):
         w, v = np.linalg.eigh(c)
         return _upper((v * np.maximum(w, 0) ** (1 / gamma)) @ v.conj().T, there)
 
-    length = F.sqrt(F.sum(F.expr("re * re + im * im")).over(Window.partitionBy("pid")))
-    unit = weights.withColumn("__l", length).select("pid", "mid", (F.col("re") / F.col("__l")).alias("re"), (F.col("im") / F.col("__l")).alias("im"))
-    forms = delay_and_sum(_matrices(csm, root, "ch_i long, ch_j long, re double, im double", keys), unit, keys=(*keys, "k"))
-    return forms.groupBy(*keys, "pid").agg(F.sum(F.pow(F.greatest("power", F.lit(0.0)), gamma)).alias("power"))
+    roots = _matrices(csm, root, "ch_i long, ch_j long, re double, im double", keys)
+    own = F.when(F.col("ch_i") == F.col("ch_j"), F.expr("a * a + b * b"))
+    forms = _forms(roots, weights).groupBy(*keys, "k", "pid").agg(F.sum("term").alias("form"), F.sum(own).alias("l"))
+    return forms.groupBy(*keys, "pid").agg(F.sum(F.pow(F.greatest(F.col("form"), F.lit(0.0)) / F.col("l"), gamma) * (F.col("l") if scaled else F.lit(1.0))).alias("power"))
 
 
 def orthogonal(csm: DataFrame, weights: DataFrame, leading: int, keys: Keys = ()) -> DataFrame:
@@ -234,27 +216,94 @@ def orthogonal(csm: DataFrame, weights: DataFrame, leading: int, keys: Keys = ()
     return found.unionByName(everywhere).groupBy(*keys, "pid").agg(F.sum("power").alias("power"))
 
 
-def clean_sc(csm: DataFrame, weights: DataFrame, iterations: int = 20, share: float = 0.5, keys: Keys = ()) -> DataFrame:
-    """(*keys, pid, power): sources taken one by one with all that is coherent with them."""
+def _coherent(share: float, remove_diagonal: bool, inner: int):
+    """One round of CLEAN-SC on packed rows of matrices: the part h of the field that is
+    coherent with the loudest point, and the matrix without ``share`` of it."""
     import numpy as np
-
-    def kernel(c, h):
-        c, out = c.copy(), np.zeros(len(h))
-        norm = np.abs(c).sum()
-        for _ in range(iterations):
-            dirty = np.einsum("pi,ij,pj->p", h.conj(), c, h).real
-            best = int(np.argmax(dirty))
-            if dirty[best] <= 0:
-                break
-            part = c @ h[best] / dirty[best]
-            rest = c - share * dirty[best] * np.outer(part, part.conj())
-            if np.abs(rest).sum() >= norm:
-                break
-            out[best] += share * dirty[best]
-            c, norm = rest, np.abs(rest).sum()
-        return out
-
-    return _band_matrices(csm, weights, kernel, keys)
+    import pyarrow as pa
+
+    def run(it):
+        for batch in it:
+            columns = {name: [] for name in ("re", "im", "norm", "open", "h_re", "h_im", "peak")}
+            for row in batch.select(["mics", "re", "im", "norm", "peak", "w"]).to_pylist():
+                n = len(row["mics"])
+                d = (np.array(row["re"]) + 1j * np.array(row["im"])).reshape(n, n)
+                by = {v["mid"]: complex(v["re"], v["im"]) for v in row["w"]}
+                w = np.array([by.get(m, 0j) for m in row["mics"]])
+                now = np.abs(d).sum(axis=0).max() if n else 0.0
+                peak, h = row["peak"], np.zeros(n, dtype=complex)
+                going = row["norm"] is None or now < row["norm"]
+                if going and peak != 0:
+                    u = d @ w / peak
+                    h = w if inner else u
+                    for _ in range(inner):
+                        own = np.abs(h) ** 2
+                        h = (u + own * w) / np.sqrt(1 + own @ np.abs(w) ** 2)
+                    g = peak * np.outer(h, h.conj())
+                    if remove_diagonal:
+                        np.fill_diagonal(g, 0)
+                    d = d - share * g
+                for name, value in zip(columns, (d.real.ravel().tolist(), d.imag.ravel().tolist(), now, bool(going and peak != 0), h.real.tolist(), h.imag.tolist(), peak)):
+                    columns[name].append(value)
+            kinds = dict.fromkeys(("re", "im", "h_re", "h_im"), pa.list_(pa.float64())) | {"norm": pa.float64(), "peak": pa.float64(), "open": pa.bool_()}
+            kept = [c for c in batch.schema.names if c not in ("re", "im", "norm", "peak", "w")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, kinds[c]) for c, v in columns.items())], names=[*kept, *columns])
+
+    return run
+
+
+def clean_sc(csm: DataFrame, weights: DataFrame, iterations: int | None = None, share: float = 0.5, remove_diagonal: bool = False, keys: Keys = (), inner: int | None = None) -> DataFrame:
+    """(*keys, pid, power): sources taken one by one with all that is coherent with them,
+    summed over bins, by CLEAN-SC (Sijtsma 2007).
+
+    Rounds (twice as many as microphones at most) go over tables of all arrays
+    and bins: a packed matrix for each, and a map with a row for each point. In a
+    round the loudest point of each map (the smallest pid of equals) gets
+    ``share`` of its power; its coherent part leaves the matrix and, as a product
+    with every point's weights, the map. A matrix rests once its norm (the
+    largest column sum) does not fall. The coherent part is C h / power; where
+    the diagonal is removed, ``inner`` steps (20) find the one without it. Tables
+    of a round are checkpoints.
+    """
+    from sonagrid.state import kept
+
+    by, inner = (*keys, "k"), (20 if remove_diagonal else 0) if inner is None else inner
+    turned = csm.select(*by, F.col("ch_j").alias("i"), F.col("ch_i").alias("j"), "re", (-F.col("im")).alias("im")).where("i <> j")
+    entries = csm.select(*by, F.col("ch_i").alias("i"), F.col("ch_j").alias("j"), "re", "im").unionByName(turned)
+    if remove_diagonal:
+        entries = entries.withColumns({c: F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col(c)) for c in ("re", "im")})
+    packed = entries.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "j", "re", "im"))).alias("e"), F.array_sort(F.collect_set("i")).alias("mics"))
+    matrices = kept(packed.select(*by, "mics", F.transform("e", lambda x: x.re).alias("re"), F.transform("e", lambda x: x.im).alias("im"), F.lit(None).cast("double").alias("norm")))
+    points = kept(weights.groupBy("pid").agg(F.collect_list(F.struct("mid", "re", "im")).alias("w")))
+    maps = kept(delay_and_sum(csm.where("ch_i <> ch_j") if remove_diagonal else csm, weights, keys=by).select(*by, "pid", "power"))
+    if iterations is None:
+        iterations = 2 * (matrices.agg(F.max(F.size("mics"))).first()[0] or 0)
+    kinds = {f.name: f.dataType.simpleString() for f in matrices.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, "mics")) + ", pid long, re array<double>, im array<double>, norm double, open boolean, h_re array<double>, h_im array<double>, peak double"
+    found = None
+    for _ in range(iterations):
+        top = maps.groupBy(*by).agg(F.max(F.struct("power", (-F.col("pid")).alias("p"))).alias("t")).select(*by, F.col("t.power").alias("peak"), (-F.col("t.p")).alias("pid"))
+        now = kept(matrices.join(top, list(by)).join(points, "pid").select(*by, "mics", "pid", "re", "im", "norm", "peak", "w").mapInArrow(_coherent(share, remove_diagonal, inner), schema))
+        taken = now.select(*keys, "pid", (share * F.col("peak")).alias("power"))
+        found = taken if found is None else found.unionByName(taken)
+        going = now.where("open")
+        if going.isEmpty():
+            break
+        matrices = going.select(*by, "mics", "re", "im", "norm")
+        part = going.select(*by, "peak", F.map_from_entries(F.arrays_zip("mics", F.arrays_zip("h_re", "h_im"))).alias("h"))
+        part = part.withColumn("h", F.expr("transform_values(h, (m, v) -> named_struct('re', v.h_re, 'im', v.h_im))"))
+        met = maps.join(part, list(by)).join(points, "pid")
+        sums = F.expr(
+            "aggregate(filter(w, x -> h[x.mid] is not null), named_struct('a', 0.0D, 'b', 0.0D, 'own', 0.0D), (s, x) -> named_struct("
+            "'a', s.a + h[x.mid].re * x.re + h[x.mid].im * x.im, 'b', s.b + h[x.mid].re * x.im - h[x.mid].im * x.re, "
+            "'own', s.own + (h[x.mid].re * h[x.mid].re + h[x.mid].im * h[x.mid].im) * (x.re * x.re + x.im * x.im)))"
+        )
+        own = F.col("s.own") if remove_diagonal else F.lit(0.0)
+        lost = share * F.col("peak") * (F.col("s.a") * F.col("s.a") + F.col("s.b") * F.col("s.b") - own)
+        maps = kept(met.withColumn("s", sums).select(*by, "pid", (F.col("power") - lost).alias("power")))
+    everywhere = csm.select(*keys).distinct().join(weights.select("pid").distinct(), F.lit(True)).select(*keys, "pid", F.lit(0.0).alias("power"))
+    both = everywhere if found is None else found.unionByName(everywhere)
+    return both.groupBy(*keys, "pid").agg(F.sum("power").alias("power"))
 
 
 def delay_and_sum_time(signal: DataFrame, grid: DataFrame, mics: DataFrame, rate_hz: int, c: float = 343.0, keys: Keys = ()) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonagrid.operators import recursive
+from sonagrid.operators import long_fft, recursive, scans
 from sonagrid.sources.tables import to_arrays, to_rows
 
 Keys = tuple[str, ...]
@@ -161,7 +161,10 @@ def octave_filter_bank(signal: DataFrame, centres: list[float], rate_hz: int, or
 
 
 def fft_spectrum(signal: DataFrame, rate_hz: int = 1, keys: Keys = ("ch",)) -> DataFrame:
-    """(k, f_hz, re, im) of whole channels of any length."""
+    """(k, f_hz, re, im) of whole channels of any length; a table that a task could
+    not hold goes in rounds of short transforms (long_fft)."""
+    if scans.levels_of(signal) > 1:
+        return long_fft.spectrum(signal, rate_hz, keys)
 
     def kernel(x):
         s = np.fft.rfft(x)
@@ -183,7 +186,7 @@ def _analytic(x: np.ndarray) -> np.ndarray:
 
 
 def hilbert_envelope(signal: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
-    return mapped(signal, lambda x: np.abs(_analytic(x)), keys)
+    return long_fft.envelope(signal, keys) if scans.levels_of(signal) > 1 else mapped(signal, lambda x: np.abs(_analytic(x)), keys)
 
 
 def instantaneous_frequency(signal: DataFrame, rate_hz: int, keys: Keys = ("ch",)) -> DataFrame:
@@ -272,27 +275,6 @@ def smoothing_coefficient(seconds: float, rate_hz: float, accuracy: float = 0.95
     return 1 - float(np.exp(np.log(1 - accuracy) / max(seconds * rate_hz, 1e-9)))
 
 
-def compressor(signal: DataFrame, rate_hz: int, threshold_db: float, ratio: float, attack_s: float, release_s: float, knee_db: float = 0.0, mix: float = 1.0, keys: Keys = ("ch",)) -> DataFrame:
-    """Gain that each sample's own level asks for, followed by a one-pole smoother:
-    the attack coefficient while the wanted gain is above the present one, else that of the release."""
-    up, down = smoothing_coefficient(attack_s, rate_hz), smoothing_coefficient(release_s, rate_hz)
-
-    def kernel(x):
-        level = 10 * np.log10(np.maximum(x * x, 1e-30))
-        over = level - threshold_db
-        wanted = np.where(over > 0, threshold_db + over / ratio, level)
-        if knee_db > 0:
-            soft = np.abs(over) <= knee_db / 2
-            wanted = np.where(soft, level + (1 / ratio - 1) * (over + knee_db / 2) ** 2 / (2 * knee_db), wanted)
-        asked, now, gain = (10 ** ((wanted - level) / 20)).tolist(), 1.0, np.empty(len(x))
-        for i, v in enumerate(asked):
-            now += (up if v > now else down) * (v - now)
-            gain[i] = now
-        return x * (1 - mix + mix * gain)
-
-    return mapped(signal, kernel, keys)
-
-
 activity = recursive.activity
 
 

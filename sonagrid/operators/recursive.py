@@ -3,10 +3,9 @@
 A linear recursion's state behind a block is a matrix times the state before it
 plus what the block's own samples add. So channels are cut in blocks of BLOCK
 samples, rows of their own that Spark deals out by (channel, block): each adds
-its part to the state from a zero state, the small states are folded in order
-channel by channel, and each block is then computed with the state it begins
-with, as products of matrices over many blocks at once. A channel of any length
-is spread over tasks; only its states (one row for each block) meet in one.
+its part to the state from a zero state, these parts are folded in order (scans),
+and each block is then computed with the state it begins with, as products of
+matrices over many blocks at once. A channel of any length is spread over tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonagrid.operators.scans import Affine, Linear, folded
+
 Keys = tuple[str, ...]
 
 BLOCK = 256
@@ -128,32 +129,12 @@ def _key_fields(df: DataFrame, keys: Keys) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def _folded(ends: DataFrame, keys: Keys, move: np.ndarray) -> DataFrame:
-    """(*keys, block, state): the state that each block begins with."""
-
-    def run(table: pa.Table) -> pa.Table:
-        block = np.asarray(table["block"], dtype=np.int64)
-        order = np.argsort(block)
-        table, block = table.take(pa.array(order)), block[order]
-        end = np.stack([np.asarray(x.values) for x in table["end"]])
-        out, state = np.zeros_like(end), np.zeros(end.shape[1])
-        for i in range(1, len(block)):
-            state = move @ state + end[i - 1]
-            if block[i] > block[i - 1] + 1:
-                state = np.linalg.matrix_power(move, int(block[i] - block[i - 1] - 1)) @ state
-            out[i] = state
-        return table.select([*keys, "block"]).append_column("state", pa.array(list(out), pa.list_(pa.float64())))
-
-    schema = T.StructType([*_key_fields(ends, keys), T.StructField("block", T.LongType()), T.StructField("state", T.ArrayType(T.DoubleType()))])
-    return ends.groupBy(*keys).applyInArrow(run, schema)
-
-
 def _taken(part: pa.RecordBatch, keys: Keys, row: np.ndarray, n: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     at = pa.array(row)
     return pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in keys), pa.array(n), pa.array(y)], names=[*keys, "n", "re"])
 
 
-def filtered(signal: DataFrame, step: LinearStep, keys: Keys = ("ch",), size: int = BLOCK) -> DataFrame:
+def filtered(signal: DataFrame, step: LinearStep, keys: Keys = ("ch",), size: int = BLOCK, levels: int | None = None) -> DataFrame:
     """(*keys, n, re): the recursion over each channel's samples in the order of n, from a zero state."""
     direct, seen, moved, move = step.of_block(size)
     blocks = _blocks(signal, keys, size, "re")
@@ -163,7 +144,7 @@ def filtered(signal: DataFrame, step: LinearStep, keys: Keys = ("ch",), size: in
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 end = _dense(part, size)[0] @ moved
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), part.column("block"), pa.array(list(end), pa.list_(pa.float64()))], names=[*keys, "block", "end"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), part.column("block"), pa.array(list(end), pa.list_(pa.float64()))], names=[*keys, "block", "map"])
 
     def samples(it):
         for batch in it:
@@ -174,8 +155,8 @@ def filtered(signal: DataFrame, step: LinearStep, keys: Keys = ("ch",), size: in
                 yield _taken(part, keys, row, np.asarray(part.column("block"), dtype=np.int64)[row] * size + at, y[row, at])
 
     fields = _key_fields(signal, keys)
-    state = T.StructType([*fields, T.StructField("block", T.LongType()), T.StructField("end", T.ArrayType(T.DoubleType()))])
-    carried = _folded(blocks.mapInArrow(ends, state), keys, move)
+    state = T.StructType([*fields, T.StructField("block", T.LongType()), T.StructField("map", T.ArrayType(T.DoubleType()))])
+    carried = folded(blocks.mapInArrow(ends, state), keys, Linear(move), np.zeros(len(move)), levels=levels)
     out = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("re", T.DoubleType())])
     return blocks.join(carried, [*keys, "block"]).select(*keys, "block", "s", "state").mapInArrow(samples, out)
 
@@ -201,7 +182,7 @@ def zero_phase(signal: DataFrame, sections_: np.ndarray, keys: Keys = ("ch",)) -
     return out.where((F.col("n") >= 0) & (F.col("n") <= F.col("last"))).select(*keys, "n", "re")
 
 
-def affine(signal: DataFrame, keys: Keys = ("ch",), size: int = BLOCK) -> DataFrame:
+def affine(signal: DataFrame, keys: Keys = ("ch",), size: int = BLOCK, levels: int | None = None) -> DataFrame:
     """(*keys, n, re): re[n] = c[n] * re[n - 1] + d[n] from 0, for columns c and d of signal.
 
     The maps of a block compose to one; many blocks are stepped through at once.
@@ -222,25 +203,19 @@ def affine(signal: DataFrame, keys: Keys = ("ch",), size: int = BLOCK) -> DataFr
     def ends(it):
         for part in it:
             c, d, _, _ = composed(part)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), part.column("block"), pa.array(c[:, -1]), pa.array(d[:, -1])], names=[*keys, "block", "c", "d"])
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        state, out = 0.0, []
-        for c, d in zip(table["c"].to_pylist(), table["d"].to_pylist()):
-            out.append(state)
-            state = c * state + d
-        return table.select([*keys, "block"]).append_column("state", pa.array(out, pa.float64()))
+            maps = pa.array(list(np.column_stack([c[:, -1], d[:, -1]])), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), part.column("block"), maps], names=[*keys, "block", "map"])
 
     def samples(it):
         for part in it:
             c, d, row, at = composed(part)
-            y = d + c * np.asarray(part.column("state"))[:, None]
+            y = d + c * np.asarray(part.column("state").flatten())[:, None]
             yield _taken(part, keys, row, np.asarray(part.column("block"), dtype=np.int64)[row] * size + at, y[row, at])
 
     fields, block = _key_fields(signal, keys), T.StructField("block", T.LongType())
     double = lambda n: T.StructField(n, T.DoubleType())
-    carried = blocks.mapInArrow(ends, T.StructType([*fields, block, double("c"), double("d")])).groupBy(*keys).applyInArrow(fold, T.StructType([*fields, block, double("state")]))
+    maps = blocks.mapInArrow(ends, T.StructType([*fields, block, T.StructField("map", T.ArrayType(T.DoubleType()))]))
+    carried = folded(maps, keys, Affine(), np.zeros(1), levels=levels)
     out = T.StructType([*fields, T.StructField("n", T.LongType()), double("re")])
     return blocks.join(carried, [*keys, "block"]).select(*keys, "block", "s", "state").mapInArrow(samples, out)
 

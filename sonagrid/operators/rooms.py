@@ -21,12 +21,16 @@ def start(ir: DataFrame, threshold_db: float = 20.0, keys: Keys = ("ch",)) -> Da
     return top.groupBy(*keys).agg((F.coalesce(F.max(low), F.lit(-1)) + 1).alias("start"))
 
 
-def energy_decay(ir: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
-    """(n, edc_db): energy from n to the end over the whole energy, in dB (backward integration)."""
-    e = F.col("re") * F.col("re")
-    ahead = Window.partitionBy(*keys).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.sum(e).over(Window.partitionBy(*keys))
-    return ir.select(*keys, "n", (10.0 * F.log10(F.greatest(F.sum(e).over(ahead) / whole, F.lit(1e-300)))).alias("edc_db"))
+def energy_decay(ir: DataFrame, keys: Keys = ("ch",), levels: int | None = None) -> DataFrame:
+    """(n, edc_db): energy from n to the end over the whole energy, in dB (backward
+    integration): a running sum over blocks, from the end."""
+    from sonagrid.operators.scans import before
+
+    rows = ir.select(*keys, "n", (-F.col("n")).alias("back"), (F.col("re") * F.col("re")).cast("double").alias("e"))
+    whole = rows.groupBy(*keys).agg(F.sum("e").alias("whole"))
+    ahead = F.col("e") + F.coalesce("later", F.lit(0.0))
+    both = before(rows, keys, "back", "e", F.sum, "later", levels=levels).join(whole, list(keys))
+    return both.select(*keys, "n", (10.0 * F.log10(F.greatest(ahead / F.col("whole"), F.lit(1e-300)))).alias("edc_db"))
 
 
 def reverberation_time(edc: DataFrame, rate_hz: int, high_db: float = -5.0, low_db: float = -35.0, keys: Keys = ("ch",)) -> DataFrame:

@@ -24,8 +24,10 @@ from sonagrid.operators import features as ft
 from sonagrid.operators import filters as fi
 from sonagrid.operators import frames as fr
 from sonagrid.operators import design as de
+from sonagrid.operators import dynamics as dy
 from sonagrid.operators import kernels as ke
 from sonagrid.operators import levels as lv
+from sonagrid.operators import long_fft as lf
 from sonagrid.operators import responses as rs
 from sonagrid.operators import rooms as rm
 from sonagrid.operators import similarity as si
@@ -81,6 +83,12 @@ def oracle_sql() -> dict[str, str]:
 _PAIR = ("pair",)
 
 
+def _pair_sql(a: str, b: str) -> str:
+    """Channels 2 p and 2 p + 1, side by side by one grouping."""
+    sides = "select ch // 2 as pair, n, max(case when ch % 2 = 0 then re end) as l, max(case when ch % 2 = 1 then re end) as r from v group by ch // 2, n having count(distinct ch % 2) = 2"
+    return f"with {V}, p as ({sides}) select pair, n, {_r(a)} as a, {_r(b)} as b from p"
+
+
 # --- levels ---------------------------------------------------------------------
 
 
@@ -226,7 +234,7 @@ def sum_channels(spark, d):
     return _out(ed.sum_channels(tb.vectors(spark, d)), "re")
 
 
-@query(f"with {V} select a.ch // 2 as pair, a.n, {_r('(a.re + b.re) * 0.5')} as a, {_r('(a.re - b.re) * 0.5')} as b from v a join v b on a.n = b.n and a.ch % 2 = 0 and b.ch = a.ch + 1")
+@query(_pair_sql("(l + r) * 0.5", "(l - r) * 0.5"))
 def mid_side(spark, d):
     return _out(ed.mid_side(ed.in_pairs(tb.vectors(spark, d)), 0, 1, keys=_PAIR), "a", "b")
 
@@ -846,7 +854,7 @@ def compressor_static(spark, d):
     return _out(fx.static_compressor(tb.vectors(spark, d), -20.0, 4.0, 6.0), "re")
 
 
-@query(f"with {V} select a.ch // 2 as pair, a.n, {_r('(a.re + b.re) * 0.5 + 1.5 * (a.re - b.re) * 0.5')} as a, {_r('(a.re + b.re) * 0.5 - 1.5 * (a.re - b.re) * 0.5')} as b from v a join v b on a.n = b.n and a.ch % 2 = 0 and b.ch = a.ch + 1")
+@query(_pair_sql("(l + r) * 0.5 + 1.5 * (l - r) * 0.5", "(l + r) * 0.5 - 1.5 * (l - r) * 0.5"))
 def stereo_width(spark, d):
     return _out(fx.stereo_width(ed.in_pairs(tb.vectors(spark, d)), 0, 1, 1.5, _PAIR), "a", "b")
 
@@ -1195,7 +1203,21 @@ def instantaneous_frequency(spark, d):
     return _out(ke.instantaneous_frequency(tb.vectors(spark, d), 64), "re")
 
 
-@query()
+def _minimum_phase_sql(size: int) -> str:
+    """Cepstrum of ``size`` bins of the zero-padded samples, folded, and back to the first 64 samples."""
+    half, t = size // 2, f"(select unnest(range(0, {size})) as n)"
+    angle = lambda of, n, k: f"{of}(2 * pi() * (({k} * {n}) % {size}) / {size})"
+    twice = f"(case when w.k in (0, {half}) then 1 else 2 end) / {size}.0"
+    return (
+        f"with {V}, k as (select unnest(range(0, {half + 1})) as k), w as materialized (select k, n, {angle('cos', 'n', 'k')} as c, {angle('sin', 'n', 'k')} as s from k, {t}), "
+        "x as materialized (select ch, v.n, re from v), f as (select ch, w.k, sqrt(pow(sum(re * c), 2) + pow(sum(re * s), 2)) as m from x join w on w.n = x.n group by ch, w.k), "
+        f"q as (select ch, w.n, sum({twice} * ln(greatest(m, 1e-12)) * c) * (case when w.n in (0, {half}) then 1 when w.n < {half} then 2 else 0 end) as q from f join w on w.k = f.k where w.n <= {half} group by ch, w.n), "
+        "e as (select ch, w.k, sum(q * c) as a, -sum(q * s) as b from q join w on w.n = q.n group by ch, w.k) "
+        f"select ch, w.n, {_r('sum((case when w.k in (0, ' + str(half) + ') then 1 else 2 end) / ' + str(size) + '.0 * exp(a) * (cos(b) * c - sin(b) * s))')} as re from e join w on w.k = e.k where w.n < 64 group by ch, w.n"
+    )
+
+
+@query(_minimum_phase_sql(512))
 def minimum_phase(spark, d):
     return _out(ke.minimum_phase(tb.vectors(spark, d)), "re")
 
@@ -1235,9 +1257,24 @@ def fft_spectrum(spark, d):
     return _out(ke.fft_spectrum(tb.events(spark, d), 100), "re", "im", digits=4)
 
 
-@query()
+_LOUD = (
+    "c as (select l_suppkey % 5 as ch, row_number() over (partition by l_suppkey % 5 order by l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, "
+    "l_extendedprice, l_discount, l_tax, l_suppkey) - 1 as n, l_extendedprice / 1e5::double as re from lineitem)"
+)
+
+
+@query(
+    f"with {_LOUD}, e as (select ch, max(n) + 1 as size from c group by ch), {_taps_sql(_impulse(ke.k_weighting(4800), 1000))}, "
+    "y as materialized (select c.ch, c.n + m as n, sum(re * b) as re from c join e on e.ch = c.ch, t where c.n + m < size group by c.ch, c.n + m), "
+    "f as (select y.ch, f, sum(re * re) / 1920 as p from (select ch, n, re, unnest(range(greatest(0, (n - 1920) // 480), n // 480 + 1)) as f from y) y join e on e.ch = y.ch "
+    "where n >= f * 480 and n < f * 480 + 1920 and f * 480 + 1920 < size group by y.ch, f), "
+    "b as (select sum(p * (case when ch < 3 then 1.0 else 1.41 end)) as p from f group by f), g as (select p, -0.691 + 10 * log10(p) as l from b where -0.691 + 10 * log10(greatest(p, 1e-30)) > -70) "
+    f"select {_r('-0.691 + 10 * log10(avg(p))', 4)} as lufs from g where l > (select -0.691 + 10 * log10(avg(p)) - 10 from g)"
+)
 def integrated_loudness(spark, d):
-    return _out(ke.loudness(ge.sine(spark, 997.0, 48000, 96000), 48000), "lufs", digits=4)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", *order, (F.col("l_suppkey") % 5).alias("five"), (F.col("l_extendedprice") / 1e5).alias("level"))
+    return _out(ke.loudness(tb.ranked(rows, "five", [*order, "l_suppkey"], "level"), 4800), "lufs", digits=4)
 
 
 @query(f"with {_resample_sql(4, 1)} select ch, {_r('20 * log10(max(abs(re)))')} as true_peak_db from y group by ch")
@@ -1263,7 +1300,48 @@ def activity_detector(spark, d):
 )
 def compressor(spark, d):
     x = tb.vectors(spark, d)
-    return _out(ke.compressor(x, 64, -20.0, 4.0, 0.01, 0.1), "re")
+    return _out(dy.compressor(x, 64, -20.0, 4.0, 0.01, 0.1), "re")
+
+
+_ONE = "e as materialized (select row_number() over (order by ts, event_id) - 1 as n, value as re, count(*) over () as c from events)"
+
+
+@query(
+    f"with {_ONE}, k as (select unnest(range(0, (select max(c) from e) // 2 + 1)) as k) "
+    f"select 0::bigint as ch, cast(k as integer) as k, k / (any_value(c) / 100.0::double) as f_hz, {_r('sum(re * cos(-2 * pi() * ((n * k) % c) / c))', 3)} as re, {_r('sum(re * sin(-2 * pi() * ((n * k) % c) / c))', 3)} as im from e, k group by k"
+)
+def fft_of_one_long_channel(spark, d):
+    """All events are one channel; rows of 256 values at most."""
+    return _out(lf.spectrum(tb.events_in_one(spark, d), 100, whole=256), "re", "im", digits=3)
+
+
+@query(f"with {_ONE}, p as (select *, re * re as p from e) select 0::bigint as ch, n, {_r('10 * log10(greatest(sum(p) over (order by n desc rows between unbounded preceding and current row) / sum(p) over (), 1e-300))')} as edc_db from p")
+def energy_decay_of_one_long_channel(spark, d):
+    return _out(rm.energy_decay(tb.events_in_one(spark, d), levels=2), "edc_db")
+
+
+def _gate_sql(condition: str, attack: int, hold: int, release: int) -> str:
+    """Phases by windows over whole channels: marks, open samples, runs."""
+    reach = attack + hold + release
+    return (
+        f"{E}, b as (select ch, n, re, {condition} as b from e), g as (select ch, n, re, n > 0 and lag(b) over w and (n = 1 or lag(b, 2) over w) as mark from b window w as (partition by ch order by n)), "
+        f"o as (select ch, n, re, coalesce(n - max(case when mark then n end) over (partition by ch order by n rows between unbounded preceding and current row) < {reach}, false) as o from g), "
+        "r as (select *, sum(case when o and not coalesce(p, false) then 1 else 0 end) over (partition by ch order by n) as run from (select *, lag(o) over (partition by ch order by n) as p from o)), "
+        "i as (select *, max(n) over (partition by ch) as fin, min(case when o then n end) over (partition by ch, run, o) as s, max(case when o then n end) over (partition by ch, run, o) as z from r), "
+        f"p as (select ch, n, re, o, s, z, o and s > 0 and n < s + {attack} as attack, o and n >= z - {release} and z < fin as release from i), "
+        "gate as (select ch, n, re, attack, o and not attack and not release as hold, release, case when o then n - s end as since, case when o then z - n end as until from p)"
+    )
+
+
+@query(f"with {_gate_sql('re > 100', 2, 3, 4)} select ch, n, attack, hold, release, since, until from gate")
+def attack_hold_release(spark, d):
+    return dy.attack_hold_release(tb.events(spark, d), F.col("re") > 100, 2, 3, 4)
+
+
+@query(f"with {_gate_sql('re < 20', 3, 1, 5)} select ch, n, {_r('re * (0.1 + 0.9 * (case when attack then (since + 1) / 3.0 when release then until / 6.0 when hold then 1 else 0 end))')} as re from gate")
+def gated(spark, d):
+    e = tb.events(spark, d)
+    return _out(dy.gate_gain(e, dy.attack_hold_release(e, F.col("re") < 20, 3, 1, 5), 3, 5, 0.1), "re")
 
 
 # --- names of before, for the same rows -------------------------------------------

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def ranked(rows: DataFrame, ch: str, order: list[str], value: str) -> DataFrame:
-    """(ch, n, re): each channel's rows in order."""
-    n = F.row_number().over(Window.partitionBy(ch).orderBy(*order)).cast("long") - 1
-    return rows.select(F.col(ch).alias("ch"), n.alias("n"), F.col(value).cast("double").alias("re"))
+def ranked(rows: DataFrame, ch: str, order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """(ch, n, re): each channel's rows in order.
+
+    For channels that no task should hold, ``bucket`` is a long that never falls
+    along the order (a day of a time, say): rows are numbered in their bucket,
+    and what the buckets before hold is a running sum of one count for each.
+    """
+    values = [F.col(ch).alias("ch"), F.col(value).cast("double").alias("re")]
+    if bucket is None:
+        n = F.row_number().over(Window.partitionBy(ch).orderBy(*order)).cast("long") - 1
+        return rows.select(F.col(ch).alias("ch"), n.alias("n"), values[1])
+    from sonagrid.operators.scans import before
+
+    cut = rows.select(*values, *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], bucket.cast("long").alias("bucket"))
+    place = F.row_number().over(Window.partitionBy("ch", "bucket").orderBy(*[f"o{i}" for i in range(len(order))])) - 1
+    counts = before(cut.groupBy("ch", "bucket").agg(F.count(F.lit(1)).alias("rows")), ("ch",), "bucket", "rows", F.sum, "ahead", levels=2)
+    both = cut.withColumn("place", place).join(counts.select("ch", "bucket", "ahead"), ["ch", "bucket"])
+    return both.select("ch", (F.col("place") + F.coalesce("ahead", F.lit(0.0)).cast("long")).alias("n"), "re")
+
+
+def events_in_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One channel, 0: the values of all events in the order of time."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(0).cast("long").alias("one"), "ts", "event_id", "value")
+    return ranked(rows, "one", ["ts", "event_id"], "value", F.unix_date(F.to_date("ts")))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,48 @@ def test_clean_finds_the_one_source(spark, scene):
     csm = spark.createDataFrame(rows, "array_id long, k int, ch_i long, ch_j long, re double, im double")
     got = maps(bf.clean_sc(csm, scene[2], keys=("array_id",)))[0]
     assert np.argmax(got) == 4 and got[4] > 0.99 * got.sum() and np.isclose(got[4], 1, rtol=1e-3)
+
+
+def test_functional_keeps_the_scale_of_weights_on_demand(scene):
+    def formula(c, h):
+        w, v = np.linalg.eigh(c)
+        root = v @ np.diag(np.maximum(w, 0) ** 0.25) @ v.conj().T
+        return np.array([(x.conj() @ root @ x).real ** 4 / np.linalg.norm(x) ** 6 for x in h])
+
+    check(bf.functional(scene[1], scene[2], 4.0, keys=("array_id",), scaled=True), scene, formula)
+
+
+@pytest.mark.parametrize("remove_diagonal, share, inner", [(False, 0.5, 0), (True, 0.5, 20), (False, 0.7, 20)])
+def test_clean_takes_the_steps_of_the_method(scene, remove_diagonal, share, inner):
+    def formula(c, h):
+        c = c - np.diag(np.diag(c)) if remove_diagonal else c.copy()
+        power = np.einsum("pi,ij,pj->p", h.conj(), c, h).real
+        out, norm = np.zeros(len(h)), 2 * np.linalg.norm(c, 1)
+        for _ in range(10):
+            best = int(np.argmax(power))
+            peak, w = power[best], h[best]
+            out[best] += share * peak
+            if np.linalg.norm(c, 1) >= norm:
+                break
+            norm, x = np.linalg.norm(c, 1), w if inner else c @ w / peak
+            for _ in range(inner):
+                x = (c @ w / peak + np.abs(x) ** 2 * w) / np.sqrt(1 + np.abs(x) ** 2 @ np.abs(w) ** 2)
+            g = peak * np.outer(x, x.conj())
+            if remove_diagonal:
+                np.fill_diagonal(g, 0)
+            c = c - share * g
+            power = power - share * np.einsum("pi,ij,pj->p", h.conj(), g, h).real
+        return out
+
+    check(bf.clean_sc(scene[1], scene[2], share=share, remove_diagonal=remove_diagonal, keys=("array_id",), inner=inner), scene, formula)
+
+
+def test_clean_separates_two_sources(spark, scene):
+    """Two sources that are not coherent, each seen exactly by the steering of its point."""
+    h = scene[3]
+    a, b = (h[p] / np.linalg.norm(h[p]) ** 2 for p in (0, 8))
+    c = 4.0 * np.outer(a, a.conj()) + np.outer(b, b.conj())
+    rows = [(0, 2, i, j, float(c[i, j].real), float(c[i, j].imag)) for i in range(5) for j in range(i, 5)]
+    csm = spark.createDataFrame(rows, "array_id long, k int, ch_i long, ch_j long, re double, im double")
+    got = maps(bf.clean_sc(csm, scene[2], iterations=20, keys=("array_id",)))[0]
+    assert set(np.argsort(got)[-2:]) == {0, 8} and got[0] > 2 * got[8] > 0
