@@ -5,8 +5,10 @@ from __future__ import annotations
 from math import pi, sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonagrid.operators import kernels as ke
 
@@ -68,14 +70,12 @@ def from_cepstrum(signal: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
     return ke.mapped(signal, lambda c: np.fft.irfft(np.exp(np.fft.rfft(c)), len(c)), keys)
 
 
-#: Entries of a basis table at most; more would no longer be a small side of a join.
-MOST_ENTRIES = 1 << 22
+#: Entries of a basis table at most; more would no longer be a small side of a join (see _bent for the other way).
+MOST_ENTRIES = 1 << 20
 
 
 def allpass_chain(warp: float, inputs: int, length: int, first: np.ndarray | None = None) -> np.ndarray:
     """Row m: response (``length`` samples) of m first-order allpasses in a chain, behind a filter of response ``first``."""
-    if inputs * length > MOST_ENTRIES:
-        raise ValueError("too long for one table: warp blocks of the signal")
     line = np.zeros(length) if first is None else np.array(first[:length], dtype=float)
     if first is None:
         line[0] = 1.0
@@ -101,11 +101,68 @@ def _length(signal: DataFrame) -> int:
     return (signal.agg(F.max("n")).first()[0] or 0) + 1
 
 
-def warped(signal: DataFrame, warp: float, length: int | None = None, keys: Keys = ("ch",)) -> DataFrame:
+#: Neighbours on the doubled frequency grid that a value between is read from, and the window's shape: errors of some 1e-13.
+TAPS, SHAPE = 16, 2.3 * 16
+
+
+def _bent(signal: DataFrame, inputs: int, length: int, warp: float, laguerre_: bool, keys: Keys) -> DataFrame:
+    """Warping as a resampling of the frequency axis, for channels of any length.
+
+    A chain of m allpasses is exp(-i m theta(w)), so the warped signal's spectrum
+    at w is the signal's at theta(w): samples over a window's transform, a
+    transform of twice the length (long_fft), TAPS neighbours of each bent
+    frequency with the window's weights (Kaiser-Bessel), and a transform back,
+    long enough for the chain's tail to fade before it wraps around. Laguerre
+    coefficients bend the other way, by a factor of (1 - warp exp(-i w)). Tables
+    have a row for each sample or frequency; no table grows with the square.
+    """
+    from sonagrid.operators.long_fft import fft
+
+    spark = signal.sparkSession
+    grid = 1 << (2 * inputs - 1).bit_length()
+    ring = inputs * (1 + abs(warp)) / (1 - abs(warp)) + 64 / max(1e-3, 1 - abs(warp))
+    bins = 1 << int(np.ceil(np.log2(max(length, 1.5 * ring, 2))))
+    middle = inputs // 2
+    kind = T.StructType([*(signal.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("re", T.DoubleType())])
+
+    def scaled(it):
+        for batch in it:
+            n = np.asarray(batch.column("n"), dtype=np.int64) - middle
+            root = np.sqrt(SHAPE**2 - (np.pi * TAPS * n / grid) ** 2 + 0j)
+            size = (TAPS * np.sinh(root) / root).real / np.i0(SHAPE)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(n % grid), pa.array(np.asarray(batch.column("re"), dtype=float) / size)], names=[*keys, "n", "re"])
+
+    fine = fft(signal.select(*keys, "n", F.col("re").cast("double").alias("re")).where(F.col("n") < inputs).mapInArrow(scaled, kind), keys, length=grid)
+    bend = -warp if laguerre_ else warp
+
+    def neighbours(it):
+        for batch in it:
+            k = np.asarray(batch.column("id"), dtype=np.int64)
+            w = 2 * np.pi * k / bins
+            theta = w + 2 * np.arctan2(bend * np.sin(w), 1 - bend * np.cos(w))
+            place = theta * (grid / (2 * np.pi))
+            g = np.floor(place).astype(np.int64)[:, None] + np.arange(1 - TAPS // 2, TAPS // 2 + 1)
+            u = 2 * (place[:, None] - g) / TAPS
+            weight = np.where(np.abs(u) <= 1, np.i0(SHAPE * np.sqrt(np.maximum(1 - u * u, 0))) / np.i0(SHAPE), 0.0)
+            turn = np.exp(-1j * theta * middle)
+            if laguerre_:
+                turn = turn * (1 - warp * np.exp(-1j * theta)) / sqrt(1 - warp**2)
+            flat = lambda v: pa.array(np.repeat(v, TAPS))
+            yield pa.RecordBatch.from_arrays([flat(k), pa.array((g % grid).ravel()), pa.array(weight.ravel()), flat(turn.real.copy()), flat(turn.imag.copy())], names=["bin", "k", "v", "c", "s"])
+
+    asked = spark.range(bins).mapInArrow(neighbours, "bin long, k long, v double, c double, s double")
+    read = fine.join(asked, "k").groupBy(*keys, "bin").agg(F.sum(F.col("re") * F.col("v")).alias("a"), F.sum(F.col("im") * F.col("v")).alias("b"), F.first("c").alias("c"), F.first("s").alias("s"))
+    turned = read.select(*keys, F.col("bin").alias("k"), F.expr("a * c - b * s").alias("re"), F.expr("a * s + b * c").alias("im"))
+    return fft(turned, keys, inverse=True, length=bins).where(F.col("n") < length).select(*keys, "n", "re")
+
+
+def warped(signal: DataFrame, warp: float, length: int | None = None, keys: Keys = ("ch",), entries: int = MOST_ENTRIES) -> DataFrame:
     """Samples along a chain of first-order allpasses in place of delays: the
     frequency axis is bent, warp > 0 widens low frequencies. length: of the
     result, by default that of the longest channel."""
     inputs = _length(signal)
+    if inputs * (length or inputs) > entries:
+        return _bent(signal, inputs, length or inputs, warp, False, keys)
     return _on_basis(signal, allpass_chain(warp, inputs, length or inputs), keys)
 
 
@@ -114,9 +171,11 @@ def bark_warp(rate_hz: int) -> float:
     return 1.0674 * sqrt(2 / pi * np.arctan(0.06583 * rate_hz / 1000)) - 0.1916
 
 
-def laguerre(signal: DataFrame, warp: float, keys: Keys = ("ch",)) -> DataFrame:
+def laguerre(signal: DataFrame, warp: float, keys: Keys = ("ch",), entries: int = MOST_ENTRIES) -> DataFrame:
     """Coefficients of the Laguerre basis: sums of the samples with the responses of a low-pass and the chain of allpasses behind it."""
     n = _length(signal)
+    if n * n > entries:
+        return _bent(signal, n, n, warp, True, keys)
     return _on_basis(signal, allpass_chain(warp, n, n, sqrt(1 - warp**2) * warp ** np.arange(n, dtype=float)).T, keys)
 
 
