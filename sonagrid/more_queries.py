@@ -20,6 +20,7 @@ from sonagrid.operators import features as ft
 from sonagrid.operators import filters as fi
 from sonagrid.operators import kernels as ke
 from sonagrid.operators import levels as lv
+from sonagrid.operators import pole_search as ps
 from sonagrid.operators import recursive as rc
 from sonagrid.operators import responses as rs
 from sonagrid.operators import rooms as rm
@@ -861,3 +862,36 @@ _structure(
 @query(f"select n, {_r('exp(-0.5 * pow(n / 2.0, 2)) / (select sum(exp(-0.5 * pow(i / 2.0, 2))) from range(-6, 7) g(i))')} as w from range(-6, 7) t(n)")
 def gaussian_taps(spark, d):
     return _out(spark.createDataFrame([(m, w) for m, w in fi.gaussian_taps(2.0, 6)], "n long, w double"), "w")
+
+
+# --- searches and resynthesis -----------------------------------------------------
+
+_ERB = [500.0, 620.0, 760.0, 920.0, 1100.0, 1310.0]
+
+
+def _resynthesis_taps(frequencies: list[float], rate_hz: int, length: int) -> list[float]:
+    """Responses of all bands, turned and delayed, added."""
+    out = np.zeros(length)
+    for f, (late, factor) in zip(frequencies, de.gammatone_synthesis(frequencies, rate_hz)):
+        n, p = np.arange(length - late), de.gammatone_sections(f, rate_hz)[0]
+        out[late:] += (factor * (n + 1) * (n + 2) * (n + 3) / 6 * p**n).real
+    return out.tolist()
+
+
+@query(f"with {V}, {_taps_sql(_resynthesis_taps(_ERB, 8000, 64))} select ch, n + m as n, {_r('sum(re * b)')} as re from v, t where n + m < 64 group by ch, n + m")
+def gammatone_resynthesis(spark, d):
+    return _out(ke.gammatone_resynthesis(tb.vectors(spark, d), _ERB, 8000), "re")
+
+
+_TWO_POLES = "h as (select vec_id as ch, 0.5 + 0.2 * tanh(3 * cast(embedding[1] as double)) as p, -0.35 - 0.1 * tanh(3 * cast(embedding[2] as double)) as q from embeddings)"
+
+
+@query(
+    f"with {_TWO_POLES}, r as (select ch, unnest([p, q]) as re from h) select ch, cast(row_number() over (partition by ch order by abs(re) desc) - 1 as integer) as i, {_r('re', 4)} as re, {_r('0.0', 4)} as im from r"
+)
+def kautz_poles(spark, d):
+    """Responses p**n + q**n / 2 of poles that each vector's components give; the search finds the poles again."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    two = v.select(F.col("vec_id").alias("ch"), (0.5 + 0.2 * F.tanh(3 * e(0))).alias("p"), (-0.35 - 0.1 * F.tanh(3 * e(1))).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<long>")).alias("n"))
+    return _out(ps.poles(two.select("ch", "n", (F.pow("p", F.col("n")) + 0.5 * F.pow("q", F.col("n"))).alias("re")), 2, 4), "re", "im", digits=4).drop("error")

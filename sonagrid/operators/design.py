@@ -187,6 +187,40 @@ def gammatone_sections(f_hz: float, rate_hz: int, order: int = 4) -> list[comple
     return [decay * np.exp(2j * pi * f_hz / rate_hz)] * order
 
 
+def gammatone_synthesis(frequencies: list[float], rate_hz: int, delay_s: float = 0.004, order: int = 4) -> list[tuple[int, complex]]:
+    """(delay, factor) of each band, so that the real parts of the factors times the delayed
+    bands add up to the signal, delay_s later (Hohmann 2002, section 4).
+
+    A band is delayed so that its envelope's maximum (up to delay_s) comes at
+    delay_s, and turned so that its fine structure has one there: its slope is
+    then the imaginary unit's. Gains are found by rounds: each is divided by the
+    size of the sum of all bands at its own centre.
+    """
+    late = round(delay_s * rate_hz)
+    n = np.arange(late + 2)
+    grow = np.prod([(n + k) / k for k in range(1, order)], axis=0)  # of equal poles in a row
+    poles = np.array([gammatone_sections(f, rate_hz, order)[0] for f in frequencies])
+    size = 2 * (1 - np.abs(poles)) ** order
+    delays, turns = [], []
+    for p, level in zip(poles, size):
+        h = level * grow * p**n
+        top = max(1, int(np.argmax(np.abs(h[: late + 1]))))
+        slope = h[top + 1] - h[top - 1]
+        delays.append(late - top)
+        turns.append(1j * abs(slope) / slope)
+    delays, turns = np.array(delays), np.array(turns)
+
+    def seen(z: np.ndarray) -> np.ndarray:
+        """Each band (column) at each point of the plane (row)."""
+        return size * (1 - poles / z[:, None]) ** -order * turns * z[:, None] ** -delays
+
+    z = np.exp(2j * np.pi * np.asarray(frequencies, dtype=float) / rate_hz)
+    both, gains = (seen(z) + seen(z.conj()).conj()) / 2, np.ones(len(poles))
+    for _ in range(100):
+        gains = gains / np.abs(both @ gains)
+    return [(int(d), complex(g * t * s)) for d, g, t, s in zip(delays, gains, turns, size)]
+
+
 def fractional_octave_edges(centres, fraction: int = 1) -> list[tuple[float, float]]:
     h = 2 ** (0.5 / fraction)
     return [(f / h, f * h) for f in centres]

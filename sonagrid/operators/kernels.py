@@ -303,6 +303,21 @@ def gammatone(signal: DataFrame, f_hz: float, rate_hz: int, keys: Keys = ("ch",)
     return recursive.filtered(signal, recursive.poles_step(list(poles), float(2 * np.prod([1 - abs(p) for p in poles]))), keys)
 
 
+def gammatone_resynthesis(signal: DataFrame, frequencies: list[float], rate_hz: int, delay_s: float = 0.004, keys: Keys = ("ch",)) -> DataFrame:
+    """The signal from its gammatone bands, delay_s late: bands turned, delayed, weighed and
+    added (design.gammatone_synthesis); as long as the signal. A band is one
+    recursion over blocks, the delay a shift of n, the sum a grouping."""
+    from sonagrid.operators.design import gammatone_sections, gammatone_synthesis
+
+    bands = None
+    for f, (late, factor) in zip(frequencies, gammatone_synthesis(frequencies, rate_hz, delay_s)):
+        one = recursive.filtered(signal, recursive.poles_step(list(gammatone_sections(f, rate_hz)), factor), keys)
+        one = one.select(*keys, (F.col("n") + late).alias("n"), "re")
+        bands = one if bands is None else bands.unionByName(one)
+    last = signal.groupBy(*keys).agg(F.max("n").alias("last"))
+    return bands.groupBy(*keys, "n").agg(F.sum("re").alias("re")).join(last, list(keys)).where("n <= last").select(*keys, "n", "re")
+
+
 def feedback_delay(signal: DataFrame, samples: int, feedback: float, saturate: bool = False, tail: bool = False, keep_peak: bool = False, keys: Keys = ("ch",)) -> DataFrame:
     """y[n] = x[n] + feedback * f(y[n - samples]), f the identity or half an arctan of
     twice the value; block by block of the delay. tail lets 1 + 15 * feedback delays ring out."""

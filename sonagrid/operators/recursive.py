@@ -95,15 +95,15 @@ def sections_step(sections: np.ndarray) -> LinearStep:
     return LinearStep(step, 2 * len(rows))
 
 
-def poles_step(poles: list[complex], gain: float) -> LinearStep:
-    """Real part of a cascade of complex one-pole filters."""
+def poles_step(poles: list[complex], gain: complex) -> LinearStep:
+    """Real part of ``gain`` times a cascade of complex one-pole filters."""
 
     def step(state, x):
         new = []
         for k, p in enumerate(poles):
             x = x + p * complex(state[2 * k], state[2 * k + 1])
             new += [x.real, x.imag]
-        return gain * complex(x).real, new
+        return (gain * complex(x)).real, new
 
     return LinearStep(step, 2 * len(poles))
 

@@ -110,6 +110,34 @@ class Affine:
         return self
 
 
+class Moved:
+    """Maps [M row by row, d] of so many states: state to M state + d; blocks without rows change nothing."""
+
+    def __init__(self, states: int):
+        self.states = states
+
+    def _parts(self, map_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = self.states
+        return map_[: k * k].reshape(k, k), map_[k * k :]
+
+    def rest(self, n: int, state: np.ndarray) -> np.ndarray:
+        return state
+
+    def apply(self, map_: np.ndarray, state: np.ndarray) -> np.ndarray:
+        move, add = self._parts(map_)
+        return move @ state + add
+
+    def composed(self, blocks: list[int], maps: list[np.ndarray], first: int, size: int) -> np.ndarray:
+        move, add = np.eye(self.states), np.zeros(self.states)
+        for m in maps:
+            a, d = self._parts(m)
+            move, add = a @ move, a @ add + d
+        return np.concatenate([move.ravel(), add])
+
+    def up(self, size: int) -> Moved:
+        return self
+
+
 class Monotone:
     """Maps [x0 .. xm, y0 .. ym]: rising and piecewise linear through (x, y); states stay between x0 and xm."""
 
