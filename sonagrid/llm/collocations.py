@@ -2,7 +2,7 @@
 
 A shard of the corpus is a slice of texts; its trie has a node for each phrase of
 up to four words, found by numbering words and then pairs of (parent node, next
-word). Tries go out as rows sorted by (language, words), Spark deals these out by
+word). Tries go out as sorted rows, a key and a count each; Spark deals these out by
 range of prefixes and merges the sorted runs, and equal neighbours are added up.
 In a merged range, phrases stand in the order of a walk through the trie, so the
 counts of a phrase's left parts are those of its ancestors on the way. The right
@@ -29,7 +29,7 @@ DEPTH = 4
 #: Bits of the table of frequent phrases (16 MB).
 FILTER_BITS = 1 << 27
 #: Bytes of text in a shard's trie; a longer text is a shard of its own.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 22
 #: Parts of a language that are ranked on their own first.
 RANK_PARTS = 64
 
@@ -41,6 +41,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 ROW = "lang string, w array<string>, f long"
+#: Phrases on their way: words, an empty one and the language, joined by line feeds, which no word has.
+KEYED = "key string, f long"
 
 
 class Shard:
@@ -57,7 +59,7 @@ class Shard:
         starts = np.flatnonzero(solid & (before | edge[:-1]))
         ends = np.flatnonzero(solid & (after | edge[1:])) + 1
         doc = np.searchsorted(off, starts, side="right") - 1
-        cuts = np.cumsum(_CUT[data], dtype=np.int64)[starts]
+        cuts = np.cumsum(_CUT[data], dtype=np.int32 if len(data) < 1 << 31 else np.int64)[starts]
         self.follows = np.append(False, (cuts[1:] == cuts[:-1]) & (doc[1:] == doc[:-1]))[: len(starts)]
         bounds = np.append(0, np.cumsum(ends - starts))
         packed = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[solid])])
@@ -71,18 +73,17 @@ class Shard:
         self.hash = joined(_hashes(self.langs)[self.lang_of], _hashes(self.words)[self.word_of])
 
     def rows(self, nodes: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        """Phrases (rows of word numbers), sorted by language and words."""
-        rank = np.empty(len(self.word_of), dtype=np.int64)
-        order = np.asarray(pa.compute.array_sort_indices(self.words))
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
+        """Phrases (rows of word numbers) as keys, sorted by language and words."""
+        place = np.empty(len(self.words), dtype=np.int64)
+        place[np.asarray(pa.compute.array_sort_indices(self.words))] = np.arange(len(self.words))
         rank = place[self.word_of]
         order = np.lexsort((*(rank[nodes[:, k]] for k in range(nodes.shape[1] - 1, -1, -1)), self.lang_of[nodes[:, 0]]))
         nodes, f = nodes[order], f[order]
-        flat = self.words.take(pa.array(self.word_of[nodes].ravel())).cast(pa.string())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * nodes.shape[1], pa.int32()), flat)
-        langs = self.langs.take(pa.array(self.lang_of[nodes[:, 0]])).cast(pa.string())
-        return pa.RecordBatch.from_arrays([langs, lists, pa.array(f)], names=["lang", "w", "f"])
+        words_ = [self.words.take(pa.array(self.word_of[column])) for column in nodes.T]
+        langs = self.langs.cast(pa.large_string()).take(pa.array(self.lang_of[nodes[:, 0]]))
+        none = pa.scalar("", pa.large_string())
+        key = pa.compute.binary_join_element_wise(*words_, none, langs, pa.scalar("\n", pa.large_string()))
+        return pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(f)], names=["key", "f"])
 
 
 def _hashes(strings: pa.Array) -> np.ndarray:
@@ -140,34 +141,30 @@ def _chunks(rows: pa.RecordBatch, size: int = 1 << 16):
 
 
 def _added(it):
-    """Rows in order: the sum of neighbours with equal language and words."""
-    lang = words = None
-    f = 0
+    """Rows in order: the sum of neighbours with equal keys."""
+    last = None
     for batch in it:
-        out = []
-        for x, w, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "w", "f"))):
-            if w == words and x == lang:
-                f += n
-                continue
-            if words is not None:
-                out.append((lang, words, f))
-            lang, words, f = x, w, n
-        if out:
-            yield _batch(out)
-    if words is not None:
-        yield _batch([(lang, words, f)])
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, w, f = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(w, pa.list_(pa.string())), pa.array(f, pa.int64())], names=["lang", "w", "f"])
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        key, n = batch.column("key"), batch.num_rows
+        heads = np.flatnonzero(np.append(True, np.asarray(pa.compute.not_equal(key.slice(1), key.slice(0, n - 1)))))
+        f = np.add.reduceat(np.asarray(batch.column("f")), heads)
+        out = batch.take(pa.array(heads)).set_column(1, "f", pa.array(f))
+        yield out.slice(0, len(heads) - 1)
+        last = out.slice(len(heads) - 1)
+    if last is not None:
+        yield last
 
 
 def _merged(docs: DataFrame, depths: tuple[int, ...], table, least: int, name: str) -> DataFrame:
     """(lang, w, f) of all phrases of these depths with f >= least, a table."""
-    shards = written(docs.mapInArrow(_tries(depths, table), ROW), f"{name}-shards")
-    runs = shards.repartitionByRange("lang", "w").sortWithinPartitions("lang", "w")
-    out = written(runs.mapInArrow(_added, ROW).where(F.col("f") >= least), name)
+    shards = written(docs.mapInArrow(_tries(depths, table), KEYED), f"{name}-shards")
+    runs = shards.repartitionByRange("key").sortWithinPartitions("key")
+    many = runs.mapInArrow(_added, KEYED).where(F.col("f") >= least)
+    phrase = F.substring_index("key", "\n\n", 1)
+    out = written(many.select(F.expr("substring(key, length(substring_index(key, '\\n\\n', 1)) + 3)").alias("lang"), F.split(phrase, "\n").alias("w"), "f"), name)
     dropped(shards)
     return out
 
@@ -223,12 +220,14 @@ def _with_left(nodes: DataFrame) -> DataFrame:
     lost = F.filter(F.transform("left", lambda c, k: F.when(c.isNull(), F.slice("w", 1, k + 1))), lambda p: p.isNotNull())
     missing = walked.select("lang", F.explode(lost).alias("w")).distinct()
     found = nodes.join(F.broadcast(missing), ["lang", "w"]).select(F.col("lang").alias("l2"), F.col("w").alias("w2"), F.col("f").alias("f2"))
+    lacks = F.exists("left", lambda c: c.isNull())
+    mended = walked.where(lacks)
     for k in range(1, DEPTH):
         here = F.broadcast(found.where(F.size("w2") == k))
         on = (F.get("left", F.lit(k - 1)).isNull()) & (F.size("w") > k) & (F.col("lang") == F.col("l2")) & (F.slice("w", 1, k) == F.col("w2"))
         fixed = F.transform("left", lambda c, i: F.coalesce(c, F.when(i == F.lit(k - 1), F.col("f2"))))  # noqa: B023
-        walked = walked.join(here, on, "left").select("lang", "w", "f", fixed.alias("left"))
-    return walked
+        mended = mended.join(here, on, "left").select("lang", "w", "f", fixed.alias("left"))
+    return walked.where(~lacks).unionByName(mended)
 
 
 def _with_right(nodes: DataFrame) -> DataFrame:
