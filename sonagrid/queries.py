@@ -1303,6 +1303,47 @@ def compressor(spark, d):
     return _out(dy.compressor(x, 64, -20.0, 4.0, 0.01, 0.1), "re")
 
 
+def _pairs_sql(value: str, by_key: str = "sum(v)") -> str:
+    """Maps of two microphones: the matrix (a, c + i s; ., d) of all bins but the first (which detrending
+    empties), both weights (g, h) of a point, n = |weights|^2, q = the form, eigenvalues t + r and t - r."""
+    return (
+        f"{_STFT}, {_steer_sql('(1 / (d * sqrt(n * s)))')}, e2 as (select *, ch // 2 as array_id, ch % 2 as mic from s where k > 0), "
+        "m2 as materialized (select x.array_id, x.k, avg(x.re * x.re + x.im * x.im) as a, avg(y.re * y.re + y.im * y.im) as d, avg(x.re * y.re + x.im * y.im) as c, avg(x.re * y.im - x.im * y.re) as s "
+        "from e2 x join e2 y on y.array_id = x.array_id and y.frame = x.frame and y.k = x.k and y.mic = 1 where x.mic = 0 group by x.array_id, x.k), "
+        "w2 as (select g.pid, g.re as gr, g.im as gi, h.re as hr, h.im as hi from st g join st h on h.pid = g.pid and h.mid = 1 where g.mid = 0), "
+        "f2 as (select array_id, k, pid, a, d, c, s, gr * gr + gi * gi as gg, hr * hr + hi * hi as hh, 2 * (c * (gr * hr + gi * hi) - s * (gr * hi - gi * hr)) as x, "
+        "(a + d) / 2 as t, sqrt(pow((a - d) / 2, 2) + c * c + s * s) as r from m2, w2), "
+        f"v2 as (select array_id, k, pid, {value} as v from f2)"
+    )
+
+
+def _two_microphones(spark, d):
+    """(matrices of all pairs of channels over the frames that both have, weights of the two)"""
+    spectra = _array_spectra(spark, d, 2).where("k > 0")
+    both = spectra.where("k = 1").groupBy("array_id", "frame").agg(F.countDistinct("ch").alias("mics")).where("mics = 2").select("array_id", "frame")
+    return sp.cross_spectra(spectra.join(both, ["array_id", "frame"], "left_semi"), keys=_ARRAY), bf.steering(_grid(spark), _mics(spark), 36.0).where("mid < 2")
+
+
+@query(f"with {_pairs_sql('((a + 5e-4 * (a + d)) * (d + 5e-4 * (a + d)) - c * c - s * s) / ((d + 5e-4 * (a + d)) * gg + (a + 5e-4 * (a + d)) * hh - x)')} select array_id, pid, {_r('sum(v)', 3)} as power from v2 group by array_id, pid")
+def beamformer_mvdr_of_pairs(spark, d):
+    return _out(bf.mvdr(*_two_microphones(spark, d), loading=1e-3, keys=_ARRAY), "power", digits=3)
+
+
+@query(f"with {_pairs_sql('pow((sqrt(t + r) * (a * gg + d * hh + x - (t - r) * (gg + hh)) - sqrt(greatest(t - r, 0)) * (a * gg + d * hh + x - (t + r) * (gg + hh))) / (2 * r) / (gg + hh), 2)')} select array_id, pid, {_r('sum(v)', 3)} as power from v2 group by array_id, pid")
+def beamformer_functional_of_pairs(spark, d):
+    return _out(bf.functional(*_two_microphones(spark, d), gamma=2.0, keys=_ARRAY), "power", digits=3)
+
+
+@query(
+    f"with {_pairs_sql('round((a * gg + d * hh + x - (t - r) * (gg + hh)) / (2 * r), 12)')}, top as (select v2.array_id, v2.k, v2.pid, row_number() over (partition by v2.array_id, v2.k order by v desc, v2.pid) as place from v2), "
+    "u as (select top.array_id, top.pid, (t + r) / 2 as power from top join (select distinct array_id, k, t, r from f2) l on l.array_id = top.array_id and l.k = top.k where place = 1 "
+    "union all select array_id, pid, 0.0 from (select distinct array_id from m2), (select distinct pid from w2)) "
+    f"select array_id, pid, {_r('sum(power)', 3)} as power from u group by array_id, pid"
+)
+def beamformer_orthogonal_of_pairs(spark, d):
+    return _out(bf.orthogonal(*_two_microphones(spark, d), 1, keys=_ARRAY), "power", digits=3)
+
+
 _ONE = "e as materialized (select row_number() over (order by ts, event_id) - 1 as n, value as re, count(*) over () as c from events)"
 
 
