@@ -15,6 +15,15 @@ def arrays(signal: DataFrame, size: int) -> DataFrame:
     return signal.withColumns({"array_id": F.floor(F.col("ch") / size), "ch": F.pmod("ch", F.lit(size).cast("long"))})
 
 
+def shared_frames(spectra: DataFrame, keys: Keys = ("array_id",)) -> DataFrame:
+    """The frames that all channels of an array have: means over other frames for
+    each pair of channels would make a matrix that no signals can have."""
+    has = spectra.select(*keys, "ch", "frame").distinct()
+    all_ = has.groupBy(*keys).agg(F.countDistinct("ch").alias("__mics"))
+    whole = has.groupBy(*keys, "frame").agg(F.count(F.lit(1)).alias("__there")).join(all_, list(keys)).where("__there = __mics")
+    return spectra.join(whole.select(*keys, "frame"), [*keys, "frame"], "left_semi")
+
+
 def _distance(a: str, b: str) -> Column:
     d = [F.col(f"{a}.{x}") - F.col(f"{b}.{x}") for x in "xyz"]
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])

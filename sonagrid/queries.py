@@ -1090,7 +1090,7 @@ def _array_spectra(spark, d, size: int):
 
 def _band(spark, d):
     """(matrices of arrays of eight microphones, steering)"""
-    csm = sp.cross_spectra(_array_spectra(spark, d, 8).where("k between 2 and 4"), keys=_ARRAY)
+    csm = sp.cross_spectra(bf.shared_frames(_array_spectra(spark, d, 8).where("k between 2 and 4")), keys=_ARRAY)
     return csm, bf.steering(_grid(spark), _mics(spark), 36.0)
 
 
