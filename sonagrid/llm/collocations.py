@@ -17,10 +17,12 @@ work and decides nothing.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonagrid.llm.common import SPACE, dropped, join_by_key, joined, spread, text_slices, utf8, word_hashes, written
@@ -160,15 +162,30 @@ def _added(it):
 
 def _merged(docs: DataFrame, depths: tuple[int, ...], table, least: int, name: str) -> DataFrame:
     """(lang, w, f) of all phrases of these depths with f >= least, a table."""
-    shards = written(docs.mapInArrow(_tries(depths, table), KEYED), f"{name}-shards")
+    with _set(docs.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
+        shards = written(docs.mapInArrow(_tries(depths, table), KEYED), f"{name}-shards")
     runs = shards.repartitionByRange("key").sortWithinPartitions("key")
     many = runs.mapInArrow(_added, KEYED).where(F.col("f") >= least)
     phrase = F.substring_index("key", "\n\n", 1)
-    out = written(many.select(F.expr("substring(key, length(substring_index(key, '\\n\\n', 1)) + 3)").alias("lang"), F.split(phrase, "\n").alias("w"), "f"), name)
+    lang = F.expr("substring(key, length(substring_index(key, '\\n\\n', 1)) + 3)").alias("lang")
+    # nothing reads a merge's shuffle once its result is a table: its files go with the query
+    with _set(docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        out = written(many.select(lang, F.split(phrase, "\n").alias("w"), "f"), name)
     dropped(shards)
     return out
 
 
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str):
+    """A session's setting for a while."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def _bit_table(frequent: DataFrame):
     """The bits of all phrases: at most FILTER_BITS / 64 numbers, whatever the corpus is."""
 
