@@ -20,6 +20,7 @@ from sonagrid.operators import features as ft
 from sonagrid.operators import filters as fi
 from sonagrid.operators import kernels as ke
 from sonagrid.operators import levels as lv
+from sonagrid.operators import phase_design as pe
 from sonagrid.operators import pole_search as ps
 from sonagrid.operators import recursive as rc
 from sonagrid.operators import responses as rs
@@ -895,3 +896,48 @@ def kautz_poles(spark, d):
     e = lambda i: F.get("embedding", F.lit(i)).cast("double")
     two = v.select(F.col("vec_id").alias("ch"), (0.5 + 0.2 * F.tanh(3 * e(0))).alias("p"), (-0.35 - 0.1 * F.tanh(3 * e(1))).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<long>")).alias("n"))
     return _out(ps.poles(two.select("ch", "n", (F.pow("p", F.col("n")) + 0.5 * F.pow("q", F.col("n"))).alias("re")), 2, 4), "re", "im", digits=4).drop("error")
+
+
+# --- phase design -----------------------------------------------------------------
+
+_END = lambda d, e: f"case when sign((3 * {d} - {e}) / 2) <> sign({d}) then 0 when sign({d}) <> sign({e}) and abs((3 * {d} - {e}) / 2) > 3 * abs({d}) then 3 * {d} else (3 * {d} - {e}) / 2 end"
+
+_DELAYS = (
+    f"{_DFT}, q as (select *, lag(re) over o as r0, lag(im) over o as i0 from s window o as (partition by ch order by k)), "
+    "a as (select ch, k, case when k > 0 then atan2(r0 * im - i0 * re, r0 * re + i0 * im) end as d from q), "
+    "g as (select ch, k, -case when k = 0 then lead(d) over o when k = 32 then d else (d + lead(d) over o) / 2 end as g from a window o as (partition by ch order by k))"
+)
+
+#: From y (ch, k, y), a delay in radians a bin at bins 0 to 32, to the taps r (ch, n, re).
+_DESIGN = (
+    "z as (select ch, c.late, case when c.late * 10 > 64 then c.late * 10 + 1 + (c.late * 10 + 1) % 2 else 64 end as size from "
+    "(select ch, cast(trunc(max(y) * 64 / (2 * pi()) + 1) as bigint) as late from y group by ch) c), "
+    "d as (select ch, k, y, y - lag(y) over o as d0, lead(y) over o - y as d1, lead(y, 2) over o - lead(y) over o as d2, lag(y) over o - lag(y, 2) over o as dm from y window o as (partition by ch order by k)), "
+    f"m as (select ch, k, y, case when k = 0 then {_END('d1', 'd2')} when k = 32 then {_END('d0', 'dm')} when d0 * d1 > 0 then 2 * d0 * d1 / (d0 + d1) else 0 end as m from d), "
+    "c as (select ch, k, y as y0, m as m0, lead(y) over o as y1, lead(m) over o as m1 from m window o as (partition by ch order by k)), "
+    "j as (select ch, size, late, unnest(range(0, size // 2 + 1)) as j from z), "
+    "u as (select *, least(j * 64 // size, 31) as k, j * 64.0::double / size - least(j * 64 // size, 31) as u from j), "
+    "vv as (select u.ch, u.size, u.late, u.j, 64.0::double / u.size * (y0 * (1 + 2 * u) * (1 - u) * (1 - u) + m0 * u * (1 - u) * (1 - u) + y1 * u * u * (3 - 2 * u) - m1 * u * u * (1 - u)) as v "
+    "from u join c on c.ch = u.ch and c.k = u.k), "
+    "w as (select *, -(sum(v) over (partition by ch order by j) - (v + first_value(v) over (partition by ch order by j)) / 2) as phase from vv), "
+    "r as (select ch, n, sum(case when j = 0 or 2 * j = size then cos(phase) * cos(pi() * 2 * j / size * n) else 2 * cos(phase + 2 * pi() * ((j * n) % size) / size) end) / any_value(size) as re "
+    "from (select *, unnest(range(0, late + 1)) as n from w) t group by ch, n)"
+)
+
+
+@query(f"with {_DELAYS} select ch, k, {_r('g')} as delay from g")
+def delay_of_phase(spark, d):
+    return _out(pe.delay_of_phase(_spectrum(spark, d)), "delay")
+
+
+@query(f"with {_DELAYS}, y as (select ch, k, 2 * max(g) over (partition by ch) - g as y from g), {_DESIGN} select ch, n, {_r('re')} as re from r")
+def phase_linearizer(spark, d):
+    """Responses that make the phase of each vector's spectrum linear."""
+    return _out(pe.linearized(_spectrum(spark, d), 64, 1), "re")
+
+
+@query(f"with {V}, y as (select ch, n as k, (2 + tanh(re)) * 2 * pi() / 64 as y from v where n <= 32), {_DESIGN} select ch, n, {_r('re')} as re from r")
+def group_delay_design(spark, d):
+    """Responses whose delays, between 1 and 3 samples, follow each vector's components."""
+    delays = tb.vectors(spark, d).select("ch", F.col("n").alias("k"), (2 + F.tanh("re")).alias("delay_s"))
+    return _out(pe.designed(delays, 64, 1), "re")
