@@ -31,6 +31,7 @@ from sonagrid.operators import transforms as tf
 from sonagrid.queries import _DFT, _HANN, _MICS, _PEAK, _POWER, _STFT, E, P, V, _bank_sql, _basis_sql, _impulse, _mics, _out, _power, _r, _stft, _taps_sql, _wavelet_sql, _weights_sql, octave_reverberation, query, speech_features
 from sonagrid.sources import generators as ge
 from sonagrid.sources import tables as tb
+from sonagrid.streaming import ordered as od
 
 
 def _spectrum(spark, d):
@@ -941,3 +942,32 @@ def group_delay_design(spark, d):
     """Responses whose delays, between 1 and 3 samples, follow each vector's components."""
     delays = tb.vectors(spark, d).select("ch", F.col("n").alias("k"), (2 + F.tanh("re")).alias("delay_s"))
     return _out(pe.designed(delays, 64, 1), "re")
+
+
+# --- streams in event time ----------------------------------------------------------
+
+
+@query(
+    f"with {E}, c as (select ch, count(*) as size from e group by ch), f as (select ch, unnest(range(0, (size - 32) // 12 + 1)) as frame from c where size >= 32) "
+    f"select f.ch, frame, n - frame * 12 as m, {_r('re')} as x from f join e on e.ch = f.ch and e.n between frame * 12 and frame * 12 + 31"
+)
+def frames_of_a_stream(spark, d):
+    """Sliding frames of each user's events, of which a stream has blocks of 20 in any order."""
+    out = od.replayed(od.blocks_of(tb.events(spark, d), 20), lambda s: od.frames(s, 32, 12, 20))
+    return _out(out.select("ch", "frame", F.posexplode("samples").alias("m", "x")).withColumn("m", F.col("m").cast("long")), "x")
+
+
+_MATRIX = np.array([[[0.5, 0.3, -0.2, 0.1, 0.05], [1.0, 0.0, 0.4, 0.0, 0.0]], [[0.0, 0.25, 0.25, 0.25, 0.25], [-0.5, 0.5, 0.0, 0.0, 0.1]]])
+_MATRIX_ROWS = ", ".join(f"({o}, {i}, {m}, {float(_MATRIX[o, i, m])!r}::double)" for o in range(2) for i in range(2) for m in range(5))
+
+
+@query(
+    f"with {V}, t(output, input, m, b) as (values {_MATRIX_ROWS}), a as (select ch // 2 as ch, ch % 2 as input, n, re from v), "
+    f"y as (select ch, output, n + m as n, sum(re * b) as re from a join t using (input) where n + m < 64 group by ch, output, n + m) select ch, output, n, {_r('re')} as re from y"
+)
+def matrix_of_responses_stream(spark, d):
+    """Two inputs, vectors 2 i and 2 i + 1, through a matrix of responses as a stream of blocks in any order."""
+    x = tb.vectors(spark, d).select(F.floor(F.col("ch") / 2).alias("pair"), (F.col("ch") % 2).alias("input"), "n", "re")
+    out = od.replayed(od.blocks_of(x, 16, "pair", "input"), lambda s: od.convolved(s, _MATRIX, 16))
+    rows = out.select("ch", "output", "block", F.posexplode("samples").alias("i", "re"))
+    return _out(rows.select("ch", "output", (F.col("block") * 16 + F.col("i")).alias("n"), "re"), "re")

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df with its rows in the session's spark.checkpoint.dir, so that a lost executor
-    costs a re-read of one round. Where no folder is set: a temporary one in
+def shared(spark: SparkSession) -> str:
+    """The session's folder in spark.checkpoint.dir. Where none is set: a temporary one in
     local mode, an error on a cluster."""
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,4 +18,10 @@ def kept(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="rounds-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df with its rows in the shared folder, so that a lost executor costs a re-read of one round."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
