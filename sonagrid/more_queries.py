@@ -3,6 +3,7 @@ effects and designs; see sonagrid.queries."""
 
 from __future__ import annotations
 
+import uuid
 from math import cos, log10, pi, sqrt
 
 import numpy as np
@@ -31,6 +32,8 @@ from sonagrid.operators import transforms as tf
 from sonagrid.queries import _DFT, _HANN, _MICS, _PEAK, _POWER, _STFT, E, P, V, _bank_sql, _basis_sql, _impulse, _mics, _out, _power, _r, _stft, _taps_sql, _wavelet_sql, _weights_sql, octave_reverberation, query, speech_features
 from sonagrid.sources import generators as ge
 from sonagrid.sources import tables as tb
+from sonagrid.sources import wav
+from sonagrid.state import shared
 from sonagrid.streaming import ordered as od
 
 
@@ -971,3 +974,16 @@ def matrix_of_responses_stream(spark, d):
     out = od.replayed(od.blocks_of(x, 16, "pair", "input"), lambda s: od.convolved(s, _MATRIX, 16))
     rows = out.select("ch", "output", "block", F.posexplode("samples").alias("i", "re"))
     return _out(rows.select("ch", "output", (F.col("block") * 16 + F.col("i")).alias("n"), "re"), "re")
+
+
+@query(
+    f"with {V}, i as (select ch, ch // 64 as file, dense_rank() over (partition by ch // 64 order by ch) - 1 as c from (select distinct ch from v)) "
+    "select file, c as ch, n, greatest(-8388608, least(8388607, round_even(re * 8388608, 0))) / 8388608 as re from v join i using (ch)"
+)
+def wav_in_ranges(spark, d):
+    """Vectors as channels of 24-bit files, 64 in each, written and read back in ranges of 4 kB."""
+    folder = f"{shared(spark)}/wav-{uuid.uuid4().hex}"
+    x = tb.vectors(spark, d).select(F.floor(F.col("ch") / 64).alias("file"), "ch", "n", "re")
+    wav.write(x, folder, 8000, "file", 24)
+    back = wav.samples(wav.read_ranges(spark, folder, 16, 4096))
+    return back.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("file"), "ch", "n", "re")
