@@ -24,6 +24,9 @@ Keys = tuple[str, ...]
 #: Samples of a channel that one row may hold (256 kB), and a round's row at most; longer ones go in two rounds.
 WHOLE = 1 << 14
 
+#: How a channel is transformed.
+PLAN = ("size", "a", "b", "padded")
+
 
 def two_factors(n: int, most: int) -> tuple[int, int]:
     """(A, B) with A * B = n, A the largest divisor up to the root, and B up to ``most``; (0, 0) if there is none."""
@@ -73,31 +76,58 @@ def _short(keys: Keys, group: str, by: str, size: str, sign: float):
                 row = np.repeat(np.arange(to - at), np.asarray(lists.value_lengths()))
                 x = np.zeros((to - at, n), dtype=complex)
                 x[row, np.asarray(flat.field("at"), dtype=np.int64)] = np.asarray(flat.field("re")) + 1j * np.asarray(flat.field("im"))
-                y = (np.fft.fft(x, axis=1) if sign < 0 else np.fft.ifft(x, axis=1) * n).ravel()
-                take = pa.array(np.repeat(np.arange(to - at), n))
-                kept = [part.column(c).take(take) for c in (*keys, group, "size", "a", "b", "padded")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.tile(np.arange(n), to - at)), pa.array(y.real.copy()), pa.array(y.imag.copy())], names=[*keys, group, "size", "a", "b", "padded", by, "re", "im"])
+                yield _outputs(part, (*keys, group, *PLAN), by, np.fft.fft(x, axis=1) if sign < 0 else np.fft.ifft(x, axis=1) * n)
                 at = to
 
     return run
 
 
-def _rounds(rows: DataFrame, keys: Keys, sign: float) -> DataFrame:
-    """(*keys, size, padded, k, re, im): transforms of (*keys, size, a, b, padded, n, re, im) of length a * b."""
-    fields = [rows.schema[k] for k in keys]
-    long = lambda *names: [T.StructField(x, T.LongType()) for x in names]
-    values = [T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]
-    plan = ("size", "a", "b", "padded")
-    columns = rows.groupBy(*keys, *plan, F.pmod("n", F.col("b")).alias("column")).agg(F.collect_list(F.struct(F.floor(F.col("n") / F.col("b")).alias("at"), "re", "im")).alias("s"))
-    columns = columns.select(*keys, "column", *plan, "s")
-    first = columns.mapInArrow(_short(keys, "column", "row", "a", sign), T.StructType([*fields, *long("column", *plan, "row"), *values]))
-    one = first.where("b = 1").select(*keys, "size", "padded", F.col("row").alias("k"), "re", "im")
+def _outputs(part: pa.RecordBatch, kept: Keys, by: str, y: np.ndarray) -> pa.RecordBatch:
+    """(kept, by, re, im): a row for each value of y, whose lines belong to the rows of part."""
+    take = pa.array(np.repeat(np.arange(len(y)), y.shape[1]))
+    columns = [part.column(c).take(take) for c in kept]
+    flat = y.ravel()
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.arange(y.shape[1]), len(y))), pa.array(flat.real.copy()), pa.array(flat.imag.copy())], names=[*kept, by, "re", "im"])
+
+
+def _kernels(keys: Keys, sign: float):
+    """Transforms of the chirp's columns: (*keys, column, plan) to a row for each of ``a`` outputs."""
+
+    def run(it):
+        for batch in it:
+            for at in range(batch.num_rows):
+                part = batch.slice(at, 1)
+                column, size, a, b, padded = (part.column(c)[0].as_py() for c in ("column", *PLAN))
+                n = np.arange(a) * b + column
+                lag = np.where(n < size, n, n - padded)
+                x = np.where(lag > -size, np.exp(-1j * sign * np.pi * (lag * lag % (2 * size)) / size), 0)
+                yield _outputs(part, (*keys, "column", *PLAN), "row", np.fft.fft(x)[None, :])
+
+    return run
+
+
+def _round_schema(rows: DataFrame, keys: Keys, group: str, by: str) -> T.StructType:
+    long = [T.StructField(x, T.LongType()) for x in (group, *PLAN, by)]
+    return T.StructType([*(rows.schema[k] for k in keys), *long, T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+
+def _first(rows: DataFrame, keys: Keys, sign: float) -> DataFrame:
+    """(*keys, column, plan, row, re, im): transformed columns of (*keys, plan, n, re, im) of length a * b."""
+    columns = rows.groupBy(*keys, *PLAN, F.pmod("n", F.col("b")).alias("column")).agg(F.collect_list(F.struct(F.floor(F.col("n") / F.col("b")).alias("at"), "re", "im")).alias("s"))
+    return columns.select(*keys, "column", *PLAN, "s").mapInArrow(_short(keys, "column", "row", "a", sign), _round_schema(rows, keys, "column", "row"))
+
+
+def _second(first: DataFrame, keys: Keys, sign: float) -> DataFrame:
+    """(*keys, size, padded, k, re, im) from transformed columns."""
     turn = F.lit(sign * 2 * np.pi) * F.pmod(F.col("column") * F.col("row"), F.col("a") * F.col("b")) / (F.col("a") * F.col("b"))
-    turned = _turned(first.where("b > 1"), turn)
-    lines = turned.groupBy(*keys, *plan, "row").agg(F.collect_list(F.struct(F.col("column").alias("at"), "re", "im")).alias("s")).select(*keys, "row", *plan, "s")
-    second = lines.mapInArrow(_short(keys, "row", "d", "b", sign), T.StructType([*fields, *long("row", *plan, "d"), *values]))
-    two = second.select(*keys, "size", "padded", (F.col("row") + F.col("a") * F.col("d")).alias("k"), "re", "im")
-    return one.unionByName(two)
+    lines = _turned(first, turn).groupBy(*keys, *PLAN, "row").agg(F.collect_list(F.struct(F.col("column").alias("at"), "re", "im")).alias("s")).select(*keys, "row", *PLAN, "s")
+    second = lines.mapInArrow(_short(keys, "row", "d", "b", sign), _round_schema(first, keys, "row", "d"))
+    return second.select(*keys, "size", "padded", (F.col("row") + F.col("a") * F.col("d")).alias("k"), "re", "im")
+
+
+def _rounds(rows: DataFrame, keys: Keys, sign: float) -> DataFrame:
+    """(*keys, size, padded, k, re, im): transforms of (*keys, size, a, b, padded, n, re, im) of length a * b > a."""
+    return _second(_first(rows, keys, sign), keys, sign)
 
 
 def _turned(rows: DataFrame, angle: Column) -> DataFrame:
@@ -123,17 +153,20 @@ def fft(signal: DataFrame, keys: Keys = ("ch",), inverse: bool = False, length:
     sign = 1.0 if inverse else -1.0
     plans = _plans(lengths, keys, whole)
     both = rows.join(plans, list(keys))
-    direct = _rounds(both.where("padded = 0"), keys, sign).select(*keys, "k", "re", "im", "size")
+    one = _first(both.where("padded = 0 and b = 1"), keys, sign).select(*keys, F.col("row").alias("k"), "re", "im", "size")
+    two = _rounds(both.where("padded = 0 and b > 1"), keys, sign).select(*keys, "k", "re", "im", "size")
     # a chirp: nk = (n^2 + k^2 - (k - n)^2) / 2, so the transform is a convolution with exp(-sign i pi n^2 / N)
     square = lambda n: F.lit(sign * np.pi) * F.pmod(n * n, 2 * F.col("size")) / F.col("size")
-    chirped = _turned(both.where("padded > 0"), square(F.col("n")))
-    there = _rounds(chirped, keys, -1.0)
-    lags = plans.where("padded > 0").withColumn("m", F.explode(F.expr("sequence(1 - size, size - 1)")))
-    kernel = _turned(lags.withColumns({"re": F.lit(1.0), "im": F.lit(0.0)}), -square(F.col("m"))).select(*keys, "size", "a", "b", "padded", F.pmod("m", F.col("padded")).alias("n"), "re", "im")
-    h = _rounds(kernel, keys, -1.0).select(*keys, "k", F.col("re").alias("hr"), F.col("im").alias("hi"))
-    met = there.join(h, [*keys, "k"]).select(*keys, F.col("k").alias("n"), F.expr("re * hr - im * hi").alias("re"), F.expr("re * hi + im * hr").alias("im"))
+    there = _rounds(_turned(both.where("padded > 0"), square(F.col("n"))), keys, -1.0)
+    # the kernel's columns are dealt out before they are computed: a channel's kernel has more values than the channel
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = plans.where("padded > 0").select(*keys, F.explode(F.expr("sequence(0L, b - 1)")).alias("column"), *PLAN).repartition(parts, *keys, "column")
+    h = _second(columns.mapInArrow(_kernels(keys, sign), _round_schema(columns, keys, "column", "row")), keys, -1.0)
+    # both are as long as the padded channel, whatever the optimizer expects of a kernel that comes from one row: no broadcast
+    met = there.join(h.select(*keys, "k", F.col("re").alias("hr"), F.col("im").alias("hi")).hint("merge"), [*keys, "k"]).select(*keys, F.col("k").alias("n"), F.expr("re * hr - im * hi").alias("re"), F.expr("re * hi + im * hr").alias("im"))
     back = _rounds(met.join(plans, list(keys)), keys, 1.0).where("k < size")
     back = _turned(back.withColumns({"re": F.col("re") / F.col("padded"), "im": F.col("im") / F.col("padded")}), square(F.col("k"))).select(*keys, "k", "re", "im", "size")
+    direct = one.unionByName(two)
     out = direct.unionByName(back)
     if not inverse:
         return out.drop("size")

@@ -76,3 +76,12 @@ def test_one_channel_of_two_to_the_twenty(spark):
     one = s.where(f"k = {k}").first()
     assert abs(complex(one.re, one.im) - np.exp(-2j * np.pi * 7 * k / n)) < 1e-6
     assert s.count() == n
+
+
+def test_a_chirp_is_not_broadcast(spark):
+    """Its kernel comes from one row, so that the optimizer takes it for small, but has more values than the channel."""
+    x = spark.range(1009).selectExpr("0L as ch", "id as n", "cos(id) as re")
+    s = long_fft.spectrum(x, whole=256)
+    assert len(s.collect()) == 505
+    joins = [line for line in s._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].splitlines() if "Join [ch#" in line and ", k#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), joins
