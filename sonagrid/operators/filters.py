@@ -14,6 +14,15 @@ Keys = tuple[str, ...]
 #: Up to so many taps a finite response is a sum of lags in one window.
 MOST_LAGS = 32
 
+#: Up to so many taps of a multichannel filter are broadcast (some 4 MB).
+MOST_TAPS = 1 << 17
+
+#: Parts of a source's samples in a join with more taps.
+PHASES = 64
+
+#: Outputs of a channel that meet in one task.
+OUTPUTS = 1 << 12
+
 
 def fir(signal: DataFrame, taps: list[float], keys: Keys = ("ch",)) -> DataFrame:
     """Convolution with taps, as long as the input (zeros before the first sample).
@@ -198,9 +207,22 @@ def response(frequencies: DataFrame, sections, rate_hz: int) -> DataFrame:
 
 def convolve_matrix(signal: DataFrame, taps: DataFrame, keys: Keys = ()) -> DataFrame:
     """(*keys, ch, n, re) of a multichannel filter: taps (source, ch, m, b) lead from each channel ``source`` to the
-    outputs ``ch``; outputs sum over all sources. A join on the source and a sum by output sample."""
-    both = signal.withColumnRenamed("ch", "source").join(taps, "source")
-    return both.groupBy(*keys, "ch", (F.col("n") + F.col("m")).alias("n")).agg(F.sum(F.col("re") * F.col("b")).alias("re"))
+    outputs ``ch``; outputs sum over all sources.
+
+    Up to MOST_TAPS taps are broadcast; more are joined on the source and the place of a sample modulo
+    PHASES, as an array has few sources. Products meet by blocks of outputs before they are summed, so that
+    a task sums a partition's outputs and not all of those of the file it reads.
+    """
+    samples = signal.withColumnRenamed("ch", "source")
+    if taps.limit(MOST_TAPS + 1).count() <= MOST_TAPS:
+        both = samples.join(F.broadcast(taps), "source")
+    else:
+        spread = taps.withColumn("__phase", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PHASES - 1).cast("long"))))
+        both = samples.withColumn("__phase", F.pmod("n", F.lit(PHASES).cast("long"))).join(spread, ["source", "__phase"])
+    place = F.col("n") + F.col("m")
+    sent = both.select(*keys, "ch", place.alias("n"), (F.col("re") * F.col("b")).alias("re"), F.floor(place / OUTPUTS).alias("__block"))
+    by = (*keys, "ch", "__block")
+    return sent.repartition(*by).groupBy(*by, "n").agg(F.sum("re").alias("re")).drop("__block")
 
 
 def band_levels(bands: DataFrame, keys: Keys = ("ch",)) -> DataFrame:
