@@ -154,28 +154,54 @@ def wave_number(f_hz: float, c: float = 343.0) -> float:
     return 2 * pi * f_hz / c
 
 
+#: Entries of matrices that are computed at once.
+ENTRIES = 1 << 18
+
+
 def _matrices(csm: DataFrame, change, schema: str, keys: Keys) -> DataFrame:
-    """change(C, microphones) -> columns, for each of keys and bin; a matrix has the size of the array squared."""
+    """change(matrices, their microphones) -> columns, for each of keys and bin; a matrix has the size of the
+    array squared. Matrices of one size (m, n, n) are changed together; columns are (m, rows of a matrix)."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        there = np.unique(np.concatenate([rows.ch_i, rows.ch_j]))
-        c = np.zeros((len(there), len(there)), dtype=complex)
-        i, j = np.searchsorted(there, rows.ch_i), np.searchsorted(there, rows.ch_j)
-        c[i, j] = rows.re + 1j * rows.im
-        c[j, i] = rows.re - 1j * rows.im
-        return pd.DataFrame({**{key: rows[key].iloc[0] for key in (*keys, "k")}, **change(c, there)})
+    packed = csm.groupBy(*keys, "k").agg(F.collect_list(F.struct("ch_i", "ch_j", "re", "im")).alias("e")).select(*keys, "k", "e")
+
+    def run(it):
+        for batch in it:
+            flat, lists = batch.column("e").flatten(), batch.column("e").value_lengths()
+            i, j, re, im = (np.asarray(flat.field(c)) for c in ("ch_i", "ch_j", "re", "im"))
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists))
+            # the microphones of each matrix in order, and the place of an entry's two among them
+            ids, code = np.unique(np.concatenate([i, j]), return_inverse=True)
+            there, at = np.unique(np.tile(row, 2) * len(ids) + code, return_inverse=True)
+            mics, size = ids[there % len(ids)], np.bincount(there // len(ids), minlength=batch.num_rows)
+            start = np.cumsum(size) - size
+            i, j = np.split(at - start[np.tile(row, 2)], 2)
+            for n in np.unique(size):
+                same = np.flatnonzero(size == n)
+                step = max(1, ENTRIES // int(n * n))
+                for first in range(0, len(same), step):
+                    rows = same[first : first + step]
+                    line = np.full(batch.num_rows, -1)
+                    line[rows] = np.arange(len(rows))
+                    own = line[row] >= 0
+                    c = np.zeros((len(rows), n, n), dtype=complex)
+                    c[line[row[own]], i[own], j[own]] = re[own] + 1j * im[own]
+                    c[line[row[own]], j[own], i[own]] = re[own] - 1j * im[own]
+                    columns = change(c, mics[start[rows][:, None] + np.arange(n)])
+                    take = pa.array(np.repeat(rows, next(iter(columns.values())).shape[1]))
+                    kept = [batch.column(x).take(take) for x in (*keys, "k")]
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(v).ravel()) for v in columns.values())], names=[*keys, "k", *columns])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in csm.select(*keys, "k").schema.fields)
-    return csm.groupBy(*keys, "k").applyInPandas(run, f"{kept}, {schema}")
+    return packed.mapInArrow(run, f"{kept}, {schema}")
 
 
 def _upper(c, there) -> dict:
     import numpy as np
 
-    i, j = np.triu_indices(len(there))
-    return {"ch_i": there[i], "ch_j": there[j], "re": c[i, j].real, "im": c[i, j].imag}
+    i, j = np.triu_indices(there.shape[1])
+    return {"ch_i": there[:, i], "ch_j": there[:, j], "re": c[:, i, j].real, "im": c[:, i, j].imag}
 
 
 def mvdr(csm: DataFrame, weights: DataFrame, loading: float = 1e-6, keys: Keys = ()) -> DataFrame:
@@ -184,7 +210,9 @@ def mvdr(csm: DataFrame, weights: DataFrame, loading: float = 1e-6, keys: Keys =
     import numpy as np
 
     def inverse(c, there):
-        return _upper(np.linalg.inv(c + np.eye(len(c)) * loading * np.trace(c).real / len(c)), there)
+        n = there.shape[1]
+        mean = np.trace(c, axis1=1, axis2=2).real / n
+        return _upper(np.linalg.inv(c + np.eye(n) * (loading * mean)[:, None, None]), there)
 
     forms = delay_and_sum(_matrices(csm, inverse, "ch_i long, ch_j long, re double, im double", keys), weights, keys=(*keys, "k"))
     return forms.groupBy(*keys, "pid").agg(F.sum(1 / F.col("power")).alias("power"))
@@ -197,7 +225,7 @@ def functional(csm: DataFrame, weights: DataFrame, gamma: float = 10.0, keys: Ke
 
     def root(c, there):
         w, v = np.linalg.eigh(c)
-        return _upper((v * np.maximum(w, 0) ** (1 / gamma)) @ v.conj().T, there)
+        return _upper((v * (np.maximum(w, 0) ** (1 / gamma))[:, None, :]) @ v.conj().swapaxes(1, 2), there)
 
     roots = _matrices(csm, root, "ch_i long, ch_j long, re double, im double", keys)
     own = F.when(F.col("ch_i") == F.col("ch_j"), F.expr("a * a + b * b"))
@@ -212,9 +240,12 @@ def orthogonal(csm: DataFrame, weights: DataFrame, leading: int, keys: Keys = ()
 
     def vectors(c, there):
         w, v = np.linalg.eigh(c)
-        best = np.argsort(w)[::-1][:leading]
-        columns = [{"e": k, "value": w[at] / len(c), "mid": m, "c": v[i, at].real, "d": v[i, at].imag} for k, at in enumerate(best) for i, m in enumerate(there)]
-        return {name: [x[name] for x in columns] for name in ("e", "value", "mid", "c", "d")}
+        m, n = there.shape
+        best = np.arange(n)[::-1][:leading]  # eigh's are in rising order
+        by_vector = lambda x: np.broadcast_to(x, (m, len(best), n)).reshape(m, -1)
+        parts = v[:, :, best].swapaxes(1, 2).reshape(m, -1)
+        e = np.arange(len(best), dtype=np.int32)[None, :, None]
+        return {"e": by_vector(e), "value": by_vector(w[:, best, None] / n), "mid": by_vector(there[:, None, :]), "c": parts.real, "d": parts.imag}
 
     parts = _matrices(csm, vectors, "e int, value double, mid long, c double, d double", keys)
     by = (*keys, "k", "e", "value")

@@ -129,8 +129,13 @@ def cross_spectra(spectra: DataFrame, pairs: DataFrame | None = None, keys: Keys
 
     spectra: (*keys, ch, frame, k, re, im), with a matrix for each of keys (arrays, say).
     The join is on (*keys, frame, k), and pairs (ch_i, ch_j) limits it; the
-    lower half is the conjugate of the upper.
+    lower half is the conjugate of the upper. With keys and without pairs the
+    channels of an array meet as a list instead, so that spectra are computed once.
     """
+    if keys and pairs is None:
+        known = spectra.dropna(subset=[*keys, "frame", "k"]).groupBy(*keys, "frame", "k").agg(F.collect_list(F.struct("ch", "re", "im")).alias("s"))
+        both = known.select(*keys, "k", "s", F.inline("s").alias("ch_i", "a", "b")).select(*keys, "k", "ch_i", "a", "b", F.inline("s").alias("ch_j", "c", "d")).where("ch_i <= ch_j")
+        return _mean_products(both, keys)
     a = spectra.select(*keys, F.col("ch").alias("ch_i"), "frame", "k", F.col("re").alias("a"), F.col("im").alias("b"))
     b = spectra.select(*keys, F.col("ch").alias("ch_j"), "frame", "k", F.col("re").alias("c"), F.col("im").alias("d"))
     if pairs is not None:
@@ -138,6 +143,11 @@ def cross_spectra(spectra: DataFrame, pairs: DataFrame | None = None, keys: Keys
         both = a.join(b, [*keys, "ch_j", "frame", "k"])
     else:
         both = a.join(b, [*keys, "frame", "k"]).where("ch_i <= ch_j")
+    return _mean_products(both, keys)
+
+
+def _mean_products(both: DataFrame, keys: Keys) -> DataFrame:
+    """Means of conj(a + ib) (c + id) by keys, bin and channels."""
     re, im = F.col("a") * F.col("c") + F.col("b") * F.col("d"), F.col("a") * F.col("d") - F.col("b") * F.col("c")
     return both.groupBy(*keys, "k", "ch_i", "ch_j").agg(F.avg(re).alias("re"), F.avg(im).alias("im"))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from math import log10, pi, sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonagrid import functions as fn
@@ -1320,8 +1320,9 @@ def _pairs_sql(value: str, by_key: str = "sum(v)") -> str:
 def _two_microphones(spark, d):
     """(matrices of all pairs of channels over the frames that both have, weights of the two)"""
     spectra = _array_spectra(spark, d, 2).where("k > 0")
-    both = spectra.where("k = 1").groupBy("array_id", "frame").agg(F.countDistinct("ch").alias("mics")).where("mics = 2").select("array_id", "frame")
-    return sp.cross_spectra(spectra.join(both, ["array_id", "frame"], "left_semi"), keys=_ARRAY), bf.steering(_grid(spark), _mics(spark), 36.0).where("mid < 2")
+    mics = F.count(F.lit(1)).over(Window.partitionBy("array_id", "frame", "k"))
+    both = spectra.withColumn("mics", mics).where("mics = 2").drop("mics")
+    return sp.cross_spectra(both, keys=_ARRAY), bf.steering(_grid(spark), _mics(spark), 36.0).where("mid < 2")
 
 
 @query(f"with {_pairs_sql('((a + 5e-4 * (a + d)) * (d + 5e-4 * (a + d)) - c * c - s * s) / ((d + 5e-4 * (a + d)) * gg + (a + 5e-4 * (a + d)) * hh - x)')} select array_id, pid, {_r('sum(v)', 3)} as power from v2 group by array_id, pid")

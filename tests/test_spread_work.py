@@ -29,3 +29,41 @@ def test_products_of_a_multichannel_filter_meet_before_they_are_summed(spark, mo
     plan = _plan(out)
     assert not re.search(r"hashpartitioning\(source#\d+L, \d+\)", plan)
     assert plan.count("partial_sum") == 1 and plan.index("partial_sum") < plan.index("Exchange hashpartitioning(pair")
+
+
+def test_matrices_of_arrays_change_together(spark):
+    """Many small matrices go through numpy at once, not each as a group of its own, and spectra are computed once."""
+    import numpy as np
+
+    from sonagrid.operators import beamforming as bf
+    from sonagrid.operators import spectra as sp
+
+    rng = np.random.default_rng(3)
+    rows = [(a, c, f, k, float(rng.normal()), float(rng.normal())) for a in range(4) for c in range(2 + a % 2) for f in range(9) for k in (1, 2)]
+    spectra = spark.createDataFrame(rows, "array_id long, ch long, frame long, k int, re double, im double")
+    csm = sp.cross_spectra(spectra, keys=("array_id",))
+    assert _plan(csm).count("Scan ExistingRDD") == 1
+    mics = spark.createDataFrame([(i, 0.3 * i, 0.1 * i * i, 0.0) for i in range(3)], "pid long, x double, y double, z double")
+    weights = bf.steering(bf.regular_grid(spark, [-0.2, 0.2], [-0.1, 0.1], 0.5), mics, 30.0).cache()
+    w = {(r.pid, r.mid): complex(r.re, r.im) for r in weights.collect()}
+    x = {(a, c, f, k): complex(re, im) for a, c, f, k, re, im in rows}
+    for map_ in (bf.mvdr, bf.functional, lambda c, h, **o: bf.orthogonal(c, h, 1, **o)):
+        out = map_(csm, weights, keys=("array_id",))
+        assert "FlatMapGroups" not in _plan(out)
+    got = {(r.array_id, r.pid): r.power for r in bf.functional(csm, weights, gamma=3.0, keys=("array_id",)).collect()}
+    best = {(r.array_id, r.pid): r.power for r in bf.orthogonal(csm, weights, 1, keys=("array_id",)).collect()}
+    inverse = {(r.array_id, r.pid): r.power for r in bf.mvdr(csm, weights, loading=1e-3, keys=("array_id",)).collect()}
+    for a in range(4):
+        n = 2 + a % 2
+        power, loud, least = np.zeros(4), np.zeros(4), np.zeros(4)
+        for k in (1, 2):
+            v = np.array([[x[a, c, f, k] for f in range(9)] for c in range(n)])
+            c = v.conj() @ v.T / 9
+            values, vectors = np.linalg.eigh(c)
+            h = np.array([[w[p, m] for m in range(n)] for p in range(4)])
+            root = (vectors * values ** (1 / 3)) @ vectors.conj().T
+            power += (np.einsum("pi,ij,pj->p", h.conj(), root, h).real / (abs(h) ** 2).sum(axis=1)) ** 3
+            loud[np.argmax(np.round(abs(h.conj() @ vectors[:, -1]) ** 2, 12))] += values[-1] / n
+            least += 1 / np.einsum("pi,ij,pj->p", h.conj(), np.linalg.inv(c + np.eye(n) * 1e-3 * np.trace(c).real / n), h).real
+        for p in range(4):
+            assert abs(got[a, p] - power[p]) < 1e-9 and abs(best[a, p] - loud[p]) < 1e-9 and abs(inverse[a, p] - least[p]) < 1e-9
