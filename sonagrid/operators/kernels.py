@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonagrid.operators import long_fft, recursive, scans
@@ -252,13 +252,19 @@ def loudness(signal: DataFrame, rate_hz: int, weights: tuple[float, ...] = (1.0,
     """(lufs): integrated loudness over the channels 0 to 4 of one signal.
 
     The kernel filters; blocks of 400 ms every 100 ms, channel weights and both gates are relational.
+    Blocks are sums over samples wherever these are, as there are five channels at most; those that
+    reach a channel's last sample are left out afterwards.
     """
     z = iir(signal, k_weighting(rate_hz))
     block, hop = round(0.4 * rate_hz), round(0.1 * rate_hz)
     w = F.get(F.array(*[F.lit(v) for v in weights]), F.col("ch").cast("int"))
-    from sonagrid.operators.frames import frames
-
-    whole = frames(z, block, hop).groupBy("ch", "frame").agg((F.sum(F.col("x") * F.col("x")) / block).alias("p"))
+    n = F.col("n")
+    first, last = F.greatest(F.lit(0).cast("long"), F.floor((n - block) / hop) + 1), F.floor(n / hop)
+    sent = z.where(last >= first).select("ch", "n", "re", F.explode(F.sequence(first, last)).alias("frame"))
+    whole = sent.groupBy("ch", "frame").agg((F.sum(F.col("re") * F.col("re")) / block).alias("p"), F.max("n").alias("last"))
+    # one row a block here, a hop's share of the samples
+    end = F.max("last").over(Window.partitionBy("ch"))
+    whole = whole.withColumn("end", end).where(F.col("frame") * hop + block <= F.col("end"))
     blocks = whole.groupBy("frame").agg(F.sum(F.col("p") * w).alias("p"))
     blocks = blocks.withColumn("l", -0.691 + 10 * F.log10(F.greatest("p", F.lit(1e-30)))).where("l > -70")
     gate = blocks.agg((-0.691 + 10 * F.log10(F.avg("p")) - 10).alias("gate"))

@@ -67,3 +67,35 @@ def test_matrices_of_arrays_change_together(spark):
             least += 1 / np.einsum("pi,ij,pj->p", h.conj(), np.linalg.inv(c + np.eye(n) * 1e-3 * np.trace(c).real / n), h).real
         for p in range(4):
             assert abs(got[a, p] - power[p]) < 1e-9 and abs(best[a, p] - loud[p]) < 1e-9 and abs(inverse[a, p] - least[p]) < 1e-9
+
+
+def test_loudness_has_no_task_for_each_channel(spark, tmp_path):
+    """Neither the ranks of few channels nor their blocks take windows over whole channels; hop is 10 and a block 40 samples."""
+    import numpy as np
+
+    from sonagrid import queries
+    from sonagrid.operators import kernels as ke
+
+    x = [np.sin(np.arange(n) * 0.9) * (1 + c) for c, n in enumerate((400, 331, 40, 41))]
+    signal = spark.createDataFrame([(c, n, float(v)) for c, s in enumerate(x) for n, v in enumerate(s)], "ch long, n long, re double")
+    out = ke.loudness(signal, 100)
+    power = np.zeros(40)
+    for c, s in enumerate(x):
+        y = ke.section_filter(s, ke.k_weighting(100))[0]
+        for f in range(40):
+            if f * 10 + 40 < len(s):
+                power[f] += (1.0, 1.0, 1.0, 1.41)[c] * (y[f * 10 : f * 10 + 40] ** 2).mean()
+    loud = power[power > 0]
+    level = lambda p: -0.691 + 10 * np.log10(p)
+    loud = loud[level(loud) > -70]
+    want = level(loud[level(loud) > level(loud.mean()) - 10].mean())
+    assert abs(out.first().lufs - want) < 1e-9
+    sorts = [line for line in _plan(out).splitlines() if "Sort [" in line]
+    assert not any(", n#" in line or "re#" in line for line in sorts)
+    assert "max(n#" in _plan(out) and not re.search(r"Window \[max\(n#", _plan(out))
+    rows = [(o, 1 + o % 3, 1 + o % 7, 1 + o % 4, 1.0 * o, 1e5 * float(np.sin(o)), 0.0, 0.0) for o in range(0, 1 << 16, 7)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, columns).withColumn("l_shipdate", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    query = queries.queries()["integrated_loudness"](spark, str(tmp_path))
+    assert query.count() == 1
+    assert not re.search(r"hashpartitioning\(five#\d+L, \d+\)", _plan(query))
