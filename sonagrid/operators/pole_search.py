@@ -27,28 +27,38 @@ Keys = tuple[str, ...]
 BLOCK = 1024
 
 
+#: Blocks that go through a recursion at once.
+TOGETHER = 1 << 12
+
+
 def _rows(part: pa.RecordBatch):
-    """(samples in order, polynomial) of each block."""
-    for s, a in zip(part.column("s"), part.column("poly")):
-        flat = s.values
-        at, re = np.asarray(flat.field("at")), np.asarray(flat.field("re"))
-        yield re[np.argsort(at)], np.asarray(a.values, dtype=float)
+    """(rows, samples in order (samples, rows), polynomials (order + 1, rows)) of blocks of one length."""
+    flat, size = part.column("s").flatten(), np.asarray(part.column("s").value_lengths())
+    at, re = np.asarray(flat.field("at")), np.asarray(flat.field("re"))
+    re = re[np.lexsort((at, np.repeat(np.arange(len(size)), size)))]
+    start = np.cumsum(size) - size
+    polys = np.asarray(part.column("poly").flatten(), dtype=float).reshape(len(size), -1)
+    for n in np.unique(size):
+        same = np.flatnonzero(size == n)
+        for first in range(0, len(same), TOGETHER):
+            rows = same[first : first + TOGETHER]
+            yield rows, re[start[rows] + np.arange(n)[:, None]], polys[rows].T
 
 
 def _all_pole(x: np.ndarray, poly: np.ndarray, past: np.ndarray) -> np.ndarray:
-    """x through 1 / poly behind the outputs ``past`` (the last one first), with these in front (the first one first)."""
+    """Each column of x through 1 / poly behind the outputs ``past`` (the last one first), with these in front (the first one first)."""
     order = len(poly) - 1
-    out = np.concatenate([past[::-1], np.empty(len(x))])
+    out = np.concatenate([past[::-1], np.empty_like(x)])
     back = -poly[:0:-1]
     for i, v in enumerate(x):
-        out[order + i] = v + back @ out[i : i + order]
+        out[order + i] = v + (back * out[i : i + order]).sum(axis=0)
     return out
 
 
 def _products(y: np.ndarray, order: int, size: int) -> np.ndarray:
-    """Sums of products of samples 0 .. order before each of the last ``size`` ones."""
-    lags = np.stack([y[order - k : order - k + size] for k in range(order + 1)])
-    return (lags @ lags.T).ravel()
+    """(rows, ...): sums of products of samples 0 .. order before each of the last ``size`` ones."""
+    lags = np.stack([y[order - k : order - k + size].T for k in range(order + 1)], axis=1)
+    return (lags @ lags.swapaxes(1, 2)).reshape(y.shape[1], -1)
 
 
 def poles(response: DataFrame, order: int, rounds: int = 10, keys: Keys = ("ch",), block: int = BLOCK, levels: int | None = None) -> DataFrame:
@@ -75,17 +85,21 @@ def _poles(response: DataFrame, order: int, rounds: int, keys: Keys, block: int,
 
     def maps(it):
         for part in it:
-            out = []
-            for x, poly in _rows(part):
-                end = _all_pole(x, poly, np.zeros(order))[-1 : -order - 1 : -1]
-                ends = [_all_pole(np.zeros(len(x)), poly, unit)[-1 : -order - 1 : -1] for unit in np.eye(order)]
-                out.append(np.concatenate([np.stack(ends, axis=1).ravel(), end]).tolist())
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), part.column("block"), pa.array(out, numbers)], names=[*keys, "block", "map"])
+            out = np.empty((part.num_rows, order * order + order))
+            for rows, x, poly in _rows(part):
+                last = lambda y: y[-1 : -order - 1 : -1]
+                end = last(_all_pole(x, poly, np.zeros((order, len(rows)))))
+                ends = [last(_all_pole(np.zeros_like(x), poly, np.repeat(unit[:, None], len(rows), axis=1))) for unit in np.eye(order)]
+                out[rows] = np.concatenate([np.stack(ends, axis=1).reshape(order * order, -1), end]).T
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), part.column("block"), pa.array(list(out), numbers)], names=[*keys, "block", "map"])
 
     def sums(it):
         for part in it:
-            out = [_products(_all_pole(x, poly, np.asarray(state.values, dtype=float)), order, len(x)).tolist() for (x, poly), state in zip(_rows(part), part.column("state"))]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(out, numbers)], names=[*keys, "g"])
+            out = np.empty((part.num_rows, (order + 1) ** 2))
+            state = np.asarray(part.column("state").flatten(), dtype=float).reshape(part.num_rows, order)
+            for rows, x, poly in _rows(part):
+                out[rows] = _products(_all_pole(x, poly, state[rows].T), order, len(x))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(list(out), numbers)], names=[*keys, "g"])
 
     def solved(it):
         """The error of each polynomial, the best one so far, and the next."""

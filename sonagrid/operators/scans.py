@@ -184,29 +184,53 @@ def folded(ends: DataFrame, keys: Keys, carrier, start: np.ndarray, fan: int = 2
     block, numbers = T.StructField("block", T.LongType()), lambda name: T.StructField(name, T.ArrayType(T.DoubleType()))
     carried = T.StructType([*kept, block, numbers("state")])
 
-    def walk(table: pa.Table, at: int, state: np.ndarray) -> pa.Table:
-        table, out = table.sort_by("block"), []
-        for b, m in zip(table["block"].to_pylist(), table["map"]):
-            state = carrier.rest(b - at, state)
-            out.append(state)
-            state, at = carrier.apply(np.asarray(m.values), state), b + 1
-        return table.select([*keys, "block"]).append_column("state", pa.array([np.atleast_1d(s).tolist() for s in out], array))
+    def lists(df: DataFrame, *by: str) -> DataFrame:
+        """One row for each of ``by`` with its (block, map) in order: many groups go through one call of a kernel."""
+        first = [F.first("top").alias("top")] if "top" in df.columns else []
+        return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("block", "map"))).alias("m"), *first)
+
+    def groups_of(batch: pa.RecordBatch):
+        """(row, its blocks, its maps)"""
+        m = batch.column("m")
+        flat, size = m.flatten(), np.asarray(m.value_lengths())
+        blocks, maps = flat.field("block").to_pylist(), flat.field("map")
+        values, at = np.asarray(maps.values), np.asarray(maps.offsets)
+        end = 0
+        for row, n in enumerate(size.tolist()):
+            begin, end = end, end + n
+            yield row, blocks[begin:end], [values[at[i] : at[i + 1]] for i in range(begin, end)]
+
+    def walk(batch: pa.RecordBatch, begun: Callable) -> pa.RecordBatch:
+        rows, numbers_, out = [], [], []
+        for row, blocks, maps in groups_of(batch):
+            at, state = begun(row, blocks)
+            for i, (b, map_) in enumerate(zip(blocks, maps)):
+                state = carrier.rest(b - at, state) if b > at else state
+                rows.append(row)
+                out.append(np.atleast_1d(state))
+                if i + 1 < len(blocks):
+                    state, at = carrier.apply(map_, state), b + 1
+            numbers_ += blocks
+        take = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in keys), pa.array(numbers_, pa.int64()), pa.array(out, array)], names=[*keys, "block", "state"])
 
     if levels == 1:
-        return ends.groupBy(*keys).applyInArrow(lambda t: walk(t, pa.compute.min(t["block"]).as_py(), start), carried)
+        return lists(ends, *keys).mapInArrow(lambda it: (walk(batch, lambda row, blocks: (blocks[0], start)) for batch in it), carried)
 
     cut = ends.withColumn("group", F.floor(F.col("block") / fan))
 
-    def compose(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        group = table["group"][0].as_py()
-        one = carrier.composed(table["block"].to_pylist(), [np.asarray(m.values) for m in table["map"]], group * fan, fan)
-        return table.slice(0, 1).select(list(keys)).append_column("block", pa.array([group], pa.int64())).append_column("map", pa.array([one.tolist()], array))
+    def compose(it):
+        for batch in it:
+            group = batch.column("group").to_pylist()
+            ones = [np.asarray(carrier.composed(blocks, maps, group[row] * fan, fan)) for row, blocks, maps in groups_of(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("group"), pa.array(ones, array)], names=[*keys, "block", "map"])
 
-    groups = cut.groupBy(*keys, "group").applyInArrow(compose, T.StructType([*kept, block, numbers("map")]))
+    groups = lists(cut, *keys, "group").mapInArrow(compose, T.StructType([*kept, block, numbers("map")]))
     tops = folded(groups, keys, carrier.up(fan), start, fan, levels - 1).withColumnsRenamed({"block": "group", "state": "top"})
 
-    def down(table: pa.Table) -> pa.Table:
-        return walk(table, table["group"][0].as_py() * fan, np.array(table["top"][0].as_py()))
+    def down(it):
+        for batch in it:
+            group, top = batch.column("group").to_pylist(), batch.column("top")
+            yield walk(batch, lambda row, blocks: (group[row] * fan, np.array(top[row].as_py())))
 
-    return cut.join(tops, [*keys, "group"]).groupBy(*keys, "group").applyInArrow(down, carried)
+    return lists(cut.join(tops, [*keys, "group"]), *keys, "group").mapInArrow(down, carried)

@@ -99,3 +99,28 @@ def test_loudness_has_no_task_for_each_channel(spark, tmp_path):
     query = queries.queries()["integrated_loudness"](spark, str(tmp_path))
     assert query.count() == 1
     assert not re.search(r"hashpartitioning\(five#\d+L, \d+\)", _plan(query))
+
+
+def test_many_short_channels_go_through_folds_and_searches_together(spark):
+    """No call of a kernel for each channel: neither where states are folded nor where a polynomial's recursion runs."""
+    import numpy as np
+
+    from sonagrid.operators import pole_search as ps
+    from sonagrid.operators import recursive as rc
+
+    signal = spark.range(40 * 300).selectExpr("id % 40 as ch", "id div 40 as n", "sin(id) as re")
+    for levels in (1, 2):
+        out = rc.filtered(signal, rc.sections_step(np.array([[1.0, 0, 0, 1, -0.5, 0]])), size=64, levels=levels)
+        assert "FlatMapGroups" not in _plan(out)
+        got = {r.n: r.re for r in out.where("ch = 7").collect()}
+        y = 0.0
+        for n in range(300):
+            y = np.sin(n * 40 + 7) + 0.5 * y
+            assert abs(got[n] - y) < 1e-12
+    x, poly, past = np.random.default_rng(5).normal(size=(9, 4)), np.array([[1.0] * 4, [0.3, -0.2, 0.1, 0.5], [0.2, 0.1, 0.0, -0.3]]), np.ones((2, 4))
+    y = ps._all_pole(x, poly, past)
+    for c in range(4):
+        out = [1.0, 1.0]
+        for v in x[:, c]:
+            out.append(v - poly[1, c] * out[-1] - poly[2, c] * out[-2])
+        assert np.allclose(y[:, c], out)
