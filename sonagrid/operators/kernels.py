@@ -120,10 +120,7 @@ def filter_bank(signal: DataFrame, bank: dict[str, np.ndarray], mode: str = "par
     """parallel: (band, ...) of each filter; sequential: one after the other; summed: outputs added."""
     if mode == "sequential":
         return iir(signal, np.vstack([np.atleast_2d(s) for s in bank.values()]), keys)
-    bands = None
-    for name, sections in bank.items():
-        one = iir(signal, sections, keys).withColumn("band", F.lit(name))
-        bands = one if bands is None else bands.unionByName(one)
+    bands = recursive.bank(signal, {name: recursive.sections_step(sections) for name, sections in bank.items()}, keys)
     return bands if mode == "parallel" else bands.groupBy(*keys, "n").agg(F.sum("re").alias("re"))
 
 

@@ -161,6 +161,43 @@ def filtered(signal: DataFrame, step: LinearStep, keys: Keys = ("ch",), size: in
     return blocks.join(carried, [*keys, "block"]).select(*keys, "block", "s", "state").mapInArrow(samples, out)
 
 
+def bank(signal: DataFrame, steps: dict[str, LinearStep], keys: Keys = ("ch",), size: int = BLOCK, levels: int | None = None) -> DataFrame:
+    """(*keys, n, re, band): several recursions over the same blocks at once; their states are one, moved by a matrix of blocks."""
+    parts = {name: step.of_block(size) for name, step in steps.items()}
+    count = [len(move) for _, _, _, move in parts.values()]
+    at = np.concatenate([[0], np.cumsum(count)])
+    moved = np.hstack([m for _, _, m, _ in parts.values()])
+    move = np.zeros((at[-1], at[-1]))
+    for i, (_, _, _, own) in enumerate(parts.values()):
+        move[at[i] : at[i + 1], at[i] : at[i + 1]] = own
+    blocks = _blocks(signal, keys, size, "re")
+
+    def ends(it):
+        for batch in it:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                end = _dense(part, size)[0] @ moved
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), part.column("block"), pa.array(list(end), pa.list_(pa.float64()))], names=[*keys, "block", "map"])
+
+    def samples(it):
+        for batch in it:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                x, row, place = _dense(part, size)
+                state = np.stack([np.asarray(v.values) for v in part.column("state")])
+                n = np.asarray(part.column("block"), dtype=np.int64)[row] * size + place
+                for i, (name, (direct, seen, _, _)) in enumerate(parts.items()):
+                    y = x @ direct.T + state[:, at[i] : at[i + 1]] @ seen.T
+                    one = _taken(part, keys, row, n, y[row, place])
+                    yield pa.RecordBatch.from_arrays([*one.columns, pa.array([name] * one.num_rows, pa.string())], names=[*one.schema.names, "band"])
+
+    fields = _key_fields(signal, keys)
+    state = T.StructType([*fields, T.StructField("block", T.LongType()), T.StructField("map", T.ArrayType(T.DoubleType()))])
+    carried = folded(blocks.mapInArrow(ends, state), keys, Linear(move), np.zeros(len(move)), levels=levels)
+    out = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("re", T.DoubleType()), T.StructField("band", T.StringType())])
+    return blocks.join(carried, [*keys, "block"]).select(*keys, "block", "s", "state").mapInArrow(samples, out)
+
+
 def sections(signal: DataFrame, sections_: np.ndarray, keys: Keys = ("ch",)) -> DataFrame:
     """Cascade of second-order sections."""
     return filtered(signal, sections_step(sections_), keys)

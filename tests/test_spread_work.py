@@ -124,3 +124,17 @@ def test_many_short_channels_go_through_folds_and_searches_together(spark):
         for v in x[:, c]:
             out.append(v - poly[1, c] * out[-1] - poly[2, c] * out[-2])
         assert np.allclose(y[:, c], out)
+
+
+def test_bands_of_a_bank_share_their_blocks(spark):
+    """One fold and one pass for all bands, with the rows of each filter on its own."""
+    from sonagrid.operators import kernels as ke
+
+    signal = spark.range(3 * 700).selectExpr("id % 3 as ch", "id div 3 as n", "sin(id) as re")
+    bank = {"low": ke.butterworth(2, 300.0, 4800), "peak": ke.biquad("peaking", 500.0, 4800, 0.9, 3.0), "high": ke.butterworth(4, 900.0, 4800, True)}
+    out = ke.filter_bank(signal, bank)
+    got = {(r.band, r.ch, r.n): r.re for r in out.collect()}
+    assert len(got) == 3 * 3 * 700 and "Union" not in _plan(out)
+    for name, sections in bank.items():
+        for r in ke.iir(signal, sections).collect():
+            assert abs(got[name, r.ch, r.n] - r.re) < 1e-12
