@@ -316,17 +316,18 @@ def clean_sc(csm: DataFrame, weights: DataFrame, iterations: int | None = None,
     matrices = kept(packed.select(*by, "mics", F.transform("e", lambda x: x.re).alias("re"), F.transform("e", lambda x: x.im).alias("im"), F.lit(None).cast("double").alias("norm")))
     points = kept(weights.groupBy("pid").agg(F.collect_list(F.struct("mid", "re", "im")).alias("w")))
     maps = kept(delay_and_sum(csm.where("ch_i <> ch_j") if remove_diagonal else csm, weights, keys=by).select(*by, "pid", "power"))
+    most = F.lit(iterations) if iterations is not None else 2 * F.size("mics")  # of each matrix, whatever others have
     if iterations is None:
         iterations = 2 * (matrices.agg(F.max(F.size("mics"))).first()[0] or 0)
     kinds = {f.name: f.dataType.simpleString() for f in matrices.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, "mics")) + ", pid long, re array<double>, im array<double>, norm double, open boolean, h_re array<double>, h_im array<double>, peak double"
     found = None
-    for _ in range(iterations):
+    for turn in range(iterations):
         top = maps.groupBy(*by).agg(F.max(F.struct("power", (-F.col("pid")).alias("p"))).alias("t")).select(*by, F.col("t.power").alias("peak"), (-F.col("t.p")).alias("pid"))
         now = kept(matrices.join(top, list(by)).join(points, "pid").select(*by, "mics", "pid", "re", "im", "norm", "peak", "w").mapInArrow(_coherent(share, remove_diagonal, inner), schema))
         taken = now.select(*keys, "pid", (share * F.col("peak")).alias("power"))
         found = taken if found is None else found.unionByName(taken)
-        going = now.where("open")
+        going = now.where(F.col("open") & (most > turn + 1))
         if going.isEmpty():
             break
         matrices = going.select(*by, "mics", "re", "im", "norm")
