@@ -90,3 +90,33 @@ def test_odd_cases(spark):
         pd.linearized(lacking, 65, 1000).count()
     with pytest.raises(ValueError):
         pd.linearized(lacking, 65, 1000, increase=-0.1)
+
+
+@pytest.mark.parametrize("length", [64, 65])
+def test_channels_in_a_row_equal_channels_in_rounds(spark, length):
+    """Of channels 0 to 4 the last three need transforms longer than 300 samples; channel 5 lacks its key."""
+    k = np.arange(length // 2 + 1)
+    of = lambda c: (np.cos(k * (c + 1) / 7) + 1.01) * (c + 1) ** 2 / 2
+    targets = spark.createDataFrame([(c if c < 5 else None, int(i), float(d), float(1 / (1 + i + c))) for c in range(6) for i, d in zip(k, of(c))], "ch long, k long, delay_s double, magnitude double")
+    values = lambda df: {(r.ch, r.n): r.re for r in df.collect()}
+    for additional, simpson, integer_delay in ((0, False, False), (None, True, False), (7, False, True), (None, True, True)):
+        ways = [values(pd._designed(targets, length, 1, 0.25, additional, simpson, integer_delay, ("ch",), whole=whole)) for whole in (1 << 14, 300, 0)]
+        assert {c for c, _ in ways[0]} == set(range(5))
+        for other in ways[1:]:
+            assert ways[0].keys() == other.keys() and max(abs(v - other[at]) for at, v in ways[0].items()) < 1e-11
+
+    # rows that are there twice, in any order, are those with the larger delay
+    once = targets.drop("magnitude").where("ch < 3")
+    both = once.unionByName(once.withColumn("delay_s", F.col("delay_s") / 2))
+    assert values(pd.designed(both.orderBy("delay_s"), length, 1)) == values(pd.designed(both.orderBy(F.desc("delay_s")), length, 1)) == values(pd.designed(once, length, 1))
+
+
+def test_bins_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pd, "BLOCK", 4)
+    there = [0, 1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 16]
+    rows_ = spark.createDataFrame([(c, k, float(10 * c + k)) for c in (1, 2) for k in there], "ch long, k long, v double")
+    got = pd.beside(rows_, ("ch",), "k", ("v",), (-2, -1, 1, 2)).collect()
+    assert sorted((r.ch, r.k) for r in got) == [(c, k) for c in (1, 2) for k in there]
+    for r in got:
+        for o, name in ((-2, "v_m2"), (-1, "v_m1"), (0, "v"), (1, "v_1"), (2, "v_2")):
+            assert r[name] == (10 * r.ch + r.k + o if r.k + o in there else None)

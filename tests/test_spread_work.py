@@ -138,3 +138,25 @@ def test_bands_of_a_bank_share_their_blocks(spark):
     for name, sections in bank.items():
         for r in ke.iir(signal, sections).collect():
             assert abs(got[name, r.ch, r.n] - r.re) < 1e-12
+
+
+def test_finer_bins_of_short_channels_are_never_rows(spark):
+    """One shuffle by channel and one pass of numpy; bins meet in windows, not in a group for each bin."""
+    import numpy as np
+
+    from sonagrid.operators import phase_design as pd
+
+    x = np.random.default_rng(2).normal(size=(5, 64))
+    spectrum = spark.createDataFrame([(c, k, float(v.real), float(v.imag)) for c in range(5) for k, v in enumerate(np.fft.rfft(x[c]))], "ch long, k long, re double, im double")
+    out = pd.linearized(spectrum.repartition(4, "ch"), 64, 1)
+    plan = _plan(out)
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1 and "ExistingRDD[ch" in plan
+    got = {(r.ch, r.n): r.re for r in out.collect()}
+    lengths = 0
+    for c in range(5):
+        delays = np.diff(np.unwrap(np.angle(np.fft.rfft(x[c])))) * -1
+        delays = np.concatenate([delays[:1], (delays[1:] + delays[:-1]) / 2, delays[-1:]])
+        late = int((2 * delays.max() - delays.min()) * 64 / 2 / np.pi + 1)
+        assert late * 10 > 64 and {n for ch, n in got if ch == c} == set(range(late + 1))
+        lengths += late + 1
+    assert len(got) == lengths
